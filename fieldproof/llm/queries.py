@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from .quality import ORACLE as QUALITY_SQL
-from .quality import op6_quality_rules
+from . import chat_format, line_dedup, quality, url_filter
 
 
 def queries() -> dict:
-    return {"op6_quality_rules": op6_quality_rules}
+    return {
+        "op2_url_filter": url_filter.op2_url_filter,
+        "op6_quality_rules": quality.op6_quality_rules,
+        "op9_chat_format": chat_format.op9_chat_format,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": QUALITY_SQL}
+    return {
+        "op2_url_filter": url_filter.ORACLE,
+        "op6_quality_rules": quality.ORACLE,
+        "op9_chat_format": chat_format.ORACLE,
+        "op10_line_dedup": line_dedup.ORACLE,
+    }
