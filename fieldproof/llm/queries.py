@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, packing, quality, url_filter
+from . import chat_format, decontaminate, line_dedup, packing, quality, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_url_filter": url_filter.op2_url_filter,
         "op4_packing": packing.op4_packing,
+        "op5_decontamination": decontaminate.op5_decontamination,
         "op6_quality_rules": quality.op6_quality_rules,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_line_dedup": line_dedup.op10_line_dedup,
