@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, packing, quality, url_filter
+from . import chat_format, decontaminate, license_scan, line_dedup, packing, quality, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_license_scan": license_scan.op7_license_scan,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }

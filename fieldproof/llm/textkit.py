@@ -100,7 +100,7 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         # reduceat sums up to the next bound, so the last run lacks its last byte
         got = sums[0::2]
         if bounds[-1] != bounds[-2]:
-            got[-1] += terms[-1]
+            got[-1:] += terms[-1:]
         got = got * down[bounds[0::2]]
         out[a:b] = mix(got + (ends[a:b] - starts[a:b]).astype(np.uint64))
         a = b
