@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, line_dedup, packing, quality, url_filter
+from . import chat_format, decontaminate, license_scan, line_dedup, lm_score, packing, quality, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_license_scan": license_scan.op7_license_scan,
+        "op8_lm_score": lm_score.op8_lm_score,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
