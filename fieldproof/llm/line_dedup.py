@@ -6,11 +6,7 @@ covered lines are removed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
@@ -47,44 +43,46 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines:
     return later.groupBy("doc").agg(F.collect_set("at").alias("starts"))
 
 
-def _strip(lines: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, starts = batch.column("_text"), batch.column("_starts")
-            kept, total, removed = [], [], []
-            for text, at in zip(texts, starts, strict=True):
-                rows = (text.as_py() or "").split("\n")
-                full = np.array([bool(x.strip(SPACES)) for x in rows], bool)
-                gone = np.zeros(int(full.sum()), bool)
-                if at.is_valid:
-                    places = np.asarray(at.values)
-                    for k in range(lines):
-                        gone[places + k] = True
-                out = np.zeros(len(rows), bool)
-                out[np.flatnonzero(full)[gone]] = True
-                kept.append("\n".join(x for x, drop in zip(rows, out, strict=True) if not drop) if out.any() else text.as_py())
-                total.append(len(gone))
-                removed.append(int(gone.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
-                ["row", "kept_text", "n_lines", "n_removed"],
-            )
-
-    return run
+def _bound(x: Column, f) -> Column:
+    """f(x) with x evaluated once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _strip(text: Column, starts: Column, lines: int) -> Column:
+    """(kept, n_lines, n_removed) of a text whose windows at ``starts`` are covered; every step is linear."""
+
+    def cut(rows: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(rows) - 1)
+        full = F.filter(numbers, lambda i: F.btrim(F.get(rows, i), F.lit(SPACES)) != "")
+
+        def merged(at: Column) -> Column:
+            gone = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.array(*[F.get(at, s + k) for k in range(lines)]))))
+
+            def rest(gone: Column) -> Column:
+                kept = F.array_join(F.transform(F.array_except(numbers, gone), lambda i: F.get(rows, i)), "\n")
+                return F.struct(kept.alias("kept"), F.size(at).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"))
+
+            return _bound(F.coalesce(gone, F.array().cast("array<int>")), rest)
+
+        return _bound(full, merged)
+
+    return _bound(F.split(F.coalesce(text, F.lit("")), "\n"), cut)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
-    """(row, kept_text, n_lines, n_removed): every row of ``docs`` as a struct, with what is left of its text.
+    """(row, kept_text, n_lines, n_removed): every row of ``docs`` as a struct, its text replaced by what is left.
 
     Lines are compared without outer white space; lines without a word take no part in windows and stay. Texts
     of fewer than ``lines`` such lines have no window and stay as they are, as do null and empty texts. Rows
     that share a doc_id are one place: a repeated row is not later than itself, so both stay whole. A null
     doc_id sorts before all others. Extra columns, whatever their names, travel inside ``row``."""
-    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]) if len(docs.columns) > 1 else F.struct(F.lit(None).cast("int"))
+    slim = docs.select(rest.alias("_rest"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
     places = covered(docs, doc_id, text, lines)
-    joined = slim.join(places, slim["_doc"].eqNullSafe(places["doc"]), "left").select("_row", "_text", F.col("starts").alias("_starts"))
-    row = joined.schema["_row"].dataType.simpleString()
-    return joined.mapInArrow(_strip(lines), f"row {row}, kept_text string, n_lines long, n_removed long")
+    joined = slim.join(places, slim["_doc"].eqNullSafe(places["doc"]), "left").withColumn("_cut", _strip(F.col("_text"), F.col("starts"), lines))
+    kept = F.when(F.col("starts").isNull(), F.col("_text")).otherwise(F.col("_cut.kept"))
+    row = F.struct(*[kept.alias(c) if c == text else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+    return joined.select(row.alias("row"), kept.alias("kept_text"), "_cut.n_lines", "_cut.n_removed")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
