@@ -95,8 +95,8 @@ def connected(links: DataFrame, label: str = "links") -> DataFrame:
         )
         after = durable(small, label)
         # a fixed point when every node has one link and no centre is itself linked
-        tops = after.groupBy("u").agg(F.count("*").alias("n"))
-        done = tops.where("n > 1").isEmpty() and after.join(tops, after.v == tops.u, "left_semi").isEmpty()
+        tops = after.groupBy(F.col("u").alias("top")).agg(F.count("*").alias("n"))
+        done = tops.where("n > 1").isEmpty() and after.join(tops, F.col("v") == F.col("top"), "left_semi").isEmpty()
         edges = after
         if done:
             break

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, line_dedup, lm_score, packing, quality, url_filter
+from . import chat_format, decontaminate, license_scan, line_dedup, lm_score, minhash, packing, quality, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_minhash": minhash.op3_minhash,
         "op4_packing": packing.op4_packing,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_quality_rules": quality.op6_quality_rules,
