@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, line_dedup, lm_score, minhash, packing, quality, url_filter
+from . import chat_format, decontaminate, license_scan, line_dedup, lm_score, minhash, packing, quality, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_minhash": minhash.op3_minhash,
         "op4_packing": packing.op4_packing,
