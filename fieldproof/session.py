@@ -9,11 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch that a Python worker gets at once; Spark's own default suits larger workers.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, SPARK_DEFAULT = "8m", "67108864b"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers, once per application, as --py-files would."""
+    """Send this package to the Python workers, once per application, as --py-files would, and bound their batches
+    unless the session does."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH) == SPARK_DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         path = Path(tempfile.mkdtemp(prefix="fieldproof-")) / "fieldproof.zip"
