@@ -1,16 +1,19 @@
 """MinHash near-dedup by a signature-coordinate inverted join, with links confirmed on full shingle sets.
 
-A document is posted under its (coordinate, value) pairs. Two documents that share at least t of m coordinates
-must meet under one of their m - t + 1 rarest pairs (pigeonhole in an order that all documents share), so only
-that prefix is posted, and the longer lists are skipped: what they would add is counted on the signatures of the
-pairs that met. Pairs at or above the match threshold are confirmed on their whole sets.
+A document is posted under the (coordinate, value) pairs of the first m coordinates of its signature. Two
+documents that share at least t of them must meet under one of their m - t + 1 rarest pairs (pigeonhole in an order
+that all documents share), so only that prefix is posted, and the longer lists are skipped: what they would add is
+counted on the signatures of the pairs that met, over all coordinates. Pairs at or above the match threshold are
+confirmed on their whole sets.
 
 Documents with equal sets are one class, found by a digest of the set, so copies are never paired. Groups of near
-copies are not paired out either: a list is first swept by leaders (each document is tried with the leader that
-matches best), links are closed into components, and then only pairs across components are tried, the best ones
-first, until no pair that meets the threshold is left untried. What is tried last is everything, so no link
-between components is lost but by the signatures: m = 40, t = 17 miss a pair of similarity 0.8 with a probability
-of 4e-8.
+copies are not paired out either: a list is first swept by leaders, each a document that follows no leader before
+it, and a document follows all leaders that it matches. The followers of a leader meet with their whole sets, and
+only those that the leader's own links leave out look for links, by counting shared shingles; what leaves a task is
+a forest of links. Links are closed into components, and last, pairs across components that share a list but no
+leader are tried, the best ones first, until none that meets the threshold is left. So no link between components
+is lost but by the signatures: m = 40, t = 17 and 78 of all 128 coordinates (by four bits each)
+miss a pair of similarity 0.8 with a probability of 1e-7, and a more similar one less often.
 """
 
 from __future__ import annotations
@@ -29,16 +32,26 @@ from .textkit import LOWER, NOT_SPACE, PIECE, mix, pieces, run_hashes, words
 
 @dataclass(frozen=True)
 class Params:
-    """``shingle`` words a shingle; linked where 100 * intersection >= ``percent`` * union. ``sweep`` of a
-    document's prefix lists are swept by leaders; ``chunk`` rows of a list meet in a task at most."""
+    """``shingle`` words a shingle; linked where 100 * intersection >= ``percent`` * union. ``posted`` coordinates
+    have lists, of which ``meets`` must be shared; of all ``coordinates``, ``matches``. ``chunk`` rows of a list, or ``set_chunk`` whole sets, meet in a task at most,
+    and longer lists are dealt block by block. Up to ``broadcast`` ids are
+    sent to the executors to pick their texts; more are joined by a shuffle."""
 
     shingle: int = 5
     percent: int = 80
-    coordinates: int = 40
-    matches: int = 17
-    sweep: int = 8
+    posted: int = 40
+    meets: int = 17
+    coordinates: int = 128
+    matches: int = 78
     chunk: int = 4096
-    first_tries: int = 3
+    set_chunk: int = 1024
+    first_tries: int = 32
+    broadcast: int = 1_000_000
+
+    @property
+    def width(self) -> int:
+        """Bytes of a sketch: four bits of each coordinate."""
+        return self.coordinates // 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,19 +89,24 @@ def _multipliers(m: int) -> np.ndarray:
     return mix(np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """[row, coordinate] minima as uint32 (rows without a shingle: 0), and two digests of each row's set."""
+def signatures(sets: np.ndarray, bounds: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
+    """Each row's minima of the posted coordinates as uint32, a sketch with four bits of each coordinate (0 for rows
+    without a shingle), and two digests of its set."""
     n = np.diff(bounds)
     full = n > 0
     at = bounds[:-1][full]
-    out = np.zeros((len(n), m), np.uint32)
+    posted, nibbles = np.zeros((len(n), p.posted), "<u4"), np.zeros((len(n), p.coordinates), np.uint8)
     digests = np.zeros((2, len(n)), np.uint64)
     if len(at):
-        for j, a in enumerate(_multipliers(m)):
-            out[full, j] = np.minimum.reduceat(((sets * a) >> np.uint64(32)).astype(np.uint32), at)
-        for j, salt in enumerate(_multipliers(m + 2)[m:]):
+        factors = _multipliers(p.coordinates + 2)
+        for j, a in enumerate(factors[: p.coordinates]):
+            least = np.minimum.reduceat(((sets * a) >> np.uint64(32)).astype(np.uint32), at)
+            if j < p.posted:
+                posted[full, j] = least
+            nibbles[full, j] = mix(least.astype(np.uint64)) >> np.uint64(60)
+        for j, salt in enumerate(factors[p.coordinates :]):
             digests[j, full] = np.add.reduceat(mix(sets + salt), at)
-    return out, digests[0], digests[1]
+    return posted, nibbles[:, 0::2] | nibbles[:, 1::2] << 4, digests[0], digests[1]
 
 
 def _pieces(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -97,51 +115,79 @@ def _pieces(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarra
         yield a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.py_buffer(rows.tobytes())])
+
+
+SKETCHES = "id long, n long, d1 long, d2 long, sig binary, sketch binary"
+
+
 def _sketcher(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets, bounds in _pieces(batch, p.shingle):
-                sig, d1, d2 = signatures(sets, bounds, p.coordinates)
+                posted, sketch, d1, d2 = signatures(sets, bounds, p)
                 n = np.diff(bounds)
-                raw = pa.Array.from_buffers(
-                    pa.binary(), b - a, [None, pa.py_buffer(np.arange(b - a + 1, dtype=np.int32) * 4 * p.coordinates), pa.py_buffer(sig.tobytes())]
-                )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), raw],
-                    ["id", "n", "d1", "d2", "sig"],
+                    [batch.column("id").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _binary(posted), _binary(sketch)],
+                    ["id", "n", "d1", "d2", "sig", "sketch"],
                 )
 
     return run
 
 
 def _set_maker(p: Params):
+    """The whole sets of texts, with the column ``to`` as it came."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets, bounds in _pieces(batch, p.shingle):
                 blobs = [sets[bounds[i] : bounds[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(blobs, pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("to").slice(a, b - a), pa.array(blobs, pa.binary())], ["id", "to", "shingles"])
 
     return run
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
-    """A binary column of equally long values as a matrix of uint32."""
+    """A binary column of equally long values as a matrix of bytes."""
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4)
-    return np.frombuffer(data, np.uint32, len(column) * width, int(at[0])).reshape(-1, width)
+    return np.frombuffer(data, np.uint8, len(column) * width, int(at[0])).reshape(-1, width)
+
+
+def _matches(sketches: np.ndarray, one: int, rest: np.ndarray) -> np.ndarray:
+    """Coordinates in which the sketches of ``rest`` equal that of ``one``."""
+    differs = sketches[rest] ^ sketches[one]
+    return ((differs & 15) == 0).sum(axis=1) + ((differs >> 4) == 0).sum(axis=1)
+
+
+def _poster(p: Params):
+    """(id, key) for each posted coordinate; a key is the coordinate and its value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        high = np.arange(p.posted, dtype=np.int64) << 32
+        for batch in batches:
+            values = _fixed(batch.column("sig"), 4 * p.posted).view("<u4")
+            ids = np.repeat(batch.column("id").to_numpy(), p.posted)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((values.astype(np.int64) | high).ravel())], ["id", "key"])
+
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str], width: int) -> Iterator[dict[str, np.ndarray]]:
-    """The rows of each run of equal keys, across batches; ``sig`` comes as a matrix."""
+    """The rows of each run of equal keys, across batches; ``sketch`` of ``width`` bytes comes as a matrix."""
     held: dict[str, np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in {*keys, *columns} - {"sig"}}
-        now["sig"] = _fixed(batch.column("sig"), width)
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, *columns)}
+        if width:
+            now["sketch"] = _fixed(batch.column("sketch"), width)
         if held is not None:
             now = {c: np.concatenate([held[c], x]) for c, x in now.items()}
-        change = np.zeros(len(now["sig"]) - 1, bool)
+        change = np.zeros(len(now[keys[0]]) - 1, bool)
         for c in keys:
             change |= now[c][1:] != now[c][:-1]
         cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
@@ -170,18 +216,21 @@ def _sweeper(p: Params):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for g in _groups(batches, ["key", "chunk"], ["id", "n"], p.coordinates):
+        for g in _groups(batches, ["key", "chunk"], ["id", "n"], p.width):
             key, size = int(g["key"][0]), len(g["id"])
             order = np.argsort(g["id"], kind="stable")
-            ids, n, sig = g["id"][order], g["n"][order], g["sig"][order]
-            # the first of the rest leads all that match it; what is left goes on to the next leader
-            rest = np.arange(size)
-            while len(rest):
-                lead, rest = rest[0], rest[1:]
+            ids, n = g["id"][order], g["n"][order]
+            sketches = g["sketch"][order]
+            # the first that follows none leads; all that match it follow it, others' followers included
+            free, every = np.ones(size, bool), np.arange(size)
+            for lead in range(size):
+                if not free[lead]:
+                    continue
                 out.append((key, int(ids[lead]), None, False))
-                near = ((sig[rest] == sig[lead]).sum(axis=1) >= p.matches) & _close(n[rest], int(n[lead]), p.percent)
-                out += [(key, int(ids[lead]), int(x), False) for x in ids[rest[near]]]
-                rest = rest[~near]
+                near = (_matches(sketches, lead, every) >= p.matches) & _close(n, int(n[lead]), p.percent)
+                near[lead] = False
+                out += [(key, int(ids[lead]), x, False) for x in ids[near].tolist()]
+                free[near] = False
             if len(out) >= 1 << 14:
                 yield _pairs(out)
                 out = []
@@ -192,27 +241,32 @@ def _sweeper(p: Params):
 
 def _crosser(p: Params, tries: int):
     """Of each block of a list: pairs across components. Each document of side 0 gets, for each other component in
-    the block, the ``tries`` documents that match it best; ``more`` says that others are left."""
+    the block, the ``tries`` documents that match it best; ``more`` says that others are left. Documents that share a
+    leader have met already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for g in _groups(batches, ["key", "p", "q"], ["id", "n", "label", "side"], p.coordinates):
+        for g in _groups(batches, ["key", "p", "q"], ["id", "n", "label", "side", "leaders"], p.width):
             key = int(g["key"][0])
+            followed = [set(x) for x in g["leaders"]]
             here, there = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
             for i in here.tolist():
                 other = there[(g["label"][there] != g["label"][i]) & _close(g["n"][there], int(g["n"][i]), p.percent)]
                 if not len(other):
                     continue
-                match = (g["sig"][other] == g["sig"][i]).sum(axis=1)
+                match = _matches(g["sketch"], i, other)
                 good = match >= p.matches
                 other, match = other[good], match[good]
+                if not len(other):
+                    continue
+                apart = np.array([followed[i].isdisjoint(followed[j]) for j in other.tolist()], bool)
+                other, match = other[apart], match[apart]
                 if not len(other):
                     continue
                 order = np.lexsort((g["id"][other], -match, g["label"][other]))
                 other = other[order]
                 label = g["label"][other]
-                first = np.searchsorted(label, label)
-                rank = np.arange(len(other)) - first
+                rank = np.arange(len(other)) - np.searchsorted(label, label)
                 cut = bool((rank >= tries).any())
                 a = int(g["id"][i])
                 for b in g["id"][other[rank < tries]].tolist():
@@ -225,6 +279,80 @@ def _crosser(p: Params, tries: int):
     return run
 
 
+class _Postings:
+    """Shared shingles of any set with all of a block's, by counting over the block's postings."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.percent = percent
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.size)[order]
+
+    def linked(self, one: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.flat, one, "left"), np.searchsorted(self.flat, one, "right")
+        count = hi - lo
+        which = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        both = np.bincount(self.owner[which], minlength=len(self.size))
+        return np.flatnonzero(100 * both >= self.percent * (self.size + len(one) - both))
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _forester(p: Params):
+    """Of each block of a leader's followers, with whole sets: links that join all of the block that is linked. After
+    the leader's own links only documents that they left out look for more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["key", "block"], ["id", "shingles"], 0):
+            sets = [np.frombuffer(x, np.uint64) for x in g["shingles"]]
+            if len(sets) < 2:
+                continue
+            postings, ids = _Postings(sets, p.percent), g["id"]
+            root = np.arange(len(sets))
+            found = []
+            first = int(np.flatnonzero(ids == g["key"][0])[0])
+            hers = postings.linked(sets[first])
+            out = np.ones(len(sets), bool)
+            out[hers] = out[first] = False
+            for i in (first, *np.flatnonzero(out).tolist()):
+                for j in (hers if i == first else postings.linked(sets[i])).tolist():
+                    if root[i] != root[j]:
+                        found.append((int(ids[i]), int(ids[j])))
+                        root[root == root[j]] = root[i]
+            if found:
+                yield _links(found)
+
+    return run
+
+
+def _joiner(p: Params):
+    """Of each block of a leader's followers, with whole sets: links of the documents of side 0 to other components,
+    one to each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["key", "p", "q"], ["id", "label", "side", "shingles"], 0):
+            sets = [np.frombuffer(x, np.uint64) for x in g["shingles"]]
+            here, there = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
+            if not len(here) or not len(there):
+                continue
+            postings = _Postings([sets[j] for j in there], p.percent)
+            ids, labels = g["id"][there], g["label"][there]
+            found = []
+            for i in here.tolist():
+                linked = postings.linked(sets[i])
+                linked = linked[labels[linked] != g["label"][i]]
+                for j in np.unique(labels[linked], return_index=True)[1]:
+                    found.append((int(g["id"][i]), int(ids[linked[j]])))
+            if found:
+                yield _links(found)
+
+    return run
+
+
 def _confirmer(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,44 +372,70 @@ def _postings(reps: DataFrame, p: Params) -> DataFrame:
 
     Frequencies are counted by an aggregate that combines before its shuffle; keys that one document alone has
     are dropped by the join."""
-    m = p.coordinates
-    sig = F.hex("sig")
-    # a coordinate's four bytes as they lie, below its number
-    value = lambda j: F.conv(F.substring(sig, 8 * j + 1, 8), 16, 10).cast("long") + F.lit(j << 32)
-    items = reps.select("id", F.explode(F.array(*[value(j) for j in range(m)])).alias("key"))
+    items = reps.select("id", "sig").mapInArrow(_poster(p), "id long, key long")
     shared = items.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     lists = items.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("l"))
-    # a document has m keys; those not in its list are its own and come first in the prefix
-    room = F.lit(m - p.matches + 1) - (F.lit(m) - F.size("l"))
+    # those of a document's keys that are not in its list are its own and come first in the prefix
+    room = F.lit(p.posted - p.meets + 1) - (F.lit(p.posted) - F.size("l"))
     return lists.where(room > 0).select("id", F.slice("l", F.lit(1), room).getField("key").alias("keys"))
 
 
+def _banded(posted: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
+    """(id, key): prefix lists parted by size. Sets as similar as asked have sizes within a factor, so they lie in
+    the same band of that factor or in neighbouring ones; a document is listed under its band and the next."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / p.percent)) + 1e-9).cast("long")
+    each = posted.join(reps.select("id", "n"), "id").select("id", band.alias("band"), F.explode("keys").alias("key"))
+    return each.select("id", F.explode(F.array(F.col("key") * 256 + F.col("band"), F.col("key") * 256 + F.col("band") + 1)).alias("key"))
+
+
+def _sets(docs: DataFrame, to: DataFrame, p: Params) -> DataFrame:
+    """(id, to, shingles) of the documents in ``to`` (id, to): their texts are picked and made into whole sets. A
+    bounded number of ids is sent to the executors; more are joined by a shuffle."""
+    few = to.count() <= p.broadcast
+    return docs.join(F.broadcast(to) if few else to, "id").select("id", "to", "text").mapInArrow(_set_maker(p), f"id long, to {to.schema['to'].dataType.simpleString()}, shingles binary")
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) that are as similar as asked, on whole sets of the documents that stand in some pair."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    # equal ids with several texts: every text is compared
-    texts = docs.join(ids, "id", "left_semi").distinct()
-    sets = durable(texts.mapInArrow(_set_maker(p), "id long, shingles binary"), "sets")
-    a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmer(p), "a long, b long").distinct()
+    """The pairs (a, b) that are as similar as asked, on whole sets. A pair's key is its own hash, under which both
+    sets meet."""
+    ends = pairs.select(F.explode(F.array(F.col("a"), F.col("b"))).alias("id"), F.struct("a", "b").alias("pair"))
+    to = durable(ends.groupBy("id").agg(F.collect_list("pair").alias("to")), "ends")
+    sets = _sets(docs, to, p).select("id", F.explode("to").alias("pair"), "shingles").select("pair.a", "pair.b", "id", "shingles")
+    x = sets.where("id = a").select("a", "b", F.col("shingles").alias("sa"))
+    y = sets.where("id = b").select("a", "b", F.col("shingles").alias("sb"))
+    return x.join(y, ["a", "b"]).mapInArrow(_confirmer(p), "a long, b long").distinct()
+
+
+def _across(marked: DataFrame, chunk: int, *more: str) -> DataFrame:
+    """(key, p, q, side, id, label, …): of lists (key, id, label, …) with several labels, the documents of other labels
+    than the list's most frequent one (side 0), each with all of the list (side 1), in blocks of ``chunk`` rows."""
+    by_label = marked.groupBy("key", "label").agg(F.count("*").alias("c"))
+    mixed = by_label.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda c: F.ceil(c / F.lit(chunk)).cast("long")
+    grid = mixed.select("key", F.col("top.label").alias("main"), blocks(F.col("all") - F.col("top.c")).alias("np"), blocks(F.col("all")).alias("nq"))
+    here = marked.join(grid, "key").withColumn("h", F.xxhash64("id"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    minor = here.where("label <> main").withColumns({"p": F.pmod("h", F.col("np")), "side": F.lit(0)}).withColumn("q", each("nq"))
+    whole = here.withColumns({"q": F.pmod("h", F.col("nq")), "side": F.lit(1)}).withColumn("p", each("np"))
+    cols = ["key", "p", "q", "side", "id", "label", *more]
+    return minor.select(*cols).union(whole.select(*cols))
 
 
 def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     """(a, b): confirmed links between representatives that join all that is linked. ``docs`` (id, text),
-    ``reps`` (id, n, sig)."""
+    ``reps`` (id, n, sig, sketch)."""
     n_parts = partitions(docs)
-    posted = durable(_postings(reps, p), "postings")
-    rows = lambda df, *more: df.join(reps, "id").select("key", "id", "n", "sig", *more)
+    slim = reps.select("id", "n", "sketch")
+    posted = durable(_banded(_postings(reps, p), reps, p), "postings")
 
     # sweep: chunks of long lists each find leaders, and leaders of one list meet again in fewer chunks
-    swept = None
-    lists = posted.select("id", F.explode(F.slice("keys", 1, p.sweep)).alias("key"))
+    swept, lists = None, posted
     while True:
         sizes = lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
         chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / F.lit(p.chunk)).cast("long"))
-        dealt = rows(lists.join(sizes, "key").withColumn("chunk", chunk), "chunk", "c")
+        dealt = lists.join(sizes, "key").withColumn("chunk", chunk).join(slim, "id").select("key", "chunk", "id", "n", "sketch")
         held = dealt.repartition(n_parts, "key", "chunk").sortWithinPartitions("key", "chunk", "id")
-        found = durable(held.select("key", "chunk", "id", "n", "sig").mapInArrow(_sweeper(p), PAIRS), "swept")
+        found = durable(held.mapInArrow(_sweeper(p), PAIRS), "swept")
         pairs = found.where("b is not null").select("a", "b")
         swept = pairs if swept is None else swept.union(pairs)
         big = sizes.where(F.col("c") > p.chunk)
@@ -292,24 +446,37 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
             break
         lists = durable(lead.select("id", "key"), "leaders")
     tried = durable(swept.distinct(), "tried")
-    good = durable(_confirmed(docs, tried, p), "links")
 
-    tries = p.first_tries
-    lists = posted.select("id", F.explode("keys").alias("key"))
+    # the followers of a leader meet with their sets; blocks of one leader hold that leader, and meet each other after
+    follows = durable(tried.select(F.col("a").alias("key"), F.col("b").alias("id")).union(tried.select(F.col("a").alias("key"), F.col("a").alias("id")).distinct()), "follows")
+    many = follows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(p.set_chunk)).cast("long").alias("blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    block = F.when(F.col("id") == F.col("key"), every).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    placed = follows.join(many, "key").withColumn("block", F.explode(block))
+    to = durable(placed.groupBy("id").agg(F.collect_list(F.struct("key", "block")).alias("to")), "places")
+    dealt = _sets(docs, to, p).select("id", F.explode("to").alias("t"), "shingles").select("t.key", "t.block", "id", "shingles")
+    held = dealt.repartition(n_parts, "key", "block").sortWithinPartitions("key", "block")
+    good = durable(held.mapInArrow(_forester(p), "a long, b long").distinct(), "links")
+    large = durable(follows.join(many.where("blocks > 1").select("key"), "key", "left_semi"), "large")
+    if not large.isEmpty():
+        named = connected(good).withColumnRenamed("component", "label")
+        marked = durable(large.join(named, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "marked")
+        to = durable(_across(marked, p.set_chunk).groupBy("id").agg(F.collect_list(F.struct("key", "p", "q", "side", "label")).alias("to")), "places")
+        rows = _sets(docs, to, p).select("id", F.explode("to").alias("t"), "shingles").select("t.*", "id", "shingles")
+        whole = rows.repartition(n_parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+        met = whole.select("key", "p", "q", "id", "label", "side", "shingles").mapInArrow(_joiner(p), "a long, b long")
+        good = durable(good.union(met).distinct(), "links")
+
+    # what shares a list but no leader, across components
+    leaders = follows.groupBy("id").agg(F.collect_set("key").alias("leaders"))
+    slim = durable(slim.join(leaders, "id", "left").withColumn("leaders", F.coalesce("leaders", F.array().cast("array<bigint>"))), "slim")
+    tries, lists = p.first_tries, posted
     while True:
         named = connected(good).withColumnRenamed("component", "label")
         marked = durable(lists.join(named, "id", "left").select("id", "key", F.coalesce("label", "id").alias("label")), "marked")
-        by_label = marked.groupBy("key", "label").agg(F.count("*").alias("c"))
-        mixed = by_label.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("k")).where("k > 1")
-        blocks = lambda c: F.ceil(c / F.lit(p.chunk)).cast("long")
-        grid = mixed.select("key", F.col("top.label").alias("main"), blocks(F.col("all") - F.col("top.c")).alias("np"), blocks(F.col("all")).alias("nq"))
-        here = rows(marked.join(grid, "key"), "label", "main", "np", "nq").withColumn("h", F.xxhash64("id"))
-        # documents of other components than the list's main one meet all of the list, block by block
-        minor = here.where("label <> main").withColumns({"p": F.pmod("h", F.col("np")), "side": F.lit(0)}).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
-        whole = here.withColumns({"q": F.pmod("h", F.col("nq")), "side": F.lit(1)}).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("np") - 1)))
-        cols = ["key", "p", "q", "side", "id", "n", "label", "sig"]
-        dealt = minor.select(*cols).union(whole.select(*cols)).repartition(n_parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
-        found = durable(dealt.mapInArrow(_crosser(p, tries), PAIRS), "crossed")
+        dealt = _across(marked, p.chunk).join(slim, "id").repartition(n_parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+        rows = dealt.select("key", "p", "q", "id", "n", "label", "side", "leaders", "sketch")
+        found = durable(rows.mapInArrow(_crosser(p, tries), PAIRS), "crossed")
         new = durable(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new")
         cut = found.where("more").select("key").distinct()
         if not new.isEmpty():
@@ -319,7 +486,7 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
             return good
         # lists whose documents have more to try get another round with more tries
         lists = durable(lists.join(cut, "key", "left_semi"), "lists")
-        tries *= 16
+        tries *= 64
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: Params = Params()) -> DataFrame:
@@ -332,13 +499,13 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", para
     other columns are ignored."""
     p = params
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    sketched = durable(slim.mapInArrow(_sketcher(p), "id long, n long, d1 long, d2 long, sig binary"), "sketches")
+    sketched = durable(slim.mapInArrow(_sketcher(p), SKETCHES), "sketches")
     digest = ["n", "d1", "d2"]
     classes = durable(sketched.where("n > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     # sets of fewer than four shingles reach 0.8 with no other set
     least = -(-p.percent // (100 - p.percent)) if p.percent < 100 else 1 << 62
     firsts = classes.where(F.col("n") >= least).select(*digest, F.col("rep").alias("id"))
-    reps = durable(sketched.join(firsts, [*digest, "id"]).select("id", "n", "sig").distinct(), "reps")
+    reps = durable(sketched.join(firsts, [*digest, "id"]).select("id", "n", "sig", "sketch").distinct(), "reps")
     named = slim.where("id is not null")
     found = links(named, reps, p)
     # an id with several texts belongs to several classes, which it joins
