@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The guards' messages, in the order in which they are tried.
@@ -19,18 +19,23 @@ FIELDS = "Different scored fields"
 def guard(runs: DataFrame) -> DataFrame:
     """One row with ``reason``: the first guard that fails, or null. ``runs``: pos, mode, complete, fingerprint,
     selected_ids, report_version, source_sha256. Runs are tried in their order, each against the first."""
-    base = F.min(F.struct("pos", "fingerprint", "selected_ids", "report_version", "source_sha256"))
-    first = runs.agg(base.alias("base"), F.count("*").alias("n"))
-    each = runs.crossJoin(F.broadcast(first))  # one row
-    reason = (
-        F.when((F.col("mode") != "live") | ~F.coalesce("complete", F.lit(False)) | F.col("mode").isNull(), NOT_LIVE)
-        .when(~F.col("fingerprint").eqNullSafe(F.col("base.fingerprint")), FINGERPRINTS)
-        .when(~F.col("selected_ids").eqNullSafe(F.col("base.selected_ids")), SELECTIONS)
-        .when(~F.col("report_version").eqNullSafe(F.col("base.report_version")), VERSIONS)
-        .when(~F.col("source_sha256").eqNullSafe(F.col("base.source_sha256")), SOURCES)
-    )
-    found = each.select("pos", reason.alias("reason")).agg(F.count("*").alias("n"), F.min(F.when(F.col("reason").isNotNull(), F.struct("pos", "reason"))).alias("f"))
-    return found.select(F.when(F.col("n") < 2, TOO_FEW).otherwise(F.col("f.reason")).alias("reason"))
+    columns = ("pos", "mode", "complete", "fingerprint", "selected_ids", "report_version", "source_sha256")
+    # the runs that are compared are few, so one row holds them all
+    listed = runs.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("r"))
+
+    def reason(x: Column) -> Column:
+        first = F.get("r", F.lit(0))
+        differs = lambda c: ~x[c].eqNullSafe(first[c])
+        return (
+            F.when(~F.coalesce((x["mode"] == "live") & x["complete"], F.lit(False)), NOT_LIVE)
+            .when(differs("fingerprint"), FINGERPRINTS)
+            .when(differs("selected_ids"), SELECTIONS)
+            .when(differs("report_version"), VERSIONS)
+            .when(differs("source_sha256"), SOURCES)
+        )
+
+    reasons = F.filter(F.transform("r", reason), lambda x: x.isNotNull())
+    return listed.select(F.when(F.size("r") < 2, TOO_FEW).otherwise(F.get(reasons, F.lit(0))).alias("reason"))
 
 
 def result_problems(results: DataFrame, selected: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def latency(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def relative(runs: DataFrame, base: str, other: str) -> DataFrame:
     """Differences of two runs of (run_id, field_accuracy, mean_seconds, memory): points, and shares of the base."""
-    a, b = runs.where(F.col("run_id") == base).alias("a"), runs.where(F.col("run_id") == other).alias("b")
-    change = lambda c: F.try_divide(F.col(f"b.{c}") - F.col(f"a.{c}"), F.col(f"a.{c}"))
-    both = a.crossJoin(F.broadcast(b))  # one row each
-    return both.select((F.col("b.field_accuracy") - F.col("a.field_accuracy")).alias("accuracy_points"), change("mean_seconds").alias("seconds_change"), change("memory").alias("memory_change"))
+    of = lambda run, c: F.max(F.when(F.col("run_id") == run, F.col(c)))
+    change = lambda c: F.try_divide(of(other, c) - of(base, c), of(base, c))
+    points = of(other, "field_accuracy") - of(base, "field_accuracy")
+    return runs.agg(points.alias("accuracy_points"), change("mean_seconds").alias("seconds_change"), change("memory").alias("memory_change"))

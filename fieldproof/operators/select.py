@@ -38,8 +38,10 @@ def first_failures(results: DataFrame, n: int = 5) -> DataFrame:
 
 def arms(documents: DataFrame, selections: dict[str, tuple[int, int | None]], names: list[str]) -> DataFrame:
     """(arm, phase, …): each selection of documents (with doc_pos) for each arm."""
-    spark = documents.sparkSession
-    rows = [(arm, phase, low, None if n is None else low + n) for phase, (low, n) in selections.items() for arm in names]
-    plan = spark.createDataFrame(rows, "arm string, phase string, low long, high long")
-    inside = (F.col("doc_pos") >= F.col("low")) & (F.col("high").isNull() | (F.col("doc_pos") < F.col("high")))
-    return documents.join(F.broadcast(plan), inside).drop("low", "high")
+    wanted = [
+        F.when((F.col("doc_pos") >= low) & (F.col("doc_pos") < (1 << 62 if n is None else low + n)), F.struct(F.lit(arm).alias("arm"), F.lit(phase).alias("phase")))
+        for phase, (low, n) in selections.items()
+        for arm in names
+    ]
+    chosen = F.explode(F.filter(F.array(*wanted), lambda x: x.isNotNull())).alias("_arm")
+    return documents.select("*", chosen).select("_arm.arm", "_arm.phase", *documents.columns)
