@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Phases of an experiment as (offset, limit), and how many documents of a split a run takes.
+PHASES = {"pilot": (0, 20), "holdout": (20, 80)}
+SPLIT_LIMITS = {"validation": 20, "test": 100}
+
+
 def offset_limit(rows: DataFrame, offset: int = 0, limit: int | None = None, order: str = "line_no") -> DataFrame:
     """Rows from ``offset`` on, ``limit`` of them at most, in file order."""
     out = rows.orderBy(order).offset(offset)

@@ -123,6 +123,17 @@ def untexted_amounts(rules: DataFrame) -> DataFrame:
     return rules.where(F.col("field").isin(*AMOUNT_FIELDS) & ~F.col("rule_text").eqNullSafe(F.lit(TEXT_AMOUNT)))
 
 
+def precondition(rows: DataFrame, examples: int, constant: tuple[str, ...] = ("question", "field_schema")) -> DataFrame:
+    """One row with ``reason``: why a dataset is not the full one of one task (its size, or a column that should be
+    the same in all rows), or null. Columns are compared as text."""
+    text = lambda c: F.to_json(c) if rows.schema[c].dataType.typeName() == "variant" else F.col(c).cast("string")
+    seen = rows.agg(F.count("*").alias("n"), *[(F.coalesce(F.min(text(c)).eqNullSafe(F.max(text(c))), F.lit(True)) & (F.count(c).isin(0) | (F.count(c) == F.count("*")))).alias(f"c_{c}") for c in constant])
+    reason = F.when(F.col("n") != examples, F.lit("not the full dataset"))
+    for c in constant:
+        reason = reason.when(~F.col(f"c_{c}"), F.lit(f"more than one {c}"))
+    return seen.select(reason.alias("reason"))
+
+
 def manifest_problems(files: DataFrame) -> DataFrame:
     """(file, reason) of an integrity manifest's entries (revision, repository, file, checksum)."""
     path = F.col("file")

@@ -275,7 +275,7 @@ def pilot_holdout_split(spark, d):
     docs = S.offset_limit(X.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), 0, 100, "id")
     # the first hundred documents, numbered
     docs = docs.agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.posexplode("ids").alias("doc_pos", "id"))
-    plan = S.arms(docs, {"pilot": (0, 20), "holdout": (20, 80)}, ["baseline", "candidate"])
+    plan = S.arms(docs, S.PHASES, ["baseline", "candidate"])
     run = lambda name, **o: _scored(spark, d, **o).select(F.lit(name).alias("arm"), "id", "correct")
     runs = run("baseline").union(run("candidate", a=11, b=5, n=23))
     return runs.join(F.broadcast(plan), ["arm", "id"]).groupBy("arm", "phase").agg(F.count_if("correct").alias("correct"), F.count("*").alias("total"))
@@ -494,6 +494,24 @@ def data_urls(spark, d):
     return X.table(spark, d, "customer").select("c_custkey", T.data_url(F.col("c_name").cast("binary"), name).alias("url"))
 
 
+@query(
+    """SELECT 'all' AS part, CASE WHEN count(*) <> 25 THEN 'not the full dataset' WHEN count(DISTINCT n_regionkey) <> 1 THEN 'more than one n_regionkey' END AS reason FROM nation
+UNION ALL SELECT 'one', CASE WHEN count(*) <> 5 THEN 'not the full dataset' WHEN count(DISTINCT n_regionkey) <> 1 THEN 'more than one n_regionkey' END FROM nation WHERE n_regionkey = 1"""
+)
+def dataset_precondition(spark, d):
+    n = X.table(spark, d, "nation")
+    whole = V.precondition(n, 25, ("n_regionkey",)).select(F.lit("all").alias("part"), "reason")
+    return whole.union(V.precondition(n.where("n_regionkey = 1"), 5, ("n_regionkey",)).select(F.lit("one"), "reason"))
+
+
+@query(
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'ValueError: Prediction must contain a fields object' END AS error FROM nation"""
+)
+def prediction_shape(spark, d):
+    text = F.expr("""if(n_nationkey % 4 = 0, '{"fields": [1]}', '{"fields": {}}')""")
+    return X.table(spark, d, "nation").select("n_nationkey", V.prediction_problem(F.parse_json(text)).alias("error"))
+
+
 @query()
 def mock_replay_counts(spark, d):
     """An analyzer over documents without labels: each answers from its question, every fifth fails."""
