@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free, table
+
 SPACE = "[\\x20\\x09-\\x0D]"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -93,15 +95,13 @@ def _repeated(words: Column, windows: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measured columns of every whole text. A null text counts as empty."""
-    clash = {"_words", "_windows", "_lines"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
+    at_words, at_windows, at_lines = (free(x, docs.columns) for x in ("_words", "_windows", "_lines"))
     value = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(value, F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
-    hashed = F.transform(F.col("_words"), lambda w: F.xxhash64(w))
+    hashed = F.transform(F.col(at_words), lambda w: F.xxhash64(w))
     windows = F.when(
-        F.size("_words") >= WINDOW,
+        F.size(at_words) >= WINDOW,
         F.transform(
             F.array(hashed),
             lambda h: F.transform(
@@ -111,21 +111,21 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     ).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split(value, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     return (
-        docs.withColumn("_words", words)
-        .withColumns({"_windows": windows, "_lines": lines})
+        docs.withColumn(at_words, words)
+        .withColumns({at_windows: windows, at_lines: lines})
         .withColumns(
             {
-                "n_words": F.size("_words").cast("long"),
+                "n_words": F.size(at_words).cast("long"),
                 "word_chars": _removed(value, SPACES).cast("long"),
                 "n_symbols": (F.char_length(value) - _removed(value, SYMBOLS)).cast("long"),
                 "n_bangs": (F.char_length(value) - _removed(value, "!")).cast("long"),
-                "n_lines": F.size("_lines").cast("long"),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-                "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
-                "n_repeat_words": _repeated(F.col("_words"), F.col("_windows")),
+                "n_lines": F.size(at_lines).cast("long"),
+                "n_dup_lines": (F.size(at_lines) - F.size(F.array_distinct(at_lines))).cast("long"),
+                "n_stop_words": F.size(F.filter(at_words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
+                "n_repeat_words": _repeated(F.col(at_words), F.col(at_windows)),
             }
         )
-        .drop("_words", "_windows", "_lines")
+        .drop(at_words, at_windows, at_lines)
     )
 
 
@@ -150,12 +150,12 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``, clashing names included."""
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return judge(marked, "text", rules).where("kept").select("row.*")
+    # a column that is not deterministic keeps the filter above the measures; pushed below, it would compute each again
+    judged = judge(marked, "text", rules).withColumn("_place", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_place") >= 0)).select("row.*")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free, table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 INLINE_RULES = 256
@@ -116,7 +118,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + PATTERN_RULES
     A null URL, or one without ``://``, has an empty host and path and no rule. Each row is judged by its URL
     alone, so repeated rows get equal verdicts; equally long rules tie-break by text; columns of ``pages`` that
     carry the name of a result are replaced; an empty table gives an empty result."""
-    pages = pages.drop(*({"host", "path", "rule", "pattern", "verdict", "_found"} - {url}))
+    pages = pages.drop(*({"host", "path", "rule", "pattern", "verdict"} - {url}))
+    at_found, at_host, at_pattern, at_url = (free(x, pages.columns) for x in ("_found", "_host", "_pattern", "_url"))
     by_token = index(pages, rules, url)
     link = F.coalesce(F.col(url), F.lit(""))
     parsed = pages.withColumns({"host": _lower(F.regexp_extract(link, PARTS, 1)), "path": F.regexp_extract(link, PARTS, 2)})
@@ -129,38 +132,36 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + PATTERN_RULES
             tokens = F.array_union(_tokens(F.col(url)), F.array(F.lit("")))
             found = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.element_at(table, t), none)))
         rest = _rest(F.col(url))
-        hits = parsed.withColumn("_found", F.filter(found, lambda r: _fits(F.col("host"), F.col("path"), rest, r)))
+        hits = parsed.withColumn(at_found, F.filter(found, lambda r: _fits(F.col("host"), F.col("path"), rest, r)))
     else:
         spark = pages.sparkSession
         rows = [(t, len(r.rule), r.rule, r.verdict, r.kind, r.regex) for t, rs in by_token.items() for r in rs]
         listed = spark.createDataFrame(rows, "token string, size int, rule string, verdict string, kind string, regex string")
-        links = pages.select(F.col(url).alias("_url")).where("_url is not null").distinct()
-        text = F.col("_url")
+        links = pages.select(F.col(url).alias(at_url)).where(F.col(at_url).isNotNull()).distinct()
+        text = F.col(at_url)
         tokens = F.array_union(_tokens(text), F.array(F.lit("")))
-        each = links.select("_url", F.explode(tokens).alias("token")).join(listed, "token")
+        each = links.select(at_url, F.explode(tokens).alias("token")).join(listed, "token")
         host, path = _lower(F.regexp_extract(text, PARTS, 1)), F.regexp_extract(text, PARTS, 2)
         fitting = each.where(_fits(host, path, _rest(text), {k: F.col(k) for k in ("kind", "regex")}))
         # a URL meets each rule once at most, so its list is no longer than the rules
-        lists = fitting.groupBy("_url").agg(F.collect_list(F.struct("size", "rule", "verdict", "kind", "regex")).alias("_found"))
-        hits = parsed.join(lists, parsed[url] == lists["_url"], "left").drop("_url").withColumn("_found", F.coalesce("_found", none))
-    host_hit = F.array_max(F.filter("_found", lambda r: r["kind"] == HOST))
-    pattern_hit = F.array_max(F.filter("_found", lambda r: r["kind"] == PATTERN))
+        lists = fitting.groupBy(at_url).agg(F.collect_list(F.struct("size", "rule", "verdict", "kind", "regex")).alias(at_found))
+        hits = parsed.join(lists, parsed[url] == lists[at_url], "left").drop(at_url).withColumn(at_found, F.coalesce(at_found, none))
+    host_hit = F.array_max(F.filter(at_found, lambda r: r["kind"] == HOST))
+    pattern_hit = F.array_max(F.filter(at_found, lambda r: r["kind"] == PATTERN))
     return (
-        hits.withColumns({"_host": host_hit, "_pattern": pattern_hit})
+        hits.withColumns({at_host: host_hit, at_pattern: pattern_hit})
         .withColumns(
             {
-                "rule": F.col("_host.rule"),
-                "pattern": F.when(F.col("_host").isNull(), F.col("_pattern.rule")),
-                "verdict": F.coalesce("_host.verdict", "_pattern.verdict", F.lit("allow")),
+                "rule": F.col(f"{at_host}.rule"),
+                "pattern": F.when(F.col(at_host).isNull(), F.col(f"{at_pattern}.rule")),
+                "verdict": F.coalesce(f"{at_host}.verdict", f"{at_pattern}.verdict", F.lit("allow")),
             }
         )
-        .drop("_found", "_host", "_pattern")
+        .drop(at_found, at_host, at_pattern)
     )
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 

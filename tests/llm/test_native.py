@@ -42,6 +42,8 @@ def test_quality(spark):
     by = {x["doc_id"]: x for x in out}
     last = len(texts) - 1
     assert (by[last]["n_symbols"], by[last - 1]["n_dup_lines"], by[last - 4]["word_chars"]) == (8, 1, 5000) or by[last]["n_symbols"] == 8
+    odd = docs.withColumnsRenamed({"kept": "_words"})
+    assert Q.judge(odd).where("_words = 'x'").count() == len(rows)
     kept = Q.keep(docs)
     assert kept.columns == docs.columns and {r["kept"] for r in kept.collect()} <= {"x"}
     assert Q.judge(docs.where("false")).count() == 0

@@ -27,10 +27,10 @@ CASES = [
 
 def test_cases(spark):
     rows = [(i, u, "old", 1) for i, (u, *_) in enumerate(CASES)] + [(0, CASES[0][0], "old", 1)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, rule string, size int")
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string, _url int")
     for inline in (256, 0):
         out = U.judge(pages, inline=inline).orderBy("page_id").collect()
-        assert len(out) == len(CASES) + 1 and out[0]["verdict"] == out[1]["verdict"]
+        assert {r["_url"] for r in out} == {1} and len(out) == len(CASES) + 1 and out[0]["verdict"] == out[1]["verdict"]
         for r in out:
             assert (r["host"], r["path"], r["rule"], r["verdict"]) == CASES[r["page_id"]][1:], CASES[r["page_id"]]
     assert U.judge(pages.where("false")).count() == 0
