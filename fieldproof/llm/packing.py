@@ -9,6 +9,7 @@ sequences whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -20,10 +21,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import table, utf8
+from .textkit import LOWER, pieces, run_hashes
 
 END = 2
-#: Words whose ids a worker keeps; words beyond it are encoded each time.
+#: Words whose ids a worker keeps; beyond it, it starts anew.
 CACHE_WORDS = 700_000
 #: Tokens that a task gathers before it packs them.
 BLOCK_TOKENS = 1 << 20
@@ -43,7 +45,194 @@ class Limits:
 #: Where this finds nothing, lower() does to the whole text what the tokenizer does to it.
 EXOTIC = re.compile("[^\x00-\u024f]")
 #: Marks that end a word; the tokenizer parts them from the letter before them.
-TAIL = re.compile("(?<=[a-zß-öø-ÿ])([.,!;:?]+)(?!\\S)")
+TAIL = re.compile("([.,!;:?](?<=[a-zß-öø-ÿ].)[.,!;:?]*)(?!\\S)")
+
+
+class Merger:
+    """Byte-pair merges of many words at once, as the tokenizer's file lists them: the pair of least rank first.
+
+    Words of equal length are rows of a matrix of symbols. Each step merges the best pair of every row, and only
+    the two pairs that a merge makes anew are looked up again."""
+
+    NONE = np.int64(1 << 40)
+
+    def __init__(self, model: dict):
+        vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        signs = dict(zip(plain, map(chr, plain), strict=True))
+        signs |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in signs)}
+        end = model["end_of_word_suffix"]
+        self.inner = np.array([vocabulary[signs[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocabulary[signs[b] + end] for b in range(256)], np.int64)
+        self.made = np.array([vocabulary[x + y] for x, y in merges], np.int64)
+        keys = np.array([vocabulary[x] << 16 | vocabulary[y] for x, y in merges], np.int64)
+        order = np.argsort(keys, kind="stable")
+        # open addressing; most look-ups end at their first slot
+        self.bits = 18
+        self.slots, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.NONE)
+        for k, r in zip(keys[order].tolist(), order.tolist(), strict=True):
+            at = int(self._slot(np.array([k]))[0])
+            while self.slots[at] >= 0 and self.slots[at] != k:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            if self.slots[at] < 0:
+                self.slots[at], self.ranks[at] = k, r
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; NONE where there is no merge or no symbol."""
+        keys = np.where((left >= 0) & (right >= 0), left << 16 | right, np.int64(-2))
+        at = self._slot(keys)
+        out = np.where(self.slots[at] == keys, self.ranks[at], self.NONE)
+        more = np.flatnonzero(((self.slots[at] != keys) & (self.slots[at] >= 0) & (keys >= 0)).ravel())
+        while len(more):
+            where = (at.ravel()[more] + 1) & ((1 << self.bits) - 1)
+            at.ravel()[more] = where
+            want = keys.ravel()[more]
+            hit = self.slots[where] == want
+            out.ravel()[more[hit]] = self.ranks[where[hit]]
+            more = more[~hit & (self.slots[where] >= 0)]
+        return out
+
+    def rows(self, data: np.ndarray) -> np.ndarray:
+        """Ids of words of equal length (rows of bytes), -1 after a word's last."""
+        n, width = data.shape
+        ids = np.full((n, width + 1), -1, np.int64)
+        ids[:, : width - 1], ids[:, width - 1] = self.inner[data[:, :-1]], self.last[data[:, -1]]
+        ranks = np.full((n, width + 1), self.NONE)
+        if width > 1:
+            ranks[:, : width - 1] = self.rank(ids[:, : width - 1], ids[:, 1:width])
+        columns = np.arange(width)
+        live = np.arange(n)
+        while len(live):
+            r = ranks[live]
+            at = r.argmin(axis=1)
+            best = r[np.arange(len(live)), at]
+            go = best < self.NONE
+            live, at, best, r = live[go], at[go], best[go], r[go]
+            if not len(live):
+                break
+            k = np.arange(len(live))
+            w = ids[live]
+            w[k, at] = self.made[best]
+            beyond = columns + (columns > at[:, None])
+            w[:, :-1] = np.take_along_axis(w, beyond, 1)
+            r[:, :-1] = np.take_along_axis(r, columns + (columns >= at[:, None]), 1)
+            r[k, at] = self.rank(w[k, at], w[k, at + 1])
+            has = at > 0
+            r[k[has], at[has] - 1] = self.rank(w[k[has], at[has] - 1], w[k[has], at[has]])
+            ids[live], ranks[live] = w, r
+        return ids
+
+    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each word and its ids, two bytes each."""
+        by_size: dict[int, list[bytes]] = {}
+        for w in words:
+            by_size.setdefault(len(w), []).append(w)
+        for size, some in by_size.items():
+            ids = self.rows(np.frombuffer(b"".join(some), np.uint8).reshape(-1, size))
+            starts = np.arange(len(some)) * 2 * (size + 1)
+            ends = starts + 2 * (ids >= 0).sum(axis=1)
+            raw = ids.astype("<u2").tobytes()
+            yield from zip(some, map(raw.__getitem__, map(slice, starts.tolist(), ends.tolist())), strict=True)
+
+
+#: Classes of bytes of ordinary Latin texts: white space, letters, digits, marks; all else is odd. An apostrophe is
+#: odd, as the tokenizer has pieces like 's, and so is <, which begins its special tokens.
+BLANK, LETTER, DIGIT, MARK, ODD = range(5)
+CLASS = np.full(256, ODD, np.uint8)
+CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = BLANK
+CLASS[0x21:0x7F] = MARK
+CLASS[0x30:0x3A] = DIGIT
+CLASS[0x41:0x5B] = CLASS[0x61:0x7B] = CLASS[0x80:0xC0] = CLASS[0xC3] = LETTER
+CLASS[[0x27, 0x3C]] = ODD
+
+
+class Pieces:
+    """Ids of the pieces of ordinary Latin texts, looked up by the 64-bit hash of a piece's bytes in an open-addressed
+    table of numpy arrays."""
+
+    BITS = 21
+
+    def __init__(self, merger: Merger, ids_of):
+        self.merger, self.ids_of = merger, ids_of
+        self.keys, self.index = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
+        self.starts, self.flat, self.size = np.zeros(1, np.int64), np.empty(0, np.uint16), 0
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each hash's entry or -1, and the slot at which the search ended."""
+        at = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = self.index[at].copy()
+        more = np.flatnonzero((out >= 0) & (self.keys[at] != hashes))
+        while len(more):
+            at[more] = (at[more] + 1) & ((1 << self.BITS) - 1)
+            out[more] = self.index[at[more]]
+            more = more[(out[more] >= 0) & (self.keys[at[more]] != hashes[more])]
+        return out, at
+
+    def _add(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        first = self.size
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        self.flat = np.concatenate([self.flat, flat])
+        self.size += len(hashes)
+        todo = np.arange(len(hashes))
+        while len(todo):
+            _, at = self._find(hashes[todo])
+            # of those that end at one slot, one is placed at a time
+            _, one = np.unique(at, return_index=True)
+            self.keys[at[one]], self.index[at[one]] = hashes[todo[one]], first + todo[one]
+            todo = np.delete(todo, one)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray | None]:
+        """Ids of each row, then the end id; None for a row that is not ordinary."""
+        kind = CLASS[data]
+        text = LOWER[data]
+        after = np.zeros(len(data), bool)
+        after[1:] = data[:-1] == 0xC3
+        high = after & (data >= 0x80) & (data <= 0x9E)
+        text[high] += 0x20
+        kind[after & ((data == 0x97) | (data == 0xB7))] = ODD
+        odd = np.add.reduceat(np.append(kind == ODD, False).astype(np.int64), offsets)[:-1] if len(offsets) > 1 else np.empty(0, np.int64)
+        odd[np.diff(offsets) == 0] = 0
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        edge[offsets] = True
+        bounds = np.flatnonzero(edge)
+        full = kind[bounds[:-1]] != BLANK if len(data) else np.empty(0, bool)
+        starts, ends = bounds[:-1][full], bounds[1:][full]
+        words = np.diff(np.searchsorted(starts, offsets))
+        hashes = run_hashes(text, starts, ends)
+        entry, _ = self._find(hashes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            fresh, where = np.unique(hashes[new], return_index=True)
+            if self.size + len(fresh) > CACHE_WORDS:
+                self.__init__(self.merger, self.ids_of)
+                return self.encode(data, offsets)
+            place = new[where]
+            spelled = [text[a:b].tobytes() for a, b in zip(starts[place], ends[place], strict=True)]
+            letters = kind[starts[place]] == LETTER
+            got = dict(self.merger.encode([w for w, x in zip(spelled, letters, strict=True) if x]))
+            rest = [w for w in spelled if w not in got]
+            got |= zip(rest, self.ids_of([w.decode("utf-8", "replace") for w in rest]), strict=True)
+            raw = [got[w] for w in spelled]
+            self._add(fresh, np.array([len(x) // 2 for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint16))
+            entry, _ = self._find(hashes)
+        begin = self.starts[entry]
+        count = self.starts[entry + 1] - begin
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.flat[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
+        at = total[np.concatenate([[0], np.cumsum(words)])]
+        out: list[np.ndarray | None] = []
+        for k, bad in enumerate(odd.tolist()):
+            if bad:
+                out.append(None)
+                continue
+            row = np.empty(at[k + 1] - at[k] + 1, "<u4")
+            row[:-1], row[-1] = ids[at[k] : at[k + 1]], END
+            out.append(row)
+        return out
 
 
 class Encoder:
@@ -56,25 +245,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
+        with open(path, encoding="utf-8") as f:
+            self.merger = Merger(json.load(f)["model"])
         self.known: dict[str, bytes] = {}
+        self.pieces = Pieces(self.merger, self._tokenized)
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids, then the end id."""
+    def _tokenized(self, words: list[str]) -> list[bytes]:
+        found = (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+        return [struct.pack(f"<{len(x)}H", *x) for x in found]
+
+    def _words(self, text: str) -> list[str] | None:
         if ODD_SPACES.search(text):
-            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], "<u4")
+            return None
         if not EXOTIC.search(text):
             text = text.lower()
-        words = TAIL.sub(r" \1", text).split()
-        known = self.known
-        try:
-            found = b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = [w for w in set(words) if w not in known]
-            made = {w: struct.pack(f"<{len(e.ids)}H", *e.ids) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            if len(known) + len(new) <= CACHE_WORDS:
-                known.update(made)
-            found = b"".join(known[w] if w in known else made[w] for w in words)
-        return np.frombuffer(found + END.to_bytes(2, "little"), "<u2").astype("<u4")
+        return TAIL.sub(r" \1", text).split()
+
+    def encode_batch(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, then the end id."""
+        data, offsets = utf8(column)
+        for a, b in pieces(offsets):
+            rows = self.pieces.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            others = [k for k, x in enumerate(rows) if x is None]
+            for k, x in zip(others, self.encode([column[a + k].as_py() for k in others]), strict=True):
+                rows[k] = x
+            yield from rows
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of any texts, then the end id, word by word."""
+        lists = [self._words(t) for t in texts]
+        words = set().union(*(x for x in lists if x))
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = list(words)
+        self.known.update(zip(new, self._tokenized(new), strict=True))
+        end, out = END.to_bytes(2, "little"), []
+        for text, x in zip(texts, lists, strict=True):
+            if x is None:
+                out.append(np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], "<u4"))
+            else:
+                out.append(np.frombuffer(b"".join(map(self.known.__getitem__, x)) + end, "<u2").astype("<u4"))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -185,7 +397,7 @@ OUT = "start long, length long, ids_crc32 long, item_tokens long, sequence_id lo
 
 def _packer(path: str, limits: Limits, loss_column: bool, halved: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_batch
         # a task's sequences are numbered within its partition, so a second attempt numbers them alike
         task, sequence = TaskContext.get().partitionId(), 0
         # an item: its row, all its ids, the first id not yet written, and its leading ids that bear loss
@@ -223,8 +435,8 @@ def _packer(path: str, limits: Limits, loss_column: bool, halved: bool):
         row_type = None
         for batch in batches:
             row_type = batch.schema.field("_row").type
-            for row, text, loss in zip(batch.column("_row"), batch.column("_text"), batch.column("_loss"), strict=True):
-                ids = encode(text.as_py() or "")
+            each = encode(batch.column("_text"))
+            for row, ids, loss in zip(batch.column("_row"), each, batch.column("_loss"), strict=True):
                 items.append((row.as_py(), ids, 0, (loss.as_py() or 0) if loss_column else len(ids)))
                 held += len(ids)
                 if held >= BLOCK_TOKENS:
