@@ -524,6 +524,22 @@ def op3_minhash(spark, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+#: All pairs that share a shingle, and the closure of their links.
+UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, a.n AS m, b.n AS n, count(*) AS c
+      FROM u AS a JOIN u AS b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT i, j FROM p WHERE 100 * c >= 80 * (m + n - c)),
+e AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+r AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT r.id, e.j FROM r JOIN e ON e.i = r.other),
+c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.id = s.doc_id
+"""
+
+
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: Params = Params()) -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each group (the one with the smallest id)."""
     gone = components(docs, doc_id, text, params).where(~F.col("kept")).select(F.col("id").alias(doc_id)).distinct()

@@ -22,7 +22,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": suffix_dedup.ORACLE,
         "op2_url_filter": url_filter.ORACLE,
+        "op3_minhash": minhash.ORACLE,
         "op6_quality_rules": quality.ORACLE,
         "op9_chat_format": chat_format.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,

@@ -471,3 +471,21 @@ def remove_repeats(
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=False)
+
+
+#: Every string by its hash, in the order of documents and places; islands of covered strings are cut out.
+ORACLE = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, greatest(n - 99, 0))) AS p FROM b),
+k AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS k FROM p),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM k),
+c AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS opens FROM f WHERE r > 1),
+i AS (SELECT doc_id, p, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM c),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM i GROUP BY doc_id, island),
+g AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS z FROM g GROUP BY doc_id),
+x AS (SELECT g.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM g JOIN b USING (doc_id) GROUP BY g.doc_id)
+SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head || substr(h, 2 * z + 1), h))) AS kept_sha256
+FROM b LEFT JOIN t USING (doc_id) LEFT JOIN x USING (doc_id)
+"""

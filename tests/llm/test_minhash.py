@@ -3,9 +3,14 @@ import pytest
 from fieldproof.llm import minhash as M
 from fieldproof.llm.common import connected
 
+from ..oracle import same
 from . import helpers as H
 
 
+def test_sql(spark):
+    assert same(spark, M.op3_minhash, M.ORACLE) == 200
+
+
 @pytest.mark.parametrize("shingle, options", [(2, {}), (5, {}), (2, {"chunk": 4, "set_chunk": 3, "first_tries": 1, "broadcast": 0})])
 def test_against_all_pairs(spark, shingle, options):
     rows = list(enumerate(H.prose(5, 120)))

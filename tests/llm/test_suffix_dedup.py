@@ -6,9 +6,14 @@ import pytest
 
 from fieldproof.llm import suffix_dedup as S
 
+from ..oracle import same
 from . import helpers as H
 
 
+def test_sql(spark):
+    assert same(spark, S.op1_suffix_dedup, S.ORACLE) == 200
+
+
 def check(spark, rows, length=20, gram=8, **options):
     out = {r["doc_id"]: r for r in S.remove_repeats(H.docs(spark, rows), length=length, gram=gram, **options).collect()}
     for (i, _), (text, gone) in zip(sorted(rows), H.repeats(rows, length), strict=True):
