@@ -182,7 +182,7 @@ def scan(text: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple[int,
     return out
 
 
-def _matcher(items: list[tuple[int, bytes]], budget: Budget):
+def _matcher(items: list[tuple[int, bytes]], budget: Budget, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items, budget)
         for batch in batches:
@@ -194,7 +194,8 @@ def _matcher(items: list[tuple[int, bytes]], budget: Budget):
                     hit[a + r].append({"item_id": index.ids[k], "start": s, "end": e, "edits": d})
             for h in hit:
                 h.sort(key=lambda x: (x["start"], x["item_id"] if x["item_id"] is not None else -1))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(hit, SPANS)], ["row", "spans"])
+            text = [batch.column("_text")] if whole else []
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *text, pa.array(hit, SPANS)], ["row", *["text"] * whole, "spans"])
 
     return run
 
@@ -218,30 +219,37 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterato
 
 def find(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    budget: Budget = Budget(), block_bytes: int = BLOCK_BYTES,
+    budget: Budget = Budget(), block_bytes: int = BLOCK_BYTES, whole: bool = True,
 ) -> DataFrame:
-    """(row, spans): every row of ``docs`` as a struct and the regions that hold a benchmark item within its edit
-    budget. Places are counted in the squeezed lower-case bytes of the text.
+    """(row, spans): every row of ``docs`` as a struct (without its text unless ``whole``) and the regions that hold a
+    benchmark item within its edit budget. Places are counted in the squeezed lower-case bytes of the text.
 
     Null and empty texts have no span; repeated rows get equal spans; overlapping items each get their own; an
     empty benchmark or an empty table gives no span. A null item_id is reported as null. Columns of ``docs``,
     whatever their names, travel inside ``row``. With one block of items (the usual case) nothing is shuffled;
     each further block is one more narrow pass over rows that were written to the shared folder."""
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    row = out.schema["_row"].dataType.simpleString()
+    rest = [c for c in docs.columns if c != text]
+    fields = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(None).cast("int").alias("none"))
+    # a text goes to Python once; further blocks need it again
+    slim = docs.select(fields.alias("_row"), F.col(text).alias("_text"))
+    kind = slim.schema["_row"].dataType.simpleString()
     spans = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:bigint>>"
-    found = None
-    for part in blocks(benchmark, item_id, item_text, block_bytes):
-        if found is None:
-            found = out.mapInArrow(_matcher(part, budget), f"row {row}, spans {spans}")
-        else:
-            before = durable(found, "decontamination").select(F.struct("row", "spans").alias("_row"), F.col(f"row.`{text}`").alias("_text"))
-            kind = before.schema["_row"].dataType.simpleString()
-            more = before.mapInArrow(_matcher(part, budget), f"row {kind}, spans {spans}")
-            found = more.select("row.row", F.concat("row.spans", "spans").alias("spans"))
-    if found is None:
-        found = out.select(F.col("_row").alias("row"), F.array().cast(spans).alias("spans"))
-    return found
+    parts = blocks(benchmark, item_id, item_text, block_bytes)
+    part, following = next(parts, None), next(parts, None)
+    if part is None:
+        found = slim.select(F.col("_row").alias("row"), F.col("_text").alias("text"), F.array().cast(spans).alias("spans"))
+    else:
+        with_text = whole or following is not None
+        found = slim.mapInArrow(_matcher(part, budget, with_text), f"row {kind}, {'text string, ' * with_text}spans {spans}")
+    while following is not None:
+        before = durable(found, "decontamination").select(F.struct("row", "spans").alias("_row"), F.col("text").alias("_text"))
+        more = before.mapInArrow(_matcher(following, budget, True), f"row {before.schema['_row'].dataType.simpleString()}, text string, spans {spans}")
+        found = more.select("row.row", "text", F.concat("row.spans", "spans").alias("spans"))
+        following = next(parts, None)
+    if whole:
+        row = F.struct(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
+        return found.select(row.alias("row"), "spans")
+    return found.select("row", "spans")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -250,7 +258,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
-    out = find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    out = find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), whole=False)
     items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"])))
     return out.select(
         "row.doc_id",
