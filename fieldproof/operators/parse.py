@@ -17,6 +17,10 @@ NO_OBJECT = "The response did not contain a valid JSON object."
 NOT_FIELDS = "The fields property must be an object."
 NO_FIELDS = "No requested field object was found."
 NO_NAMES = "The fields object contains no requested field names."
+NO_TRUTH = "CORD row has no gt_parse object"
+REPEATED_GROUP = "Ambiguous repeated label group: "
+NO_TEXT_LABEL = "Ambiguous/nontext CORD label: "
+NO_LABELS = "No labelled amounts in the selected task"
 FENCE = "(?is)```(?:json)?\\s*(\\{.*?\\})\\s*```"
 FIELD_PATHS = {
     "subtotal_amount": ("sub_total", "subtotal_price"),
@@ -137,16 +141,16 @@ def map_labels(df: DataFrame, truth: str = "ground_truth") -> DataFrame:
     row without any label are rejected, for the first reason in the order of the fields."""
     given = F.col(truth) if df.schema[truth].dataType.typeName() == "variant" else F.try_parse_json(truth)
     df = df.withColumn("_gt", F.try_variant_get(given, "$.gt_parse", "variant"))
-    present, problems = [], [F.when(F.coalesce(kind(F.col("_gt")) != "object", F.lit(True)), "CORD row has no gt_parse object")]
+    present, problems = [], [F.when(F.coalesce(kind(F.col("_gt")) != "object", F.lit(True)), NO_TRUTH)]
     for field, (group, key) in FIELD_PATHS.items():
         part = F.try_variant_get(F.col("_gt"), f"$.{group}", "variant")
         value = F.try_variant_get(F.col("_gt"), f"$.{group}.{key}", "variant")
         has_group = part.isNotNull()
         labelled = value.isNotNull() & (kind(value) != "null")
-        problems.append(F.when(has_group & (kind(part) != "object"), f"Ambiguous repeated label group: {group}"))
-        problems.append(F.when(labelled & is_blank_text(value), f"Ambiguous/nontext CORD label: {group}.{key}"))
+        problems.append(F.when(has_group & (kind(part) != "object"), REPEATED_GROUP + group))
+        problems.append(F.when(labelled & is_blank_text(value), f"{NO_TEXT_LABEL}{group}.{key}"))
         present.append(F.when(labelled, F.struct(F.lit(field).alias("key"), text_of(value).alias("value"))))
     entries = F.filter(F.array(*present), lambda x: x.isNotNull())
     df = df.withColumn("_entries", entries)
-    reject = F.coalesce(*problems, F.when(F.size("_entries") == 0, "No labelled amounts in the selected task"))
+    reject = F.coalesce(*problems, F.when(F.size("_entries") == 0, NO_LABELS))
     return df.withColumn("reject", reject).withColumn("expected", F.when(F.col("reject").isNull(), F.map_from_entries("_entries"))).drop("_gt", "_entries")

@@ -21,6 +21,16 @@ from ..operators.score import details, per_document
 from ..operators.select import offset_limit
 from ..sources import readers, sinks
 
+#: Messages.
+EMPTY = "Dataset is empty"
+EMPTY_SELECTION = "Document selection is empty"
+DUPLICATES = "Duplicate prediction IDs"
+INCOMPLETE = "Saved predictions are missing selected dataset IDs"
+NO_MANIFEST = "Replay requires the source run.json beside predictions.jsonl"
+OTHER_DATASET = "Saved predictions use a different dataset fingerprint"
+NO_FIXTURES = "--dry-run requires fixtures; it cannot evaluate real data"
+RECORDED = "Recorded failure: "
+
 
 def load(spark: SparkSession, path: str | Path) -> tuple[DataFrame, dict]:
     """Admitted annotations in file order (with doc_pos) and the dataset's fingerprints; raises for the first bad line."""
@@ -32,7 +42,7 @@ def load(spark: SparkSession, path: str | Path) -> tuple[DataFrame, dict]:
     labels = V.label_problems(rows)
     V.require_none(labels.union(V.missing_images(wanted, files.withColumnRenamed("file", "image"))), path.name)
     if rows.isEmpty():
-        raise ValueError("Dataset is empty")
+        raise ValueError(EMPTY)
     hashes = {r["id"]: r["sha256"] for r in wanted.join(files, F.col("image") == F.col("file")).select("id", "sha256").toLocalIterator()}
     info = sinks.fingerprint(path.read_bytes(), hashes)
     return rows, info | {"examples": len(hashes)}
@@ -43,7 +53,7 @@ def select(rows: DataFrame, info: dict, offset: int = 0, limit: int | None = Non
     chosen = offset_limit(rows, offset, limit)
     ids = [r["id"] for r in chosen.select("id", "line_no").orderBy("line_no").toLocalIterator()]
     if not ids:
-        raise ValueError("Document selection is empty")
+        raise ValueError(EMPTY_SELECTION)
     picked = {"offset": offset, "limit": limit, "order": "annotation file order"}
     return chosen.withColumn("doc_pos", F.col("line_no")), info | {"selection": picked, "selected_ids": ids, "selected_examples": len(ids)}
 
@@ -51,10 +61,10 @@ def select(rows: DataFrame, info: dict, offset: int = 0, limit: int | None = Non
 def replayed(rows: DataFrame, saved: DataFrame) -> DataFrame:
     """(id, prediction, error) of the selected rows; recorded failures stay failures."""
     if not V.duplicates(saved, "id").isEmpty():
-        raise ValueError("Duplicate prediction IDs")
+        raise ValueError(DUPLICATES)
     if not V.absent(rows, saved, "id").isEmpty():
-        raise ValueError("Saved predictions are missing selected dataset IDs")
-    failed = F.when(F.col("recorded_error").isNotNull(), F.concat(F.lit("ValueError: Recorded failure: "), F.col("recorded_error")))
+        raise ValueError(INCOMPLETE)
+    failed = F.when(F.col("recorded_error").isNotNull(), F.concat(F.lit("ValueError: " + RECORDED), F.col("recorded_error")))
     return rows.select("id").join(saved, "id").select("id", "prediction", failed.alias("error"), "wall_seconds", F.lit(None).cast("string").alias("raw_error_output"))
 
 
@@ -112,16 +122,16 @@ def evaluate(
     configuration: dict = {}
     if mode == "dry-run":
         if not rows.where(~F.coalesce(V.kind(F.col("mock_response")) == "object", F.lit(False))).isEmpty():
-            raise ValueError("--dry-run requires fixtures; it cannot evaluate real data")
+            raise ValueError(NO_FIXTURES)
         predicted = readers.mock(rows).withColumns({"error": F.lit(None).cast("string"), "wall_seconds": F.lit(0.0), "raw_error_output": F.lit(None).cast("string")})
     elif mode == "replay":
         beside = Path(saved).parent / "run.json"
         predicted = replayed(rows, readers.predictions(spark, str(saved)))
         if not beside.exists():
-            raise ValueError("Replay requires the source run.json beside predictions.jsonl")
+            raise ValueError(NO_MANIFEST)
         source = json.loads(beside.read_text(encoding="utf-8"))
         if source["dataset"]["fingerprint"] != info["fingerprint"]:
-            raise ValueError("Saved predictions use a different dataset fingerprint")
+            raise ValueError(OTHER_DATASET)
         configuration = {"source_mode": source["mode"], "source_configuration": source["configuration"], "predictions_sha256": hashlib.sha256(Path(saved).read_bytes()).hexdigest()}
     else:
         root = Path(dataset).resolve().parent
