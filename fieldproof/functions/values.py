@@ -11,17 +11,22 @@ from .text import ascii_digits, normalise
 NUMBER = "^[+-]?(\\p{Nd}+|\\p{Nd}{1,3}(,\\p{Nd}{3})+)(\\.\\p{Nd}+)?$"
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once and written once in the plan."""
+    return F.transform(F.array(x), f)[0]
+
+
 def kind(v: Column) -> Column:
     """null, boolean, integer, decimal, text, object or array."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | (s == "VOID"), "null")
+    return let(
+        F.schema_of_variant(v),
+        lambda s: F.when(s.isNull() | (s == "VOID"), "null")
         .when(s == "BOOLEAN", "boolean")
         .when(s == "BIGINT", "integer")
         .when(s == "STRING", "text")
         .when(s.startswith("OBJECT"), "object")
         .when(s.startswith("ARRAY"), "array")
-        .otherwise("decimal")
+        .otherwise("decimal"),
     )
 
 
@@ -49,11 +54,6 @@ def canonical(number: Column) -> Column:
     return F.when(plain == "0", plain).otherwise(F.concat(sign, plain))
 
 
-def let(x: Column, f) -> Column:
-    """f(x) with x evaluated once and written once in the plan."""
-    return F.transform(F.array(x), f)[0]
-
-
 def typed(v: Column, rule: Column, unicode: bool = True) -> Column:
     """struct(state, value): state is null, invalid, text or number. ``rule`` is a base rule, null for none.
 

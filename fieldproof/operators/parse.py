@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.values import is_blank_text, kind, text_of
+from ..functions.values import kind, let, text_of
 
 #: Messages, the fence pattern and the label paths.
 EMPTY = "The model returned an empty response."
@@ -141,16 +141,25 @@ def map_labels(df: DataFrame, truth: str = "ground_truth") -> DataFrame:
     row without any label are rejected, for the first reason in the order of the fields."""
     given = F.col(truth) if df.schema[truth].dataType.typeName() == "variant" else F.try_parse_json(truth)
     df = df.withColumn("_gt", F.try_variant_get(given, "$.gt_parse", "variant"))
-    present, problems = [], [F.when(F.coalesce(kind(F.col("_gt")) != "object", F.lit(True)), NO_TRUTH)]
+    items = []
     for field, (group, key) in FIELD_PATHS.items():
-        part = F.try_variant_get(F.col("_gt"), f"$.{group}", "variant")
-        value = F.try_variant_get(F.col("_gt"), f"$.{group}.{key}", "variant")
-        has_group = part.isNotNull()
-        labelled = value.isNotNull() & (kind(value) != "null")
-        problems.append(F.when(has_group & (kind(part) != "object"), REPEATED_GROUP + group))
-        problems.append(F.when(labelled & is_blank_text(value), f"{NO_TEXT_LABEL}{group}.{key}"))
-        present.append(F.when(labelled, F.struct(F.lit(field).alias("key"), text_of(value).alias("value"))))
-    entries = F.filter(F.array(*present), lambda x: x.isNotNull())
-    df = df.withColumn("_entries", entries)
-    reject = F.coalesce(*problems, F.when(F.size("_entries") == 0, NO_LABELS))
-    return df.withColumn("reject", reject).withColumn("expected", F.when(F.col("reject").isNull(), F.map_from_entries("_entries"))).drop("_gt", "_entries")
+        part, value = F.try_variant_get("_gt", f"$.{group}", "variant"), F.try_variant_get("_gt", f"$.{group}.{key}", "variant")
+        seen = F.struct(part.isNotNull().alias("has"), kind(part).alias("part"), kind(value).alias("kind"), text_of(value).alias("text"))
+
+        def judged(x: Column) -> Column:  # used at once, so the loop's names are this turn's
+            written = (x["kind"] == "text") & x["text"].rlike("[^\\s\\x1c-\\x1f\\x85]")
+            problem = F.when(x["has"] & (x["part"] != "object"), REPEATED_GROUP + group).when((x["kind"] != "null") & ~written, f"{NO_TEXT_LABEL}{group}.{key}")
+            return F.struct(problem.alias("problem"), F.lit(field).alias("key"), F.when(written, x["text"]).alias("value"))
+
+        items.append(let(seen, judged))
+
+    def mapped(found: Column) -> Column:
+        problems = F.filter(found, lambda x: x["problem"].isNotNull())
+        labels = F.transform(F.filter(found, lambda x: x["value"].isNotNull()), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+        reject = F.coalesce(F.get(problems, F.lit(0))["problem"], F.when(F.size(labels) == 0, NO_LABELS))
+        return F.struct(reject.alias("reject"), labels.alias("labels"))
+
+    truth_missing = F.when(kind(F.col("_gt")) != "object", NO_TRUTH)
+    df = df.withColumn("_found", let(F.array(*items), mapped))
+    reject = F.coalesce(truth_missing, F.col("_found.reject"))
+    return df.withColumn("reject", reject).withColumn("expected", F.when(F.col("reject").isNull(), F.map_from_entries("_found.labels"))).drop("_gt", "_found")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import compatible
-from ..functions.values import kind, text_of
+from ..functions.values import kind, let, text_of
 from .parse import FIELD_PATHS
 
 #: Amount fields, reasons, placeholders and policies.
@@ -23,14 +23,19 @@ PERCENT_ONLY = ("percent-crop-v1", "label-context-v1")
 def reason(field: Column, rule: Column, value: Column, unicode: bool = True) -> Column:
     """Why a predicted amount (VARIANT) needs review, or null. Only amounts whose whole rule is the text rule are
     looked at; labels are never consulted."""
-    text = compatible(text_of(value), unicode)
-    shown = (
-        F.when(kind(value) != "text", NOT_TEXT)
-        .when(text.contains("%"), PERCENT)
-        .when(F.lower(text).isin(*PLACEHOLDERS), PLACEHOLDER)
-        .when(~text.rlike("\\p{Nd}"), NO_DIGITS)
-    )
-    return F.when(field.isin(*AMOUNT_FIELDS) & (rule == TEXT_AMOUNT) & (kind(value) != "null"), shown)
+    asked = field.isin(*AMOUNT_FIELDS) & (rule == TEXT_AMOUNT)
+    parts = F.struct(kind(value).alias("kind"), compatible(text_of(value), unicode).alias("text"))
+
+    def shown(x: Column) -> Column:
+        return (
+            F.when(x["kind"] == "null", F.lit(None).cast("string"))
+            .when(x["kind"] != "text", NOT_TEXT)
+            .when(x["text"].contains("%"), PERCENT)
+            .when(F.lower(x["text"]).isin(*PLACEHOLDERS), PLACEHOLDER)
+            .when(~x["text"].rlike("\\p{Nd}"), NO_DIGITS)
+        )
+
+    return F.when(asked, let(parts, shown))
 
 
 def flags(long: DataFrame, unicode: bool = True) -> DataFrame:
