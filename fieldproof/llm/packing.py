@@ -184,6 +184,28 @@ class Pieces:
             self.keys[at[one]], self.index[at[one]] = hashes[todo[one]], first + todo[one]
             todo = np.delete(todo, one)
 
+    def _ids(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each of at most CACHE_WORDS words, and their ids."""
+        entry, _ = self._find(hashes)
+        fresh, where = np.unique(hashes[entry < 0], return_index=True)
+        if self.size + len(fresh) > CACHE_WORDS:
+            self.__init__(self.merger, self.ids_of)
+            entry = np.full(len(hashes), -1)
+            fresh, where = np.unique(hashes, return_index=True)
+        if len(fresh):
+            place = np.flatnonzero(entry < 0)[where]
+            spelled = [text[a:b].tobytes() for a, b in zip(starts[place], ends[place], strict=True)]
+            got = dict(self.merger.encode([w for w, x in zip(spelled, letters[place], strict=True) if x]))
+            rest = [w for w in spelled if w not in got]
+            got |= zip(rest, self.ids_of([w.decode("utf-8", "replace") for w in rest]), strict=True)
+            raw = [got[w] for w in spelled]
+            self._add(fresh, np.array([len(x) // 2 for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint16))
+            entry, _ = self._find(hashes)
+        begin = self.starts[entry]
+        count = self.starts[entry + 1] - begin
+        total = np.cumsum(count)
+        return count, self.flat[np.repeat(begin - total + count, count) + np.arange(int(count.sum()))]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray | None]:
         """Ids of each row, then the end id; None for a row that is not ordinary."""
         kind = CLASS[data]
@@ -202,27 +224,12 @@ class Pieces:
         full = kind[bounds[:-1]] != BLANK if len(data) else np.empty(0, bool)
         starts, ends = bounds[:-1][full], bounds[1:][full]
         words = np.diff(np.searchsorted(starts, offsets))
-        hashes = run_hashes(text, starts, ends)
-        entry, _ = self._find(hashes)
-        new = np.flatnonzero(entry < 0)
-        if len(new):
-            fresh, where = np.unique(hashes[new], return_index=True)
-            if self.size + len(fresh) > CACHE_WORDS:
-                self.__init__(self.merger, self.ids_of)
-                return self.encode(data, offsets)
-            place = new[where]
-            spelled = [text[a:b].tobytes() for a, b in zip(starts[place], ends[place], strict=True)]
-            letters = kind[starts[place]] == LETTER
-            got = dict(self.merger.encode([w for w, x in zip(spelled, letters, strict=True) if x]))
-            rest = [w for w in spelled if w not in got]
-            got |= zip(rest, self.ids_of([w.decode("utf-8", "replace") for w in rest]), strict=True)
-            raw = [got[w] for w in spelled]
-            self._add(fresh, np.array([len(x) // 2 for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint16))
-            entry, _ = self._find(hashes)
-        begin = self.starts[entry]
-        count = self.starts[entry + 1] - begin
+        hashes, letters = run_hashes(text, starts, ends), kind[starts] == LETTER
+        # runs that fit the table even where every word is new, so that a text of any number of words gets through
+        runs = [self._ids(text, starts[k : k + CACHE_WORDS], ends[k : k + CACHE_WORDS], hashes[k : k + CACHE_WORDS], letters[k : k + CACHE_WORDS]) for k in range(0, len(starts), CACHE_WORDS)]
+        count = np.concatenate([np.empty(0, np.int64), *(c for c, _ in runs)])
+        ids = np.concatenate([np.empty(0, np.uint16), *(x for _, x in runs)])
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.flat[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
         at = total[np.concatenate([[0], np.cumsum(words)])]
         out: list[np.ndarray | None] = []
         for k, bad in enumerate(odd.tolist()):

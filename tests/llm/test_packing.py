@@ -46,6 +46,18 @@ def test_ids_equal_the_tokenizer():
         assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_text_of_more_words_than_the_cache_holds(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(P, "CACHE_WORDS", 50)
+    t = Tokenizer.from_file(PATH)
+    texts = ["few words", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)), "few words again", *H.prose(9, 5)]
+    many = P.Encoder(PATH)
+    for text, ids in zip(texts, many.encode_batch(pa.array(texts)), strict=True):
+        assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+    assert many.pieces.size <= 50
+
+
 def test_documents(spark, monkeypatch):
     from tokenizers import Tokenizer
 
