@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, table, utf8
-from .textkit import LOWER, PIECE, SPACE, pieces
+from .textkit import ALNUM, LOWER, PIECE, SPACE, pieces
 
 Q = 8
 BITS = 20
@@ -29,8 +29,9 @@ BITS = 20
 
 @dataclass(frozen=True)
 class Budget:
-    """Edits allowed for an item of n characters: ``floor(rate * n)``. With q = 8 the lemma needs a rate below
-    1 / 8. Items shorter than ``least`` characters are not searched for: they would match by chance."""
+    """Edits allowed for an item of n bytes: ``floor(rate * n)``. With q = 8 the lemma needs a rate below 1 / 8.
+    Items shorter than ``least`` bytes would match by chance: they are allowed no edits and must stand as whole words,
+    with no letter or digit right before or after them."""
 
     rate: float = 0.08
     least: int = 40
@@ -71,15 +72,22 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], budget: Budget):
         self.ids, self.texts, self.edits = [], [], []
+        short: dict[int, list[tuple[int, int, int]]] = {}
         keys, places = [], []
         for item_id, raw in items:
             data = np.frombuffer(raw, np.uint8)
             text, at = squeeze(data, np.array([0, len(data)], np.int64))
             text = np.frombuffer(bytes(text[: at[1] - Q]).strip(b" "), np.uint8)
-            if len(text) < max(budget.least, Q):
+            if not len(text):
                 continue
             self.ids.append(item_id)
             self.texts.append(text)
+            if len(text) < max(budget.least, Q):
+                self.edits.append(0)
+                size = min(len(text), Q)
+                first, last = (int.from_bytes(x.tobytes(), "big") for x in (text[:size], text[-size:]))
+                short.setdefault(size, []).append((first, last, len(self.ids) - 1))
+                continue
             edits = int(budget.rate * len(text))
             if len(text) - Q + 1 - edits * Q < 1:
                 raise ValueError("the edit budget leaves the q-gram lemma nothing to count")
@@ -93,14 +101,45 @@ class Index:
         self.places = (np.concatenate(places) if places else np.empty((0, 2), np.int64))[order]
         self.bits = np.zeros(1 << BITS, bool)
         self.bits[self._slot(self.keys)] = True
+        self.starts = np.zeros(1 << BITS, bool)
+        # by the number of leading bytes compared: their values, the values of as many last bytes, and the items
+        self.short = {n: tuple(np.array(x, d) for x, d in zip(zip(*sorted(v), strict=True), (np.uint64, np.uint64, np.int64), strict=True)) for n, v in short.items()}
+        if Q in self.short:
+            self.starts[self._slot(self.short[Q][0])] = True
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
 
-    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, item, place in the item) of every shared q-gram."""
-        found = grams(text)
+    def whole(self, text: np.ndarray, found: np.ndarray) -> list[tuple[int, int]]:
+        """(place in the text, item) of every short item that stands there as whole words. ``found``: the text's q-grams."""
+        out = []
+        for size, (first, last, items) in self.short.items():
+            cut = np.uint64(8 * (Q - size))
+            at = np.arange(len(found))
+            if size < Q:  # no word begins within another
+                at = at[~ALNUM[text[at - 1]] | (at == 0)]
+            else:
+                at = np.flatnonzero(self.starts[self._slot(found)])
+            seen = found[at] >> cut
+            lo = np.searchsorted(first, seen, "left")
+            count = np.searchsorted(first, seen, "right") - lo
+            at, lo, count = at[count > 0], lo[count > 0], count[count > 0]
+            which = np.repeat(lo, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat(at, count)
+            n = np.array([len(self.texts[k]) for k in items], np.int64)[which]
+            end = at + n
+            good = end + Q <= len(text)
+            at, which, n, end = at[good], which[good], n[good], end[good]
+            good = (found[end - size] >> cut) == last[which]
+            good &= ((at == 0) | ~ALNUM[text[at - 1]]) & ~ALNUM[text[end]]
+            for p, k, e in zip(at[good].tolist(), items[which[good]].tolist(), end[good].tolist(), strict=True):
+                if text[p:e].tobytes() == self.texts[k].tobytes():
+                    out.append((p, k))
+        return out
+
+    def hits(self, text: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, item, place in the item) of every shared q-gram. ``found``: the text's q-grams."""
         at = np.flatnonzero(self.bits[self._slot(found)])
         found = found[at]
         lo = np.searchsorted(self.keys, found, "left")
@@ -138,15 +177,19 @@ def best_edits(item: np.ndarray, region: np.ndarray, shift: int, band: int) -> i
 
 def scan(text: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start, end, edits) of verified regions in squeezed rows, places counted from the row's start."""
-    at, item, place = index.hits(text)
+    seen = grams(text)
+    out = []
+    for p, k in index.whole(text, seen):
+        r = int(np.searchsorted(offsets, p, "right")) - 1
+        out.append((r, k, p - int(offsets[r]), p - int(offsets[r]) + len(index.texts[k]), 0))
+    at, item, place = index.hits(text, seen)
     if not len(at):
-        return []
+        return out
     row = np.searchsorted(offsets, at, "right") - 1
     edits = np.array(index.edits, np.int64)
     sizes = np.array([len(t) for t in index.texts], np.int64)
     need = sizes - Q + 1 - edits * Q
     diagonal = at - place
-    out = []
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     # two layers of bands, half a width apart: any e + 1 neighbouring diagonals lie in one band whole
     for layer in (0, 1):

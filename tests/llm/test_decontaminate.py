@@ -62,6 +62,35 @@ def test_documents(spark):
     assert D.find(docs.where("false"), bench).count() == 0
 
 
+def test_short_items(spark):
+    """Items under 40 bytes are found where they stand as whole words, unchanged but for case and white space."""
+    items = [(1, "What is the capital of Peru?"), (2, "Who was he"), (3, "2+2=4"), (4, "née"), (5, "Lima, Peru")]
+    rows = [
+        (1, "Q: what IS\tthe capital  of Peru? A: ..."), (2, "What is the capitol of Peru?"), (3, "who was he"), (4, "who was hers, who was hé"), (5, "so 2+2=4."), (6, "12+2=4 2+2=45"),
+        (7, "(Née) X"), (8, "années"), (9, "xWho was he"), (10, "Who was he? Who was he"), (11, "In Lima, Peru."), (12, ""), (13, None), (14, "?"), (15, "who was"),
+    ]
+    bench = spark.createDataFrame([*items, (6, " "), (7, "")], "item_id long, text string")
+    found = {r["row"]["doc_id"]: [(s["item_id"], s["start"], s["end"], s["edits"]) for s in r["spans"]] for r in D.find(H.docs(spark, rows), bench).collect()}
+    assert {i: [x[0] for x in v] for i, v in found.items() if v} == {1: [1], 3: [2], 5: [3], 7: [4], 10: [2, 2], 11: [5]}
+    assert found[1] == [(1, 3, 31, 0)] and found[10] == [(2, 0, 10, 0), (2, 12, 22, 0)]
+    assert sorted(r["doc_id"] for r in D.clean(H.docs(spark, rows), bench.where("item_id <> 4")).collect()) == [2, 4, 6, 7, 8, 9, 12, 13, 14, 15]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_short_against_search(seed):
+    r = random.Random(seed)
+    said = lambda n: "".join(r.choice("ab ,") for _ in range(n))
+    squeezed = lambda x: " ".join(x.split())
+    items = sorted({x for x in (squeezed(said(r.choice([1, 2, 3, 7, 8, 9, 12]))) for _ in range(12)) if x})
+    texts = [squeezed(said(r.randint(0, 400))) for _ in range(8)]
+    raw = "".join(texts).encode()
+    text, at = D.squeeze(np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)]))
+    got = {(x[0], x[1], x[2]) for x in D.scan(text, at, D.Index([(k, x.encode()) for k, x in enumerate(items)], D.Budget()))}
+    alone = lambda t, s, e: not t[s - 1 : s].isalnum() * (s > 0) and not t[e : e + 1].isalnum()
+    want = {(i, k, s) for i, t in enumerate(texts) for k, x in enumerate(items) for s in range(len(t) - len(x) + 1) if t[s : s + len(x)] == x and alone(t, s, s + len(x))}
+    assert got == want
+
+
 def test_budget_must_leave_something():
     with pytest.raises(ValueError):
         D.Index([(1, b"a" * 100)], D.Budget(rate=0.2))
