@@ -16,6 +16,8 @@ SPACE = "[\\x20\\x09-\\x0D]"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Marks that may stand around a word.
+EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»‹›“”„‘’‚…–—"
 
 #: Common function words of the languages that the corpus is written in.
 STOP_WORDS = (
@@ -28,15 +30,17 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails if ``metric`` (an SQL expression over the measured columns) is below ``least`` or above ``most``."""
+    """A document fails if ``metric`` (an SQL expression over the measured columns) is below ``least`` or above ``most``,
+    and ``given`` holds, where there is one."""
 
     name: str
     metric: str
     least: float | None = None
     most: float | None = None
+    given: str | None = None
 
 
-#: The threshold table. Ratios of a document without words are null and fail nothing here (the base rule has it).
+#: The threshold table of the query and its SQL. Ratios of a document without words are null and fail nothing here (the base rule has it).
 RULES = (
     Rule("mean_word_length", "word_chars / n_words", 2.0, 24.0),
     Rule("symbols_per_word", "n_symbols / n_words", most=0.3),
@@ -45,6 +49,12 @@ RULES = (
     Rule("duplicate_line_ratio", "n_dup_lines / n_lines", most=0.5),
 )
 
+#: Half way to another limit: a second sign of junk.
+SUSPECT = "n_symbols > 0.15 * n_words or n_bangs > 0.25 * n_words or n_dup_lines > 0.25 * n_lines or n_repeat_words > 0.1 * n_words"
+#: The table that keeps and drops documents: a lack of stop words, with the marks around words taken off, counts only
+#: with a second sign, as short texts and those in other languages have none either.
+KEEP_RULES = tuple(Rule(r.name, "n_stop_tokens / n_words", r.least, given=SUSPECT) if r.name == "stop_word_ratio" else r for r in RULES)
+
 
 def _passes(rule: Rule) -> Column:
     value = F.expr(f"cast({rule.metric.split(' / ')[0]} as double) / nullif({rule.metric.split(' / ')[1]}, 0)")
@@ -53,6 +63,8 @@ def _passes(rule: Rule) -> Column:
         ok = ok & (value >= rule.least)
     if rule.most is not None:
         ok = ok & (value <= rule.most)
+    if rule.given is not None:
+        ok = ok | ~F.expr(rule.given)
     return F.coalesce(ok, F.lit(True))
 
 
@@ -125,14 +137,21 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
                 "n_repeat_words": _repeated(F.col(at_words), F.col(at_windows)),
             }
         )
+        # words are stripped of marks only where too few are stop words as they stand
+        .withColumn(
+            "n_stop_tokens",
+            F.when(F.col("n_stop_words") >= 0.01 * F.col("n_words"), F.col("n_stop_words")).otherwise(
+                F.size(F.filter(at_words, lambda w: F.btrim(F.lower(w), F.lit(EDGES)).isin(STOP_WORDS))).cast("long")
+            ),
+        )
         .drop(at_words, at_windows, at_lines)
     )
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_bangs", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_bangs", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words", "n_stop_tokens")
 
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = KEEP_RULES) -> DataFrame:
     """``docs`` with the measures, ``base_failed``, ``failed_rules`` and ``kept``.
 
     Rows are judged one by one: repeated rows and ties get equal verdicts, an empty table gives an empty
@@ -147,7 +166,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     )
 
 
-def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = KEEP_RULES) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``, clashing names included."""
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
     # a column that is not deterministic keeps the filter above the measures; pushed below, it would compute each again
@@ -156,7 +175,7 @@ def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=RULES)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_bangs", "n_lines", "n_stop_words", F.concat_ws(",", "failed_rules").alias("failed_rules"),

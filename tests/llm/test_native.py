@@ -55,6 +55,18 @@ def test_thresholds(spark, rule, ok):
     assert (out["failed_rules"] == []) == ok
 
 
+def test_clean_texts_without_stop_words_stay(spark):
+    rows = [
+        (1, "Üau heit ie enie, den, chö enkeitstau enchentz schungen des."), (2, "Pas. Éauxaux etèmenteuxeau aile.\nDe, ré retreeau.\nAll rights reserved."),
+        (3, "Kissa istui ikkunalla ja katseli lintuja puutarhassa koko aamun ilman kiirettä."), (4, "buy now $$ cheap pills && fast cash ** win prizes"),
+    ]
+    docs = H.docs(spark, rows)
+    assert sorted(r["doc_id"] for r in Q.keep(docs).collect()) == [1, 2, 3]
+    measured = {r["doc_id"]: r["n_stop_tokens"] for r in Q.measure(docs).collect()}
+    assert measured == {1: 2, 2: 1, 3: 0, 4: 0}
+    assert Q.judge(docs).where("doc_id = 4").first()["failed_rules"] == ["symbols_per_word", "stop_word_ratio"]
+
+
 def chats(rows):
     by = {}
     for c, t, role, text in dict.fromkeys(rows):
