@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,22 +24,29 @@ def _ascii_digits(x: str) -> str:
     return "".join(str(unicodedata.decimal(c)) if not c.isascii() and c.isdecimal() else c for c in x)
 
 
+def _mapped(f: Callable[[str], str | None], x: pd.Series) -> pd.Series:
+    """f of each text of a batch, called once for each distinct one."""
+    known = {v: f(v) for v in x.dropna().unique()}
+    return x.map(known) if known else x
+
+
 @F.pandas_udf(StringType())
 def fold_udf(x: pd.Series) -> pd.Series:
     """NFKC, one space for each run of white space, trimmed, case-folded; empty is null."""
-    return x.map(_fold, na_action="ignore")
+    return _mapped(_fold, x)
 
 
 @F.pandas_udf(StringType())
-def digits_udf(x: pd.Series) -> pd.Series:
-    """All decimal digits as 0-9."""
-    return x.map(_ascii_digits, na_action="ignore")
+def fold_digits_udf(x: pd.Series, digits: pd.Series) -> pd.Series:
+    """The same; where ``digits`` holds, all decimal digits as 0-9."""
+    out = _mapped(_fold, x)
+    return out.where(~digits, _mapped(_ascii_digits, out)) if digits.any() and out.notna().any() else out
 
 
 @F.pandas_udf(StringType())
 def compatible_udf(x: pd.Series) -> pd.Series:
     """NFKC and trimmed, case kept; empty stays empty."""
-    return x.map(lambda s: unicodedata.normalize("NFKC", s).strip(), na_action="ignore")
+    return _mapped(lambda s: unicodedata.normalize("NFKC", s).strip(), x)
 
 
 def is_ascii(x: Column) -> Column:
@@ -52,10 +60,15 @@ def _or_udf(x: Column, fast: Column, udf, unicode: bool) -> Column:
     return F.when(is_ascii(x), fast).otherwise(udf(F.when(~is_ascii(x), x)))
 
 
+def _folded(x: Column) -> Column:
+    # a text of blanks alone is null before anything else is done to it
+    return F.lower(F.btrim(F.regexp_replace(F.when(x.rlike("[^\\s\\x1c-\\x1f\\x85]"), x), SPACE + "+", " ")))
+
+
 def normalise(x: Column, unicode: bool = True) -> Column:
-    """The form in which texts are compared; blank is null. ``unicode=False`` promises ASCII and stays in the JVM."""
-    fast = F.nullif(F.lower(F.btrim(F.regexp_replace(x, SPACE + "+", " "))), F.lit(""))
-    return _or_udf(x, fast, fold_udf, unicode)
+    """The form in which texts are compared; blank is null. ``unicode=False`` promises ASCII and stays in the JVM.
+    ``x`` is best a plain column, as it is written more than once."""
+    return _or_udf(x, _folded(x), fold_udf, unicode)
 
 
 def compatible(x: Column, unicode: bool = True) -> Column:
@@ -63,8 +76,12 @@ def compatible(x: Column, unicode: bool = True) -> Column:
     return _or_udf(x, fast, compatible_udf, unicode)
 
 
-def ascii_digits(x: Column, unicode: bool = True) -> Column:
-    return _or_udf(x, x, digits_udf, unicode)
+def overflows(json_text: Column) -> Column:
+    """Whether a JSON text has a number beyond a double outside its strings."""
+    bare = F.regexp_replace(json_text, '"(?:[^"\\\\]|\\\\.)*+"', '""')
+    huge = F.exists(F.regexp_extract_all(bare, F.lit("(-?[0-9]+(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?)"), F.lit(1)), lambda n: F.abs(n.cast("double")) == F.lit(float("inf")))
+    # only an exponent, or more than three hundred digits, can do it
+    return F.when(json_text.rlike("[0-9][eE][+]?[0-9]{3}|[0-9]{300}"), F.coalesce(huge, F.lit(False))).otherwise(F.lit(False))
 
 
 def percent(x: Column) -> Column:

@@ -1,33 +1,42 @@
-"""Typed values: what a VARIANT holds, and the form in which two values are compared."""
+"""Typed values: what a VARIANT holds, and the form in which two values are compared.
+
+Steps that use a value more than once are projections of their own, so that each value is made once and every step
+stays in generated code.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ascii_digits, normalise
+from .text import fold_digits_udf, is_ascii, normalise
 
 #: Plain decimals, with commas only where they group thousands rightly.
 NUMBER = "^[+-]?(\\p{Nd}+|\\p{Nd}{1,3}(,\\p{Nd}{3})+)(\\.\\p{Nd}+)?$"
 
 
-def let(x: Column, f) -> Column:
-    """f(x) with x evaluated once and written once in the plan."""
-    return F.transform(F.array(x), f)[0]
+def kind_of(schema: Column) -> Column:
+    """null, boolean, integer, decimal, text, object or array, from a column of ``schema_of_variant``."""
+    return (
+        F.when(schema.isNull() | (schema == "VOID"), "null")
+        .when(schema == "STRING", "text")
+        .when(schema == "BIGINT", "integer")
+        .when(schema == "BOOLEAN", "boolean")
+        .when(schema.startswith("OBJECT"), "object")
+        .when(schema.startswith("ARRAY"), "array")
+        .otherwise("decimal")
+    )
 
 
 def kind(v: Column) -> Column:
-    """null, boolean, integer, decimal, text, object or array."""
-    return let(
-        F.schema_of_variant(v),
-        lambda s: F.when(s.isNull() | (s == "VOID"), "null")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s == "BIGINT", "integer")
-        .when(s == "STRING", "text")
-        .when(s.startswith("OBJECT"), "object")
-        .when(s.startswith("ARRAY"), "array")
-        .otherwise("decimal"),
-    )
+    """The same of a VARIANT. Where it is asked for more than once, make the schema a column first."""
+    return kind_of(F.schema_of_variant(v))
+
+
+def is_kind(v: Column, name: str) -> Column:
+    """Whether a VARIANT is an object, an array, a text or a boolean, by one look at its schema."""
+    known = {"object": F.schema_of_variant(v).startswith("OBJECT"), "array": F.schema_of_variant(v).startswith("ARRAY")}
+    return known[name] if name in known else F.schema_of_variant(v) == {"text": "STRING", "boolean": "BOOLEAN"}[name]
 
 
 def text_of(v: Column) -> Column:
@@ -36,57 +45,86 @@ def text_of(v: Column) -> Column:
 
 def is_blank_text(v: Column) -> Column:
     """Not a text with anything but white space."""
-    return ~F.coalesce((kind(v) == "text") & text_of(v).rlike("[^\\s\\x1c-\\x1f\\x85]"), F.lit(False))
+    return ~F.coalesce(is_kind(v, "text") & text_of(v).rlike("[^\\s\\x1c-\\x1f\\x85]"), F.lit(False))
 
 
 def base_rule(rule: Column) -> Column:
     """The base type of a rule given as a VARIANT: a text, or an object with ``type`` (default string)."""
-    named = F.when(kind(rule) == "object", F.coalesce(F.try_variant_get(rule, "$.type", "string"), F.lit("string"))).otherwise(F.nullif(text_of(rule), F.lit("")))
-    return F.when(rule.isNotNull() & (kind(rule) != "null"), F.split_part(F.coalesce(named, F.lit("string")), F.lit(" or "), F.lit(1)))
+    named = F.when(is_kind(rule, "object"), F.coalesce(F.try_variant_get(rule, "$.type", "string"), F.lit("string"))).otherwise(F.nullif(text_of(rule), F.lit("")))
+    return F.when(rule.isNotNull() & ~F.is_variant_null(rule), F.split_part(F.coalesce(named, F.lit("string")), F.lit(" or "), F.lit(1)))
+
+
+#: Of a plain decimal, what its shortest spelling lacks: a plus, commas, zeros before and after, and an empty fraction.
+NEEDLESS = "^[+]|(?<=^[+-]?)[0,]+(?=[0-9])|,|[.]0*$|(?<=[.][0-9]{0,400}[1-9])0+$"
 
 
 def canonical(number: Column) -> Column:
     """One spelling for equal decimals of any length: no plus, no needless zeros, no negative zero."""
-    sign = F.when(number.startswith("-"), "-").otherwise("")
-    plain = F.regexp_replace(number, "^[+-]|,", "")
-    plain = F.when(plain.contains("."), F.regexp_replace(plain, "\\.?0*$", "")).otherwise(plain)
-    plain = F.regexp_replace(plain, "^0+(?=\\d)", "")
-    return F.when(plain == "0", plain).otherwise(F.concat(sign, plain))
-
-
-def typed(v: Column, rule: Column, unicode: bool = True) -> Column:
-    """struct(state, value): state is null, invalid, text or number. ``rule`` is a base rule, null for none.
-
-    Two values are the same where both parts are. Booleans, objects, arrays and infinite numbers are invalid;
-    a number rule takes plain or rightly grouped decimals, and no number that Python would print with an
-    exponent; a text rule takes texts only; without a rule numbers and texts stay what they are."""
-    given = text_of(v)
-    text = normalise(given, unicode)
-    parts = F.struct(
-        F.schema_of_variant(v).alias("s"), given.alias("given"), text.alias("text"), ascii_digits(text, unicode).alias("spelled"),
-        F.try_variant_get(v, "$", "double").alias("d"), F.try_variant_get(v, "$", "decimal(38,18)").cast("string").alias("plain"), rule.alias("rule"),
-    )
-    made = lambda state, value=None: F.struct(F.lit(state).alias("state"), (F.lit(None).cast("string") if value is None else value).alias("value"))
-
-    def judged(x: Column) -> Column:
-        is_text, is_integer = x["s"] == "STRING", x["s"] == "BIGINT"
-        is_null = x["s"].isNull() | (x["s"] == "VOID") | (is_text & x["text"].isNull())
-        is_float = ~is_text & ~is_integer
-        infinite = is_float & (F.isnan(x["d"]) | (F.abs(x["d"]) == F.lit(float("inf"))))
-        no_scalar = (x["s"] == "BOOLEAN") | x["s"].startswith("OBJECT") | x["s"].startswith("ARRAY")
-        exponent = is_float & (x["d"] != 0) & ((F.abs(x["d"]) >= 1e16) | (F.abs(x["d"]) < 1e-4))
-        digits = F.coalesce(x["plain"], F.format_string("%.0f", x["d"]))
-        spelled = F.when(is_text, x["spelled"]).when(is_integer, x["given"]).when(~exponent, digits)
-        number = let(spelled, lambda n: F.when(n.rlike(NUMBER), canonical(n)))
-        as_number = let(number, lambda n: F.when(n.isNotNull() & (~n.contains(".") | (x["rule"] != "integer")), made("number", n)).otherwise(made("invalid")))
-        legacy = F.when(is_integer, x["given"]).otherwise(digits)
+    return F.regexp_replace(F.regexp_replace(number, NEEDLESS, ""), "^-0$", "0")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The same rows. A filter on column ``name`` stays above this point; else the optimizer would write all that makes
+    the column a second time, into a filter below."""
+    return df.withColumn(name, F.explode_outer(F.array(F.col(name))))
+
+
+def with_typed(df: DataFrame, values: dict[str, Column], rule: Column, unicode: bool = True) -> DataFrame:
+    """Adds ``<name>_state`` and ``<name>_value`` for each named VARIANT. The state is null, invalid, text or number.
+
+    ``rule`` is a base rule, null for none. Two values are the same where state and value are. Booleans, objects, arrays
+    and infinite numbers are invalid. A number rule takes plain or rightly grouped decimals, and numbers as Python
+    prints them, so none that it prints with an exponent. A text rule takes texts only. Without a rule texts stay what
+    they are, and numbers are compared by value: integers as they are, others as doubles."""
+    spare = lambda n, part: f"__{n}_{part}"
+    of = lambda n, part: F.col(spare(n, part))
+
+    def step(df: DataFrame, **made) -> DataFrame:
+        return df.withColumns({spare(n, part): f(n) for part, f in made.items() for n in values})
+
+    df = df.withColumn("__rule", rule).withColumn("__digits", F.coalesce(F.col("__rule").isin("number", "integer"), F.lit(False)))
+    digits = F.col("__digits")
+    df = step(df, schema=lambda n: F.schema_of_variant(values[n]))
+    df = step(
+        df,
+        text=lambda n: F.when(of(n, "schema") == "STRING", text_of(values[n])),
+        # a whole decimal of fewer digits than a BIGINT was written with a point
+        whole=lambda n: F.when(of(n, "schema").rlike("^(BIGINT$|DECIMAL\\((19|[23][0-9]),0\\))"), text_of(values[n])),
+        double=lambda n: F.when(of(n, "schema").rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(values[n], "$", "double")),
+    )
+    if unicode:
+        # texts beyond ASCII alone reach Python, all values of a row in one batch
+        df = step(df, folded=lambda n: fold_digits_udf(F.when(~is_ascii(of(n, "text")), of(n, "text")), digits))
+    df = step(df, text=lambda n: F.coalesce(of(n, "folded"), normalise(F.when(is_ascii(of(n, "text")), of(n, "text")), False)) if unicode else normalise(of(n, "text"), False))
+
+    def spelled(n: str) -> Column:
+        """Under a number rule: a text, an integer, or a double that needs no exponent."""
+        d = of(n, "double")
+        plain = (F.abs(d) < 1e16) & ((F.abs(d) >= 1e-4) | (d == 0))
+        return F.when(digits, F.coalesce(of(n, "text"), of(n, "whole"), F.when(plain, d.cast("string").cast("decimal(38,21)").cast("string"))))
+
+    df = step(df, spelled=spelled)
+    df = step(df, number=lambda n: F.when(of(n, "spelled").rlike(NUMBER), canonical(of(n, "spelled"))))
+
+    def state(n: str) -> Column:
+        s, number, d = of(n, "schema"), of(n, "number"), of(n, "double")
+        infinite = F.isnan(d) | (F.abs(d) == F.lit(float("inf")))
         return (
-            F.when(is_null, made("null"))
-            .when(no_scalar | infinite, made("invalid"))
-            .when(x["rule"].isin("number", "integer"), as_number)
-            .when(is_text, made("text", x["text"]))
-            .when(x["rule"].isNotNull(), made("invalid"))
-            .otherwise(made("number", canonical(legacy)))
+            F.when(s.isNull() | (s == "VOID") | ((s == "STRING") & of(n, "text").isNull()), "null")
+            .when((s != "STRING") & of(n, "whole").isNull() & (d.isNull() | infinite), "invalid")
+            .when(digits, F.when(number.isNotNull() & (~number.contains(".") | (F.col("__rule") != "integer")), "number").otherwise("invalid"))
+            .when(s == "STRING", "text")
+            .when(F.col("__rule").isNotNull(), "invalid")
+            .otherwise("number")
         )
 
-    return let(parts, judged)
+    df = df.withColumns({f"{n}_state": state(n) for n in values})
+
+    def value(n: str) -> Column:
+        # without a rule: doubles that are whole are spelled as integers, all others by their shortest spelling
+        d = of(n, "double")
+        bare = F.coalesce(canonical(of(n, "whole")), F.when((d == F.floor(d)) & (F.abs(d) < 9e18), d.cast("bigint").cast("string")), d.cast("string"))
+        return F.when(F.col(f"{n}_state") == "text", of(n, "text")).when(F.col(f"{n}_state") == "number", F.coalesce(of(n, "number"), bare))
+
+    parts = ("schema", "text", "whole", "double", "folded", "spelled", "number")
+    return df.withColumns({f"{n}_value": value(n) for n in values}).drop("__rule", "__digits", *[spare(n, p) for n in values for p in parts])

@@ -52,16 +52,23 @@ def unpaired_fields(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, ["id", "field"], "left_anti").union(b.join(a, ["id", "field"], "left_anti"))
 
 
+def paired(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id, field, was, now_) of the fields that both runs scored, once each. Both runs go through one aggregate, which
+    needs no sort; rows of a run meet its own rows of the same field only there."""
+    of = lambda run, first: run.select("id", "field", F.when(F.lit(first), F.col("correct")).alias("was"), F.when(F.lit(not first), F.col("correct")).alias("now_"))
+    both = of(before, True).union(of(after, False)).groupBy("id", "field").agg(F.max("was").alias("was"), F.max("now_").alias("now_"))
+    return both.where("was is not null and now_ is not null")
+
+
 def paired_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(field, improved, regressed) over the fields that both runs scored; fields without a change stay, as 0."""
-    a = before.select("id", "field", F.col("correct").alias("was"))
-    b = after.select("id", "field", F.col("correct").alias("now_"))
-    return a.join(b, ["id", "field"]).groupBy("field").agg(F.count_if(~F.col("was") & F.col("now_")).alias("improved"), F.count_if(F.col("was") & ~F.col("now_")).alias("regressed"))
+    return paired(before, after).groupBy("field").agg(F.count_if(~F.col("was") & F.col("now_")).alias("improved"), F.count_if(F.col("was") & ~F.col("now_")).alias("regressed"))
 
 
 def field_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(id, field, before, after, improved) of the fields whose correctness changed."""
+    """(id, field, before, after, improved) of the fields whose correctness changed, one of each (id, field) a run.
+    Values travel only with fields that are wrong in one run and right in the other."""
     a = before.select("id", "field", F.col("predicted").alias("before"), F.col("correct").alias("was"))
     b = after.select("id", "field", F.col("predicted").alias("after"), F.col("correct").alias("now_"))
-    changed = a.join(b, ["id", "field"]).where(F.col("was") != F.col("now_"))
-    return changed.select("id", "field", "before", "after", F.col("now_").alias("improved"))
+    changed = a.join(b, (a["id"] == b["id"]) & (a["field"] == b["field"]) & (a["was"] != b["now_"]))
+    return changed.select(a["id"], a["field"], "before", "after", F.col("now_").alias("improved"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.values import kind, let, text_of
+from ..functions.values import is_kind, text_of
 
 #: Messages, the fence pattern and the label paths.
 EMPTY = "The model returned an empty response."
@@ -37,7 +37,7 @@ def first_object_udf(texts: pd.Series) -> pd.Series:
     """The text of the first JSON object that starts at any brace."""
     read = json.JSONDecoder().raw_decode
 
-    def first(text):
+    def first(text: str) -> str | None:
         at = text.find("{")
         while at >= 0:
             try:
@@ -55,26 +55,22 @@ def unfenced(raw: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(raw, FENCE, 1), F.lit("")), F.regexp_replace(raw, "(?U)^\\s+|\\s+$", ""))
 
 
-def first_object(text: Column, scan: bool = True) -> tuple[Column, Column]:
-    """(its text from the brace on, its VARIANT). The object at the first brace is found by built-ins; texts whose
+def first_object(text: Column, scan: bool = True) -> Column:
+    """Text of the first JSON object, from its brace on. That at the first brace is found by built-ins; texts whose
     first brace opens no object are scanned brace by brace in Python, and only they are sent there."""
     from_brace = F.when(F.instr(text, "{") > 0, F.substr(text, F.instr(text, "{")))
-    fast = F.try_parse_json(from_brace)
-    found = F.coalesce(kind(fast) == "object", F.lit(False))
+    found = F.coalesce(is_kind(F.try_parse_json(from_brace), "object"), F.lit(False))
     if not scan:
-        return F.when(found, from_brace), F.when(found, fast)
-    slow = first_object_udf(F.when(~found, from_brace))
-    chosen = F.when(found, from_brace).otherwise(slow)
-    return chosen, F.try_parse_json(chosen)
-
-
-def confidence(v: Column) -> Column:
-    """Clamped to [0, 1]; 0 for what is no finite number. Numeric texts count, true is 1."""
-    got = F.try_variant_get(v, "$.confidence", "variant")
-    number = F.when(kind(got) == "boolean", F.try_variant_get(got, "$", "boolean").cast("double")).otherwise(
-        F.when(kind(got) == "text", F.expr("try_cast(trim(try_variant_get(try_variant_get(_object, '$.confidence', 'variant'), '$', 'string')) as double)")).otherwise(
-            F.try_variant_get(got, "$", "double")
-        )
+        return F.when(found, from_brace)
+    return F.when(found, from_brace).otherwise(first_object_udf(F.when(~found, from_brace)))
+
+
+def confidence(schema: Column, v: Column) -> Column:
+    """Of a VARIANT and its schema: clamped to [0, 1]; 0 for what is no finite number. Numeric texts count, true is 1."""
+    number = (
+        F.when(schema == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+        .when(schema == "STRING", F.trim(text_of(v)).try_cast("double"))
+        .otherwise(F.try_variant_get(v, "$", "double"))
     )
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
     return F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).otherwise(F.lit(0.0))
@@ -82,15 +78,15 @@ def confidence(v: Column) -> Column:
 
 def _list_or_empty(name: str) -> Column:
     got = F.try_variant_get(F.col("_object"), f"$.{name}", "variant")
-    return F.when(kind(got) == "array", got).otherwise(F.parse_json(F.lit("[]")))
+    return F.when(is_kind(got, "array"), got).otherwise(F.parse_json(F.lit("[]")))
 
 
-def _answer() -> Column:
-    got = F.try_variant_get(F.col("_object"), "$.answer", "variant")
-    zero = F.try_variant_get(got, "$", "double") == 0
-    falsy = (kind(got) == "null") | ((kind(got) == "boolean") & ~F.try_variant_get(got, "$", "boolean")) | (kind(got).isin("integer", "decimal") & zero)
-    shown = F.when(kind(got) == "boolean", F.lit("True")).when(kind(got) == "text", text_of(got)).otherwise(F.to_json(got))
-    return F.when(F.coalesce(falsy, F.lit(True)), F.lit("")).otherwise(F.when(shown.isin("[]", "{}"), F.lit("")).otherwise(shown))
+def answer(schema: Column, v: Column) -> Column:
+    """Of a VARIANT and its schema: its text; empty for what Python takes for false."""
+    shown = F.when(schema == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True"))).when(schema == "STRING", text_of(v))
+    zero = F.coalesce(F.try_variant_get(v, "$", "double") == 0, F.lit(False))
+    other = F.when(~zero & (schema != "VOID"), F.nullif(F.nullif(F.to_json(v), F.lit("[]")), F.lit("{}")))
+    return F.coalesce(F.when(schema.isin("BOOLEAN", "STRING"), shown).otherwise(other), F.lit(""))
 
 
 def parse_output(df: DataFrame, raw: str = "raw_output", requested: str = "requested", scan: bool = True) -> DataFrame:
@@ -98,36 +94,40 @@ def parse_output(df: DataFrame, raw: str = "raw_output", requested: str = "reque
 
     ``requested`` holds the requested names. Fields lie under ``fields``, which must be an object, or, where there
     is no such key, beside it if any requested name does. A non-empty fields object without a requested name is
-    an error; an empty one means that all are null. The raw text stays."""
-    text = unfenced(F.col(raw))
-    body, parsed = first_object(F.col("_text"), scan)
+    an error; an empty one means that all are null. The raw text stays. What is used twice is a column first, so
+    each text is searched, and each object parsed, once a step."""
     blank = F.col(raw).isNull() | ~F.coalesce(F.col(raw).rlike("[^\\s\\x1c-\\x1f\\x85]"), F.lit(False))
-    df = df.withColumn("_text", text).withColumn("_body", body).withColumn("_object", F.try_parse_json("_body"))
-    keys = F.coalesce(F.json_object_keys("_body"), F.array().cast("array<string>"))
-    got = F.try_variant_get(F.col("_object"), "$.fields", "variant")
-    df = df.withColumns({"_keys": keys, "_fields": got})
-    nested = F.array_contains("_keys", "fields")
-    inner = F.coalesce(F.json_object_keys(F.to_json("_fields")), F.array().cast("array<string>"))
+    df = df.withColumn("_text", unfenced(F.col(raw))).withColumn("_body", first_object(F.col("_text"), scan)).withColumn("_object", F.try_parse_json("_body"))
+    part = lambda name: F.try_variant_get(F.col("_object"), f"$.{name}", "variant")
+    df = df.withColumns({"_keys": F.coalesce(F.json_object_keys("_body"), F.array().cast("array<string>")), "_fields": part("fields"), "_confidence": part("confidence"), "_answer": part("answer")})
+    df = df.withColumns(
+        {
+            "_nested": F.array_contains("_keys", "fields"), "_fields_schema": F.schema_of_variant("_fields"),
+            "_confidence_schema": F.schema_of_variant("_confidence"), "_answer_schema": F.schema_of_variant("_answer"),
+            "_inner": F.coalesce(F.json_object_keys(F.to_json("_fields")), F.array().cast("array<string>")),
+        }
+    )
+    nested = F.col("_nested")
     names = F.size(F.coalesce(F.col(requested), F.array().cast("array<string>"))) > 0
     error = (
         F.when(blank, EMPTY)
         .when(F.col("_object").isNull(), NO_OBJECT)
-        .when(nested & (kind(F.col("_fields")) != "object"), NOT_FIELDS)
+        .when(nested & ~F.coalesce(F.col("_fields_schema").startswith("OBJECT"), F.lit(False)), NOT_FIELDS)
         .when(~nested & ~(names & F.coalesce(F.arrays_overlap("_keys", requested), F.lit(False))), NO_FIELDS)
-        .when(nested & names & (F.size(inner) > 0) & ~F.coalesce(F.arrays_overlap(inner, F.col(requested)), F.lit(False)), NO_NAMES)
+        .when(nested & names & (F.size("_inner") > 0) & ~F.coalesce(F.arrays_overlap("_inner", F.col(requested)), F.lit(False)), NO_NAMES)
     )
     df = df.withColumn("parse_error", error)
     ok = F.col("parse_error").isNull()
     return df.withColumns(
         {
             "fields": F.when(ok, F.when(nested, F.col("_fields")).otherwise(F.col("_object"))),
-            "document_type": F.when(ok, F.try_variant_get("_object", "$.document_type", "variant")),
-            "answer": F.when(ok, _answer()),
+            "document_type": F.when(ok, part("document_type")),
+            "answer": F.when(ok, answer(F.col("_answer_schema"), F.col("_answer"))),
             "evidence": F.when(ok, _list_or_empty("evidence")),
             "uncertainties": F.when(ok, _list_or_empty("uncertainties")),
-            "confidence": F.when(ok, confidence(F.col("_object"))),
+            "confidence": F.when(ok, confidence(F.col("_confidence_schema"), F.col("_confidence"))),
         }
-    ).drop("_text", "_body", "_object", "_keys", "_fields")
+    ).drop("_text", "_body", "_object", "_keys", "_fields", "_confidence", "_answer", "_nested", "_fields_schema", "_confidence_schema", "_answer_schema", "_inner")
 
 
 def field_value(fields: Column, name: Column) -> Column:
@@ -141,25 +141,25 @@ def map_labels(df: DataFrame, truth: str = "ground_truth") -> DataFrame:
     row without any label are rejected, for the first reason in the order of the fields."""
     given = F.col(truth) if df.schema[truth].dataType.typeName() == "variant" else F.try_parse_json(truth)
     df = df.withColumn("_gt", F.try_variant_get(given, "$.gt_parse", "variant"))
-    items = []
-    for field, (group, key) in FIELD_PATHS.items():
-        part, value = F.try_variant_get("_gt", f"$.{group}", "variant"), F.try_variant_get("_gt", f"$.{group}.{key}", "variant")
-        seen = F.struct(part.isNotNull().alias("has"), kind(part).alias("part"), kind(value).alias("kind"), text_of(value).alias("text"))
-
-        def judged(x: Column) -> Column:  # used at once, so the loop's names are this turn's
-            written = (x["kind"] == "text") & x["text"].rlike("[^\\s\\x1c-\\x1f\\x85]")
-            problem = F.when(x["has"] & (x["part"] != "object"), REPEATED_GROUP + group).when((x["kind"] != "null") & ~written, f"{NO_TEXT_LABEL}{group}.{key}")
-            return F.struct(problem.alias("problem"), F.lit(field).alias("key"), F.when(written, x["text"]).alias("value"))
-
-        items.append(let(seen, judged))
-
-    def mapped(found: Column) -> Column:
-        problems = F.filter(found, lambda x: x["problem"].isNotNull())
-        labels = F.transform(F.filter(found, lambda x: x["value"].isNotNull()), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
-        reject = F.coalesce(F.get(problems, F.lit(0))["problem"], F.when(F.size(labels) == 0, NO_LABELS))
-        return F.struct(reject.alias("reject"), labels.alias("labels"))
-
-    truth_missing = F.when(kind(F.col("_gt")) != "object", NO_TRUTH)
-    df = df.withColumn("_found", let(F.array(*items), mapped))
-    reject = F.coalesce(truth_missing, F.col("_found.reject"))
-    return df.withColumn("reject", reject).withColumn("expected", F.when(F.col("reject").isNull(), F.map_from_entries("_found.labels"))).drop("_gt", "_found")
+    at = lambda path: F.try_variant_get("_gt", path, "variant")
+    groups = list(dict.fromkeys(group for group, _ in FIELD_PATHS.values()))
+    # one look at each group and at each label, then one at what was seen of them
+    df = df.withColumns(
+        {"_gt_schema": F.schema_of_variant("_gt")}
+        | {f"_is_{g}": F.schema_of_variant(at(f"$.{g}")) for g in groups}
+        | {f"_as_{f}": F.schema_of_variant(at(f"$.{g}.{k}")) for f, (g, k) in FIELD_PATHS.items()}
+        | {f"_of_{f}": F.try_variant_get("_gt", f"$.{g}.{k}", "string") for f, (g, k) in FIELD_PATHS.items()}
+    )
+    no, problems = F.lit(False), []
+    written = lambda f: F.coalesce((F.col(f"_as_{f}") == "STRING") & F.col(f"_of_{f}").rlike("[^\\s\\x1c-\\x1f\\x85]"), no)
+    df = df.withColumns({f"_has_{f}": written(f) for f in FIELD_PATHS})
+    for f, (g, k) in FIELD_PATHS.items():
+        group, label = F.col(f"_is_{g}"), F.col(f"_as_{f}")
+        problems.append(F.when(group.isNotNull() & ~group.startswith("OBJECT"), REPEATED_GROUP + g))
+        problems.append(F.when(label.isNotNull() & (label != "VOID") & ~F.col(f"_has_{f}"), f"{NO_TEXT_LABEL}{g}.{k}"))
+    truth_missing = F.when(~F.coalesce(F.col("_gt_schema").startswith("OBJECT"), no), NO_TRUTH)
+    none = F.when(~F.greatest(*[F.col(f"_has_{f}") for f in FIELD_PATHS]), NO_LABELS)
+    df = df.withColumn("reject", F.coalesce(truth_missing, *problems, none))
+    entries = F.filter(F.array(*[F.struct(F.lit(f).alias("key"), F.when(F.col(f"_has_{f}"), F.col(f"_of_{f}")).alias("value")) for f in FIELD_PATHS]), lambda x: x["value"].isNotNull())
+    spare = [f"_{p}_{f}" for f in FIELD_PATHS for p in ("as", "of", "has")] + [f"_is_{g}" for g in groups]
+    return df.withColumn("expected", F.when(F.col("reject").isNull(), F.map_from_entries(entries))).drop("_gt", "_gt_schema", *spare)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import compatible
-from ..functions.values import kind, let, text_of
+from ..functions.values import settled, text_of
 from .parse import FIELD_PATHS
 
 #: Amount fields, reasons, placeholders and policies.
@@ -20,27 +20,31 @@ POLICIES = ("none", "invalid-amount-v1", "percent-crop-v1", "label-context-v1")
 PERCENT_ONLY = ("percent-crop-v1", "label-context-v1")
 
 
-def reason(field: Column, rule: Column, value: Column, unicode: bool = True) -> Column:
-    """Why a predicted amount (VARIANT) needs review, or null. Only amounts whose whole rule is the text rule are
-    looked at; labels are never consulted."""
-    asked = field.isin(*AMOUNT_FIELDS) & (rule == TEXT_AMOUNT)
-    parts = F.struct(kind(value).alias("kind"), compatible(text_of(value), unicode).alias("text"))
+def with_reason(df: DataFrame, values: dict[str, str], unicode: bool = True) -> DataFrame:
+    """Adds, under each name, why a predicted amount (the VARIANT column of that name's value) needs review, or null.
+    Only amounts whose whole rule is the text rule are looked at; labels are never consulted. ``df`` has field and
+    rule_text."""
+    asked = F.col("field").isin(*AMOUNT_FIELDS) & (F.col("rule_text") == TEXT_AMOUNT)
+    df = df.withColumns({f"__{n}_schema": F.when(asked, F.schema_of_variant(c)) for n, c in values.items()})
+    df = df.withColumns({f"__{n}_text": F.when(F.col(f"__{n}_schema") == "STRING", text_of(F.col(c))) for n, c in values.items()})
+    df = df.withColumns({f"__{n}_text": compatible(F.col(f"__{n}_text"), unicode) for n in values})
 
-    def shown(x: Column) -> Column:
+    def shown(n: str) -> Column:
+        schema, text = F.col(f"__{n}_schema"), F.col(f"__{n}_text")
         return (
-            F.when(x["kind"] == "null", F.lit(None).cast("string"))
-            .when(x["kind"] != "text", NOT_TEXT)
-            .when(x["text"].contains("%"), PERCENT)
-            .when(F.lower(x["text"]).isin(*PLACEHOLDERS), PLACEHOLDER)
-            .when(~x["text"].rlike("\\p{Nd}"), NO_DIGITS)
+            F.when(schema.isNull() | (schema == "VOID"), F.lit(None).cast("string"))
+            .when(schema != "STRING", NOT_TEXT)
+            .when(text.contains("%"), PERCENT)
+            .when(F.lower(text).isin(*PLACEHOLDERS), PLACEHOLDER)
+            .when(~text.rlike("\\p{Nd}"), NO_DIGITS)
         )
 
-    return F.when(asked, let(parts, shown))
+    return df.withColumns({n: shown(n) for n in values}).drop(*[f"__{n}_{p}" for n in values for p in ("schema", "text")])
 
 
 def flags(long: DataFrame, unicode: bool = True) -> DataFrame:
-    """(…, field, reason, predicted) of the flagged rows of (id, field, rule text, predicted VARIANT)."""
-    return long.withColumn("reason", reason(F.col("field"), F.col("rule_text"), F.col("predicted"), unicode)).where("reason is not null")
+    """(…, field, reason, predicted) of the flagged rows of (id, field, rule_text, predicted VARIANT)."""
+    return settled(with_reason(long, {"reason": "predicted"}, unicode), "reason").where("reason is not null")
 
 
 def asked_again(long: DataFrame, unicode: bool = True) -> DataFrame:
@@ -55,13 +59,11 @@ def merge(long: DataFrame, unicode: bool = True) -> DataFrame:
     ``long``: id, policy, field, rule_text, predicted, second (VARIANT), second_error. A second value is accepted
     if it has no flag itself (and, for the crop policy, is not null); a failed second request changes nothing.
     Adds asked, accepted, merged, reason (of the first value) and merged_reason."""
-    first = reason(F.col("field"), F.col("rule_text"), F.col("predicted"), unicode)
-    again = reason(F.col("field"), F.col("rule_text"), F.col("second"), unicode)
     policy = F.col("policy")
     asked = F.col("reason").isNotNull() & (policy != "none") & (~policy.isin(*PERCENT_ONLY) | (F.col("reason") == PERCENT))
-    absent = F.col("second").isNull() | (kind(F.col("second")) == "null")
+    absent = F.col("second").isNull() | F.is_variant_null("second")
     fine = F.col("second_error").isNull() & F.col("_again").isNull() & ~((policy == "percent-crop-v1") & absent)
-    out = long.withColumns({"reason": first, "_again": again}).withColumn("asked", asked).withColumn("accepted", F.col("asked") & fine)
+    out = with_reason(long, {"reason": "predicted", "_again": "second"}, unicode).withColumn("asked", asked).withColumn("accepted", F.col("asked") & fine)
     merged = F.when(F.col("accepted"), F.col("second")).otherwise(F.col("predicted"))
     out = out.withColumn("merged", merged).withColumn("merged_reason", F.when(F.col("accepted"), F.col("_again")).otherwise(F.col("reason")))
     return out.drop("_again")

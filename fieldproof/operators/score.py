@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import base_rule, let, typed
+from ..functions.values import base_rule, settled, with_typed
 
 #: The names of categories.
 CORRECT, MISSING, UNEXPECTED, MISMATCH, INVALID, FAILED = (
@@ -13,16 +13,12 @@ CORRECT, MISSING, UNEXPECTED, MISMATCH, INVALID, FAILED = (
 )
 
 
-def category(expected: Column, predicted: Column) -> Column:
-    """Category of two typed values: an invalid prediction first, then equality (null equals null)."""
-    return let(
-        F.struct(expected.alias("e"), predicted.alias("p")),
-        lambda x: F.when(x["p"]["state"] == "invalid", INVALID)
-        .when(x["e"].eqNullSafe(x["p"]), CORRECT)
-        .when(x["p"]["state"] == "null", MISSING)
-        .when(x["e"]["state"] == "null", UNEXPECTED)
-        .otherwise(MISMATCH),
-    )
+def category(expected: str = "_e", predicted: str = "_p") -> Column:
+    """Category of two typed values, by the names under which ``with_typed`` added them: an invalid prediction first,
+    then equality (null equals null)."""
+    e, p = F.col(f"{expected}_state"), F.col(f"{predicted}_state")
+    same = (e == p) & F.col(f"{expected}_value").eqNullSafe(F.col(f"{predicted}_value"))
+    return F.when(p == "invalid", INVALID).when(same, CORRECT).when(p == "null", MISSING).when(e == "null", UNEXPECTED).otherwise(MISMATCH)
 
 
 def score_long(fields: DataFrame, unicode: bool = True) -> DataFrame:
@@ -30,14 +26,12 @@ def score_long(fields: DataFrame, unicode: bool = True) -> DataFrame:
 
     ``rule`` is a base rule or null. Where ``error`` is not null the document failed: its fields are wrong,
     whatever they hold. Row by row, no shuffle."""
-    e = typed(F.col("expected"), F.col("rule"), unicode)
-    p = typed(F.col("predicted"), F.col("rule"), unicode)
-    named = F.when(F.col("error").isNotNull(), FAILED).otherwise(category(F.col("_e"), F.col("_p")))
+    typed = with_typed(fields, {"_e": F.col("expected"), "_p": F.col("predicted")}, F.col("rule"), unicode)
+    named = F.when(F.col("error").isNotNull(), FAILED).otherwise(category())
     return (
-        fields.withColumns({"_e": e, "_p": p})
-        .withColumn("category", named)
-        .withColumns({"correct": F.col("category") == CORRECT, "expected_present": F.col("_e.state") != "null"})
-        .drop("_e", "_p")
+        settled(typed.withColumn("category", named), "category")
+        .withColumns({"correct": F.col("category") == CORRECT, "expected_present": F.col("_e_state") != "null"})
+        .drop("_e_state", "_e_value", "_p_state", "_p_value")
     )
 
 
@@ -63,8 +57,12 @@ def details(documents: DataFrame, unicode: bool = True) -> DataFrame:
 
 
 def per_document(long: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Correct and total fields of each document, its accuracy and field_results."""
+    """Correct and total fields of each document, its accuracy, and in label order field_results and details."""
     total = F.count("*")
     correct = F.count_if("correct")
-    results = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "correct"))))
-    return long.groupBy(*by).agg(correct.alias("correct"), total.alias("total"), F.try_divide(correct, total).alias("accuracy"), results.alias("field_results"))
+    has = {"expected", "predicted", "category", "expected_present"} <= set(long.columns)
+    detail = [F.struct("correct", "category", "expected", "predicted", "expected_present").alias("detail")] if has else []
+    listed = F.array_sort(F.collect_list(F.struct("pos", "field", "correct", *detail)), lambda a, b: a["pos"] - b["pos"])
+    out = long.groupBy(*by).agg(correct.alias("correct"), total.alias("total"), F.try_divide(correct, total).alias("accuracy"), listed.alias("_listed"))
+    mapped = lambda part: F.map_from_entries(F.transform("_listed", lambda x: F.struct(x["field"], x[part])))
+    return out.withColumns({"field_results": mapped("correct")} | ({"details": mapped("detail")} if has else {})).drop("_listed")

@@ -12,9 +12,19 @@ SPLIT_LIMITS = {"validation": 20, "test": 100}
 
 
 def offset_limit(rows: DataFrame, offset: int = 0, limit: int | None = None, order: str = "line_no") -> DataFrame:
-    """Rows from ``offset`` on, ``limit`` of them at most, in file order."""
-    out = rows.orderBy(order).offset(offset)
-    return out if limit is None else out.limit(limit)
+    """Rows from ``offset`` on, ``limit`` of them at most, in file order. ``order`` differs from row to row.
+
+    The places where the selection begins and ends are found first, among the first rows alone (each task sends no more
+    of them than are asked for); the selection itself is a filter, so all that follows stays distributed."""
+
+    def place(n: int):
+        return rows.select(order).orderBy(order).limit(n).agg(F.max(order)).first()[0] if n else None
+
+    start, end = place(offset), None if limit is None else place(offset + limit)
+    if limit is not None and end is None:
+        return rows.where("false")
+    out = rows if start is None else rows.where(F.col(order) > start)
+    return out if limit is None else out.where(F.col(order) <= end)
 
 
 def numbered(rows: DataFrame, order: list[str], prefix: str, split: str) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import base_rule, is_blank_text, kind, typed
+from ..functions.values import base_rule, is_blank_text, is_kind, settled, with_typed
 from .review import AMOUNT_FIELDS, POLICIES, TEXT_AMOUNT
 
 #: Messages, profiles and shapes.
@@ -29,14 +28,6 @@ def _keys(name: str) -> Column:
     return F.coalesce(F.json_object_keys(F.to_json(name)), F.array().cast("array<string>"))
 
 
-def label_problem(unicode: bool = True) -> Column:
-    """Whether any label fails its own rule, from columns expected_fields and field_schema (VARIANT)."""
-    path = lambda k: F.concat(F.lit("$['"), k, F.lit("']"))
-    value = lambda k: F.try_variant_get(F.col("expected_fields"), path(k), "variant")
-    rule = lambda k: F.try_variant_get(F.col("field_schema"), path(k), "variant")
-    return F.exists(_keys("expected_fields"), lambda k: typed(value(k), base_rule(rule(k)), unicode)["state"] == "invalid")
-
-
 def row_problems(rows: DataFrame) -> DataFrame:
     """(line_no, id, reason) of rows that are not admitted, except for labels' own types and images.
 
@@ -44,13 +35,15 @@ def row_problems(rows: DataFrame) -> DataFrame:
     got = lambda k, t="variant": F.try_variant_get(F.col("row"), f"$.{k}", t)
     each = rows.withColumns({"id": got("id"), "expected_fields": got("expected_fields"), "field_schema": got("field_schema")})
     name = F.try_variant_get("id", "$", "string")
-    # only rows of the same id meet; the first in file order stays
-    seen = F.row_number().over(Window.partitionBy(name).orderBy("line_no")) > 1
-    each = each.withColumn("_again", seen & name.isNotNull())
-    is_object = lambda c: F.coalesce(kind(F.col(c)) == "object", F.lit(False))
+    # the first in file order stays; its place is found by an aggregate that combines before its shuffle, so that an
+    # id that many rows share meets only as a key of a join, which can be split; rows without an id are spread out
+    each = each.withColumn("_key", F.coalesce(name, F.concat(F.lit("\x00"), F.col("line_no").cast("string"))))
+    first = each.where(name.isNotNull()).groupBy("_key").agg(F.min("line_no").alias("_first"))
+    each = each.join(first, "_key", "left").withColumn("_again", name.isNotNull() & (F.col("line_no") > F.col("_first")))
+    is_object = lambda c: F.coalesce(is_kind(F.col(c), "object"), F.lit(False))
     reason = (
         F.when(F.col("row").isNull(), BAD_JSON)
-        .when(kind(F.col("row")) != "object", NOT_OBJECT)
+        .when(~is_kind(F.col("row"), "object"), NOT_OBJECT)
         .when(is_blank_text(F.col("id")) | F.col("_again"), BAD_ID)
         .when(is_blank_text(got("image")), "Missing image")
         .when(is_blank_text(got("question")), "Missing question")
@@ -65,8 +58,8 @@ def label_problems(rows: DataFrame, unicode: bool = True) -> DataFrame:
     Labels are scored as rows, so the fallback for texts beyond ASCII can run."""
     path = F.concat(F.lit("$['"), F.col("field"), F.lit("']"))
     each = rows.select("line_no", "id", "field_schema", "expected_fields", F.explode(_keys("expected_fields")).alias("field"))
-    state = typed(F.try_variant_get("expected_fields", path, "variant"), base_rule(F.try_variant_get("field_schema", path, "variant")), unicode)["state"]
-    return each.where(state == "invalid").select("line_no", "id", F.lit(BAD_LABEL).alias("reason")).distinct()
+    each = with_typed(each, {"_v": F.try_variant_get("expected_fields", path, "variant")}, base_rule(F.try_variant_get("field_schema", path, "variant")), unicode)
+    return settled(each, "_v_state").where("_v_state = 'invalid'").select("line_no", "id", F.lit(BAD_LABEL).alias("reason")).distinct()
 
 
 def missing_images(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -95,10 +88,16 @@ def require_none(problems: DataFrame, file: str = "dataset") -> None:
         raise ValueError(f"{file}:{first[0]['line_no']}: {first[0]['reason']}")
 
 
-def prediction_problem(prediction: Column) -> Column:
-    """An error unless a prediction (VARIANT) holds an object ``fields``."""
-    good = F.coalesce(kind(F.try_variant_get(prediction, "$.fields", "variant")) == "object", F.lit(False))
-    return F.when(~good, F.lit("ValueError: Prediction must contain a fields object"))
+#: Errors of a prediction.
+NO_FIELDS_OBJECT = "ValueError: Prediction must contain a fields object"
+NOT_FINITE = "ValueError: Out of range float values are not JSON compliant"
+
+
+def prediction_problem(prediction: Column, huge: Column | None = None) -> Column:
+    """An error unless a prediction (VARIANT) holds an object ``fields`` and, by ``huge``, its text no number beyond a
+    double (``text.overflows``)."""
+    good = F.coalesce(is_kind(F.try_variant_get(prediction, "$.fields", "variant"), "object"), F.lit(False))
+    return F.when(~good, F.lit(NO_FIELDS_OBJECT)).when(F.lit(False) if huge is None else huge, F.lit(NOT_FINITE))
 
 
 def check_selection(offset: int = 0, limit: int | None = None) -> None:
@@ -161,7 +160,3 @@ def new_directory(path: str | Path) -> Path:
         raise ValueError("Output already exists; choose a new directory")
     path.mkdir(parents=True)
     return path
-
-
-def is_revision(text: str) -> bool:
-    return re.fullmatch(REVISION, text) is not None

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.values import with_typed
 from ..operators import compare as C
 from ..operators import metrics as M
 from ..operators import parse as P
@@ -23,7 +24,8 @@ O: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        Q[f.__name__] = f
+        # the package goes to the Python workers, which meet texts beyond ASCII
+        Q[f.__name__] = lambda spark, d: f(ship(spark), d)
         if sql:
             O[f.__name__] = sql
         return f
@@ -36,7 +38,7 @@ def _with(*parts: str) -> str:
 
 
 def _scored(spark: SparkSession, d: str, **o) -> DataFrame:
-    return score_long(X.long(spark, d, **o), unicode=False)
+    return score_long(X.long(spark, d, **o))
 
 
 def _ratio(c: str):
@@ -67,7 +69,7 @@ _NUM = "regexp_full_match({0}, '[+-]?([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)([.][0-9
   count(*) AS n FROM n1 GROUP BY ALL"""
 )
 def typed_numeric_scoring(spark, d):
-    return score_long(X.numeric(spark, d), unicode=False).groupBy("rule", "category").agg(F.count("*").alias("n"))
+    return score_long(X.numeric(spark, d)).groupBy("rule", "category").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -76,11 +78,10 @@ def typed_numeric_scoring(spark, d):
 )
 def typed_json_numbers(spark, d):
     """Numbers of JSON values (not texts) under an integer rule, and two number values compared."""
-    from ..functions.values import typed
-
     rows = X.table(spark, d, "lineitem").select(F.col("l_quantity").cast("variant").alias("q"), F.col("l_extendedprice").cast("variant").alias("x"))
-    one = rows.select(typed(F.col("q"), F.lit("integer"), False).alias("i"), typed(F.col("q"), F.lit("number"), False).alias("a"), typed(F.col("x"), F.lit("number"), False).alias("b"))
-    return one.agg(F.count("*").alias("n"), F.count_if(F.col("i.state") == "number").alias("whole"), F.count_if(F.col("a") == F.col("b")).alias("equal"))
+    one = with_typed(with_typed(rows, {"i": F.col("q")}, F.lit("integer")), {"a": F.col("q"), "b": F.col("x")}, F.lit("number"))
+    same = (F.col("a_state") == F.col("b_state")) & (F.col("a_value") == F.col("b_value"))
+    return one.agg(F.count("*").alias("n"), F.count_if(F.col("i_state") == "number").alias("whole"), F.count_if(same).alias("equal"))
 
 
 _SHARE = "round(count(*) FILTER (WHERE {0}) / count(*)::DOUBLE, 6)"
@@ -180,15 +181,13 @@ r AS (SELECT k, k % 6 AS form, t, CASE WHEN k % 6 = 4 THEN 'The response did not
 
 @query(_TEXTS + "SELECT k, form, CASE WHEN form < 4 THEN t END AS total_amount, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN form < 3 THEN 'paid' WHEN form = 3 THEN '' END AS answer, parse_error FROM r")
 def parse_model_text(spark, d):
-    out = P.parse_output(X.model_texts(spark, d), scan=False)
+    out = P.parse_output(X.model_texts(spark, d))
     total = F.try_variant_get(P.field_value(F.col("fields"), F.lit("total_amount")), "$", "string")
     return out.select("k", "form", total.alias("total_amount"), "confidence", "answer", "parse_error")
 
 
 @query(_TEXTS + "SELECT form, parse_error, count(*) AS n FROM r GROUP BY ALL")
 def parse_errors(spark, d):
-    """With the scan of every brace in Python for texts whose first brace opens no object."""
-    ship(spark)
     return P.parse_output(X.model_texts(spark, d)).groupBy("form", "parse_error").agg(F.count("*").alias("n"))
 
 
@@ -258,7 +257,7 @@ def label_type_violations(spark, d):
         F.col("p_partkey").alias("line_no"), F.col("p_partkey").alias("id"), F.parse_json(F.lit('{"size": "integer or null"}')).alias("field_schema"),
         F.parse_json(F.concat(F.lit('{"size": "'), value, F.lit('"}'))).alias("expected_fields"),
     )
-    return V.label_problems(rows, unicode=False).select(F.col("id").alias("k"))
+    return V.label_problems(rows).select(F.col("id").alias("k"))
 
 
 @query("SELECT o_orderkey AS line_no, o_custkey FROM orders ORDER BY o_orderkey LIMIT 80 OFFSET 20")
@@ -298,12 +297,12 @@ _REASON = """CASE WHEN {0} IS NULL THEN NULL WHEN contains(trim({0}), '%') THEN
 
 @query(_with(X.sql_scored(), f"r AS (SELECT *, {_REASON.format('predicted')} AS reason FROM s)") + "SELECT k AS id, field, reason FROM r WHERE reason IS NOT NULL")
 def review_flags(spark, d):
-    return R.flags(X.long(spark, d), unicode=False).select("id", "field", "reason")
+    return R.flags(X.long(spark, d)).select("id", "field", "reason")
 
 
 @query(_with(X.sql_scored(), f"r AS (SELECT *, {_REASON.format('predicted')} AS reason FROM s)") + "SELECT reason, count(*) AS n, count(DISTINCT k) AS documents FROM r WHERE reason IS NOT NULL GROUP BY reason")
 def review_flag_counts(spark, d):
-    each = R.flags(X.long(spark, d), unicode=False).groupBy("reason", "id").agg(F.count("*").alias("n"))
+    each = R.flags(X.long(spark, d)).groupBy("reason", "id").agg(F.count("*").alias("n"))
     return each.groupBy("reason").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
 
 
@@ -316,7 +315,7 @@ def _rechecked(spark, d):
         F.col("k").alias("id"), "field", F.lit("string or null").alias("rule_text"), X.predicted().cast("variant").alias("predicted"), F.expr(_SECOND).cast("variant").alias("second"),
         F.expr(_POLICY).alias("policy"), F.expr("if(k % 10 = 9, 'failed', cast(null as string))").alias("second_error"),
     )
-    return R.merge(rows, unicode=False)
+    return R.merge(rows)
 
 
 _MERGED = [
@@ -425,7 +424,6 @@ def crop_box(spark, d):
 
 @query("SELECT doc_id, nullif(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss'), '') AS folded FROM documents")
 def text_normalise(spark, d):
-    ship(spark)
     return X.table(spark, d, "documents").select("doc_id", T.normalise(F.col("text")).alias("folded"))
 
 
@@ -464,7 +462,7 @@ def label_quality_join(spark, d):
     both = docs.join(labels, "doc_id").withColumns(
         {"expected": F.when(F.col("quality") == 1, "good").otherwise("bad").cast("variant"), "predicted": F.when(F.col("n_chars") > 800, "Good ").otherwise("BAD").cast("variant"), "rule": F.lit("string"), "error": F.lit(None).cast("string")}
     )
-    return score_long(both, unicode=False).groupBy("quality").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"))
+    return score_long(both).groupBy("quality").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"))
 
 
 @query(

@@ -1,9 +1,15 @@
-"""Evaluation of a dataset from start to end: live, dry run or replay; then comparison of runs."""
+"""Evaluation of a dataset from start to end: live, dry run or replay.
+
+A run is a new directory. ``facts`` (one row per labelled field) and ``documents`` (one row per document) are Parquet and
+hold all that comparisons and aggregates read; run.json, the JSON lines, the sheets and the summary are exports for
+people, written one partition at a time.
+"""
 
 from __future__ import annotations
 
 import argparse
 import hashlib
+import importlib
 import json
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -12,14 +18,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare as C
+from ..functions.values import is_kind
 from ..operators import metrics as M
-from ..operators import review as R
 from ..operators import validate as V
 from ..operators.infer import Analyzer, infer
 from ..operators.score import details, per_document
-from ..operators.select import offset_limit
+from ..operators.select import SPLIT_LIMITS, offset_limit
+from ..session import drop, durable, ship
 from ..sources import readers, sinks
+from .recheck import answers, reread
 
 #: Messages.
 EMPTY = "Dataset is empty"
@@ -29,6 +36,7 @@ INCOMPLETE = "Saved predictions are missing selected dataset IDs"
 NO_MANIFEST = "Replay requires the source run.json beside predictions.jsonl"
 OTHER_DATASET = "Saved predictions use a different dataset fingerprint"
 NO_FIXTURES = "--dry-run requires fixtures; it cannot evaluate real data"
+NO_ANALYZER = "a live run needs --analyzer module:name"
 RECORDED = "Recorded failure: "
 
 
@@ -59,71 +67,83 @@ def select(rows: DataFrame, info: dict, offset: int = 0, limit: int | None = Non
 
 
 def replayed(rows: DataFrame, saved: DataFrame) -> DataFrame:
-    """(id, prediction, error) of the selected rows; recorded failures stay failures."""
+    """(id, prediction, error, …) of the selected rows; recorded failures stay failures."""
     if not V.duplicates(saved, "id").isEmpty():
         raise ValueError(DUPLICATES)
     if not V.absent(rows, saved, "id").isEmpty():
         raise ValueError(INCOMPLETE)
     failed = F.when(F.col("recorded_error").isNotNull(), F.concat(F.lit("ValueError: " + RECORDED), F.col("recorded_error")))
-    return rows.select("id").join(saved, "id").select("id", "prediction", failed.alias("error"), "wall_seconds", F.lit(None).cast("string").alias("raw_error_output"))
+    return rows.select("id").join(saved, "id").select("id", "prediction", failed.alias("error"), "wall_seconds", F.lit(None).cast("string").alias("raw_error_output"), "huge")
 
 
 def results(rows: DataFrame, predicted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fact table, documents) of rows and their predictions (id, prediction VARIANT, error, wall_seconds)."""
-    both = rows.join(predicted, "id")
-    error = F.coalesce("error", V.prediction_problem(F.col("prediction")))
+    """(fact table, documents) of rows and their predictions (id, prediction VARIANT, error, wall_seconds, huge)."""
+    both = rows.drop("huge").join(predicted, "id")
+    error = F.coalesce("error", V.prediction_problem(F.col("prediction"), F.col("huge")))
     documents = both.withColumn("error", error).withColumn("fields", F.when(error.isNull(), F.try_variant_get("prediction", "$.fields", "variant")))
-    long = details(documents)
-    return long, documents
+    return details(documents), documents
 
 
 def flagged(documents: DataFrame) -> DataFrame:
-    """Flags recorded in the predictions, one row each."""
+    """Flags in the predictions, one row each."""
     recorded = F.from_json(F.to_json(F.try_variant_get("prediction", "$.review_flags", "variant")), "array<struct<field:string,reason:string,value:variant>>")
     each = documents.where("error is null").select("id", "image", "doc_pos", F.posexplode(recorded).alias("pos", "f"))
     return each.select("id", "image", "doc_pos", "pos", "f.field", "f.reason", F.col("f.value").alias("predicted"))
 
 
-def flags_of(documents: DataFrame, unicode: bool = True) -> DataFrame:
-    """Flags of predictions, newly made."""
-    path = F.concat(F.lit("$['"), F.col("field"), F.lit("']"))
-    names = F.coalesce(F.json_object_keys(F.to_json("field_schema")), F.array().cast("array<string>"))
-    each = documents.where("error is null").select("id", "image", "doc_pos", "fields", "field_schema", F.posexplode(names).alias("pos", "field"))
-    long = each.withColumns({"rule_text": F.try_variant_get(F.try_variant_get("field_schema", path, "variant"), "$", "string"), "predicted": F.try_variant_get("fields", path, "variant")})
-    return R.flags(long, unicode).select("id", "image", "doc_pos", "pos", "field", "reason", "predicted")
-
-
 def summarise(long: DataFrame, documents: DataFrame) -> dict:
     """All metrics of a run; each is a small aggregate."""
-    attempt = lambda k: F.try_variant_get("prediction", f"$.recheck_attempt{k}", "variant")
+    attempt = F.try_variant_get("prediction", "$.recheck_attempt", "variant")
     n_flags = F.size(F.coalesce(F.from_json(F.to_json(F.try_variant_get("prediction", "$.review_flags", "variant")), "array<variant>"), F.array().cast("array<variant>")))
     failed = F.nullif(F.try_variant_get("prediction", "$.recheck_attempt.error", "string"), F.lit(""))
-    counted = documents.select("error", F.when(F.col("error").isNull(), n_flags).otherwise(0).alias("n_flags"), (F.col("error").isNull() & F.coalesce(V.kind(attempt("")) == "object", F.lit(False))).alias("recheck_started"), failed.alias("recheck_error"), "wall_seconds")
+    fine = F.col("error").isNull()
+    counted = documents.select("error", F.when(fine, n_flags).otherwise(0).alias("n_flags"), (fine & F.coalesce(is_kind(attempt, "object"), F.lit(False))).alias("recheck_started"), failed.alias("recheck_error"), "wall_seconds")
     c = M.counters(counted).first().asDict()
     a = M.field_accuracy(long).first().asDict()
     d = M.document_accuracy(long).first()
-    order = {r["field"]: r["first"] for r in M.report_order(long).collect()}
     fields = {r["field"]: {"correct": r["correct"], "total": r["total"], "accuracy": r["accuracy"]} for r in M.per_field(long).where("field is not null").collect()}
     categories = {r["category"]: r["n"] for r in M.error_categories(long).collect()}
     mean = c.pop("successful_examples_mean_wall_seconds")
     return {
-        **c, **a, "document_accuracy": d["document_accuracy"] if d else None, "per_field": {k: fields[k] for k in sorted(fields, key=lambda k: tuple(order[k]))},
+        **c, **a, "document_accuracy": d["document_accuracy"] if d else None, "per_field": {k: fields[k] for k in ordered_fields(long)},
         "error_categories": categories, "performance": {"successful_examples_mean_wall_seconds": mean},
     }
 
 
+def ordered_fields(long: DataFrame) -> list[str]:
+    """Names of fields in the order of the first document that has each."""
+    return [r["field"] for r in sorted(M.report_order(long).collect(), key=lambda r: tuple(r["first"]))]
+
+
+def live(rows: DataFrame, root: Path, analyzer: Callable[[], Analyzer], policy: str) -> DataFrame:
+    """(id, prediction as JSON, error, …) of an analyzer: texts parsed, amounts reviewed, flagged ones read again."""
+    asked = rows.select("id", F.concat(F.lit(f"{root}/"), F.col("image")).alias("image"), "question", F.to_json("field_schema").alias("field_schema"))
+    # written, so that neither a later step nor a lost executor asks the model again
+    first = durable(answers(infer(asked, analyzer), asked), "answers")
+    good = first.where("error is null").select("id", F.try_parse_json("prediction").alias("prediction"))
+    good = good.where(V.prediction_problem(F.col("prediction")).isNull())
+    reviewed = reread(rows.select("id", F.concat(F.lit(f"{root}/"), F.col("image")).alias("image"), "question", "field_schema", "requested").join(good, "id"), analyzer, policy)
+    both = first.join(reviewed.withColumnRenamed("prediction", "reviewed"), "id", "left")
+    return both.select("id", F.coalesce("reviewed", "prediction").alias("prediction"), "error", "wall_seconds", "raw_error_output", F.lit(False).alias("huge"))
+
+
 def evaluate(
     spark: SparkSession, dataset: str | Path, output: str | Path, mode: str = "dry-run", saved: str | Path | None = None,
-    analyzer: Callable[[], Analyzer] | None = None, offset: int = 0, limit: int | None = None,
+    analyzer: Callable[[], Analyzer] | None = None, offset: int = 0, limit: int | None = None, policy: str = "none", records: bool = True,
 ) -> dict:
-    """One run into a new directory: run.json (incomplete first), predictions.jsonl, errors.csv, review-flags.csv, summary.md."""
+    """One run into a new directory: run.json (incomplete first), facts and documents, predictions.jsonl, errors.csv,
+    review-flags.csv, summary.md. ``policy`` is the second reading of a live run. ``records=False`` leaves the
+    documents' records out of run.json, for runs larger than a driver."""
+    ship(spark)
+    V.check_names(policy=policy)
     rows, info = load(spark, dataset)
     rows, info = select(rows, info, offset, limit)
     configuration: dict = {}
+    nothing = F.lit(None).cast("string")
     if mode == "dry-run":
-        if not rows.where(~F.coalesce(V.kind(F.col("mock_response")) == "object", F.lit(False))).isEmpty():
+        if not rows.where(~F.coalesce(is_kind(F.col("mock_response"), "object"), F.lit(False))).isEmpty():
             raise ValueError(NO_FIXTURES)
-        predicted = readers.mock(rows).withColumns({"error": F.lit(None).cast("string"), "wall_seconds": F.lit(0.0), "raw_error_output": F.lit(None).cast("string")})
+        predicted = readers.mock(rows).withColumns({"error": nothing, "wall_seconds": F.lit(0.0), "raw_error_output": nothing})
     elif mode == "replay":
         beside = Path(saved).parent / "run.json"
         predicted = replayed(rows, readers.predictions(spark, str(saved)))
@@ -134,75 +154,61 @@ def evaluate(
             raise ValueError(OTHER_DATASET)
         configuration = {"source_mode": source["mode"], "source_configuration": source["configuration"], "predictions_sha256": hashlib.sha256(Path(saved).read_bytes()).hexdigest()}
     else:
-        root = Path(dataset).resolve().parent
-        configuration = analyzer().describe()
-        visible = rows.select("id", F.concat(F.lit(f"{root}/"), F.col("image")).alias("image"), "question", F.to_json("field_schema").alias("field_schema"))
-        predicted = infer(visible, analyzer).withColumn("prediction", F.try_parse_json("prediction"))
+        if analyzer is None:
+            raise ValueError(NO_ANALYZER)
+        configuration = analyzer().describe() | {"receipt_recheck": policy}
+        predicted = live(rows, Path(dataset).resolve().parent, analyzer, policy)
     output = V.new_directory(output)
-    package = Path(__file__).resolve().parents[1]
-    run = sinks.manifest(mode, info, configuration, sinks.runtime_info(package.parent, sorted(package.rglob("*.py"))))
+    run = sinks.manifest(mode, info, configuration, sinks.runtime_info(Path(__file__).resolve().parents[1]))
     sinks.save_json(output / "run.json", run)
-    # what the analyzer made is kept, so that no aggregate asks it again
-    made = predicted.select("id", F.to_json("prediction").alias("prediction"), "error", "wall_seconds", "raw_error_output")
-    made.write.parquet(str(output / "made.parquet"))
-    predicted = spark.read.parquet(str(output / "made.parquet")).withColumn("prediction", F.try_parse_json("prediction"))
-    long, documents = results(rows, predicted)
-    long = long.join(rows.select("id", "image"), "id").persist()
+    text = F.col("prediction") if mode == "live" else F.to_json("prediction", {"ignoreNullFields": "false"})
+    made = durable(predicted.select("id", text.alias("prediction"), "error", "wall_seconds", "raw_error_output", "huge"), "made")
+    long, documents = results(rows, made.withColumn("prediction", F.try_parse_json("prediction")))
+    sinks.write_facts(long.join(rows.select("id", "image"), "id"), output / "facts")
+    sinks.write_documents(documents, output / "documents")
+    long, documents = sinks.read_facts(spark, output / "facts"), sinks.read_documents(spark, output / "documents")
     run |= summarise(long, documents)
-    scored = per_document(long)
-    lined = documents.join(scored, "id").withColumn("line", F.to_json(F.struct("id", "image", F.when(F.col("error").isNull(), F.col("prediction")).alias("prediction"), "error", F.struct("correct", "total", "accuracy", "field_results").alias("score"), "raw_error_output", "wall_seconds")))
-    sinks.prediction_lines(lined, output / "predictions.jsonl")
-    run["results"] = [json.loads(x) for x in (output / "predictions.jsonl").read_text(encoding="utf-8").splitlines()]
+    sinks.prediction_lines(sinks.records(documents, per_document(long)), output / "predictions.jsonl")
+    if records:
+        with (output / "predictions.jsonl").open(encoding="utf-8") as stream:
+            run["results"] = [json.loads(line) for line in stream]
     run["complete"] = True
     sinks.save_json(output / "run.json", run)
     sinks.write_csv(sinks.error_sheet(long), output / "errors.csv", sinks.ERROR_COLUMNS)
     sinks.write_csv(sinks.flag_sheet(flagged(documents)), output / "review-flags.csv", sinks.FLAG_COLUMNS)
     (output / "summary.md").write_text(sinks.summary(run), encoding="utf-8")
-    long.unpersist()
     rows.unpersist()
+    drop(made)
     return run
 
 
-def compare(spark: SparkSession, paths: list[str | Path]) -> str:
-    """Markdown of runs that may be compared; raises for the first guard that fails."""
-    runs = [json.loads(Path(p).read_text(encoding="utf-8")) for p in paths]
-    shape = "pos int, mode string, complete boolean, fingerprint string, selected_ids array<string>, report_version int, source_sha256 string"
-    rows = [(i, r.get("mode"), bool(r.get("complete")), r["dataset"]["fingerprint"], r["dataset"]["selected_ids"], r.get("report_version"), r["runtime"]["source_sha256"]) for i, r in enumerate(runs)]
-    reason = C.guard(spark.createDataFrame(rows, shape)).first()["reason"]
-    if reason:
-        raise ValueError(reason)
-    flat = [(i, x["id"], k, bool(v)) for i, r in enumerate(runs) for x in r["results"] for k, v in x["score"]["field_results"].items()]
-    long = spark.createDataFrame(flat, "run_id int, id string, field string, correct boolean")
-    have = spark.createDataFrame([(i, x["id"]) for i, r in enumerate(runs) for x in r["results"]], "run_id int, id string")
-    wanted = spark.createDataFrame([(i, x) for i, r in enumerate(runs) for x in r["dataset"]["selected_ids"]], "run_id int, id string")
-    if not C.result_problems(have, wanted).isEmpty():
-        raise ValueError(C.RESULTS)
-    changes = []
-    names = list(dict.fromkeys(k for x in runs[0]["results"] for k in x["score"]["field_results"]))
-    for i in range(1, len(runs)):
-        a, b = long.where(F.col("run_id") == 0), long.where(F.col("run_id") == i)
-        if not C.unpaired_fields(a, b).isEmpty():
-            raise ValueError(C.FIELDS)
-        found = {r["field"]: {"improved": r["improved"], "regressed": r["regressed"]} for r in C.paired_changes(a, b).collect()}
-        changes.append({k: found[k] for k in names if k in found})
-    return sinks.comparison(runs, changes)
+def factory(named: str | None) -> Callable[[], Analyzer] | None:
+    """What ``module:name`` stands for."""
+    if named is None:
+        return None
+    module, _, name = named.partition(":")
+    return getattr(importlib.import_module(module), name)
 
 
 def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(description="Re-score saved predictions, or check a labelled fixture.")
-    parser.add_argument("--dataset", type=Path, required=True)
+    parser = argparse.ArgumentParser(description="Run an analyzer over a dataset, re-score saved predictions, or check a labelled fixture.")
+    parser.add_argument("--dataset", type=Path, default=Path("data/annotations.jsonl"))
     parser.add_argument("--output", type=Path)
-    modes = parser.add_mutually_exclusive_group(required=True)
+    modes = parser.add_mutually_exclusive_group()
     modes.add_argument("--dry-run", action="store_true")
     modes.add_argument("--predictions", type=Path)
+    parser.add_argument("--analyzer", help="module:name of what makes the analyzer of a live run")
+    parser.add_argument("--split", choices=sorted(SPLIT_LIMITS), help="takes as many documents as a run of this split does")
     parser.add_argument("--limit", type=int)
     parser.add_argument("--offset", type=int, default=0)
     args = parser.parse_args(argv)
-    mode = "dry-run" if args.dry_run else "replay"
+    mode = "dry-run" if args.dry_run else "replay" if args.predictions else "live"
     output = args.output or Path("runs") / f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S.%fZ}-{mode}"
+    limit = args.limit if args.limit is not None else SPLIT_LIMITS.get(args.split)
     try:
-        run = evaluate(readers.session(), args.dataset, output, mode, args.predictions, offset=args.offset, limit=args.limit)
-    except (OSError, ValueError, KeyError, RuntimeError, ImportError) as e:
+        policy = readers.settings().recheck if mode == "live" else "none"
+        run = evaluate(readers.session(), args.dataset, output, mode, args.predictions, factory(args.analyzer), args.offset, limit, policy)
+    except (OSError, ValueError, KeyError, RuntimeError, ImportError, AttributeError) as e:
         parser.exit(2, f"Evaluation could not start or finish: {e}\n")
     print(f"{run['claim']}\nReport: {output / 'summary.md'}")
     return 1 if run["failed_examples"] else 0

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import review as R
 from ..operators.infer import LABELS, Analyzer, infer
+from ..operators.parse import parse_output
 from ..operators.validate import check_names
+from ..session import durable
 
 #: Our own wording of the second question.
 AGAIN = "Read only these amounts again and copy each as it is printed. A percentage is no amount. Give null where no amount is printed or legible."
@@ -26,6 +28,22 @@ def fields_long(documents: DataFrame, policy: str) -> DataFrame:
     return each.select("id", F.lit(policy).alias("policy"), "field", F.try_variant_get(_at("field_schema"), "$", "string").alias("rule_text"), _at("fields").alias("predicted"))
 
 
+def answers(inferred: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, prediction as JSON, error, raw_error_output, wall_seconds) of what ``infer`` returned: a model's text is
+    parsed, by the names that its document (``asked``: id, field_schema as JSON) was asked for."""
+    names = asked.select("id", F.json_object_keys("field_schema").alias("requested"))
+    parsed = parse_output(inferred.join(names, "id"))
+    pick = F.transform("requested", lambda n: F.struct(n, F.try_variant_get("fields", F.concat(F.lit("$['"), n, F.lit("']")), "variant")))
+    parts = {"document_type": F.col("document_type"), "fields": F.map_from_entries(pick), "answer": F.col("answer"), "evidence": F.col("evidence"), "uncertainties": F.col("uncertainties"), "confidence": F.col("confidence"), "raw_output": F.col("raw_output")}
+    made = F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]), {"ignoreNullFields": "false"})
+    given = F.col("raw_output").isNotNull()
+    failed = given & F.col("parse_error").isNotNull()
+    return parsed.select(
+        "id", F.when(given & ~failed, made).otherwise(F.col("prediction")).alias("prediction"), F.when(failed, F.concat(F.lit("OutputParseError: "), F.col("parse_error"))).otherwise(F.col("error")).alias("error"),
+        F.when(failed, F.col("raw_output")).otherwise(F.col("raw_error_output")).alias("raw_error_output"), "wall_seconds",
+    )
+
+
 def requests(documents: DataFrame, policy: str, unicode: bool = True) -> DataFrame:
     """(id, image, question, field_schema as JSON, asked) of the documents that are asked again. The context policy
     repeats the original question over all fields; the others ask for the flagged fields alone."""
@@ -50,10 +68,76 @@ def recheck(documents: DataFrame, make: Callable[[], Analyzer], policy: str, uni
     long = fields_long(documents, policy)
     if policy == "none":
         none = F.lit(None).cast("string")
-        return R.merge(long.withColumns({"second": F.lit(None).cast("variant"), "second_error": none}), unicode), long.where("false").select("id", none.alias("prediction"), none.alias("error"))
+        nobody = long.where("false").select("id", none.alias("prediction"), none.alias("error"), none.alias("raw_error_output"), F.lit(None).cast("double").alias("wall_seconds"), F.array(none).alias("asked"), none.alias("question"))
+        return R.merge(long.withColumns({"second": F.lit(None).cast("variant"), "second_error": none}), unicode), nobody
     wanted = requests(documents, policy, unicode)
-    # attempts are kept, so that the merge does not ask again
-    attempts = infer(wanted, make).join(wanted.select("id", "asked", "question"), "id").persist()
+    # attempts are written to the shared folder, so that neither the merge nor a lost executor asks again
+    attempts = durable(answers(infer(wanted, make), wanted).join(wanted.select("id", "asked", "question"), "id"), "attempts")
     second = attempts.select("id", "error", F.try_variant_get(F.try_parse_json("prediction"), "$.fields", "variant").alias("second_fields"))
     both = long.join(second, "id", "left").withColumn("second", _at("second_fields")).withColumn("second_error", F.col("error"))
     return R.merge(both.drop("second_fields", "error"), unicode), attempts
+
+
+def _json(struct: Column) -> Column:
+    return F.to_json(struct, {"ignoreNullFields": "false"})
+
+
+def _part(column: str, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(F.col(column), f"$.{name}", kind)
+
+
+def reread(documents: DataFrame, make: Callable[[], Analyzer], policy: str, unicode: bool = True) -> DataFrame:
+    """(id, prediction as JSON): predictions after review, and after a second reading where ``policy`` asks for one.
+
+    ``documents``: id, image, question, field_schema, requested, prediction (VARIANT with ``fields``). Every prediction
+    gets ``review_flags`` of its final fields, in the order in which fields were requested, unless the analyzer gave
+    flags of its own. One that was read again also gets recheck_attempt (what was asked, its prediction or error, what
+    was accepted), initial_prediction, and metadata of both calls."""
+    docs = documents.withColumn("fields", _part("prediction", "fields"))
+    fields, attempts = recheck(docs, make, policy, unicode)
+    ordered = fields.join(docs.select("id", F.posexplode("requested").alias("pos", "field")), ["id", "field"])
+    flag = F.when(F.col("merged_reason").isNotNull(), F.struct("field", F.col("merged_reason").alias("reason"), F.col("merged").alias("value")))
+    row = F.struct("pos", "field", "merged", "accepted", "asked", flag.alias("flag"))
+    listed = ordered.groupBy("id").agg(F.array_sort(F.collect_list(row), lambda a, b: a["pos"] - b["pos"]).alias("listed"))
+    names = lambda c: F.transform(F.filter("listed", lambda x: x[c]), lambda x: x["field"])
+    listed = listed.select(
+        "id", names("accepted").alias("accepted"), names("asked").alias("flagged"), F.map_from_entries(F.transform("listed", lambda x: F.struct(x["field"], x["merged"]))).alias("merged"),
+        F.transform(F.filter("listed", lambda x: x["flag"].isNotNull()), lambda x: x["flag"]).alias("flags"),
+    )
+    second = attempts.select(
+        "id", F.col("asked").alias("names"), F.col("question").alias("second_question"), F.try_parse_json("prediction").alias("second"), F.col("error").alias("second_error"),
+        F.col("raw_error_output").alias("second_raw"), F.col("wall_seconds").alias("second_seconds"),
+    )
+    both = docs.select("id", "prediction", "requested").join(listed, "id", "left").join(second, "id", "left")
+    texts = "array<struct<field:string,text:string>>"
+    both = both.withColumns(
+        {
+            "evidence": F.coalesce(F.from_json(F.to_json(_part("prediction", "evidence")), texts), F.array().cast(texts)), "second_evidence": F.coalesce(F.from_json(F.to_json(_part("second", "evidence")), texts), F.array().cast(texts)),
+            "answer": _part("prediction", "answer", "string"), "confidence": _part("prediction", "confidence", "double"), "asked": F.coalesce("flagged", F.array().cast("array<string>")), "accepted": F.coalesce("accepted", F.array().cast("array<string>")),
+            "request_started": F.col("names").isNotNull(), "latency": _part("prediction", "metadata.latency_seconds", "double"), "second_latency": _part("second", "metadata.latency_seconds", "double"),
+            "memory": _part("prediction", "metadata.peak_gpu_memory_gib", "double"), "second_memory": _part("second", "metadata.peak_gpu_memory_gib", "double"),
+        }
+    )
+    tried = F.col("request_started")
+    out = R.merge_documents(both)
+    attempt = {
+        "policy": F.lit(policy), "requested_fields": F.when(F.lit(policy == "label-context-v1"), F.col("requested")).otherwise(F.col("asked")), "question": F.col("second_question"), "prediction": F.col("second"),
+        "error": F.col("second_error"), "raw_error_output": F.col("second_raw"), "request_started": tried, "accepted_fields": F.col("accepted"), "wall_seconds": F.col("second_seconds"),
+    }
+    meta = {"model_calls": F.col("model_calls"), "recheck_policy": F.lit(policy), "latency_seconds": F.col("latency"), "peak_gpu_memory_gib": F.col("memory")}
+    struct = lambda parts: F.parse_json(_json(F.struct(*[v.alias(k) for k, v in parts.items()])))
+    # each part as (name, VARIANT), null where the prediction keeps its own
+    own = F.from_json(F.to_json("prediction"), "map<string,variant>")
+    known = F.from_json(F.to_json(_part("prediction", "metadata")), "map<string,variant>")
+    changed = (F.size("accepted") > 0) & tried
+    whole = F.parse_json(F.to_json(F.map_concat(F.map_filter(F.coalesce(known, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), lambda k, v: ~k.isin(*meta)), F.from_json(_json(F.struct(*[v.alias(k) for k, v in meta.items()])), "map<string,variant>"))))
+    parts = {
+        "fields": F.when(changed, F.parse_json(F.to_json("merged", {"ignoreNullFields": "false"}))), "evidence": F.when(changed, F.parse_json(F.to_json("evidence"))),
+        "answer": F.when(changed, F.col("answer").cast("variant")), "confidence": F.when(changed, F.parse_json(F.lit("null"))),
+        "review_flags": F.when(_part("prediction", "review_flags").isNull() | tried, F.parse_json(F.coalesce(F.to_json("flags", {"ignoreNullFields": "false"}), F.lit("[]")))),
+        "initial_prediction": F.when(tried, F.col("prediction")), "recheck_attempt": F.when(tried, struct(attempt)), "metadata": F.when(tried, whole),
+    }
+    entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in parts.items()]), lambda x: x["value"].isNotNull())
+    out = out.withColumn("_new", entries)
+    replaced = F.map_filter(own, lambda k, v: ~F.exists("_new", lambda x: x["key"] == k))
+    return out.select("id", F.to_json(F.map_concat(replaced, F.map_from_entries("_new")), {"ignoreNullFields": "false"}).alias("prediction"))

@@ -1,12 +1,15 @@
-"""Session set-up: how the package reaches the executors."""
+"""Session set-up: how the package reaches the executors, and where they share intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: Bytes of a batch that a Python worker gets at once; Spark's own default suits larger workers.
@@ -29,3 +32,46 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(path))
         _shipped.add(context.applicationId)
     return spark
+
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Where the session names none, executors that
+    run inside this process get a folder of their own; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", "<undefined>")
+    if named != "<undefined>":
+        return named
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = context.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="fieldproof-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def durable(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that later jobs never recompute it and the loss of an
+    executor loses nothing. It goes when the application ends, or earlier by ``drop``."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` wrote and nothing reads any more."""
+    for table in tables:
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            place, files = _place(table.sparkSession, path)
+            files.delete(place, True)

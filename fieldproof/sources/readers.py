@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blob_sha1
+from ..functions.text import blob_sha1, overflows
 
 
 def session(builder: SparkSession.Builder | None = None) -> SparkSession:
@@ -18,13 +18,20 @@ def session(builder: SparkSession.Builder | None = None) -> SparkSession:
     return builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.variant.allowDuplicateKeys", "true").getOrCreate()
 
 
+#: Line ends beyond those at which Spark's reader cuts; Python's splitlines() knows them all.
+MORE_ENDS = "[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) of every line with a word; numbers are physical, from 1. Files are read whole, as
-    numbers need the start of the file; larger corpora are dealt over files."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    # all line ends that Python's splitlines() knows
-    rows = F.split("value", "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]")
-    return text.select("file", F.posexplode(rows).alias("at", "value")).where(F.btrim("value", F.lit(" \t\n\r\f\x0b")) != "").select("file", (F.col("at") + 1).alias("line_no"), "value")
+    """(file, line_no, value) of every line with a word; numbers are physical, from 1. Files are read in splits: a line
+    is numbered by its place in its split and by the lines in the splits before it, one small row per split."""
+    meta = F.col("_metadata")
+    text = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("part"), F.explode(F.split("value", MORE_ENDS)).alias("value"))
+    text = text.withColumn("at", F.monotonically_increasing_id())
+    sizes = text.groupBy("file", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("part")) - F.col("n")).drop("n")
+    numbered = text.join(before, ["file", "part"]).withColumn("line_no", (F.col("before") + F.col("at") - F.col("first") + 1))
+    return numbered.where(F.btrim("value", F.lit(" \t\n\r\f\x0b")) != "").select("file", "line_no", "value")
 
 
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -37,22 +44,23 @@ def _get(name: str, kind: str = "variant") -> Column:
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, id, image, question, field_schema, expected_fields, mock_response, source, labels, row)."""
+    """(line_no, id, image, question, field_schema, expected_fields, mock_response, source, labels, requested, row, huge)."""
     rows = jsonl(spark, path)
-    # label names in the order of the text: a VARIANT sorts them
-    inner = F.get_json_object("value", "$.expected_fields")
+    # names in the order of the text: a VARIANT sorts them
+    names = lambda key: F.array_distinct(F.coalesce(F.json_object_keys(F.get_json_object("value", f"$.{key}")), F.array().cast("array<string>")))
     return rows.select(
         "line_no", _get("id", "string").alias("id"), _get("image", "string").alias("image"), _get("question", "string").alias("question"),
         _get("field_schema").alias("field_schema"), _get("expected_fields").alias("expected_fields"), _get("mock_response").alias("mock_response"),
-        _get("source").alias("source"), F.array_distinct(F.coalesce(F.json_object_keys(inner), F.array().cast("array<string>"))).alias("labels"), "row",
+        _get("source").alias("source"), names("expected_fields").alias("labels"), names("field_schema").alias("requested"), "row",
+        overflows(F.col("value")).alias("huge"),
     )
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, id, prediction, recorded_error, wall_seconds, score) of saved predictions."""
+    """(line_no, id, prediction, recorded_error, wall_seconds, score, huge) of saved predictions."""
     return jsonl(spark, path).select(
         "line_no", _get("id", "string").alias("id"), _get("prediction").alias("prediction"), F.nullif(_get("error", "string"), F.lit("")).alias("recorded_error"),
-        _get("wall_seconds", "double").alias("wall_seconds"), _get("score").alias("score"),
+        _get("wall_seconds", "double").alias("wall_seconds"), _get("score").alias("score"), overflows(F.col("value")).alias("huge"),
     )
 
 
@@ -87,15 +95,18 @@ def binaries(spark: SparkSession, path: str, glob: str | None = None) -> DataFra
 
 def mock(annotated: DataFrame) -> DataFrame:
     """Predictions taken from the rows themselves."""
-    return annotated.select("id", F.col("mock_response").alias("prediction"))
+    return annotated.select("id", F.col("mock_response").alias("prediction"), "huge")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Settings of a run, from MLLM_* variables; checked when they are read."""
+    """Settings of a run. The defaults are fixed values."""
 
     backend: str = "openai"
     model: str = "gpt-4.1-mini"
+    local_model: str = "Qwen/Qwen2.5-VL-3B-Instruct"
+    base_url: str | None = "https://api.openai.com/v1"
+    api_key: str | None = field(default=None, repr=False)
     api_mode: str = "responses"
     profile: str = "baseline"
     recheck: str = "none"
@@ -106,16 +117,32 @@ class Settings:
     max_new_tokens: int = 512
 
 
+#: The variable of each setting.
+VARIABLES = {
+    "backend": "MLLM_BACKEND", "model": "MLLM_MODEL", "local_model": "MLLM_LOCAL_MODEL", "base_url": "MLLM_BASE_URL", "api_key": "MLLM_API_KEY",
+    "api_mode": "MLLM_API_MODE", "profile": "MLLM_RECEIPT_PROFILE", "recheck": "MLLM_RECEIPT_RECHECK", "compute_dtype": "MLLM_COMPUTE_DTYPE",
+    "load_in_4bit": "MLLM_LOAD_IN_4BIT", "min_pixels": "MLLM_MIN_PIXELS", "max_pixels": "MLLM_MAX_PIXELS", "max_new_tokens": "MLLM_MAX_NEW_TOKENS",
+}
+#: Settings that are names: blanks around them and their case don't matter.
+NAMES = ("backend", "api_mode", "profile", "recheck", "compute_dtype")
+
+
 def settings(env: dict[str, str] | None = None) -> Settings:
+    """Settings from the variables, each read by the type of its default, and checked."""
     from ..operators.validate import check_names
 
     env = os.environ if env is None else env
-    low = lambda k, d: env.get(k, d).strip().lower()
-    s = Settings(
-        low("MLLM_BACKEND", "openai"), env.get("MLLM_MODEL", "gpt-4.1-mini"), low("MLLM_API_MODE", "responses"), low("MLLM_RECEIPT_PROFILE", "baseline"),
-        low("MLLM_RECEIPT_RECHECK", "none"), low("MLLM_COMPUTE_DTYPE", "bfloat16"), low("MLLM_LOAD_IN_4BIT", "true") in ("1", "true", "yes", "on"),
-        int(env.get("MLLM_MIN_PIXELS", 200704)), int(env.get("MLLM_MAX_PIXELS", 802816)), int(env.get("MLLM_MAX_NEW_TOKENS", 512)),
-    )
+    made = {}
+    for f in fields(Settings):
+        if (text := env.get(VARIABLES[f.name])) is None:
+            continue
+        if isinstance(f.default, bool):
+            made[f.name] = text.strip().lower() in ("1", "true", "yes", "on")
+        elif isinstance(f.default, int):
+            made[f.name] = int(text)
+        else:
+            made[f.name] = text.strip().lower() if f.name in NAMES else text
+    s = Settings(**made)
     check_names(s.profile, s.recheck, s.backend)
     if s.api_mode not in ("responses", "chat") or s.compute_dtype not in ("bfloat16", "float16"):
         raise ValueError("unknown API mode or compute type")
@@ -124,7 +151,7 @@ def settings(env: dict[str, str] | None = None) -> Settings:
     return s
 
 
-#: Three invented documents, each with the fields of FIXTURE_RULES.
+#: Fixed values of the synthetic fixtures: rules, and the documents' values.
 FIXTURE_RULES = {"vendor": "string", "document_number": "string", "date": "date", "currency": "code", "total_amount": "number"}
 FIXTURES = (
     ("invoice-001", "invoice", "Northwind Studio", "INV-2026-0142", "2026-07-18", 198.0),
@@ -142,12 +169,3 @@ def fixtures() -> list[dict]:
         image = f"images/{name.replace('-', '_')}.png"
         out.append({"id": name, "image": image, "question": "What is the total and who issued the document?", "field_schema": FIXTURE_RULES, "expected_fields": fields, "mock_response": answer})
     return out
-
-
-def inside(root: str | Path, relative: str) -> Path:
-    """A path below ``root``."""
-    root = Path(root).resolve()
-    path = (root / relative).resolve()
-    if not path.is_relative_to(root):
-        raise ValueError("Image must be inside the dataset directory")
-    return path

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldproof.operators import select, validate
-from fieldproof.plans import evaluate
+from fieldproof.plans import compare, evaluate
 from fieldproof.sources import readers, sinks
 
 
@@ -50,7 +50,7 @@ def test_replay_keeps_failures_in_the_denominator(spark, tmp_path):
     assert run["configuration"]["source_mode"] == "dry-run"
     assert run["results"][1]["error"] == "ValueError: Recorded failure: RuntimeError: gone"
     with pytest.raises(ValueError, match="Only completed live runs"):
-        evaluate.compare(spark, [tmp_path / "one/run.json", tmp_path / "two/run.json"])
+        compare.compare(spark, [tmp_path / "one/run.json", tmp_path / "two/run.json"])
     (tmp_path / "saved/predictions.jsonl").write_text(json.dumps(lines[0]))
     with pytest.raises(ValueError, match="missing selected"):
         evaluate.evaluate(spark, path, tmp_path / "three", "replay", tmp_path / "saved/predictions.jsonl")
@@ -72,6 +72,93 @@ class Model:
         return {"model": "stub"}
 
 
+RECEIPT = {"total_amount": "string or null", "tax_amount": "string or null", "note": "string"}
+
+
+class Texts:
+    """Answers with a model's text; the second reading of the tax, asked for alone, is better than the first."""
+
+    def analyze(self, image, question, field_schema):
+        if image.endswith("c.png"):
+            return "no object here"
+        if list(field_schema) == ["tax_amount"]:
+            return '{"fields": {"tax_amount": "1.50"}, "evidence": [{"field": "tax_amount", "text": "PPN 1.50"}], "confidence": 0.9}'
+        fields = {"tax_amount": "10%", "total_amount": "15.00", "note": None, "more": 1}
+        return "Here:\n```json\n" + json.dumps({"fields": fields, "evidence": [{"field": "tax_amount", "text": "10%"}, {"field": "total_amount", "text": "15.00"}], "answer": "paid", "confidence": 2}) + "\n```"
+
+    def describe(self):
+        return {"model": "texts"}
+
+
+def receipts(path):
+    labels = {"total_amount": "15.00", "tax_amount": "1.50"}
+    return dataset(path, [row(id=i, image=f"images/{i}.png", field_schema=RECEIPT, expected_fields=labels) for i in "abc"])
+
+
+def test_live_texts_are_parsed_and_flagged(spark, tmp_path):
+    run = evaluate.evaluate(spark, receipts(tmp_path / "d"), tmp_path / "run", "live", analyzer=Texts)
+    assert (run["correct_fields"], run["total_fields"], run["failed_examples"], run["review_flagged_examples"], run["rechecked_examples"]) == (2, 6, 1, 2, 0)
+    assert list(run["per_field"]) == ["total_amount", "tax_amount"]
+    good, _, bad = run["results"]
+    assert set(good) == {"id", "image", "prediction", "error", "score", "raw_error_output", "wall_seconds"} and good["error"] is None
+    assert good["prediction"]["fields"] == {"tax_amount": "10%", "total_amount": "15.00", "note": None}
+    assert good["prediction"]["review_flags"] == [{"field": "tax_amount", "reason": "percentage_is_not_amount", "value": "10%"}]
+    assert good["prediction"]["confidence"] == 1.0 and good["prediction"]["raw_output"].startswith("Here:")
+    assert list(good["score"]["field_results"].items()) == [("total_amount", True), ("tax_amount", False)]
+    assert good["score"]["details"]["tax_amount"] == {"correct": False, "category": "value_mismatch", "expected": "1.50", "predicted": "10%", "expected_present": True}
+    assert bad["prediction"] is None and bad["error"] == "OutputParseError: The response did not contain a valid JSON object." and bad["raw_error_output"] == "no object here"
+    assert bad["score"]["details"]["total_amount"]["predicted"] is None and bad["score"]["accuracy"] == 0
+    sheet = (tmp_path / "run/review-flags.csv").read_text(encoding="utf-8-sig").splitlines()
+    assert sheet[1] == 'a,images/a.png,tax_amount,percentage_is_not_amount,"""10%"""' and len(sheet) == 3
+
+
+def test_second_reading_in_a_run(spark, tmp_path):
+    run = evaluate.evaluate(spark, receipts(tmp_path / "d"), tmp_path / "run", "live", analyzer=Texts, policy="invalid-amount-v1")
+    assert (run["correct_fields"], run["review_flagged_examples"], run["rechecked_examples"], run["failed_rechecks"]) == (4, 0, 2, 0)
+    p = run["results"][0]["prediction"]
+    assert p["fields"] == {"tax_amount": "1.50", "total_amount": "15.00", "note": None} and p["review_flags"] == []
+    assert p["recheck_attempt"]["accepted_fields"] == ["tax_amount"] and p["recheck_attempt"]["error"] is None
+    assert p["initial_prediction"]["fields"]["tax_amount"] == "10%" and p["answer"] == "" and p["confidence"] is None
+    assert {e["field"]: e["text"] for e in p["evidence"]} == {"tax_amount": "PPN 1.50", "total_amount": "15.00"}
+    assert p["metadata"]["model_calls"] == 2 and p["metadata"]["recheck_policy"] == "invalid-amount-v1"
+
+
+def test_compare_keeps_label_order_and_reads_records(spark, tmp_path):
+    path = receipts(tmp_path / "d")
+    evaluate.evaluate(spark, path, tmp_path / "one", "live", analyzer=Texts)
+    evaluate.evaluate(spark, path, tmp_path / "two", "live", analyzer=Texts, policy="invalid-amount-v1")
+    runs = [tmp_path / "one/run.json", tmp_path / "two/run.json"]
+    text = compare.compare(spark, runs)
+    assert text.index("| total_amount | 0 | 0 |") < text.index("| tax_amount | 2 | 0 |")
+    alone = []
+    for i, p in enumerate(runs):
+        (tmp_path / f"alone{i}").mkdir()
+        alone.append(tmp_path / f"alone{i}/run.json")
+        alone[-1].write_bytes(p.read_bytes())
+    assert compare.compare(spark, alone) == text
+    with pytest.raises(SystemExit) as stop:
+        compare.main([str(runs[0])])
+    assert stop.value.code == 2
+
+
+def test_numbers_beyond_a_double_fail(spark, tmp_path):
+    path = dataset(tmp_path / "d", [row(), row(id="b", image="images/b.png")])
+    evaluate.evaluate(spark, path, tmp_path / "one")
+    lines = (tmp_path / "one/predictions.jsonl").read_text().splitlines()
+    lines[1] = lines[1].replace('"prediction":{', '"prediction":{"x":[1e999],"y":"1e999",')
+    (tmp_path / "one/predictions.jsonl").write_text("\n".join(lines))
+    run = evaluate.evaluate(spark, path, tmp_path / "two", "replay", tmp_path / "one/predictions.jsonl")
+    assert run["failed_examples"] == 1 and run["results"][1]["error"] == validate.NOT_FINITE
+
+
+def test_settings():
+    s = readers.settings({"MLLM_BACKEND": " Transformers ", "MLLM_LOAD_IN_4BIT": "no", "MLLM_MAX_PIXELS": "300000", "MLLM_API_KEY": "k", "MLLM_LOCAL_MODEL": "m"})
+    assert (s.backend, s.load_in_4bit, s.max_pixels, s.api_key, s.local_model) == ("transformers", False, 300000, "k", "m") and "api_key" not in repr(s)
+    for bad in ({"MLLM_BACKEND": "x"}, {"MLLM_MIN_PIXELS": "9999999"}, {"MLLM_RECEIPT_RECHECK": "x"}, {"MLLM_API_MODE": "x"}):
+        with pytest.raises(ValueError):
+            readers.settings(bad)
+
+
 class Worse(Model):
     def __init__(self):
         super().__init__("13")
@@ -83,11 +170,11 @@ def test_live_runs_compare(spark, tmp_path):
     assert (run["correct_fields"], run["failed_examples"], run["review_flagged_examples"]) == (1, 1, 1)
     assert "amount_has_no_digits" in (tmp_path / "one/review-flags.csv").read_text(encoding="utf-8-sig")
     evaluate.evaluate(spark, path, tmp_path / "two", "live", analyzer=Worse)
-    text = evaluate.compare(spark, [tmp_path / "one/run.json", tmp_path / "two/run.json"])
+    text = compare.compare(spark, [tmp_path / "one/run.json", tmp_path / "two/run.json"])
     assert "| total | 0 | 1 |" in text and "| 1 | stub |" in text
     evaluate.evaluate(spark, path, tmp_path / "part", "live", analyzer=Model, limit=1)
     with pytest.raises(ValueError, match="Different document selections"):
-        evaluate.compare(spark, [tmp_path / "one/run.json", tmp_path / "part/run.json"])
+        compare.compare(spark, [tmp_path / "one/run.json", tmp_path / "part/run.json"])
 
 
 BAD = [
@@ -135,6 +222,36 @@ def test_lines_have_physical_numbers(spark, tmp_path):
     assert [r["line_no"] for r in got] == [2, 5]
 
 
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    made = [("x" * (i % 37) if i % 5 else "") + ("\x0b" if i % 11 == 0 else "") for i in range(3000)]
+    text = "\n".join(made)
+    (tmp_path / "a.jsonl").write_text(text, encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text("one\n\ntwo", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = readers.lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {("a", i, x) for i, x in enumerate(text.splitlines(), 1) if x.strip()} | {("b", 1, "one"), ("b", 3, "two")}
+    assert {(r["file"][-7], r["line_no"], r["value"]) for r in got} == want
+
+
+def test_prepare(spark, tmp_path):
+    from fieldproof.plans import prepare
+
+    truths = [json.dumps({"gt_parse": {"total": {"total_price": str(i)}} if i % 3 else {}}) for i in range(7)]
+    spark.createDataFrame([((b"img%d" % i,), t) for i, t in enumerate(truths)], "image struct<bytes:binary>, ground_truth string").coalesce(1).write.parquet(str(tmp_path / "tmp"))
+    (tmp_path / "corpus").mkdir()
+    next((tmp_path / "tmp").glob("*.parquet")).rename(tmp_path / "corpus/test-0.parquet")
+    made = prepare.prepare(spark, tmp_path / "corpus", tmp_path / "out", "test", 5, "1" * 40)
+    assert made["included_examples"] == 3 and made["source_rows_examined"] == 5 and list(made["source_files_sha256"]) == ["test-0.parquet"]
+    rows, info = evaluate.load(spark, tmp_path / "out/annotations.jsonl")
+    assert info["examples"] == 3 and (tmp_path / "out/images/doc-test-0004.png").read_bytes() == b"img4"
+    for bad in ({"split": "x"}, {"limit": 0}, {"revision": "main"}):
+        with pytest.raises(ValueError):
+            prepare.prepare(spark, tmp_path / "corpus", tmp_path / "out2", **bad)
+
+
 def test_corpus_numbers_and_export(spark, tmp_path):
     from fieldproof.operators.parse import map_labels
 
@@ -166,12 +283,6 @@ def test_integrity(spark, tmp_path):
     assert {(r["file"], r["reason"]) for r in validate.integrity_problems(listed, actual).collect()} == {("b.bin", "missing"), ("../c", "missing")}
 
 
-def test_paths(tmp_path):
-    assert readers.inside(tmp_path, "a/b").name == "b"
-    with pytest.raises(ValueError):
-        readers.inside(tmp_path, "../x")
-
-
 def test_streamed_accuracy(spark, tmp_path):
     from fieldproof.streaming import live
 

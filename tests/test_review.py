@@ -14,7 +14,9 @@ def test_flags(spark):
     values = FLAGGED + [(v, None) for v in FINE]
     rows = spark.createDataFrame([(i, json.dumps({"v": v})) for i, (v, _) in enumerate(values)], "i int, j string")
     value = F.try_variant_get(F.parse_json("j"), "$.v", "variant")
-    out = rows.select("i", review.reason(F.lit("tax_amount"), F.lit("string or null"), value).alias("r"), review.reason(F.lit("tax_amount"), F.lit("number"), value).alias("n"), review.reason(F.lit("other"), F.lit("string or null"), value).alias("o")).orderBy("i").collect()
+    rows = rows.withColumn("value", value)
+    of = lambda field, rule, name: review.with_reason(rows.withColumns({"field": F.lit(field), "rule_text": F.lit(rule)}), {name: "value"}).select("i", name)
+    out = of("tax_amount", "string or null", "r").join(of("tax_amount", "number", "n"), "i").join(of("other", "string or null", "o"), "i").orderBy("i").collect()
     assert [r["r"] for r in out] == [x for _, x in values]
     assert not any(r["n"] or r["o"] for r in out)
 
@@ -110,7 +112,7 @@ def test_prompts():
         infer.instructions({"tax_amount": "number"}, "label-aware-v1")
     with pytest.raises(ValueError):
         infer.instructions(rules, "other")
-    assert infer.prompt("Q", rules).endswith("Keep field names exactly as provided.")
+    assert infer.prompt("Q", rules).startswith("Q\n") and '"vendor": "string"' in infer.prompt("Q", rules)
 
 
 def test_settings():

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldproof.functions.text import fold_udf, guarded, normalise, percent
-from fieldproof.functions.values import base_rule, typed
+from fieldproof.functions.values import base_rule, with_typed
 from fieldproof.operators import metrics, score
 
 CASES = [
@@ -75,8 +75,8 @@ def test_failed_document_keeps_its_fields(spark):
 
 def test_infinite_is_invalid(spark):
     v = F.parse_json(F.lit('{"a": 1e400}'))
-    got = spark.range(1).select(typed(F.try_variant_get(v, "$.a", "variant"), F.lit("number"))["state"].alias("s")).first()
-    assert got["s"] == "invalid"
+    got = with_typed(spark.range(1), {"x": F.try_variant_get(v, "$.a", "variant")}, F.lit("number")).first()
+    assert got["x_state"] == "invalid"
 
 
 def test_details_only_labelled_fields(spark):
@@ -93,7 +93,7 @@ def test_empty_metrics(spark):
     assert metrics.document_accuracy(none).first()["document_accuracy"] is None
 
 
-def _reference_number(text):
+def _plain_number(text):
     """The numeric form of a text, told anew in plain Python."""
     import re
 
@@ -106,16 +106,39 @@ def _reference_number(text):
 @given(st.lists(st.text(alphabet="0123456789,.+-e ٣", max_size=8), min_size=30, max_size=30))
 def test_numbers_against_plain_python(spark, texts):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
-    got = rows.select("id", typed(F.col("t").cast("variant"), F.lit("number")).alias("x")).orderBy("id").collect()
+    got = with_typed(rows, {"x": F.col("t").cast("variant")}, F.lit("number")).orderBy("id").collect()
     for t, r in zip(texts, got, strict=True):
         folded = " ".join(t.split())
         if not folded:
-            assert r["x"]["state"] == "null"
+            assert r["x_state"] == "null"
             continue
-        number = _reference_number(folded)
-        assert (r["x"]["state"] == "number") == (number is not None), t
+        number = _plain_number(folded)
+        assert (r["x_state"] == "number") == (number is not None), t
         if number is not None:
-            assert Decimal(r["x"]["value"]) == number
+            assert Decimal(r["x_value"]) == number
+
+
+FLOATS = st.one_of(st.floats(-1e18, 1e18), st.sampled_from([0.0, -0.0, 1e-20, 2e-20, 0.1, 0.10000000000000001, 9007199254740993.0, 9007199254740992.0, 1e5, 1e16, 1e-4, 9.9e-5, 5e-324]))
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(FLOATS, st.integers(-(2**70), 2**70)), st.one_of(FLOATS, st.integers(-(2**70), 2**70)), st.booleans()), min_size=40, max_size=40))
+def test_bare_numbers_are_compared_by_value(spark, pairs):
+    pairs = [(a, a if same else b) for a, b, same in pairs]
+    got = {r["id"]: r["category"] for r in score.score_long(_long(spark, [(a, b, None) for a, b in pairs])).select("id", "category").collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert (got[i] == "correct") == (a == b), (a, b)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(FLOATS, min_size=40, max_size=40))
+def test_floats_under_a_number_rule(spark, floats):
+    rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(floats)], "id int, t string")
+    got = with_typed(rows, {"x": F.try_parse_json("t")}, F.lit("number")).orderBy("id").collect()
+    for x, r in zip(floats, got, strict=True):
+        number = _plain_number(str(x))
+        assert (r["x_state"] == "number") == (number is not None), x
+        assert number is None or Decimal(r["x_value"]) == number
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
