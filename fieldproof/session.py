@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 #: Bytes of a batch that a Python worker gets at once; Spark's own default suits larger workers.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES, SPARK_DEFAULT = "8m", "67108864b"
+BATCH_BYTES, SPARK_DEFAULT = "4m", "67108864b"
 
 
 def ship(spark: SparkSession) -> SparkSession:
