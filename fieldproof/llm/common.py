@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-
-#: Most bytes that a table may have to be sent to every executor.
-BROADCAST_LIMIT = 64 * 1024 * 1024
+from ..session import drop, durable, ship
 
+__all__ = ["connected", "drop", "durable", "free", "partitions", "table", "utf8"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,47 +23,10 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none is a private one made."""
-    named = spark.conf.get("spark.checkpoint.dir", "<undefined>")
-    if named != "<undefined>":
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="fieldproof-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return _own[app]
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that later jobs never recompute it
-    and the loss of an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # the application's end takes it away
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_rows(df: DataFrame, column: str, limit: int = BROADCAST_LIMIT) -> list:
-    """Rows of a table that goes to every executor; its bytes are counted first.
-
-    A table beyond ``limit`` raises ValueError; the caller works in blocks instead."""
-    size = df.select(F.sum(F.octet_length(F.col(column)) + F.lit(16))).first()[0] or 0
-    if size > limit:
-        raise ValueError(f"{size} bytes exceed the broadcast limit of {limit}")
-    return df.collect()
-
-
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column as one array, and the n + 1 offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,24 +4,32 @@ Suffixes are sampled where a window's least k-gram hash stands (minimizers), so
 bytes are sampled at the same place. Sampled suffixes meet by the hash of that k-gram:
 
 1. Each task takes the minimizers of its texts, with a hash of the bytes around each (its context: all bytes that
-   a string containing the k-gram can reach). Equal contexts within a task are settled at once: the later ones are
-   covered, and one goes on, so a passage that a third of all documents share costs one row per task.
-2. Suffixes are dealt by k-gram hash. Of equal contexts all but the first are covered. Only k-grams with several
-   distinct contexts, the edges of repeats, go on, with the bytes of one context each.
+   a string containing the k-gram can reach). Equal contexts within a task are settled at once, byte by byte: the later
+   ones are covered, and one goes on, so a passage that a third of all documents share costs one row per task.
+2. Suffixes are dealt by k-gram hash. Of equal contexts all but the first are asked about: the first's document is to
+   give the digest of its bytes there, and the later one is covered only where its own bytes have that digest. Only
+   k-grams with several distinct contexts, the edges of repeats, go on, with the bytes of one context each.
 3. Those suffixes are sorted: comparisons find the common extension by binary search over prefix polynomial
    hashes, inside a mergesort, once to the right and once to the left of the k-gram. Every sorted neighbour is
    verified byte by byte; a collision starts the sort anew with other hashes. The two orders with their common
    extensions give, for every window around a k-gram, the class of equal strings, and all but its first are covered.
 4. Covered stretches are merged per document and cut out.
 
-The texts are shuffled once (both joins read the same exchange); what else moves are 30 bytes for about every 26
-bytes of text.
+A k-gram with very many distinct contexts (a line that stands in a third of all documents, each time between other
+lines) would gather them in one task. Such k-grams are found beforehand on a share of the documents; each of their
+strings then goes on alone, dealt by its own hash, and is asked about in the same way. What is removed does not depend
+on which k-grams are treated so.
+
+Hashes are drawn anew for each call, so no text can be made to collide. The texts are shuffled once (both joins read
+the same exchange); what else moves are 30 bytes for about every 26 bytes of text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +41,47 @@ from .textkit import byte_codes, mix, pieces, powers
 
 LENGTH = 100
 GRAM = 48
-#: Bytes of text per step, and sampled suffixes that a task holds before it deals them out.
-STEP, HELD = 1 << 20, 600_000
+#: Bytes of text per step, and sampled suffixes that a task holds (with their texts) before it deals them out.
+STEP, HELD = 1 << 18, 400_000
+#: Bits of a place within a step; the rest of a word holds the hash that is compared.
+PLACE = 24
 NONE = -(1 << 63)
 
+
+@dataclass(frozen=True)
+class Crowd:
+    """How crowded k-grams are found: one document of ``every`` is looked at, and a k-gram with ``least`` distinct
+    contexts among them is one, so about every * least contexts are what a task may gather. At most ``most`` of them,
+    those with most contexts, are sent to the tasks."""
+
+    every: int = 4096
+    least: int = 8
+    most: int = 1 << 20
+
+
 SUFFIX = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "u1"), ("right", "u1")])
 COVER = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
+#: A string of a crowded k-gram, by two hashes.
+WINDOW = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "u1"), ("right", "u1")])
+#: A stretch that is covered if its bytes have this digest.
+ASKED = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4"), ("digest", "u1", (32,))])
 
 
-def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+class Collision(Exception):
+    pass
+
+
+def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, seeds: tuple[int, ...] = (0, 99)) -> tuple[np.ndarray, ...]:
     """(row, place, k-gram hash, context hash, bytes to the left, bytes to the right) of each sampled suffix."""
     n, width = len(data), length - gram + 1
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(byte_codes(0)[data] * up[:n], out=sums[1:])
+    np.cumsum(byte_codes(seeds[0])[data] * up[:n], out=sums[1:])
     if n < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64))
     hashes = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     # the place stands in the low bits, so that of equal hashes the leftmost is taken
-    low = np.uint64(max(n.bit_length(), 1))
+    low = np.uint64(max(n.bit_length(), PLACE))
     least = (hashes >> low << low) | np.arange(len(hashes), dtype=np.uint64)
     step = 1
     while 2 * step <= width:
@@ -67,7 +97,7 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
     row = np.searchsorted(offsets, at, "right") - 1
     start, end = np.maximum(offsets[row], at - (length - gram)), np.minimum(offsets[row + 1], at + length)
-    np.cumsum(byte_codes(99)[data] * up[:n], out=sums[1:])
+    np.cumsum(byte_codes(seeds[1])[data] * up[:n], out=sums[1:])
     shape = ((end - start) * 512 + (at - start)).astype(np.uint64)
     context = mix((sums[end] - sums[start]) * down[start] + shape)
     return row, at - offsets[row], hashes[at], context, at - start, end - at
@@ -101,25 +131,75 @@ def _merged(covers: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sampled suffixes: the first of each context, in the order of (gram, context); the stretches that the
-    others cover; and whether a first's k-gram has other contexts too."""
-    rows = rows[np.lexsort((rows["at"], rows["doc"], rows["context"], rows["gram"]))]
-    gram = np.ones(len(rows), bool)
-    gram[1:] = rows["gram"][1:] != rows["gram"][:-1]
+def settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sampled suffixes, as places in ``rows``: the first of each context, in the order of (gram, context); whether
+    its k-gram has other contexts too; every later one; and the first of each later one's context. A suffix that was
+    sampled twice at one place (in two stretches of a text) is neither."""
+    order = np.lexsort((rows["at"], rows["doc"], rows["context"], rows["gram"]))
+    if not len(order):
+        return order, np.empty(0, bool), order, order
+    grams, contexts = rows["gram"][order], rows["context"][order]
+    gram = np.ones(len(order), bool)
+    gram[1:] = grams[1:] != grams[:-1]
     fresh = gram.copy()
-    fresh[1:] |= rows["context"][1:] != rows["context"][:-1]
+    fresh[1:] |= contexts[1:] != contexts[:-1]
     place = np.flatnonzero(fresh)
-    firsts = rows[place]
-    of = np.cumsum(fresh) - 1
-    later = ~fresh & ((rows["doc"] != firsts["doc"][of]) | (rows["at"] != firsts["at"][of]))
-    covers = np.zeros(int(later.sum()), COVER)
-    covers["doc"] = rows["doc"][later]
-    covers["start"] = rows["at"][later] - rows["left"][later]
-    covers["end"] = rows["at"][later] + rows["right"][later]
+    firsts = order[place]
+    head = firsts[np.cumsum(fresh) - 1]
+    later = ~fresh & ((rows["doc"][order] != rows["doc"][head]) | (rows["at"][order] != rows["at"][head]))
     group = np.cumsum(gram[place]) - 1
-    several = np.bincount(group)[group] > 1 if len(place) else np.empty(0, bool)
-    return firsts, covers, several
+    several = np.bincount(group)[group] > 1
+    later, head = order[later], head[later]
+    if (rows["left"][later] != rows["left"][head]).any() or (rows["right"][later] != rows["right"][head]).any():
+        raise Collision("two contexts share both hashes")
+    return firsts, several, later, head
+
+
+def _covers(rows: np.ndarray) -> np.ndarray:
+    """All that the contexts of these suffixes reach."""
+    out = np.empty(len(rows), COVER)
+    out["doc"], out["start"], out["end"] = rows["doc"], rows["at"] - rows["left"], rows["at"] + rows["right"]
+    return out
+
+
+def _same(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> None:
+    """Verify, byte by byte, that the stretches of ``text`` from a and from b are equal; ``size`` is that of each."""
+    if not len(a):
+        return
+    width = int(size.max())
+    columns = np.arange(width)
+    padded = np.concatenate([text, np.zeros(width, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, width)
+    for k in range(0, len(a), 1 << 12):
+        part = slice(k, k + (1 << 12))
+        if not ((view[a[part]] == view[b[part]]) | (columns >= size[part, None])).all():
+            raise Collision("two different contexts share both hashes")
+
+
+def windows(text: np.ndarray, spot: np.ndarray, rows: np.ndarray, length: int, gram: int, seeds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Every string around the k-grams of ``rows``, which stand at ``spot`` in ``text``: as WINDOW, and its place there."""
+    reach = length - gram
+    up, down = powers(2 * length)
+    padded = np.concatenate([np.zeros(reach, np.uint8), text, np.zeros(length, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, length + reach)
+    found, places = [np.empty(0, WINDOW)], [np.empty(0, np.int64)]
+    before = np.arange(reach + 1)
+    for k in range(0, len(rows), 1 << 11):
+        part, at = rows[k : k + (1 << 11)], spot[k : k + (1 << 11)]
+        around = view[at]  # from ``reach`` bytes before the k-gram on
+        hashes = []
+        for seed in seeds[2:4]:
+            sums = np.zeros((len(part), length + reach + 1), np.uint64)
+            np.cumsum(byte_codes(seed)[around] * up[: length + reach], axis=1, out=sums[:, 1:])
+            begin = reach - before
+            hashes.append(mix((sums[:, begin + length] - sums[:, begin]) * down[begin]))
+        i, o = np.nonzero((part["left"][:, None] >= before) & (part["right"][:, None].astype(np.int64) >= length - before))
+        out = np.empty(len(i), WINDOW)
+        out["gram"], out["context"], out["doc"] = hashes[0][i, o], hashes[1][i, o], part["doc"][i]
+        out["at"], out["left"], out["right"] = part["at"][i] - o, 0, length
+        found.append(out)
+        places.append(at[i] - o)
+    return np.concatenate(found), np.concatenate(places)
 
 
 def _blobs(bucket: np.ndarray, rows: np.ndarray, kind: int) -> pa.RecordBatch:
@@ -162,51 +242,109 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], kinds: dict[int, np.dtype]) ->
 
 
 DEALT = "bucket int, kind int, rows binary"
-FOUND = "doc long, gram long, at long, start long, end long"
+#: A covered stretch of ``doc``; or (gram, at) a context whose bytes are wanted; or (for_doc, for_start) a stretch whose
+#: digest is wanted there.
+FOUND = "doc long, gram long, at long, start long, end long, for_doc long, for_start long"
+NAMES = ["doc", "gram", "at", "start", "end", "for_doc", "for_start"]
 
 
-def _sampler(length: int, gram: int, buckets: int):
+def _sampler(length: int, gram: int, buckets: int, seeds: tuple[int, ...], crowded: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        texts: list[np.ndarray] = []
+        spots: list[np.ndarray] = []
+        size = 0
+
+        def by(key: np.ndarray) -> np.ndarray:
+            return (key % np.uint64(buckets)).astype(np.int32)
 
         def deal() -> Iterator[pa.RecordBatch]:
-            firsts, covers, _ = settle(np.concatenate(held))
-            held.clear()
-            yield _blobs((firsts["gram"] % np.uint64(buckets)).astype(np.int32), firsts, 0)
-            covers = _merged(covers)
-            yield _blobs((mix(covers["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), covers, 1)
+            rows, text, spot = np.concatenate(held), np.concatenate(texts), np.concatenate(spots)
+            for x in (held, texts, spots):
+                x.clear()
+            firsts, _, later, head = settle(rows)
+            start = spot - rows["left"]
+            _same(text, start[later], start[head], rows["left"][later].astype(np.int64) + rows["right"][later])
+            covers = [_covers(rows[later])]
+            if len(crowded):
+                place = np.minimum(np.searchsorted(crowded, rows["gram"][firsts]), len(crowded) - 1)
+                dense = crowded[place] == rows["gram"][firsts]
+                firsts, dense = firsts[~dense], firsts[dense]
+                single, at = windows(text, spot[dense], rows[dense], length, gram, seeds)
+                one, _, later, head = settle(single)
+                _same(text, at[later], at[head], np.full(len(later), length))
+                covers.append(_covers(single[later]))
+                yield _blobs(by(single["gram"][one]), single[one], 2)
+            yield _blobs(by(rows["gram"][firsts]), rows[firsts], 0)
+            merged = _merged(np.concatenate(covers))
+            yield _blobs(by(mix(merged["doc"].astype(np.uint64))), merged, 1)
 
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             docs = batch.column("doc").to_numpy()
             for doc, base, part, at in _segments(docs, data, offsets, length):
-                row, place, grams, contexts, left, right = minimizers(part, at, length, gram)
+                row, place, grams, contexts, left, right = minimizers(part, at, length, gram, seeds)
                 rows = np.empty(len(row), SUFFIX)
                 rows["gram"], rows["context"], rows["doc"] = grams, contexts, doc[row]
                 rows["at"], rows["left"], rows["right"] = place + base[row], left, right
                 held.append(rows)
+                spots.append(at[row] + place + size)
+                texts.append(part.copy())
+                size += len(part)
                 if sum(map(len, held)) >= HELD:
                     yield from deal()
+                    size = 0
         if held:
             yield from deal()
 
     return run
 
 
-def _found(covers: np.ndarray, firsts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    columns = [pa.array(covers[c].astype(np.int64)) for c in ("doc", "start", "end")]
-    none = pa.nulls(len(covers), pa.int64())
-    yield pa.RecordBatch.from_arrays([columns[0], none, none, columns[1], columns[2]], ["doc", "gram", "at", "start", "end"])
-    if firsts is not None and len(firsts):
-        at = firsts["at"].astype(np.int64)
-        arrays = (firsts["doc"], firsts["gram"].view(np.int64), at, at - firsts["left"], at + firsts["right"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in arrays], ["doc", "gram", "at", "start", "end"])
+def _crowds(length: int, gram: int, seeds: tuple[int, ...]):
+    """The distinct contexts of each k-gram that has several in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, SUFFIX)]
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            docs = batch.column("doc").to_numpy()
+            for doc, _, part, at in _segments(docs, data, offsets, length):
+                row, _, grams, contexts, _, _ = minimizers(part, at, length, gram, seeds)
+                rows = np.zeros(len(row), SUFFIX)
+                rows["gram"], rows["context"], rows["doc"] = grams, contexts, doc[row]
+                held.append(rows)
+        firsts = np.concatenate(held)
+        firsts = firsts[settle(firsts)[0]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(firsts[c]).view(np.int64)) for c in ("gram", "context")], ["gram", "context"])
+
+    return run
+
+
+def crowded_grams(texts: DataFrame, length: int, gram: int, seeds: tuple[int, ...], crowd: Crowd) -> np.ndarray:
+    """Hashes of crowded k-grams, in order."""
+    some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(crowd.every)) == 0) if crowd.every > 1 else texts
+    found = some.mapInArrow(_crowds(length, gram, seeds), "gram long, context long").groupBy("gram").agg(F.countDistinct("context").alias("n"))
+    most = found.where(F.col("n") >= crowd.least).orderBy(F.col("n").desc(), "gram").limit(crowd.most).toArrow()
+    return np.sort(most.column("gram").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(columns[c]).astype(np.int64)) if c in columns else pa.nulls(n, pa.int64()) for c in NAMES], NAMES)
 
 
 def _settler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket in _by_bucket(batches, {0: SUFFIX, 1: COVER}):
-        firsts, covers, several = settle(bucket[0])
-        yield from _found(np.concatenate([covers, bucket[1]]), np.ascontiguousarray(firsts[several]))
+    for bucket in _by_bucket(batches, {0: SUFFIX, 1: COVER, 2: WINDOW}):
+        yield _batch(doc=bucket[1]["doc"], start=bucket[1]["start"], end=bucket[1]["end"])
+        for kind in (0, 2):
+            rows = bucket[kind]
+            firsts, several, later, head = settle(rows)
+            there, here = _covers(rows[head]), _covers(rows[later])
+            yield _batch(doc=there["doc"], start=there["start"], end=there["end"], for_doc=here["doc"], for_start=here["start"])
+            if kind == 0:
+                wanted = rows[firsts[several]]
+                place = _covers(wanted)
+                yield _batch(doc=wanted["doc"], gram=wanted["gram"].view(np.int64), at=wanted["at"], start=place["start"], end=place["end"])
 
 
 def context_type(length: int, gram: int) -> np.dtype:
@@ -214,23 +352,59 @@ def context_type(length: int, gram: int) -> np.dtype:
     return np.dtype([("gram", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (2 * length - gram,))])
 
 
+def _structs(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of each struct of a list column, and its fields."""
+    column = column.fill_null(pa.scalar([], column.type)) if column.null_count else column
+    flat = column.flatten()
+    lists = np.diff(column.offsets.to_numpy()) if len(column) else np.empty(0, np.int64)
+    return np.repeat(np.arange(len(lists)), lists), [flat.field(i) for i in range(flat.type.num_fields)]
+
+
+def _numbers(fields: list[pa.Array]) -> list[np.ndarray]:
+    return [f.to_numpy(zero_copy_only=False) for f in fields]
+
+
+def _digests(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Digests of the stretches that are asked about, those of one diagonal merged where they overlap."""
+    shift = there - start
+    order = np.lexsort((start, shift, doc, of))
+    of, start, end, doc, shift = of[order], start[order], end[order], doc[order], shift[order]
+    if not len(of):
+        return np.empty(0, ASKED)
+    line = np.cumsum(np.concatenate([[0], (of[1:] != of[:-1]) | (doc[1:] != doc[:-1]) | (shift[1:] != shift[:-1])]))
+    reach = np.maximum.accumulate(end + (line << 33))
+    fresh = np.concatenate([[True], start[1:] + (line[1:] << 33) > reach[:-1]])
+    a = np.flatnonzero(fresh)
+    b = np.concatenate([a[1:], [len(of)]]) - 1
+    out = np.empty(len(a), ASKED)
+    stop = reach[b] - (line[b] << 33)
+    out["doc"], out["start"], out["end"] = doc[a], start[a] + shift[a], stop + shift[a]
+    known: dict[tuple[int, int], bytes] = {}
+    made = []
+    for lo, hi in zip((offsets[of[a]] + start[a]).tolist(), (offsets[of[a]] + stop).tolist(), strict=True):
+        if (lo, hi) not in known:
+            known[lo, hi] = hashlib.sha256(data[lo:hi]).digest()
+        made.append(known[lo, hi])
+    out["digest"] = np.frombuffer(b"".join(made), np.uint8).reshape(-1, 32)
+    return out
+
+
 def _fetcher(length: int, gram: int, buckets: int):
-    """The bytes around the suffixes that were asked for, dealt by k-gram."""
+    """The bytes around the suffixes that were wanted, dealt by k-gram, and the digests that were asked for."""
     kind = context_type(length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = np.arange(2 * length - gram)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            wanted = batch.column("wanted")
-            flat = wanted.flatten()
-            lists = np.diff(wanted.offsets.to_numpy()) if len(wanted) else np.empty(0, np.int64)
-            of = np.repeat(np.arange(len(lists)), lists)
-            get = lambda f: flat.field(f).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            g, at, start, end = (get(f) for f in ("gram", "at", "start", "end"))
             docs = batch.column("doc").to_numpy()
-            for s in range(0, len(g), 1 << 16):
-                part = slice(s, s + (1 << 16))
+            of, fields = _structs(batch.column("asked"))
+            asked = _digests(data, offsets, of, *_numbers(fields))
+            yield _blobs((mix(asked["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), asked, 1)
+            of, fields = _structs(batch.column("wanted"))
+            g, at, start, end = _numbers(fields)
+            for s in range(0, len(g), 1 << 14):
+                part = slice(s, s + (1 << 14))
                 rows = np.empty(len(g[part]), kind)
                 rows["gram"], rows["doc"], rows["at"] = g[part].view(np.uint64), docs[of[part]], at[part]
                 rows["left"], rows["right"] = at[part] - start[part], end[part] - at[part]
@@ -244,10 +418,6 @@ def _fetcher(length: int, gram: int, buckets: int):
     return run
 
 
-class Collision(Exception):
-    pass
-
-
 def suffix_sort(text: np.ndarray, size: np.ndarray, group: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of ``text`` (their first ``size`` bytes) within each group, and the common extension of
     each with the one before it (0 for the first of a group). ``group`` must not decrease.
@@ -366,73 +536,84 @@ def window_covers(rows: np.ndarray, length: int, gram: int) -> np.ndarray:
     return out
 
 
+COVERED = "doc long, start long, end long, digest binary"
+
+
+def _covered(rows: np.ndarray) -> pa.RecordBatch:
+    digests = pa.array([x.tobytes() for x in rows["digest"]], pa.binary()) if "digest" in rows.dtype.names else pa.nulls(len(rows), pa.binary())
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[c]).astype(np.int64)) for c in ("doc", "start", "end")), digests], ["doc", "start", "end", "digest"])
+
+
 def _sorter(length: int, gram: int):
     kind = context_type(length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in _by_bucket(batches, {0: kind}):
+        for bucket in _by_bucket(batches, {0: kind, 1: ASKED}):
+            yield _covered(bucket[1])
             rows = bucket[0][np.argsort(bucket[0]["gram"], kind="stable")]
-            cuts = np.flatnonzero(np.concatenate([[True], rows["gram"][1:] != rows["gram"][:-1]]))
+            cuts = np.flatnonzero(np.concatenate([[True], rows["gram"][1:] != rows["gram"][:-1]])) if len(rows) else np.empty(0, np.int64)
             ends = np.append(cuts[1:], len(rows))
             a = 0
             while a < len(cuts):
                 # whole groups, about 16384 rows at once
                 b = max(a + 1, int(np.searchsorted(ends, cuts[a] + (1 << 14), "right")))
-                yield from _found(window_covers(rows[cuts[a] : ends[b - 1]], length, gram))
+                yield _covered(window_covers(rows[cuts[a] : ends[b - 1]], length, gram))
                 a = b
 
     return run
 
 
+def _joined(of: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal stretches (row, start, end) of covered ones; those that touch are one."""
+    order = np.lexsort((start, of))
+    of, start, end = of[order], start[order], end[order]
+    if not len(of):
+        return of, start, end
+    reach = np.maximum.accumulate(end + (of << 33))
+    fresh = np.concatenate([[True], start[1:] + (of[1:] << 33) > reach[:-1]])
+    a = np.flatnonzero(fresh)
+    b = np.concatenate([a[1:], [len(of)]]) - 1
+    return of[a], start[a], reach[b] - (of[a] << 33)
+
+
 def _cutter(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            covered = batch.column("covered").fill_null(pa.scalar([], batch.column("covered").type))
-            flat = covered.flatten()
-            lists = np.diff(covered.offsets.to_numpy()) if len(covered) else np.empty(0, np.int64)
-            bounds = np.concatenate([[0], np.cumsum(lists)])
-            start, end = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("start", "end"))
-            docs = batch.column("doc")
-            for a, b in pieces(offsets):
-                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                of = np.repeat(np.arange(b - a), lists[a:b])
-                depth = np.zeros(len(part) + 1, np.int32)
-                np.add.at(depth, at[of] + start[bounds[a] : bounds[b]], 1)
-                np.add.at(depth, at[of] + end[bounds[a] : bounds[b]], -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                kept = part[~gone]
-                left = np.concatenate([[0], np.cumsum(~gone)])[at]
-                first = gone.copy()
-                first[1:] &= ~gone[:-1]
-                inner = at[:-1][np.diff(at) > 0]
-                first[inner] = gone[inner]
-                opens = np.concatenate([[0], np.cumsum(first)])[at]
-                n, stays = np.diff(at), np.diff(left)
-                texts = [kept[s:e].tobytes() for s, e in zip(left, left[1:], strict=False)]
-                arrays = [
-                    docs.slice(a, b - a), pa.array(n.astype(np.int64)), pa.array((n - stays).astype(np.int64)), pa.array(np.diff(opens).astype(np.int64)),
-                    pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-                ]
-                names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            of, fields = _structs(batch.column("covered"))
+            start, end = _numbers(fields[:2])
+            for row, lo, hi, digest in zip(of.tolist(), start.tolist(), end.tolist(), fields[2].to_pylist(), strict=True):
+                if digest is not None and hashlib.sha256(data[offsets[row] + lo : offsets[row] + hi]).digest() != digest:
+                    raise Collision("two different contexts share both hashes; a new call draws others")
+            of, start, end = _joined(of, start, end)
+            bounds = np.searchsorted(of, np.arange(len(offsets)))
+            n = np.diff(offsets)
+            removed = np.bincount(of, weights=end - start, minlength=len(n)).astype(np.int64) if len(of) else np.zeros(len(n), np.int64)
+            begins, stops, hashes, kept = start.tolist(), end.tolist(), [], []
+            for row, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                cut = range(bounds[row], bounds[row + 1])
+                edges = [lo, *(lo + x for k in cut for x in (begins[k], stops[k])), hi]
+                left = [data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]
+                digest = hashlib.sha256()
+                for x in left:
+                    digest.update(x)
+                hashes.append(digest.hexdigest())
                 if whole:
-                    begins = np.flatnonzero(first)
-                    last = gone.copy()
-                    last[:-1] &= ~gone[1:]
-                    edge = at[1:][np.diff(at) > 0] - 1
-                    last[edge] = gone[edge]
-                    stops = np.flatnonzero(last) + 1
-                    row = np.searchsorted(at, begins, "right") - 1
-                    spans = pa.StructArray.from_arrays([pa.array((begins - at[row]).astype(np.int64)), pa.array((stops - at[row]).astype(np.int64))], ["start", "end"])
-                    arrays += [pa.ListArray.from_arrays(pa.array(opens.astype(np.int32)), spans), pa.array(texts, pa.binary())]
-                    names += ["spans", "kept"]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                    kept.append(b"".join(x.tobytes() for x in left))
+            counts = np.diff(bounds)
+            arrays = [batch.column("doc"), pa.array(n.astype(np.int64)), pa.array(removed), pa.array(counts.astype(np.int64)), pa.array(hashes, pa.string())]
+            names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if whole:
+                spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], ["start", "end"])
+                arrays += [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans), pa.array(kept, pa.binary())]
+                names += ["spans", "kept"]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, whole: bool = True, buckets: int | None = None
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, whole: bool = True, buckets: int | None = None, crowd: Crowd = Crowd()
 ) -> DataFrame:
     """One row per row of ``docs``: its doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``whole``, the
     removed ``spans`` and the ``kept`` bytes (which may cut a character).
@@ -448,22 +629,28 @@ def remove_repeats(
     buckets = buckets or 4 * n_parts
     slim = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = None
-    if not slim.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        # number the distinct (doc, text hash) in their order; only tables with repeated ids pay for this
+    twice = slim.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty() or not slim.where((F.col("doc") == NONE) & F.col("id").isNotNull()).isEmpty():
+        # number the distinct (doc, text hash) in their order; only tables with repeated ids pay for this. Numbers over
+        # sorted partitions rise with the order, and are written before they are used
         tagged = slim.withColumn("tag", F.xxhash64("text"))
-        order = tagged.select("doc", "tag").distinct().orderBy("doc", "tag")
-        numbers = spark.createDataFrame(order.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), "doc long, tag long, number long")
-        named = durable(tagged.join(numbers, ["doc", "tag"]).select("id", F.col("number").alias("doc"), "text"), "numbered")
+        order = durable(tagged.select("doc", "tag").distinct().orderBy("doc", "tag").withColumn("number", F.monotonically_increasing_id()), "order")
+        named = durable(tagged.join(order, ["doc", "tag"]).select("id", F.col("number").alias("doc"), "text"), "numbered")
         slim = named.select("doc", "text").distinct()
     texts = slim.select("doc", "text")
-    dealt = texts.mapInArrow(_sampler(length, gram, buckets), DEALT).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
+    seeds = tuple(secrets.randbits(63) for _ in range(4))
+    crowded = crowded_grams(texts, length, gram, seeds, crowd)
+    dealt = texts.mapInArrow(_sampler(length, gram, buckets, seeds, crowded), DEALT).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
     found = durable(dealt.mapInArrow(_settler, FOUND), "settled")
-    wanted = found.where("gram is not null").groupBy("doc").agg(F.collect_list(F.struct("gram", "at", "start", "end")).alias("wanted"))
-    edges = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetcher(length, gram, buckets), DEALT)
-    sorted_ = edges.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorter(length, gram), FOUND)
-    covers = found.where("gram is null").union(sorted_).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
+    own = found.where("gram is null and for_doc is null").select("doc", "start", "end", F.lit(None).cast("binary").alias("digest"))
+    lists = {"wanted": F.when(F.col("gram").isNotNull(), F.struct("gram", "at", "start", "end")), "asked": F.when(F.col("for_doc").isNotNull(), F.struct("start", "end", "for_doc", "for_start"))}
+    wanted = found.where("gram is not null or for_doc is not null").groupBy("doc").agg(*[F.collect_list(x).alias(n) for n, x in lists.items()])
+    # the lists are far smaller than the texts: hashing them spares the texts a sort
+    edges = texts.join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "wanted", "asked").mapInArrow(_fetcher(length, gram, buckets), DEALT)
+    sorted_ = edges.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorter(length, gram), COVERED)
+    covers = own.union(sorted_).groupBy("doc").agg(F.collect_list(F.struct("start", "end", "digest")).alias("covered"))
     out = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start:bigint,end:bigint>>, kept binary" * whole
-    cut = texts.join(covers, "doc", "left").select("doc", "text", "covered").mapInArrow(_cutter(whole), out)
+    cut = texts.join(covers.hint("shuffle_hash"), "doc", "left").select("doc", "text", "covered").mapInArrow(_cutter(whole), out)
     if named is not None:
         return named.select("id", "doc").join(cut, "doc").drop("doc").withColumnRenamed("id", doc_id)
     return cut.select(F.when(F.col("doc") != NONE, F.col("doc")).alias(doc_id), *cut.columns[1:])

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes that are worked on at once; arrays of eight bytes per byte of text are made from them.
-PIECE = 1 << 20
+PIECE = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 SPACE = np.zeros(256, bool)

@@ -36,9 +36,35 @@ def test_few_letters(spark):
     check(spark, [(i, ("ab" * 60)[: r.randint(0, 90)]) for i in range(20)] + [(90, "a" * 200), (91, "a" * 19), (92, "")])
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_crowded_grams(spark, monkeypatch, seed):
+    """Every k-gram with two contexts is treated as a crowded one; and tasks deal often."""
+    monkeypatch.setattr(S, "HELD", 50)
+    line = "this very line stands in every document"
+    rows = [(i, t[:200] + line[: 15 + i % 25] + t[-100:]) for i, t in enumerate(H.prose(7 + seed, 40, 30))]
+    crowd = S.Crowd(every=1, least=2)
+    assert len(S.crowded_grams(H.docs(spark, rows).selectExpr("doc_id as doc", "text"), 20, 8, (1, 2, 3, 4), crowd)) > 3
+    check(spark, rows, crowd=crowd)
+    check(spark, list(enumerate(["ab" * 30, "ab" * 20 + "c", "x" + "ab" * 25, "ab" * 30])), crowd=crowd)
+
+
+def test_contexts_that_collide_are_seen(spark, monkeypatch):
+    row = np.zeros(2, S.SUFFIX)
+    row["gram"], row["context"], row["doc"], row["right"] = 5, 6, [1, 2], 4
+    S._same(np.frombuffer(b"abcdabcd", np.uint8), np.array([0]), np.array([4]), np.array([4]))
+    with pytest.raises(S.Collision):
+        S._same(np.frombuffer(b"abcdabce", np.uint8), np.array([0]), np.array([4]), np.array([4]))
+    row["right"] = [4, 5]
+    with pytest.raises(S.Collision):
+        S.settle(row)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "é" * 30), (4, "é" * 30 + "x"), (-5, "q" * 25)]
     check(spark, rows)
+    least = -(1 << 63)
+    out = S.remove_repeats(H.docs(spark, [(least, "z" * 25), (1, "z" * 25)]), length=20, gram=8).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out) == [(least, 24), (1, 25)]
     out = S.remove_repeats(H.docs(spark, [(None, "z" * 25), (1, "z" * 25)]), length=20, gram=8).collect()
     assert sorted((r["doc_id"] is None, r["n_removed"]) for r in out) == [(False, 25), (True, 24)]
 
