@@ -58,12 +58,17 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Row groups of intermediate tables: a task holds one while it writes and one while it reads, so they are small, also
+#: where a row holds an array of a megabyte.
+ROW_GROUPS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 4, "parquet.page.size.row.check.min": 4}
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later jobs never recompute it and the loss of an
     executor loses nothing. It goes when the application ends, or earlier by ``drop``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**ROW_GROUPS).parquet(path)
     place, files = _place(spark, path)
     files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
