@@ -16,6 +16,7 @@ from ..operators import validate as V
 from ..operators.score import per_document, score_long
 from ..session import ship
 from ..sources import sinks
+from . import catalog_files
 from . import fixtures as X
 
 Q: dict = {}
@@ -512,13 +513,141 @@ def prediction_shape(spark, d):
     return X.table(spark, d, "nation").select("n_nationkey", V.prediction_problem(F.parse_json(text)).alias("error"))
 
 
-@query()
+_BARE = """CASE l_linenumber WHEN 1 THEN '1e-20' WHEN 2 THEN '2e-20' WHEN 3 THEN '0.1' WHEN 4 THEN '9007199254740993.0' WHEN 5 THEN '5' ELSE l_quantity::VARCHAR END"""
+_BARE_TOO = """CASE l_linenumber WHEN 1 THEN '0' WHEN 2 THEN '2e-20' WHEN 3 THEN '0.10000000000000001' WHEN 4 THEN '9007199254740992.0' WHEN 5 THEN '5.0' ELSE (l_quantity + l_orderkey % 2)::VARCHAR END"""
+
+
+@query(
+    f"""SELECT l_linenumber AS form, CASE WHEN e = g THEN 'correct' ELSE 'value_mismatch' END AS category, count(*) AS n
+FROM (SELECT l_linenumber, CAST({_BARE} AS DOUBLE) AS e, CAST({_BARE_TOO} AS DOUBLE) AS g FROM lineitem) GROUP BY ALL"""
+)
+def bare_number_scoring(spark, d):
+    """JSON numbers without a rule are compared by value: small ones, spellings of one double, integers and decimals."""
+    i = X.table(spark, d, "lineitem")
+    spelled = lambda sql: F.expr(sql.replace("l_quantity::VARCHAR", "cast(l_quantity as string)").replace("(l_quantity + l_orderkey % 2)::VARCHAR", "cast(l_quantity + l_orderkey % 2 as string)"))
+    rows = i.select(F.col("l_linenumber").alias("form"), F.parse_json(spelled(_BARE)).alias("expected"), F.parse_json(spelled(_BARE_TOO)).alias("predicted"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("error"))
+    return score_long(rows).groupBy("form", "category").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT form, category, count(*) AS n FROM (SELECT o_orderkey % 5 AS form, CASE o_orderkey % 5 WHEN 0 THEN 'correct' WHEN 1 THEN 'correct' WHEN 2 THEN 'correct' WHEN 3 THEN 'correct' ELSE 'value_mismatch' END AS category FROM orders) GROUP BY ALL"""
+)
+def unicode_scoring(spark, d):
+    """Texts beyond ASCII: full-width and Arabic digits, sharp s, ideographic spaces, composed letters, and a digit off."""
+    digits = lambda base: F.translate(F.col("t"), "0123456789", "".join(chr(base + i) for i in range(10)))
+    o = X.table(spark, d, "orders").selectExpr("o_orderkey as k", "cast(o_orderkey as string) as t")
+    form = F.col("k") % 5
+    expected = F.when(form.isin(0, 4), F.col("t")).when(form == 1, F.col("t")).when(form == 2, F.concat(F.lit("Straße "), "t")).otherwise(F.concat(F.lit("caf\u00e9 "), "t"))
+    predicted = (
+        F.when(form == 0, digits(0xFF10)).when(form == 1, digits(0x0660)).when(form == 2, F.concat(F.lit("\u3000STRASSE\u3000\u3000"), "t"))
+        .when(form == 3, F.concat(F.lit("CAFE\u0301 "), "t")).otherwise(F.concat(digits(0xFF10), F.lit("\uff10")))
+    )
+    rows = o.select(form.alias("form"), expected.cast("variant").alias("expected"), predicted.cast("variant").alias("predicted"), F.when(form < 2, "number").otherwise("string").alias("rule"), F.lit(None).cast("string").alias("error"))
+    return score_long(rows).groupBy("form", "category").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT p_size % 6 AS form, CASE p_size % 6 WHEN 5 THEN 'correct' WHEN 4 THEN 'missing_value' ELSE 'invalid_value' END AS category, count(*) AS n FROM part GROUP BY ALL"""
+)
+def text_rule_other_values(spark, d):
+    """Under a text rule: numbers, booleans, objects and arrays are invalid, null is missing."""
+    value = F.expr("case p_size % 6 when 0 then '5' when 1 then 'true' when 2 then '{\"a\": \"5\"}' when 3 then '[\"5\"]' when 4 then 'null' else '\"5\"' end")
+    rows = X.table(spark, d, "part").select((F.col("p_size") % 6).alias("form"), F.lit("5").cast("variant").alias("expected"), F.parse_json(value).alias("predicted"), F.lit("code").alias("rule"), F.lit(None).cast("string").alias("error"))
+    return score_long(rows).groupBy("form", "category").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT k, form, CASE form WHEN 0 THEN 'The fields property must be an object.' WHEN 1 THEN 'No requested field object was found.' WHEN 2 THEN 'The fields object contains no requested field names.' END AS parse_error,
+  CASE WHEN form = 3 THEN k::VARCHAR END AS total, CASE WHEN form > 2 THEN CASE WHEN form = 3 THEN 1 ELSE 0 END ELSE -1 END AS evidence, CASE WHEN form > 2 THEN CASE WHEN form = 4 THEN 2 ELSE 0 END ELSE -1 END AS uncertainties, raw_length
+FROM (SELECT o_orderkey AS k, o_orderkey % 5 AS form, CASE o_orderkey % 5 WHEN 0 THEN 15 WHEN 1 THEN 12 WHEN 2 THEN 24 WHEN 3 THEN 72 + 2 * length(o_orderkey::VARCHAR) ELSE 61 END AS raw_length FROM orders)"""
+)
+def parse_field_objects(spark, d):
+    """Objects without requested fields, an object after braces that open none, evidence, uncertainties, and the raw text."""
+    raw = """case k % 5 when 0 then '{"fields": [1]}' when 1 then '{"other": 1}' when 2 then '{"fields": {"other": 1}}'
+      when 3 then concat('see {', k, '} {"fields": {"total_amount": "', k, '"}, "evidence": [{"field": "a"}]} ok') else '{"fields": {}, "evidence": 7, "uncertainties": ["a", "b"]}   ' end"""
+    rows = X.table(spark, d, "orders").selectExpr("o_orderkey as k").select("k", (F.col("k") % 5).alias("form"), F.expr(raw).alias("raw_output"), F.array(F.lit("total_amount")).alias("requested"))
+    out = P.parse_output(rows)
+    size = lambda c: F.size(F.from_json(F.to_json(c), "array<variant>"))
+    held = lambda c: F.when(F.col("parse_error").isNull(), size(c)).otherwise(-1).alias(c)
+    total = F.try_variant_get(P.field_value(F.col("fields"), F.lit("total_amount")), "$", "string")
+    return out.select("k", "form", "parse_error", total.alias("total"), held("evidence"), held("uncertainties"), F.length("raw_output").alias("raw_length"))
+
+
+@query(O["mapping_rejects"])
+def mapping_of_variants(spark, d):
+    """Nested labels given as VARIANT instead of as JSON text."""
+    rows = X.nested_labels(spark, d).withColumn("ground_truth", F.parse_json("ground_truth"))
+    return P.map_labels(rows).groupBy("reject").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT reason, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'Image must be inside the dataset directory' WHEN 1 THEN 'Image does not exist: images/no.png'
+  WHEN 2 THEN 'Image must be inside the dataset directory' END AS reason FROM part) WHERE reason IS NOT NULL GROUP BY reason"""
+)
+def image_paths(spark, d):
+    p = X.table(spark, d, "part").select(F.col("p_partkey").alias("line_no"), F.col("p_partkey").cast("string").alias("id"))
+    image = F.expr("case line_no % 4 when 0 then '../x.png' when 1 then 'images/no.png' when 2 then 'images/../../x.png' else concat('images/./a/../', id, '.png') end")
+    rows = p.withColumn("image", image)
+    files = p.select(F.concat(F.lit("images/./a/../"), "id", F.lit(".png")).alias("image"))
+    return V.missing_images(rows, files).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS id, 'tax_amount' AS field FROM part WHERE p_partkey % 3 > 0")
+def untexted_amount_rules(spark, d):
+    """Amounts whose rule is not the text rule, which a receipt profile refuses."""
+    rule = F.expr("case p_partkey % 3 when 0 then 'string or null' when 1 then 'number' else cast(null as string) end")
+    p = X.table(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("id"), F.lit("tax_amount").alias("field"), rule.alias("rule_text")).union(p.select("p_partkey", F.lit("note"), F.lit("string")))
+    return V.untexted_amounts(rows).select("id", "field")
+
+
+@query("WITH " + X.SQL_PRINTED + " SELECT field, min(k) AS doc_pos, arg_min(fi, k) AS pos FROM p GROUP BY field")
+def report_field_order(spark, d):
+    return M.report_order(_scored(spark, d)).select("field", "first.doc_pos", "first.pos")
+
+
+@query(
+    """SELECT k AS id, policy, CASE policy WHEN 'label-context-v1' THEN 'q' ELSE 'again' END AS question, CASE WHEN policy <> 'invalid-amount-v1' OR k % 6 = 1 THEN 'tax_amount' ELSE 'tax_amount,total_amount' END AS asked,
+  CASE WHEN policy = 'label-context-v1' THEN 3 WHEN policy = 'invalid-amount-v1' AND k % 6 = 2 THEN 2 ELSE 1 END AS n_rules
+FROM (SELECT o_orderkey AS k, unnest(['none', 'invalid-amount-v1', 'percent-crop-v1', 'label-context-v1']) AS policy FROM orders) WHERE policy <> 'none' AND k % 6 IN (1, 2)"""
+)
+def second_reading_requests(spark, d):
+    """Which documents are asked again under each policy, for what, and by which question. None without a flag is."""
+    from .recheck import requests
+
+    fields = F.expr("""case k % 6 when 1 then '{"tax_amount": "10%", "note": "N/A"}' when 2 then '{"tax_amount": "10%", "total_amount": "none"}' when 3 then '{"tax_amount": "1"}' else '{"tax_amount": null}' end""")
+    rules = F.lit('{"tax_amount": "string or null", "total_amount": "string or null", "note": "string"}')
+    docs = X.table(spark, d, "orders").selectExpr("o_orderkey as k").select(F.col("k").alias("id"), F.lit("i").alias("image"), F.lit("q").alias("question"), F.parse_json(rules).alias("field_schema"), F.parse_json(fields).alias("fields"))
+    found = None
+    for policy in R.POLICIES[1:]:
+        one = requests(docs, policy).withColumn("policy", F.lit(policy))
+        found = one if found is None else found.union(one)
+    return found.select("id", "policy", F.when(F.col("question") == "q", "q").otherwise("again").alias("question"), F.array_join("asked", ",").alias("asked"), F.size(F.json_object_keys("field_schema")).alias("n_rules"))
+
+
+@query(
+    """SELECT k AS id, CASE WHEN k % 3 = 0 THEN 'tax:2,total:1' ELSE 'tax:1,total:1' END AS evidence, CASE WHEN k % 3 = 0 THEN '' ELSE 'paid' END AS answer,
+  CASE WHEN k % 3 <> 0 THEN 0.5 END AS confidence, 'paid' AS first_answer, 2 AS first_evidence FROM (SELECT o_orderkey AS k FROM orders)"""
+)
+def evidence_merge(spark, d):
+    """Evidence of accepted fields comes from the second reading, all else from the first, which is kept."""
+    kind = "array<struct<field:string,text:string>>"
+    rows = X.table(spark, d, "orders").selectExpr("o_orderkey as k").select(
+        F.col("k").alias("id"), F.expr("if(k % 3 < 2, array('tax'), cast(array() as array<string>))").alias("asked"), F.expr("if(k % 3 = 0, array('tax'), cast(array() as array<string>))").alias("accepted"),
+        F.expr(f"cast(array(struct('tax' as field, 'tax:1' as text), struct('total' as field, 'total:1' as text)) as {kind})").alias("evidence"),
+        F.expr(f"cast(array(struct('tax' as field, 'tax:2' as text), struct('total' as field, 'total:2' as text)) as {kind})").alias("second_evidence"), F.lit("paid").alias("answer"), F.lit(0.5).alias("confidence"),
+        F.lit(None).cast("string").alias("second_error"), F.lit(True).alias("request_started"), F.lit(1.0).alias("latency"), F.lit(1.0).alias("second_latency"), F.lit(1.0).alias("memory"), F.lit(1.0).alias("second_memory"),
+    )
+    out = R.merge_documents(rows)
+    return out.select("id", F.array_join(F.array_sort(F.transform("evidence", lambda e: e["text"])), ",").alias("evidence"), "answer", "confidence", F.col("initial.answer").alias("first_answer"), F.size("initial.evidence").alias("first_evidence"))
+
+
+@query("SELECT CASE WHEN c_custkey % 10 = 0 THEN 'ValueError: unreadable' END AS error, count(*) AS n FROM customer GROUP BY ALL")
 def mock_replay_counts(spark, d):
     """An analyzer over documents without labels: each answers from its question, every fifth fails."""
     from ..operators.infer import infer
 
-    ship(spark)
-    rows = X.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("none").alias("image"), F.col("c_name").alias("question"), F.lit('{"name": "string"}').alias("field_schema"))
+    rows = X.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("none").alias("image"), F.col("c_custkey").cast("string").alias("question"), F.lit('{"name": "string"}').alias("field_schema"))
     out = infer(rows, Echo)
     return out.groupBy(F.col("error").alias("error")).agg(F.count("*").alias("n"))
 
@@ -536,8 +665,8 @@ class Echo:
 
 
 def queries() -> dict:
-    return dict(Q)
+    return Q | catalog_files.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(O)
+    return O | catalog_files.O
