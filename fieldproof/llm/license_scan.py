@@ -8,8 +8,12 @@ words that the templates know are streamed, since any other word empties the mat
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from heapq import heappop, heappush
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from .textkit import ALNUM, LOWER, PIECE, pieces, run_hashes, words
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 #: Short, well-known notices in our own selection; each is one template of its label.
-TEMPLATES = (
+NOTICES = (
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
@@ -42,9 +46,27 @@ TEMPLATES = (
     ("proprietary", "no part of this publication may be reproduced without prior written permission"),
 )
 
+
+def bodies(folder: Path = Path(__file__).with_name("licenses")) -> tuple[tuple[str, str], ...]:
+    """(label, text) of whole licences: one file each, named by its label."""
+    return tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*.txt")))
+
+
+def spelled(text: str) -> tuple[str, ...]:
+    """The words of a template, as they are taken from a document."""
+    data = LOWER[np.frombuffer(text.encode(), np.uint8)]
+    starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
+    return tuple(data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True))
+
+
+#: Notices, and whole licences by the same labels; where versions differ, the label of the body has the version.
+TEMPLATES = NOTICES + bodies()
+
+
 @dataclass(frozen=True)
 class Chain:
-    """A template is found where chained runs of at least ``run`` words cover ``cover`` of its words."""
+    """A template is found where chained runs of at least ``run`` words cover ``cover`` of its words, within a stretch of
+    text of three times its length at most."""
 
     run: int = 3
     cover: float = 0.8
@@ -113,8 +135,8 @@ class Automaton:
 class Scanner:
     def __init__(self, phrases=PHRASES, templates=TEMPLATES, chain: Chain = Chain()):
         self.chain = chain
-        self.phrases = [(tuple(p.split()), label) for p, label in phrases]
-        self.templates = [(tuple(t.split()), label) for label, t in templates]
+        self.phrases = [(spelled(p), label) for p, label in phrases]
+        self.templates = [(spelled(t), label) for label, t in templates]
         every = [w for w, _ in self.phrases + self.templates]
         self.vocabulary = {w: i for i, w in enumerate(sorted({x for ws in every for x in ws}))}
         self.spelling = [w.encode() for w in self.vocabulary]
@@ -134,7 +156,10 @@ class Scanner:
         for ws in every:
             at = [self.vocabulary[w] for w in ws]
             self.beside[at[:-1], at[1:]] = True
-        for ws, _ in self.phrases:
+        self.closing: dict[int, list[tuple[tuple[int, ...], str]]] = {}
+        for ws, label in self.phrases:
+            at = tuple(self.vocabulary[w] for w in ws)
+            self.closing.setdefault(at[-1], []).append((at, label))
             self.opens[self.vocabulary[ws[0]], self.vocabulary[ws[1]]] = True
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -163,69 +188,96 @@ class Scanner:
         good = (ends - begins >= self.chain.run) | (opening[ends - 1] > opening[begins])
         return begins[good], ends[good]
 
-    def scan(self, tokens: np.ndarray, begins: np.ndarray, ends: np.ndarray, spell) -> tuple[int, int | None, int | None, set[str], set[str], float]:
+    def scan(self, tokens: np.ndarray, begins: np.ndarray, ends: np.ndarray, spell) -> tuple:
         """Of one text, whose words that ``tokens`` and the stretches hold: places of phrases, the first and last of
-        them, base labels, all labels, and the score."""
+        them, base labels, all labels, the score, and the spans of templates."""
         n_phrases = len(self.phrases)
         places, base = [], set()
-        runs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for b, e in zip(begins, ends, strict=True):
-            run = tokens[b:e].tolist()
-            if any(spell(int(b) + i) != self.spelling[t] for i, t in enumerate(run)):
-                raise ValueError("two words share a hash; choose another seed")
+        runs: dict[int, set[tuple[int, int, int, int]]] = {}
+        for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+            run = tokens[begin:end].tolist()
+            # a word that merely hashes like one of the templates is no word of theirs
+            run = [t if spell(begin + i) == self.spelling[t] else -1 for i, t in enumerate(run)]
             stats = self.automaton.statistics(run)
             for i, (size, state) in enumerate(stats):
                 # phrases that end here: longest known run covers the phrase's words
-                for k, (ws, label) in enumerate(self.phrases):
-                    n = len(ws)
-                    if size >= n and run[i] == self.vocabulary[ws[-1]] and all(run[i - n + 1 + j] == self.vocabulary[w] for j, w in enumerate(ws)):
-                        places.append(int(b) + i - n + 1)
+                for words_, label in self.closing.get(run[i], ()):
+                    if size >= len(words_) and tuple(run[i + 1 - len(words_) : i + 1]) == words_:
+                        places.append(begin + i + 1 - len(words_))
                         base.add(label)
                 # a maximal run: the next token does not lengthen it
                 if size >= self.chain.run and (i + 1 == len(stats) or stats[i + 1][0] <= size):
-                    for number, end in self.automaton.ends[state]:
+                    first = begin + i + 1 - size
+                    for number, stop in self.automaton.ends[state]:
                         if number >= n_phrases:
-                            first = int(b) + i + 1 - size
-                            runs.setdefault((number, first - (end - size)), []).append((end - size, end))
-        labels, score = set(base), 0.0
-        if base:
-            score = 1.0
-        by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for (number, shift), spans in runs.items():
-            by_template.setdefault(number, []).extend((shift, s, e) for s, e in spans)
-        for number, spans in by_template.items():
-            ws, label = self.templates[number - n_phrases]
-            best = self._chained(spans, len(ws))
-            score = max(score, min(1.0, best))
-            if best >= self.chain.cover:
-                labels.add(label)
-        return len(places), min(places, default=None), max(places, default=None), base, labels, score
-
-    @staticmethod
-    def _chained(spans: list[tuple[int, int, int]], size: int) -> float:
-        """The largest share of a template's words that runs in order can cover within a stretch of text of twice
-        its size. Runs (shift, start, end) are taken along the text."""
-        spans = sorted({(shift + s, shift + e, s, e) for shift, s, e in spans})
-        best, open_chains = 0, []
-        for at, to, s, e in spans:
-            top = e - s
-            open_chains = [c for c in open_chains if to - c[0] <= 2 * size]
-            for begin, end, done, covered in open_chains:
-                if s >= done and at >= end:
-                    top = max(top, covered + e - s)
-            begins = [c[0] for c in open_chains if s >= c[2] and at >= c[1] and c[3] + e - s == top]
-            open_chains.append((max(begins, default=at), to, e, top))
-            best = max(best, top)
-        return best / size
-
-
-RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-EMPTY = (0, None, None, set(), set(), 0.0)
+                            runs.setdefault(number, set()).add((first, first + size, stop - size, stop))
+        labels, score, spans = set(base), 1.0 if base else 0.0, []
+        for number, found in sorted(runs.items()):
+            words_, label = self.templates[number - n_phrases]
+            for covered, first, last in chains(found, len(words_)):
+                share = min(1.0, covered / len(words_))
+                score = max(score, share)
+                if share >= self.chain.cover:
+                    labels.add(label)
+                    spans.append({"label": label, "first": first, "last": last - 1, "covered": share})
+        spans.sort(key=lambda x: (x["first"], x["last"], x["label"]))
+        return len(places), min(places, default=None), max(places, default=None), base, labels, score, spans
+
+
+def chains(runs: set[tuple[int, int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """(words covered, first word, end) of the best chains of runs (from, to, from in the template, to there): in each
+    stretch of text of three times the template's ``size`` the one that covers most; of those that overlap the better
+    one, or the earlier of equals. Runs of a chain follow one another in both; a Fenwick tree over the template's places
+    holds the best chain that ends at each or before."""
+    if len(runs) == 1:
+        ((at, to, s, e),) = runs
+        return [(e - s, at, to)]
+    ordered = sorted(runs)
+    best = []
+    for window in sorted({max(at // size - d, 0) for at, *_ in ordered for d in range(3)}):
+        low, high = window * size, (window + 3) * size
+        inside = [x for x in ordered[bisect_left(ordered, (low,)) :  bisect_left(ordered, (high,))] if x[1] <= high]
+        tree: dict[int, tuple[int, int]] = {}  # at a node: the most words covered, and minus the first word
+        waiting: list[tuple[int, int, int, int]] = []
+        top = None
+        for at, to, s, e in inside:
+            while waiting and waiting[0][0] <= at:
+                _, place, covered, first = heappop(waiting)
+                while place <= size:
+                    tree[place] = max(tree.get(place, (0, 0)), (covered, first))
+                    place += place & -place
+            covered, first, place = 0, -at, s
+            while place:
+                if place in tree and tree[place][0] > covered:
+                    covered, first = tree[place]
+                place &= place - 1
+            covered += e - s
+            heappush(waiting, (to, e, covered, first))
+            if top is None or covered > top[0]:
+                top = (covered, -first, to)
+        if top:
+            best.append(top)
+    out: list[tuple[int, int, int]] = []
+    for covered, first, end in sorted(best, key=lambda x: (-x[0], x[1])):
+        if all(end <= a or b <= first for _, a, b in out):
+            out.append((covered, first, end))
+    return out
+
+
+RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:bigint,last:bigint,covered:double>>"
+EMPTY = (0, None, None, set(), set(), 0.0, [])
+SPANS = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("covered", pa.float64())]))
+
+
+@lru_cache(2)
+def scanner_of(phrases, templates, chain: Chain) -> Scanner:
+    """One for all tasks of a Python worker."""
+    return Scanner(phrases, templates, chain)
 
 
 def _scanner(phrases, templates, chain: Chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(phrases, templates, chain)
+        scanner = scanner_of(phrases, templates, chain)
         for batch in batches:
             data, offsets = utf8(batch.column("_text"))
             counts, found = [], []
@@ -244,24 +296,27 @@ def _scanner(phrases, templates, chain: Chain):
                         continue
                     got = ids[lo : int(bounds[k + 1])]
                     found.append(scanner.scan(got, begins[x:y] - lo, stops[x:y] - lo, lambda i, lo=lo: part[starts[lo + i] : ends[lo + i]].tobytes()))
-            columns = list(zip(*found, strict=True)) if found else [[]] * 6
+            columns = list(zip(*found, strict=True)) if found else [[]] * 7
             joined = [[",".join(sorted(x)) for x in columns[k]] for k in (3, 4)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_row"), pa.array(counts, pa.int64()), *(pa.array(columns[k], pa.int64()) for k in range(3)),
                     pa.array(joined[0], pa.string()), pa.array(joined[1], pa.string()), pa.array(columns[5], pa.float64()),
+                    pa.array(columns[6], SPANS),
                 ],
-                ["row", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+                ["row", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
             )
 
     return run
 
 
 def scan(docs: DataFrame, text: str = "text", phrases=PHRASES, templates=TEMPLATES, chain: Chain = Chain()) -> DataFrame:
-    """(row, n_words, n_base, first_word, last_word, base_labels, labels, score) of every whole text.
+    """(row, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of every whole text.
 
     Words are runs of ASCII letters, digits and bytes above 0x7F, with A-Z lower-cased. ``score`` is 1 where a
-    phrase stands, else the largest share of a template that is covered. Null and empty texts have no word and
+    phrase stands, else the largest share of a template that is covered. ``spans`` are the places of templates, first and
+    last word; several templates of one label, or of several, may hold the same words, and each has its span. A very
+    long text stands in one task, as arrays of some fifty bytes a word. Null and empty texts have no word and
     no label; repeated rows get equal results; a phrase that stands twice counts twice; an empty table gives an
     empty result; other columns, whatever their names, travel inside ``row``. Nothing is shuffled."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]) if len(docs.columns) > 1 else F.struct(F.lit(None).cast("int").alias("none"))
@@ -271,4 +326,4 @@ def scan(docs: DataFrame, text: str = "text", phrases=PHRASES, templates=TEMPLAT
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return out.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").cast("long").alias("n_spans"))

@@ -53,6 +53,55 @@ def test_templates(spark, text, labels):
     assert (row["score"] >= 0.8) == bool(labels)
 
 
+def test_whole_licences(spark):
+    """Every whole licence is found in its own words, also with every fortieth word changed, and where it stands."""
+    rows, want = [], []
+    for i, (label, text) in enumerate(L.bodies()):
+        ws = list(L.spelled(text))
+        for changed in (False, True):
+            body = [f"zz{j}" if changed and j % 40 == 39 else w for j, w in enumerate(ws)]
+            rows.append((2 * i + changed, "one two three " * 5 + " ".join(body) + " four five" * 9))
+            want.append((label, len(ws)))
+    out = {r["row"]["doc_id"]: r for r in L.scan(H.docs(spark, rows)).collect()}
+    for k, (label, size) in enumerate(want):
+        assert label in out[k]["labels"].split(",")
+        span = max((s for s in out[k]["spans"] if s["label"] == label), key=lambda s: s["last"] - s["first"])
+        assert abs(span["first"] - 15) <= 2 and abs(span["last"] - (14 + size)) <= 2 and span["covered"] >= (0.8 if k % 2 else 0.99)
+
+
+def best_chain(runs):
+    """The most words that a chain of runs covers, by trying all."""
+
+    def longest(k, to, done):
+        return max((longest(j + 1, *(runs[j][1], runs[j][3])) + runs[j][3] - runs[j][2] for j in range(len(runs)) if runs[j][0] >= to and runs[j][2] >= done), default=0)
+
+    return longest(0, 0, 0)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_chains(seed):
+    r = random.Random(seed)
+    runs = set()
+    for _ in range(r.randint(1, 9)):
+        n, at, s = r.randint(3, 6), r.randint(0, 45), r.randint(0, 14)
+        runs.add((at, at + n, s, s + n))
+    size = 20  # all runs lie within three times that
+    found = L.chains(runs, size)
+    assert max(c for c, _, _ in found) == best_chain(sorted(runs))
+    assert all(a < b for _, a, b in found)
+
+
+def test_words_that_only_hash_alike(spark, monkeypatch):
+    scanner = L.Scanner()
+    token = scanner.vocabulary["cc"], scanner.vocabulary["by"]
+    import numpy as np
+
+    got = scanner.scan(np.array(token), np.array([0]), np.array([2]), lambda i: [b"cc", b"other"][i])
+    assert got[0] == 0 and got[3] == set()
+    got = scanner.scan(np.array(token), np.array([0]), np.array([2]), lambda i: [b"cc", b"by"][i])
+    assert got[:4] == (1, 0, 0, {"cc-by"})
+
+
 def test_empty_and_clashing(spark):
     assert L.scan(H.docs(spark, [])).count() == 0
     more = spark.createDataFrame([(1, "cc by", 7)], "doc_id long, text string, score int")
