@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import drop, durable, ship
 
-__all__ = ["connected", "drop", "durable", "free", "partitions", "table", "utf8"]
+__all__ = ["connected", "drop", "durable", "free", "labels", "partitions", "table", "utf8"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +27,32 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spark_hash(values: np.ndarray) -> np.ndarray:
+    """Spark's ``hash`` of ints: 32-bit Murmur3 with the seed 42."""
+    def turned(x, r):
+        return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+
+    k = turned(values.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turned(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h = h ^ np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).astype(np.int32)
+
+
+def labels(parts: int, each: int = 1) -> np.ndarray:
+    """parts * each different ints, of which the i-th falls into partition i % parts when they are dealt to ``parts``
+    partitions by Spark's hash. Plain numbers would leave some partitions empty and give others several."""
+    size = parts * (3 * each + 24)
+    while True:
+        at = spark_hash(np.arange(size)).astype(np.int64) % parts
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(parts))
+        if np.bincount(at, minlength=parts).min() >= each:
+            return np.concatenate([order[first + k] for k in range(each)]).astype(np.int32)
+        size *= 2
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column as one array, and the n + 1 offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions, table, utf8
+from .common import durable, labels, partitions, table, utf8
 from .textkit import byte_codes, mix, pieces, powers
 
 LENGTH = 100
@@ -202,8 +202,9 @@ def windows(text: np.ndarray, spot: np.ndarray, rows: np.ndarray, length: int, g
     return np.concatenate(found), np.concatenate(places)
 
 
-def _blobs(bucket: np.ndarray, rows: np.ndarray, kind: int) -> pa.RecordBatch:
-    """One row per bucket, holding its rows field by field."""
+def _blobs(key: np.ndarray, buckets: np.ndarray, rows: np.ndarray, kind: int) -> pa.RecordBatch:
+    """One row per bucket (a label, by the key), holding its rows field by field."""
+    bucket = buckets[(key % np.uint64(len(buckets))).astype(np.int64)]
     order = np.argsort(bucket, kind="stable")
     bucket, rows = bucket[order], rows[order]
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
@@ -248,16 +249,13 @@ FOUND = "doc long, gram long, at long, start long, end long, for_doc long, for_s
 NAMES = ["doc", "gram", "at", "start", "end", "for_doc", "for_start"]
 
 
-def _sampler(length: int, gram: int, buckets: int, seeds: tuple[int, ...], crowded: np.ndarray):
+def _sampler(length: int, gram: int, buckets: np.ndarray, seeds: tuple[int, ...], crowded: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         texts: list[np.ndarray] = []
         spots: list[np.ndarray] = []
         size = 0
 
-        def by(key: np.ndarray) -> np.ndarray:
-            return (key % np.uint64(buckets)).astype(np.int32)
-
         def deal() -> Iterator[pa.RecordBatch]:
             rows, text, spot = np.concatenate(held), np.concatenate(texts), np.concatenate(spots)
             for x in (held, texts, spots):
@@ -274,10 +272,10 @@ def _sampler(length: int, gram: int, buckets: int, seeds: tuple[int, ...], crowd
                 one, _, later, head = settle(single)
                 _same(text, at[later], at[head], np.full(len(later), length))
                 covers.append(_covers(single[later]))
-                yield _blobs(by(single["gram"][one]), single[one], 2)
-            yield _blobs(by(rows["gram"][firsts]), rows[firsts], 0)
+                yield _blobs(single["gram"][one], buckets, single[one], 2)
+            yield _blobs(rows["gram"][firsts], buckets, rows[firsts], 0)
             merged = _merged(np.concatenate(covers))
-            yield _blobs(by(mix(merged["doc"].astype(np.uint64))), merged, 1)
+            yield _blobs(mix(merged["doc"].astype(np.uint64)), buckets, merged, 1)
 
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -389,7 +387,7 @@ def _digests(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, start: np.nd
     return out
 
 
-def _fetcher(length: int, gram: int, buckets: int):
+def _fetcher(length: int, gram: int, buckets: np.ndarray):
     """The bytes around the suffixes that were wanted, dealt by k-gram, and the digests that were asked for."""
     kind = context_type(length, gram)
 
@@ -400,7 +398,7 @@ def _fetcher(length: int, gram: int, buckets: int):
             docs = batch.column("doc").to_numpy()
             of, fields = _structs(batch.column("asked"))
             asked = _digests(data, offsets, of, *_numbers(fields))
-            yield _blobs((mix(asked["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), asked, 1)
+            yield _blobs(mix(asked["doc"].astype(np.uint64)), buckets, asked, 1)
             of, fields = _structs(batch.column("wanted"))
             g, at, start, end = _numbers(fields)
             for s in range(0, len(g), 1 << 14):
@@ -413,7 +411,7 @@ def _fetcher(length: int, gram: int, buckets: int):
                 inside = (columns >= (length - gram) - rows["left"][:, None].astype(np.int64)) & (columns < (length - gram) + rows["right"][:, None].astype(np.int64))
                 place[~inside] = 0
                 rows["bytes"] = np.where(inside, data[place], 0)
-                yield _blobs((rows["gram"] % np.uint64(buckets)).astype(np.int32), rows, 0)
+                yield _blobs(rows["gram"], buckets, rows, 0)
 
     return run
 
@@ -613,7 +611,7 @@ def _cutter(whole: bool):
 
 
 def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, whole: bool = True, buckets: int | None = None, crowd: Crowd = Crowd()
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, whole: bool = True, crowd: Crowd = Crowd()
 ) -> DataFrame:
     """One row per row of ``docs``: its doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``whole``, the
     removed ``spans`` and the ``kept`` bytes (which may cut a character).
@@ -626,7 +624,7 @@ def remove_repeats(
         raise ValueError("strings of 2 to 255 bytes, with a k-gram that is shorter by less than 128")
     spark = docs.sparkSession
     n_parts = partitions(docs)
-    buckets = buckets or 4 * n_parts
+    buckets = labels(n_parts, 4)
     slim = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NONE)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = None
     twice = slim.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1")

@@ -120,3 +120,16 @@ def test_lines(spark):
     twice = L.dedup(H.docs(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc"), (None, "a\nb\nc")])).collect()
     assert sorted((x["row"]["doc_id"] or 0, x["n_removed"]) for x in twice) == [(0, 0), (1, 3), (1, 3), (2, 3)]
     assert L.dedup(docs.where("false")).count() == 0
+
+
+def test_labels_fall_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from fieldproof.llm.common import labels
+
+    for parts, each in ((1, 1), (7, 1), (51, 4), (211, 4)):
+        got = labels(parts, each)
+        assert len(set(got.tolist())) == parts * each
+        rows = spark.createDataFrame([(int(x),) for x in got], "x int").select("x", F.pmod(F.hash("x"), F.lit(parts)).alias("p")).collect()
+        at = {r["x"]: r["p"] for r in rows}
+        assert [at[x] for x in got.tolist()] == [i % parts for i in range(parts * each)]
