@@ -59,8 +59,8 @@ def squeeze(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def grams(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as one number."""
-    n = len(text) - Q + 1
-    out = np.zeros(max(n, 0), np.uint64)
+    n = max(len(text) - Q + 1, 0)
+    out = np.zeros(n, np.uint64)
     for k in range(Q):
         np.left_shift(out, np.uint64(8), out=out)
         np.bitwise_or(out, text[k : k + n], out=out)
@@ -93,12 +93,17 @@ class Index:
                 raise ValueError("the edit budget leaves the q-gram lemma nothing to count")
             self.edits.append(edits)
             got = grams(text)
-            keys.append(got)
-            places.append(np.column_stack([np.full(len(got), len(self.ids) - 1), np.arange(len(got))]))
+            place = sparse(got, 2 * (edits + 1))
+            keys.append(got[place])
+            places.append(np.column_stack([np.full(len(place), len(self.ids) - 1), place]))
         self.keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
         self.places = (np.concatenate(places) if places else np.empty((0, 2), np.int64))[order]
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.edits = np.array(self.edits, np.int64)
+        #: no occurrence, with its bands on both sides, is longer
+        self.reach = int((self.sizes + 6 * (self.edits + 1)).max(initial=0)) + 2 * Q + budget.least
         self.bits = np.zeros(1 << BITS, bool)
         self.bits[self._slot(self.keys)] = True
         self.starts = np.zeros(1 << BITS, bool)
@@ -138,16 +143,45 @@ class Index:
                     out.append((p, k))
         return out
 
-    def hits(self, text: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, item, place in the item) of every shared q-gram. ``found``: the text's q-grams."""
+    def found(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, first entry, number of entries) of the places of a text's q-grams that stand in items."""
         at = np.flatnonzero(self.bits[self._slot(found)])
-        found = found[at]
-        lo = np.searchsorted(self.keys, found, "left")
-        count = np.searchsorted(self.keys, found, "right") - lo
-        at, lo, count = at[count > 0], lo[count > 0], count[count > 0]
+        lo = np.searchsorted(self.keys, found[at], "left")
+        count = np.searchsorted(self.keys, found[at], "right") - lo
+        return at[count > 0], lo[count > 0], count[count > 0]
+
+    def hits(self, at: np.ndarray, lo: np.ndarray, count: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, item, place in the item) of shared q-grams, of every ``parts``-th item."""
+        places = self.places
+        if parts > 1:
+            mine = places[:, 0] % parts == part
+            before = np.concatenate([[0], np.cumsum(mine)])
+            lo, count, places = before[lo], before[lo + count] - before[lo], places[mine]
         which = np.repeat(lo, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        place = self.places[which]
-        return np.repeat(at, count), place[:, 0], place[:, 1]
+        return np.repeat(at, count), places[which, 0], places[which, 1]
+
+
+def sparse(grams_: np.ndarray, width: int) -> np.ndarray:
+    """Places of an item's q-grams, without those between two kept places of the same q-gram that are ``width`` or less
+    apart: in a band of that width, whatever the text's place, they'd count what one of the two counts. So a run of
+    equal letters keeps a few places a band, not all."""
+    kept, last, held = [], {}, {}
+    for place, key in enumerate(grams_.tolist()):
+        if key not in last:
+            kept.append(place)
+            last[key] = place
+        elif place - last[key] <= width:
+            held[key] = place
+        else:
+            if key in held:
+                kept.append(held[key])
+                last[key] = held.pop(key)
+            if place - last[key] <= width:
+                held[key] = place
+            else:
+                kept.append(place)
+                last[key] = place
+    return np.array(sorted(kept + list(held.values())), np.int64)
 
 
 def best_edits(item: np.ndarray, region: np.ndarray, shift: int, band: int) -> int:
@@ -175,54 +209,100 @@ def best_edits(item: np.ndarray, region: np.ndarray, shift: int, band: int) -> i
     return int(cost.min())
 
 
-def scan(text: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, start, end, edits) of verified regions in squeezed rows, places counted from the row's start."""
-    seen = grams(text)
-    out = []
-    for p, k in index.whole(text, seen):
-        r = int(np.searchsorted(offsets, p, "right")) - 1
-        out.append((r, k, p - int(offsets[r]), p - int(offsets[r]) + len(index.texts[k]), 0))
-    at, item, place = index.hits(text, seen)
+#: Shared q-grams that are counted at once.
+MOST = 1 << 19
+
+
+def _counted(text: np.ndarray, offsets: np.ndarray, index: Index, base: int, hits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, first diagonal, width) of the bands that meet their item's bound; places are counted from ``base``."""
+    at, item, place = hits
     if not len(at):
-        return out
+        return
+    at = at + base
     row = np.searchsorted(offsets, at, "right") - 1
-    edits = np.array(index.edits, np.int64)
-    sizes = np.array([len(t) for t in index.texts], np.int64)
-    need = sizes - Q + 1 - edits * Q
+    need = index.sizes - Q + 1 - index.edits * Q
     diagonal = at - place
-    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     # two layers of bands, half a width apart: any e + 1 neighbouring diagonals lie in one band whole
     for layer in (0, 1):
-        width = 2 * (edits + 1)
-        band = (diagonal + layer * (edits + 1)[item]) // width[item]
+        width = 2 * (index.edits + 1)
+        shift = layer * (index.edits + 1)
+        band = (diagonal + shift[item]) // width[item]
         order = np.lexsort((at, band, item, row))
         r, i, b, d = row[order], item[order], band[order], at[order]
         cut = np.flatnonzero((np.diff(r) != 0) | (np.diff(i) != 0) | (np.diff(b) != 0)) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(r)]])
-        good = ends - starts >= need[i[starts]]
-        for s, e in zip(starts[good].tolist(), ends[good].tolist(), strict=True):
-            k = int(i[s])
-            # distinct places of the text, as one place may share a q-gram with several of the item's
-            if len(np.unique(d[s:e])) < need[k]:
-                continue
-            found.setdefault((int(r[s]), k), []).append((int(b[s]), int(width[k]), layer))
-    for (r, k), bands in found.items():
-        done: list[tuple[int, int]] = []
-        for b, width, layer in bands:
-            e = int(edits[k])
-            low = b * width - layer * (e + 1)  # the band's first diagonal
-            start = max(int(offsets[r]), low - e)
-            end = min(int(offsets[r + 1]) - Q, low + width + int(sizes[k]) + e)
-            if any(s <= start + e + 1 and end <= t + e + 1 for s, t in done) or end <= start:
-                continue
-            if index.texts[k].tobytes() in text[start:end].tobytes():
-                got = 0
+        starts = np.concatenate([[0], cut])
+        # distinct places of the text, as one place may share a q-gram with several of the item's
+        fresh = np.ones(len(r), bool)
+        fresh[1:] = d[1:] != d[:-1]
+        fresh[starts] = True
+        good = starts[np.add.reduceat(fresh.astype(np.int64), starts) >= need[i[starts]]]
+        k = i[good]
+        yield from zip(r[good].tolist(), k.tolist(), (b[good] * width[k] - shift[k]).tolist(), width[k].tolist(), strict=True)
+
+
+def _regions(text: np.ndarray, offsets: np.ndarray, index: Index, lo: int, end: int, known: dict) -> Iterator[tuple[int, int, int, int, int]]:
+    """Verified regions of what begins in [lo, end), and of some that begin a little later; places in ``text``."""
+    stack = [(lo, end)]
+    while stack:
+        lo, end = stack.pop()
+        hi = min(end + index.reach, len(text))
+        before = max(lo - 1, 0)
+        seen = grams(text[before:hi])
+        for p, k in index.whole(text[before:hi], seen):
+            if p or not lo:
+                r = int(np.searchsorted(offsets, p + before, "right")) - 1
+                yield r, k, p + before, p + before + int(index.sizes[k]), 0
+        at, first, count = index.found(seen)
+        total = int(count.sum())
+        if total > MOST and end - lo > index.reach:
+            middle = (lo + end) // 2
+            stack += [(middle, end), (lo, middle)]
+            continue
+        parts = -(-total // MOST)
+        for part in range(parts):
+            for r, k, low, width in _counted(text, offsets, index, before, index.hits(at, first, count, part, parts)):
+                e, size = int(index.edits[k]), int(index.sizes[k])
+                start, stop = max(int(offsets[r]), low - e), min(int(offsets[r + 1]) - Q, low + width + size + e)
+                if stop <= start:
+                    continue
+                region = text[start:stop].tobytes()
+                if index.texts[k].tobytes() in region:
+                    got = 0
+                else:
+                    # repetitive texts give the same region again and again
+                    key = (k, low - start, region)
+                    if key not in known:
+                        if len(known) > 1 << 12:
+                            known.clear()
+                        known[key] = best_edits(index.texts[k], text[start:stop], low + width // 2 - start, width // 2 + e + 1)
+                    got = known[key]
+                if got <= e:
+                    yield r, k, start, stop, got
+
+
+def scan(text: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, start, end, edits) of verified regions in squeezed rows, places counted from the row's start, in the
+    order of row, item and start. Texts are looked at in overlapping stretches; regions of an item that share more than
+    three quarters of its length (so, in a repetitive text, one region after another) are one, with the least edits."""
+    known: dict[tuple[int, int, bytes], int] = {}
+    sizes = index.sizes.tolist()
+
+    def merged(regions: Iterator[tuple[int, int, int, int, int]]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for r, k, start, end, edits in regions:
+            last = out[-1] if out else None
+            if last and last[0] == r and last[1] == k and last[2] <= start and last[3] - start > 0.75 * sizes[k]:
+                last[3], last[4] = max(last[3], end), min(last[4], edits)
             else:
-                got = best_edits(index.texts[k], text[start:end], low + width // 2 - start, width // 2 + e + 1)
-            if got <= e:
-                done.append((start, end))
-                out.append((r, k, start - int(offsets[r]), end - int(offsets[r]), got))
-    return out
+                out.append([r, k, start, end, edits])
+        return out
+
+    found: list[list[int]] = []
+    step = max(PIECE, 2 * index.reach)
+    for lo in range(0, max(len(text), 1), step):
+        found += merged(_regions(text, offsets, index, lo, min(lo + step, len(text)), known))
+    out = merged(sorted(found))
+    return [(r, k, start - int(offsets[r]), end - int(offsets[r]), edits) for r, k, start, end, edits in out]
 
 
 def _matcher(items: list[tuple[int, bytes]], budget: Budget, whole: bool):
@@ -265,9 +345,9 @@ def find(
     budget: Budget = Budget(), block_bytes: int = BLOCK_BYTES, whole: bool = True,
 ) -> DataFrame:
     """(row, spans): every row of ``docs`` as a struct (without its text unless ``whole``) and the regions that hold a
-    benchmark item within its edit budget. Places are counted in the squeezed lower-case bytes of the text.
+    benchmark item within its edit budget, by start, those that start together by item. Places are counted in the squeezed lower-case bytes of the text.
 
-    Null and empty texts have no span; repeated rows get equal spans; overlapping items each get their own; an
+    Null and empty texts have no span; a very long or repetitive text is looked at in stretches of bounded work; repeated rows get equal spans; overlapping items each get their own; an
     empty benchmark or an empty table gives no span. A null item_id is reported as null. Columns of ``docs``,
     whatever their names, travel inside ``row``. With one block of items (the usual case) nothing is shuffled;
     each further block is one more narrow pass over rows that were written to the shared folder."""

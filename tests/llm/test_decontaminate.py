@@ -91,6 +91,51 @@ def test_short_against_search(seed):
     assert got == want
 
 
+def test_repetitive_text_is_bounded():
+    """400,000 equal letters against items with long runs of their own: exact, near and none."""
+    import resource
+    import time
+
+    items = [(1, b"a" * 100), (2, b"a" * 60 + b"b" * 40), (3, b"name: " + b"_" * 80)] + [(10 + i, b"a" * 70 + b"q%d" % i) for i in range(50)]
+    index = D.Index(items, D.Budget())
+    assert len(index.keys) < 25 * len(items)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    data = np.full(400_000, ord("a"), np.uint8)
+    text, at = D.squeeze(data, np.array([0, len(data)]))
+    found = D.scan(text, at, index)
+    assert [f[:3] for f in found if f[1] == 0] == [(0, 0, 0)] and found[0][4] == 0 and found[0][3] > 399_000
+    assert not [f for f in found if f[1] in (1, 2)] and all(f[4] <= 5 for f in found)
+    assert time.process_time() - began < 120 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_runs_against_edit_distance(seed, monkeypatch):
+    """Few letters, long runs, small stretches: items are found wherever plain edit distance finds them."""
+    r = random.Random(seed)
+    monkeypatch.setattr(D, "PIECE", 64)
+    monkeypatch.setattr(D, "MOST", r.choice([50, 1000]))
+    run = lambda n: "".join(r.choice("ab") * r.randint(1, 15) for _ in range(n))
+    items = [run(12)[: r.randint(40, 70)].ljust(40, "a") for _ in range(3)]
+    text = run(30) + altered(r, items[0], r.randint(0, 6)) + run(30)
+    data = np.frombuffer(text.encode(), np.uint8)
+    squeezed, at = D.squeeze(data, np.array([0, len(data)]))
+    found = D.scan(squeezed, at, D.Index([(k, x.encode()) for k, x in enumerate(items)], D.Budget()))
+    for k, item in enumerate(items):
+        best, mine = H.edits(item, text), [f for f in found if f[1] == k]
+        assert bool(mine) == (best <= int(0.08 * len(item)))
+        assert not mine or min(f[4] for f in mine) == best
+
+
+@pytest.mark.parametrize("size", range(56, 80))
+def test_stretches_end_anywhere(size, monkeypatch):
+    monkeypatch.setattr(D, "PIECE", 8)
+    index = D.Index([(1, b"item of forty letters or more, as it is said"), (2, b"Lima")], D.Budget())
+    step = 2 * index.reach
+    data = np.frombuffer(("x" * (step - size) + " Lima item of forty letters or more, as it is said " + "y" * size).encode(), np.uint8)
+    text, at = D.squeeze(data, np.array([0, len(data)]))
+    assert sorted(f[1] for f in D.scan(text, at, index)) == [0, 1]
+
+
 def test_budget_must_leave_something():
     with pytest.raises(ValueError):
         D.Index([(1, b"a" * 100)], D.Budget(rate=0.2))
