@@ -12,17 +12,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-#: Bytes of a batch that a Python worker gets at once; Spark's own default suits larger workers.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES, SPARK_DEFAULT = "4m", "67108864b"
+#: Settings that suit rows with long texts, as (name, Spark's own default, ours): bytes of a batch that a Python worker
+#: gets at once, and rows that a Parquet reader holds at once.
+SETTINGS = (
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"),
+    ("spark.sql.parquet.columnarReaderBatchSize", "4096", "512"),
+)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers, once per application, as --py-files would, and bound their batches
-    unless the session does."""
+    """Send this package to the Python workers, once per application, as --py-files would. SETTINGS that the session has
+    left at Spark's defaults get ours, for the rest of the session; any other value stays."""
     context = spark.sparkContext
-    if spark.conf.get(BATCH) == SPARK_DEFAULT:
-        spark.conf.set(BATCH, BATCH_BYTES)
+    for name, default, ours in SETTINGS:
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, ours)
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         path = Path(tempfile.mkdtemp(prefix="fieldproof-")) / "fieldproof.zip"
