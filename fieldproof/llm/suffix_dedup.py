@@ -388,7 +388,8 @@ def _digests(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, start: np.nd
 
 
 def _fetcher(length: int, gram: int, buckets: np.ndarray):
-    """The bytes around the suffixes that were wanted, dealt by k-gram, and the digests that were asked for."""
+    """The bytes around the suffixes that were wanted, dealt by k-gram, the digests that were asked for, and the covers
+    that are known already."""
     kind = context_type(length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,6 +400,10 @@ def _fetcher(length: int, gram: int, buckets: np.ndarray):
             of, fields = _structs(batch.column("asked"))
             asked = _digests(data, offsets, of, *_numbers(fields))
             yield _blobs(mix(asked["doc"].astype(np.uint64)), buckets, asked, 1)
+            of, fields = _structs(batch.column("own"))
+            own = np.empty(len(of), COVER)
+            own["doc"], (own["start"], own["end"]) = docs[of], _numbers(fields)
+            yield _blobs(mix(own["doc"].astype(np.uint64)), buckets, own, 2)
             of, fields = _structs(batch.column("wanted"))
             g, at, start, end = _numbers(fields)
             for s in range(0, len(g), 1 << 14):
@@ -546,8 +551,9 @@ def _sorter(length: int, gram: int):
     kind = context_type(length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in _by_bucket(batches, {0: kind, 1: ASKED}):
+        for bucket in _by_bucket(batches, {0: kind, 1: ASKED, 2: COVER}):
             yield _covered(bucket[1])
+            yield _covered(bucket[2])
             rows = bucket[0][np.argsort(bucket[0]["gram"], kind="stable")]
             cuts = np.flatnonzero(np.concatenate([[True], rows["gram"][1:] != rows["gram"][:-1]])) if len(rows) else np.empty(0, np.int64)
             ends = np.append(cuts[1:], len(rows))
@@ -639,14 +645,16 @@ def remove_repeats(
     seeds = tuple(secrets.randbits(63) for _ in range(4))
     crowded = crowded_grams(texts, length, gram, seeds, crowd)
     dealt = texts.mapInArrow(_sampler(length, gram, buckets, seeds, crowded), DEALT).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
-    found = durable(dealt.mapInArrow(_settler, FOUND), "settled")
-    own = found.where("gram is null and for_doc is null").select("doc", "start", "end", F.lit(None).cast("binary").alias("digest"))
-    lists = {"wanted": F.when(F.col("gram").isNotNull(), F.struct("gram", "at", "start", "end")), "asked": F.when(F.col("for_doc").isNotNull(), F.struct("start", "end", "for_doc", "for_start"))}
-    wanted = found.where("gram is not null or for_doc is not null").groupBy("doc").agg(*[F.collect_list(x).alias(n) for n, x in lists.items()])
+    found = dealt.mapInArrow(_settler, FOUND)
+    lists = {
+        "wanted": F.when(F.col("gram").isNotNull(), F.struct("gram", "at", "start", "end")), "asked": F.when(F.col("for_doc").isNotNull(), F.struct("start", "end", "for_doc", "for_start")),
+        "own": F.when(F.col("gram").isNull() & F.col("for_doc").isNull(), F.struct("start", "end")),
+    }
+    wanted = found.groupBy("doc").agg(*[F.collect_list(x).alias(n) for n, x in lists.items()])
     # the lists are far smaller than the texts: hashing them spares the texts a sort
-    edges = texts.join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "wanted", "asked").mapInArrow(_fetcher(length, gram, buckets), DEALT)
+    edges = texts.join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", *lists).mapInArrow(_fetcher(length, gram, buckets), DEALT)
     sorted_ = edges.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorter(length, gram), COVERED)
-    covers = own.union(sorted_).groupBy("doc").agg(F.collect_list(F.struct("start", "end", "digest")).alias("covered"))
+    covers = sorted_.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "digest")).alias("covered"))
     out = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start:bigint,end:bigint>>, kept binary" * whole
     cut = texts.join(covers.hint("shuffle_hash"), "doc", "left").select("doc", "text", "covered").mapInArrow(_cutter(whole), out)
     if named is not None:
