@@ -22,7 +22,8 @@ def prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, k, n, p1, p2): the hash of each conversation's first k of n turns.
 
     The rolling hash is the xor of the turns' hashes, each salted by its place, so a running window
-    computes it. Only hashes are shuffled, no text."""
+    computes it. Only hashes are shuffled, no text. Two of 64 bits tell prefixes apart; they are not compared turn by
+    turn."""
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "h1", "h2")
     slim = _hashed(turns).select("conv_id", "turn", "h1", "h2")
     before = F.lag(F.struct("turn", "h1", "h2")).over(order)

@@ -40,21 +40,20 @@ class Rule:
     given: str | None = None
 
 
-#: The threshold table of the query and its SQL. Ratios of a document without words are null and fail nothing here (the base rule has it).
+#: Half way to another limit: a second sign of junk.
+SUSPECT = "n_symbols > 0.15 * n_words or n_bangs > 0.25 * n_words or n_dup_lines > 0.25 * n_lines or n_repeat_words > 0.1 * n_words"
+
+#: The threshold table. Ratios of a document without words are null and fail nothing here (the base rule has it). A lack of
+#: stop words, with the marks around words taken off, counts only with a second sign, as short texts and those in other
+#: languages have none either.
 RULES = (
     Rule("mean_word_length", "word_chars / n_words", 2.0, 24.0),
     Rule("symbols_per_word", "n_symbols / n_words", most=0.3),
     Rule("bangs_per_word", "n_bangs / n_words", most=0.5),
-    Rule("stop_word_ratio", "n_stop_words / n_words", least=0.01),
+    Rule("stop_word_ratio", "n_stop_tokens / n_words", least=0.01, given=SUSPECT),
     Rule("duplicate_line_ratio", "n_dup_lines / n_lines", most=0.5),
 )
 
-#: Half way to another limit: a second sign of junk.
-SUSPECT = "n_symbols > 0.15 * n_words or n_bangs > 0.25 * n_words or n_dup_lines > 0.25 * n_lines or n_repeat_words > 0.1 * n_words"
-#: The table that keeps and drops documents: a lack of stop words, with the marks around words taken off, counts only
-#: with a second sign, as short texts and those in other languages have none either.
-KEEP_RULES = tuple(Rule(r.name, "n_stop_tokens / n_words", r.least, given=SUSPECT) if r.name == "stop_word_ratio" else r for r in RULES)
-
 
 def _passes(rule: Rule) -> Column:
     value = F.expr(f"cast({rule.metric.split(' / ')[0]} as double) / nullif({rule.metric.split(' / ')[1]}, 0)")
@@ -151,7 +150,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_bangs", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words", "n_stop_tokens")
 
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = KEEP_RULES) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the measures, ``base_failed``, ``failed_rules`` and ``kept``.
 
     Rows are judged one by one: repeated rows and ties get equal verdicts, an empty table gives an empty
@@ -166,7 +165,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = KEEP_RU
     )
 
 
-def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = KEEP_RULES) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``, clashing names included."""
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
     # a column that is not deterministic keeps the filter above the measures; pushed below, it would compute each again
@@ -175,10 +174,10 @@ def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = KEEP_RUL
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=RULES)
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_bangs", "n_lines", "n_stop_words", F.concat_ws(",", "failed_rules").alias("failed_rules"),
+        "n_bangs", "n_lines", "n_stop_words", "n_stop_tokens", F.concat_ws(",", "failed_rules").alias("failed_rules"),
     )
 
 
@@ -186,7 +185,11 @@ def _case(rule: Rule) -> str:
     top, bottom = rule.metric.split(" / ")
     ratio = f"(cast({top} as double) / nullif({bottom}, 0))"
     tests = [f"{ratio} < {rule.least}"] * (rule.least is not None) + [f"{ratio} > {rule.most}"] * (rule.most is not None)
-    return f"CASE WHEN {' OR '.join(tests)} THEN '{rule.name}' END"
+    found = " OR ".join(tests)
+    return f"CASE WHEN {f'({found}) AND ({rule.given})' if rule.given else found} THEN '{rule.name}' END"
+
+
+_EDGES = EDGES.replace("'", "''")
 
 
 ORACLE = f"""
@@ -208,13 +211,15 @@ m AS (
          (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines,
          coalesce(r.n, 0)::BIGINT AS n_repeat_words,
          length(regexp_replace(t, '[^!]', '', 'g'))::BIGINT AS n_bangs, len(ln)::BIGINT AS n_lines,
-         len(list_filter(words, lambda x: list_contains({STOP_WORDS!r}, lower(x))))::BIGINT AS n_stop_words
+         len(list_filter(words, lambda x: list_contains({STOP_WORDS!r}, lower(x))))::BIGINT AS n_stop_words,
+         len(list_filter(words, lambda x: list_contains({STOP_WORDS!r}, trim(lower(x), '{_EDGES}'))))::BIGINT AS n_stripped
   FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+t AS (SELECT *, CASE WHEN n_stop_words >= 0.01 * n_words THEN n_stop_words ELSE n_stripped END AS n_stop_tokens FROM m),
 v AS (
   SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
          concat_ws(',', {', '.join(map(_case, RULES))}) AS failed_rules
-  FROM m)
+  FROM t)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (NOT base_failed AND failed_rules = '') AS kept, n_bangs, n_lines, n_stop_words, failed_rules
+       (NOT base_failed AND failed_rules = '') AS kept, n_bangs, n_lines, n_stop_words, n_stop_tokens, failed_rules
 FROM v
 """
