@@ -44,7 +44,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One row per piece of a packed sequence."""
     import public_tokenizers
 
-    out = packing.pack_documents(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    out = packing.pack_documents(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), limits=packing.PRODUCTION)
     return out.select("row.doc_id", "start", "length", "ids_crc32", F.col("item_tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 

@@ -35,13 +35,18 @@ ODD_SPACES = re.compile("[\x1c-\x1f]")
 
 @dataclass(frozen=True)
 class Limits:
-    """What a sequence holds at most. ``segments`` and ``loss`` default to limits that bind only by tokens."""
+    """What a sequence holds at most. ``loss`` defaults to a limit that binds only by tokens."""
 
     tokens: int = 4096
     segments: int = 4096
     loss: int = 4096
 
 
+#: Limits of the registered query and of the pipeline: attention over more segments than these costs more than it gives.
+#: Plain documents bear loss in every token, so a limit on loss below that on tokens would only pad sequences.
+PRODUCTION = Limits(segments=128)
+
+
 #: Where this finds nothing, lower() does to the whole text what the tokenizer does to it.
 EXOTIC = re.compile("[^\x00-\u024f]")
 #: Marks that end a word; the tokenizer parts them from the letter before them.
@@ -402,7 +407,7 @@ def halve(pieces: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int,
 OUT = "start long, length long, ids_crc32 long, item_tokens long, sequence_id long, offset long"
 
 
-def _packer(path: str, limits: Limits, loss_column: bool, halved: bool):
+def _packer(path: str, limits: Limits, loss_column: bool, halved: bool, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_batch
         # a task's sequences are numbered within its partition, so a second attempt numbers them alike
@@ -426,14 +431,16 @@ def _packer(path: str, limits: Limits, loss_column: bool, halved: bool):
                     placed = halve(placed)
             which, start, size, number, offset = (np.array(c, np.int64) for c in zip(*placed, strict=True))
             start = start + np.array([x[2] for x in items], np.int64)[which]
-            sums = [zlib.crc32(items[i][1][s : s + n].tobytes()) for i, s, n in zip(which, start, size, strict=True)]
+            parts = [items[i][1][s : s + n] for i, s, n in zip(which, start, size, strict=True)]
+            sums = [zlib.crc32(x.tobytes()) for x in parts]
             total = np.array([len(x[1]) for x in items], np.int64)[which]
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([items[i][0] for i in which], row_type),
                     *map(pa.array, (start, size, np.array(sums, np.int64), total, (np.int64(task) << np.int64(36)) + sequence + number, offset)),
+                    *([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(parts).astype(np.int32)))] if with_ids else []),
                 ],
-                ["row", "start", "length", "ids_crc32", "item_tokens", "sequence_id", "offset"],
+                ["row", "start", "length", "ids_crc32", "item_tokens", "sequence_id", "offset", *["ids"] * with_ids],
             )
             sequence += int(number.max()) + 1
             items, held = again, sum(len(x[1]) - x[2] for x in again)
@@ -455,9 +462,10 @@ def _packer(path: str, limits: Limits, loss_column: bool, halved: bool):
 
 
 def pack_documents(
-    docs: DataFrame, path: str, text: str = "text", limits: Limits = Limits(), loss: str | None = None, halved: bool = True
+    docs: DataFrame, path: str, text: str = "text", limits: Limits = Limits(), loss: str | None = None, halved: bool = True, ids: bool = False
 ) -> DataFrame:
-    """(row, start, length, ids_crc32, item_tokens, sequence_id, offset): one row per piece.
+    """(row, start, length, ids_crc32, item_tokens, sequence_id, offset and, with ``ids``, the token ids): one row per
+    piece.
 
     A text's ids are those of the tokenizer at ``path``, then id 2; a null or empty text has id 2 alone.
     ``loss`` names a column with the number of leading tokens that bear loss (null: 0); without it all do. A
@@ -473,12 +481,12 @@ def pack_documents(
     slim = docs.select(whole.alias("_row"), F.col(text).alias("_text"), (F.col(loss).cast("long") if loss else F.lit(0)).alias("_loss"))
     row = slim.schema["_row"].dataType.simpleString()
     # the tail's power-of-two sequences hold a subset of one bin's segments and loss, so they keep all limits
-    return slim.mapInArrow(_packer(path, limits, loss is not None, halved), f"row {row}, {OUT}")
+    return slim.mapInArrow(_packer(path, limits, loss is not None, halved, ids), f"row {row}, {OUT}" + ", ids array<int>" * ids)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    out = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), limits=PRODUCTION)
     return out.select("row.doc_id", "start", "length", "ids_crc32", out["item_tokens"].alias("doc_tokens"), "sequence_id", "offset")

@@ -89,3 +89,33 @@ def test_empty_loss_and_clashing(spark):
     assert sum(r["length"] for r in out) == 7 and out[0]["row"]["start"] == 9
     with pytest.raises(ValueError):
         P.pack_documents(rows, PATH, limits=P.Limits(0, 1, 1))
+
+
+def test_production_limits_bind(spark):
+    """Short texts among long ones: sequences stay full, and none has more than 128 pieces; short ones alone reach them."""
+    r = random.Random(4)
+    said = lambda n: " ".join(r.choice(["river", "stone", "cloud"]) for _ in range(n))
+    mixed = [(i, said(r.choice([1, 2, 3, 3000]) if i % 30 else 3000)) for i in range(1500)]
+    short = [(i, said(r.randint(1, 3))) for i in range(9000)]
+    for rows, full in ((mixed, True), (short, False)):
+        out = P.pack_documents(H.docs(spark, rows).coalesce(1), PATH, limits=P.PRODUCTION, ids=True).collect()
+        assert all(len(x["ids"]) == x["length"] and zlib.crc32(np.array(x["ids"], np.uint32).tobytes()) == x["ids_crc32"] for x in out)
+        found = {}
+        for x in out:
+            found.setdefault(x["sequence_id"], []).append(x["length"])
+        assert max(map(len, found.values())) == 128 or full
+        assert max(map(len, found.values())) <= 128
+        if full:
+            assert sum(4096 - sum(v) for v in found.values() if sum(v) & (sum(v) - 1)) < 0.01 * sum(map(sum, found.values()))
+
+
+def test_ids_of_a_row_join_again(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    rows = list(enumerate([*H.prose(5, 8), None, "", "word " * 6000]))
+    got = {}
+    for x in P.pack_documents(H.docs(spark, rows), PATH, limits=P.Limits(64, 5, 64), ids=True).collect():
+        got.setdefault(x["row"]["doc_id"], []).append((x["start"], x["ids"]))
+    for i, text in rows:
+        assert [n for _, ids in sorted(got[i]) for n in ids] == [*t.encode(text or "", add_special_tokens=False).ids, 2]

@@ -1,7 +1,9 @@
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline as P  # noqa: E402
 from fieldproof.llm import quality  # noqa: E402
@@ -10,6 +12,21 @@ from ..oracle import DATA  # noqa: E402
 from . import helpers as H  # noqa: E402
 
 
+def plain(text):
+    """Lower-case A-Z, one space for each run of white space."""
+    return b" ".join((text or "").encode().translate(H.LOWER).split())
+
+
+def least_edits(item, text):
+    """Edit distance of ``item`` to the nearest substring of ``text``, cell by cell."""
+    t = np.frombuffer(text, np.uint8)
+    cost, ramp = np.zeros(len(t) + 1, np.int64), np.arange(len(t) + 1)
+    for letter in item:
+        step = np.minimum(np.concatenate([[cost[0] + 1], cost[:-1] + (t != letter)]), cost + 1)
+        cost = np.minimum.accumulate(step - ramp) + ramp
+    return int(cost.min())
+
+
 def test_stages(spark, tmp_path):
     d = f"{DATA}/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -20,7 +37,17 @@ def test_stages(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name.replace(" ", "-")))
         seen.append(name)
         if name == "packing":
-            assert {r["doc_id"] for r in docs.select("doc_id").collect()} == set(before)
+            placed, sequences, sizes = {}, {}, {}
+            for r in docs.collect():
+                placed.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+                sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+                sizes[r["doc_id"]] = r["doc_tokens"]
+            tokenizer = Tokenizer.from_file(public_tokenizers.path(P.TOKENIZER))
+            assert sizes == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in before.items()}
+            for i, found in placed.items():
+                assert all(a + n == b for (a, n), (b, _) in zip(sorted(found), sorted(found)[1:])) and min(found)[0] == 0 and sum(n for _, n in found) == sizes[i]
+            for found in sequences.values():
+                assert all(a + n == b for (a, n), (b, _) in zip(sorted(found), sorted(found)[1:])) and sum(n for _, n in found) <= 4096 and len(found) <= 128
             break
         assert docs.columns == columns
         after = {r["doc_id"]: r for r in docs.collect()}
@@ -33,8 +60,10 @@ def test_stages(spark, tmp_path):
             want = H.components(sorted(before.items()), 5)
             assert set(after) == {i for i, c in want.items() if i == c}
         if name == "decontamination":
-            items = [r["text"] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
-            assert {i for i, t in before.items() if any(x in t for x in items)} <= set(before) - set(after)
+            items = [plain(r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+            assert min(map(len, items)) >= 40
+            gone = {i for i, t in before.items() if any(least_edits(x, plain(t)) <= int(0.08 * len(x)) for x in items)}
+            assert set(after) == set(before) - gone and gone
     assert len(seen) == 5
     assert P.run(spark, d).count() == docs.count()
 
