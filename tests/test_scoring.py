@@ -162,3 +162,9 @@ def test_percent_and_guard(spark):
 @pytest.mark.parametrize("unicode", [True, False])
 def test_null_text(spark, unicode):
     assert spark.createDataFrame([(None,)], "x string").select(normalise(F.col("x"), unicode).alias("n")).first()["n"] is None
+
+
+def test_estimated_latency(spark):
+    rows = spark.range(10_000).selectExpr("cast(null as string) as error", "cast(id as double) as wall_seconds", "1.0D as memory")
+    exact, near = metrics.latency(rows).first(), metrics.latency(rows, accuracy=1000).first()
+    assert abs(exact["median_seconds"] - near["median_seconds"]) <= 10 and abs(exact["p95_seconds"] - near["p95_seconds"]) <= 10
