@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, durable, partitions, table, utf8
+from .common import connected, drop, durable, partitions, table, utf8
 from .textkit import LOWER, NOT_SPACE, PIECE, mix, pieces, run_hashes, words
 
 
@@ -34,8 +34,8 @@ from .textkit import LOWER, NOT_SPACE, PIECE, mix, pieces, run_hashes, words
 class Params:
     """``shingle`` words a shingle; linked where 100 * intersection >= ``percent`` * union. ``posted`` coordinates
     have lists, of which ``meets`` must be shared; of all ``coordinates``, ``matches``. ``chunk`` rows of a list, or ``set_chunk`` whole sets, meet in a task at most,
-    and longer lists are dealt block by block. Up to ``broadcast`` ids are
-    sent to the executors to pick their texts; more are joined by a shuffle."""
+    and longer lists are dealt block by block. Ids that pick texts, with what goes to them, are sent to the executors where
+    they take up to ``broadcast`` bytes; more are joined by a shuffle."""
 
     shingle: int = 5
     percent: int = 80
@@ -46,7 +46,7 @@ class Params:
     chunk: int = 4096
     set_chunk: int = 1024
     first_tries: int = 32
-    broadcast: int = 1_000_000
+    broadcast: int = 32 << 20
 
     @property
     def width(self) -> int:
@@ -389,9 +389,11 @@ def _banded(posted: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
 
 
 def _sets(docs: DataFrame, to: DataFrame, p: Params) -> DataFrame:
-    """(id, to, shingles) of the documents in ``to`` (id, to): their texts are picked and made into whole sets. A
-    bounded number of ids is sent to the executors; more are joined by a shuffle."""
-    few = to.count() <= p.broadcast
+    """(id, to, shingles) of the documents in ``to`` (id, to), a table in the shared folder: their texts are picked and
+    made into whole sets. ``to`` is sent to the executors where its bytes, eight a number, are few enough; else it is
+    joined by a shuffle."""
+    width = 8 * len(to.schema["to"].dataType.elementType.fields)
+    few = (to.agg(F.sum(F.lit(64) + F.size("to") * F.lit(width))).first()[0] or 0) <= p.broadcast
     return docs.join(F.broadcast(to) if few else to, "id").select("id", "to", "text").mapInArrow(_set_maker(p), f"id long, to {to.schema['to'].dataType.simpleString()}, shingles binary")
 
 
@@ -427,6 +429,8 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     n_parts = partitions(docs)
     slim = reps.select("id", "n", "sketch")
     posted = durable(_banded(_postings(reps, p), reps, p), "postings")
+    # tables that nothing needs once the links are known
+    spare = [posted]
 
     # sweep: chunks of long lists each find leaders, and leaders of one list meet again in fewer chunks
     swept, lists = None, posted
@@ -436,6 +440,7 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
         dealt = lists.join(sizes, "key").withColumn("chunk", chunk).join(slim, "id").select("key", "chunk", "id", "n", "sketch")
         held = dealt.repartition(n_parts, "key", "chunk").sortWithinPartitions("key", "chunk", "id")
         found = durable(held.mapInArrow(_sweeper(p), PAIRS), "swept")
+        spare.append(found)
         pairs = found.where("b is not null").select("a", "b")
         swept = pairs if swept is None else swept.union(pairs)
         big = sizes.where(F.col("c") > p.chunk)
@@ -446,9 +451,11 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
             break
         lists = durable(lead.select("id", "key"), "leaders")
     tried = durable(swept.distinct(), "tried")
+    spare.append(tried)
 
     # the followers of a leader meet with their sets; blocks of one leader hold that leader, and meet each other after
     follows = durable(tried.select(F.col("a").alias("key"), F.col("b").alias("id")).union(tried.select(F.col("a").alias("key"), F.col("a").alias("id")).distinct()), "follows")
+    spare.append(follows)
     many = follows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(p.set_chunk)).cast("long").alias("blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     block = F.when(F.col("id") == F.col("key"), every).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks"))))
@@ -470,6 +477,7 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     # what shares a list but no leader, across components
     leaders = follows.groupBy("id").agg(F.collect_set("key").alias("leaders"))
     slim = durable(slim.join(leaders, "id", "left").withColumn("leaders", F.coalesce("leaders", F.array().cast("array<bigint>"))), "slim")
+    spare.append(slim)
     tries, lists = p.first_tries, posted
     while True:
         named = connected(good).withColumnRenamed("component", "label")
@@ -477,12 +485,14 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
         dealt = _across(marked, p.chunk).join(slim, "id").repartition(n_parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
         rows = dealt.select("key", "p", "q", "id", "n", "label", "side", "leaders", "sketch")
         found = durable(rows.mapInArrow(_crosser(p, tries), PAIRS), "crossed")
+        spare += [marked, found]
         new = durable(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new")
         cut = found.where("more").select("key").distinct()
         if not new.isEmpty():
             good = durable(good.union(_confirmed(docs, new, p)), "links")
             tried = durable(tried.union(new), "tried")
         if cut.isEmpty():
+            drop(*spare)
             return good
         # lists whose documents have more to try get another round with more tries
         lists = durable(lists.join(cut, "key", "left_semi"), "lists")
