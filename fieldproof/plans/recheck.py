@@ -34,7 +34,7 @@ def answers(inferred: DataFrame, asked: DataFrame) -> DataFrame:
     names = asked.select("id", F.json_object_keys("field_schema").alias("requested"))
     parsed = parse_output(inferred.join(names, "id"))
     pick = F.transform("requested", lambda n: F.struct(n, F.try_variant_get("fields", F.concat(F.lit("$['"), n, F.lit("']")), "variant")))
-    parts = {"document_type": F.col("document_type"), "fields": F.map_from_entries(pick), "answer": F.col("answer"), "evidence": F.col("evidence"), "uncertainties": F.col("uncertainties"), "confidence": F.col("confidence"), "raw_output": F.col("raw_output")}
+    parts = {"document_type": F.col("document_type"), "fields": F.map_from_entries(pick), "answer": F.col("answer"), "evidence": F.col("evidence"), "uncertainties": F.col("uncertainties"), "confidence": F.col("confidence"), "raw_output": F.col("raw_output"), "metadata": F.try_parse_json(F.coalesce("metadata", F.lit("{}")))}
     made = F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]), {"ignoreNullFields": "false"})
     given = F.col("raw_output").isNotNull()
     failed = given & F.col("parse_error").isNotNull()
