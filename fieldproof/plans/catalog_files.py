@@ -274,3 +274,77 @@ def dry_run_errors(spark, d):
     run = _run(spark, d, mode="dry-run")
     sheet = spark.read.option("header", True).option("escape", '"').csv(str(run / "errors.csv"))
     return sheet.select(F.col(sheet.columns[0]).alias("id"), "field", "category")
+
+
+@query(
+    """WITH r AS (SELECT n_nationkey % 5 AS a FROM nation WHERE n_nationkey BETWEEN 3 AND 12)
+SELECT 'live' AS mode, 'Live model inference on the specified dataset' AS claim, 2 AS report_version, true AS complete, count(*) AS examples, count(*) FILTER (WHERE a IN (2, 3)) AS failed, count(*) FILTER (WHERE a = 1) AS flagged,
+  count(*) FILTER (WHERE a NOT IN (2, 3)) + count(*) FILTER (WHERE a = 0) AS correct_fields, 2 * count(*) AS total_fields, round(count(*) FILTER (WHERE a = 0) / count(*)::DOUBLE, 6) AS document_accuracy,
+  count(*) FILTER (WHERE a IN (2, 3)) * 2 AS inference_errors, 3 AS first_offset, 10 AS selected, 'n03' AS first_id, count(*) AS records FROM r"""
+)
+def run_manifest(spark, d):
+    """run.json of a live run over a part of the documents: what it claims, what it selected, what it counted."""
+    run = _run(spark, d, mode="live", analyzer=Reader, offset=3, limit=10)
+    text = spark.read.text(str(run / "run.json"), wholetext=True).select(F.parse_json("value").alias("r"))
+    at = lambda path, kind: F.try_variant_get("r", path, kind)
+    names = {"mode": ("mode", "string"), "claim": ("claim", "string"), "report_version": ("report_version", "int"), "complete": ("complete", "boolean"), "examples": ("examples", "bigint")}
+    names |= {"failed": ("failed_examples", "bigint"), "flagged": ("review_flagged_examples", "bigint"), "correct_fields": ("correct_fields", "bigint"), "total_fields": ("total_fields", "bigint")}
+    names |= {"inference_errors": ("error_categories.inference_error", "bigint"), "first_offset": ("dataset.selection.offset", "int"), "selected": ("dataset.selected_examples", "int"), "first_id": ("dataset.selected_ids[0]", "string")}
+    share = F.round(at("$.document_accuracy", "double"), 6).alias("document_accuracy")
+    records = F.size(F.from_json(F.to_json(at("$.results", "variant")), "array<variant>")).cast("long").alias("records")
+    return text.select(*[at(f"$.{path}", kind).alias(n) for n, (path, kind) in names.items()], share, records)
+
+
+_FIELDS = "(VALUES ('vendor'), ('document_number'), ('date'), ('currency'), ('total_amount')) AS t(field)"
+
+
+@query(f"SELECT field, 3 AS correct, 3 AS total FROM {_FIELDS}")
+def fixture_run(spark, d):
+    """A dry run over the synthetic documents, written as a dataset."""
+    run = _run(spark, d, dataset=readers.write_fixtures(_folder(spark, "fixtures") / "set"), mode="dry-run")
+    return spark.read.parquet(str(run / "facts")).groupBy("field").agg(F.count_if("correct").alias("correct"), F.count("*").alias("total"))
+
+
+#: What a run, a comparison or a setting refuses, and the words it does it in.
+_REFUSED = {
+    "offset": "--offset must be nonnegative", "limit": "--limit must be positive", "beyond": "Document selection is empty", "policy": "Unknown recheck policy", "exists": "Output already exists; choose a new directory",
+    "manifest": "Replay requires the source run.json beside predictions.jsonl", "dataset": "Saved predictions use a different dataset fingerprint", "missing": "Saved predictions are missing selected dataset IDs",
+    "twice": "Duplicate prediction IDs", "analyzer": "a live run needs --analyzer module:name", "pixels": "Invalid pixel or token limits", "alone": "At least two runs are required", "dry": "Only completed live runs can be compared as model benchmarks",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{case}', '{said}')" for case, said in _REFUSED.items()) + ") AS t(what, said)")
+def refusals(spark, d):
+    """Runs, comparisons and settings that are refused, each tried, and what was said."""
+    from .compare import compare
+    from .evaluate import evaluate
+
+    dataset, other = _nations(spark, d), _nations(spark, d)
+    with other.open("a", encoding="utf-8") as out:
+        out.write("\n")
+    done = _run(spark, d, dataset=dataset, mode="dry-run")
+    lines = (done / "predictions.jsonl").read_text(encoding="utf-8").splitlines()
+
+    def saved(rows: list[str], manifest: bool = True) -> Path:
+        folder = _folder(spark, "saved")
+        (folder / "predictions.jsonl").write_text("\n".join(rows), encoding="utf-8")
+        if manifest:
+            (folder / "run.json").write_bytes((done / "run.json").read_bytes())
+        return folder / "predictions.jsonl"
+
+    new = lambda: _folder(spark, "runs") / "run"
+    replay = lambda path, of=dataset: evaluate(spark, of, new(), "replay", path)
+    tries = {
+        "offset": lambda: evaluate(spark, dataset, new(), offset=-1), "limit": lambda: evaluate(spark, dataset, new(), limit=0), "beyond": lambda: evaluate(spark, dataset, new(), offset=1000),
+        "policy": lambda: evaluate(spark, dataset, new(), policy="always"), "exists": lambda: evaluate(spark, dataset, done), "manifest": lambda: replay(saved(lines, False)), "dataset": lambda: replay(saved(lines), other),
+        "missing": lambda: replay(saved(lines[:-1])), "twice": lambda: replay(saved([*lines, lines[0]])), "analyzer": lambda: evaluate(spark, dataset, new(), "live"),
+        "pixels": lambda: readers.settings({"MLLM_MIN_PIXELS": "9", "MLLM_MAX_PIXELS": "8"}), "alone": lambda: compare(spark, [done / "run.json"]), "dry": lambda: compare(spark, [done / "run.json"] * 2),
+    }
+    said = []
+    for what, attempt in tries.items():
+        try:
+            attempt()
+            said.append((what, ""))
+        except ValueError as e:
+            said.append((what, str(e)))
+    return spark.createDataFrame(said, "what string, said string")
