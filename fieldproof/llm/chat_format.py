@@ -51,7 +51,7 @@ def render(turns: DataFrame) -> DataFrame:
     Turns are ordered by ``turn`` (null first), ties by content hash; a repeated row counts once. A null role
     reads ``unknown``, a null text is empty, and ``<|`` inside a role or text becomes ``< |`` so that no text
     can forge a turn. Rows with a null conv_id make up one conversation. Other columns are ignored; an empty
-    table gives an empty result."""
+    table gives an empty result. Texts of any length are passed on whole; a conversation is one row of the result."""
     turns = turns.select(*COLUMNS)
     chosen = maximal(turns)
     safe = lambda c, default: F.replace(F.coalesce(F.col(c), F.lit(default)), F.lit("<|"), F.lit("< |"))

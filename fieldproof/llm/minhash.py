@@ -432,6 +432,7 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     # tables that nothing needs once the links are known
     spare = [posted]
 
+    # what is found is small and comes from many tasks: rebalanced, it is written as few files
     # sweep: chunks of long lists each find leaders, and leaders of one list meet again in fewer chunks
     swept, lists = None, posted
     while True:
@@ -439,7 +440,7 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
         chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / F.lit(p.chunk)).cast("long"))
         dealt = lists.join(sizes, "key").withColumn("chunk", chunk).join(slim, "id").select("key", "chunk", "id", "n", "sketch")
         held = dealt.repartition(n_parts, "key", "chunk").sortWithinPartitions("key", "chunk", "id")
-        found = durable(held.mapInArrow(_sweeper(p), PAIRS), "swept")
+        found = durable(held.mapInArrow(_sweeper(p), PAIRS).hint("rebalance"), "swept")
         spare.append(found)
         pairs = found.where("b is not null").select("a", "b")
         swept = pairs if swept is None else swept.union(pairs)
@@ -484,7 +485,7 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
         marked = durable(lists.join(named, "id", "left").select("id", "key", F.coalesce("label", "id").alias("label")), "marked")
         dealt = _across(marked, p.chunk).join(slim, "id").repartition(n_parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
         rows = dealt.select("key", "p", "q", "id", "n", "label", "side", "leaders", "sketch")
-        found = durable(rows.mapInArrow(_crosser(p, tries), PAIRS), "crossed")
+        found = durable(rows.mapInArrow(_crosser(p, tries), PAIRS).hint("rebalance"), "crossed")
         spare += [marked, found]
         new = durable(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new")
         cut = found.where("more").select("key").distinct()
@@ -506,7 +507,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", para
     share an id are one document, whose every text counts; they differ in n_shingles alone, and equal rows stay
     as often as they stand. A row whose id is null can't be named by a link: its component is null and it is
     kept. component_id is the smallest id reachable, so ties can't arise. An empty table gives an empty result;
-    other columns are ignored."""
+    other columns are ignored. A text of any length is one set, made in one task from arrays of some forty bytes a word."""
     p = params
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = durable(slim.mapInArrow(_sketcher(p), SKETCHES), "sketches")

@@ -155,7 +155,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
     Rows are judged one by one: repeated rows and ties get equal verdicts, an empty table gives an empty
     result, an empty or null text has no word and fails the base rule. Columns of ``docs`` that carry the name
-    of a measure or verdict are replaced."""
+    of a measure or verdict are replaced. A text of any length is one row's arrays of words, lines and window hashes."""
     extra = {*MEASURES, "base_failed", "failed_rules", "kept"}
     measured = measure(docs.drop(*(extra - {text})), text)
     base = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
