@@ -367,17 +367,31 @@ def _confirmer(p: Params):
     return run
 
 
-def _postings(reps: DataFrame, p: Params) -> DataFrame:
-    """(id, keys): of each representative, the keys of its prefix that others share, rarest first.
+def _shared(reps: DataFrame, p: Params) -> DataFrame:
+    """(id, l): of each representative, the keys that others share, as (count, key), rarest first.
 
     Frequencies are counted by an aggregate that combines before its shuffle; keys that one document alone has
     are dropped by the join."""
     items = reps.select("id", "sig").mapInArrow(_poster(p), "id long, key long")
     shared = items.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    lists = items.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("l"))
+    return items.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("l"))
+
+
+def _postings(reps: DataFrame, p: Params) -> DataFrame:
+    """(id, keys): of each representative, the shared keys of its prefix."""
     # those of a document's keys that are not in its list are its own and come first in the prefix
     room = F.lit(p.posted - p.meets + 1) - (F.lit(p.posted) - F.size("l"))
-    return lists.where(room > 0).select("id", F.slice("l", F.lit(1), room).getField("key").alias("keys"))
+    return _shared(reps, p).where(room > 0).select("id", F.slice("l", F.lit(1), room).getField("key").alias("keys"))
+
+
+def _refined(crowded: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
+    """(id, label, key) of lists (id, label, key) that many unlike documents share, parted by a second coordinate. Two
+    documents that share enough coordinates share, besides that of the list, one that is in the prefixes of both over
+    all the others; so they still meet, and documents that share the list alone no longer do."""
+    others = F.filter("l", lambda x: x["key"] != F.floor(F.col("key") / 256))
+    room = F.size("l") - p.meets + 1
+    found = crowded.join(_shared(reps, p), "id").where(room > 0).select("id", "label", "key", F.explode(F.slice(others, F.lit(1), room)).alias("other"))
+    return found.select("id", "label", F.xxhash64("key", "other.key").alias("key")).distinct()
 
 
 def _banded(posted: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
@@ -479,10 +493,20 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     leaders = follows.groupBy("id").agg(F.collect_set("key").alias("leaders"))
     slim = durable(slim.join(leaders, "id", "left").withColumn("leaders", F.coalesce("leaders", F.array().cast("array<bigint>"))), "slim")
     spare.append(slim)
-    tries, lists = p.first_tries, posted
+    tries, lists, first = p.first_tries, posted, True
     while True:
         named = connected(good).withColumnRenamed("component", "label")
         marked = durable(lists.join(named, "id", "left").select("id", "key", F.coalesce("label", "id").alias("label")), "marked")
+        if first:
+            # lists that more documents than a chunk share outside their largest component
+            by_label = marked.groupBy("key", "label").agg(F.count("*").alias("c"))
+            crowded = by_label.groupBy("key").agg((F.sum("c") - F.max("c")).alias("minor")).where(F.col("minor") > p.chunk).select("key")
+            if not crowded.isEmpty():
+                spare.append(marked)
+                parted = _refined(marked.join(crowded, "key", "left_semi"), reps, p)
+                marked = durable(marked.join(crowded, "key", "left_anti").select("id", "label", "key").union(parted).select("id", "key", "label"), "marked")
+                lists = marked.select("id", "key")
+            first = False
         dealt = _across(marked, p.chunk).join(slim, "id").repartition(n_parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
         rows = dealt.select("key", "p", "q", "id", "n", "label", "side", "leaders", "sketch")
         found = durable(rows.mapInArrow(_crosser(p, tries), PAIRS).hint("rebalance"), "crossed")

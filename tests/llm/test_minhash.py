@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from fieldproof.llm import minhash as M
@@ -20,6 +23,47 @@ def test_against_all_pairs(spark, shingle, options):
     assert all(r["kept"] == (i == want[i]) and r["n_shingles"] == len(H.shingles(rows[i][1], shingle)) for i, r in out.items())
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_lists_that_unlike_documents_share(spark, seed, monkeypatch):
+    """Half of every document is the same, the rest its own: lists are long, and few of those in them are linked."""
+    r = random.Random(seed)
+    said = lambda n: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(60)) for _ in range(n))
+    common = said(60)
+    rows = []
+    for i in range(90):
+        rows.append((len(rows), common + " " + said(r.randint(20, 70))))
+        if i % 6 == 0:
+            words = rows[-1][1].split(" ")
+            words[r.randrange(60, len(words))] = "other"
+            rows.append((len(rows), " ".join(words)))
+    want = H.components(rows, 2)
+    assert len(set(want.values())) < len(rows)
+    called = []
+    refined = M._refined
+    monkeypatch.setattr(M, "_refined", lambda *a: called.append(1) or refined(*a))
+    for options in ({}, {"chunk": 6, "set_chunk": 4, "first_tries": 2}):
+        out = {x["id"]: x["component_id"] for x in M.components(H.docs(spark, rows), params=M.Params(shingle=2, **options)).collect()}
+        assert out == want and bool(called) == bool(options)
+
+
+def test_parts_keep_pairs_together(spark):
+    """Whoever shares enough coordinates shares a part of every crowded list that both are in."""
+    r = random.Random(5)
+    p = M.Params(posted=12, meets=5)
+    values = {i: [r.randrange(3) for _ in range(12)] for i in range(60)}
+    reps = spark.createDataFrame([(i, np.array(v, "<u4").tobytes()) for i, v in values.items()], "id long, sig binary")
+    keys = {i: {j << 32 | x for j, x in enumerate(v)} for i, v in values.items()}
+    for base in (0, 3 << 32 | 1):
+        rows = [(i, i, base * 256 + 7) for i in keys if base in keys[i]]
+        parts = {}
+        for x in M._refined(spark.createDataFrame(rows, "id long, label long, key long"), reps, p).collect():
+            parts.setdefault(x["id"], set()).add(x["key"])
+        ids = [i for i, *_ in rows]
+        for i in ids:
+            assert all(parts.get(i, set()) & parts.get(j, set()) for j in ids if i < j and len(keys[i] & keys[j]) >= p.meets)
+        assert sum(not parts.get(i, set()) & parts.get(j, set()) for i in ids for j in ids if i < j) > 0
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(3000))
     rows = [(5, None), (1, ""), (2, " \n"), (3, "one"), (4, "ONE"), (6, long), (7, long + " end"), (None, "one"), (8, long), (8, long), (9, "x y"), (9, "one")]
