@@ -15,28 +15,13 @@ from .text import fold_digits_udf, is_ascii, normalise
 NUMBER = "^[+-]?(\\p{Nd}+|\\p{Nd}{1,3}(,\\p{Nd}{3})+)(\\.\\p{Nd}+)?$"
 
 
-def kind_of(schema: Column) -> Column:
-    """null, boolean, integer, decimal, text, object or array, from a column of ``schema_of_variant``."""
-    return (
-        F.when(schema.isNull() | (schema == "VOID"), "null")
-        .when(schema == "STRING", "text")
-        .when(schema == "BIGINT", "integer")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .otherwise("decimal")
-    )
-
-
-def kind(v: Column) -> Column:
-    """The same of a VARIANT. Where it is asked for more than once, make the schema a column first."""
-    return kind_of(F.schema_of_variant(v))
+#: How the schema of a VARIANT of each kind begins.
+SCHEMAS = {"object": "OBJECT", "array": "ARRAY", "text": "STRING", "boolean": "BOOLEAN"}
 
 
 def is_kind(v: Column, name: str) -> Column:
-    """Whether a VARIANT is an object, an array, a text or a boolean, by one look at its schema."""
-    known = {"object": F.schema_of_variant(v).startswith("OBJECT"), "array": F.schema_of_variant(v).startswith("ARRAY")}
-    return known[name] if name in known else F.schema_of_variant(v) == {"text": "STRING", "boolean": "BOOLEAN"}[name]
+    """Whether a VARIANT is an object, an array, a text or a boolean; null for no VARIANT."""
+    return F.schema_of_variant(v).startswith(SCHEMAS[name])
 
 
 def text_of(v: Column) -> Column:
