@@ -471,15 +471,20 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     # the followers of a leader meet with their sets; blocks of one leader hold that leader, and meet each other after
     follows = durable(tried.select(F.col("a").alias("key"), F.col("b").alias("id")).union(tried.select(F.col("a").alias("key"), F.col("a").alias("id")).distinct()), "follows")
     spare.append(follows)
-    many = follows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(p.set_chunk)).cast("long").alias("blocks"))
+    # leaders whose followers make more than one block; sent to the executors where few, so that a leader with very many
+    # followers gathers them nowhere
+    many = follows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(p.set_chunk)).cast("long").alias("blocks")).where("blocks > 1")
+    many = durable(many, "many")
+    spare.append(many)
+    sent = F.broadcast(many) if many.count() * 32 <= p.broadcast else many
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     block = F.when(F.col("id") == F.col("key"), every).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks"))))
-    placed = follows.join(many, "key").withColumn("block", F.explode(block))
+    placed = follows.join(sent, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.explode(block))
     to = durable(placed.groupBy("id").agg(F.collect_list(F.struct("key", "block")).alias("to")), "places")
     dealt = _sets(docs, to, p).select("id", F.explode("to").alias("t"), "shingles").select("t.key", "t.block", "id", "shingles")
     held = dealt.repartition(n_parts, "key", "block").sortWithinPartitions("key", "block")
     good = durable(held.mapInArrow(_forester(p), "a long, b long").distinct(), "links")
-    large = durable(follows.join(many.where("blocks > 1").select("key"), "key", "left_semi"), "large")
+    large = durable(follows.join(sent.select("key"), "key", "left_semi"), "large")
     if not large.isEmpty():
         named = connected(good).withColumnRenamed("component", "label")
         marked = durable(large.join(named, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "marked")

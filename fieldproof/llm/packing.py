@@ -27,6 +27,8 @@ from .textkit import LOWER, pieces, run_hashes
 END = 2
 #: Words whose ids a worker keeps; beyond it, it starts anew.
 CACHE_WORDS = 700_000
+#: Bytes of text that are encoded at once: the words that are new to the cache are merged together.
+STEP = 1 << 20
 #: Tokens that a task gathers before it packs them.
 BLOCK_TOKENS = 1 << 20
 #: Controls that the tokenizer takes for ordinary characters but str.split() for white space.
@@ -276,7 +278,7 @@ class Encoder:
     def encode_batch(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of a column, then the end id."""
         data, offsets = utf8(column)
-        for a, b in pieces(offsets):
+        for a, b in pieces(offsets, STEP):
             rows = self.pieces.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             others = [k for k, x in enumerate(rows) if x is None]
             for k, x in zip(others, self.encode([column[a + k].as_py() for k in others]), strict=True):
