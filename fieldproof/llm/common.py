@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import drop, durable, ship
 
-__all__ = ["connected", "drop", "durable", "free", "labels", "partitions", "table", "utf8"]
+__all__ = ["connected", "drop", "durable", "few", "free", "labels", "partitions", "table", "utf8"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +27,12 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few(df: DataFrame, by: int = 8) -> DataFrame:
+    """The same rows in fewer partitions, one for ``by`` of the session's. For small tables that are written: each file
+    costs the store, and a task that makes one, more than its rows do."""
+    return df.coalesce(partitions(df) // by + 1)
+
+
 def spark_hash(values: np.ndarray) -> np.ndarray:
     """Spark's ``hash`` of ints: 32-bit Murmur3 with the seed 42."""
     def turned(x, r):
@@ -77,9 +83,7 @@ def connected(links: DataFrame, label: str = "links") -> DataFrame:
     once, whatever the size of a component; a hot centre is only a grouping key of min(), which is
     combined before the shuffle, and its join back can be split by AQE."""
     spark = links.sparkSession
-    edges = durable(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label
-    )
+    edges = durable(few(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), label)
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -94,7 +98,7 @@ def connected(links: DataFrame, label: str = "links") -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        after = durable(small, label)
+        after = durable(few(small), label)
         # a fixed point when every node has one link and no centre is itself linked
         tops = after.groupBy(F.col("u").alias("top")).agg(F.count("*").alias("n"))
         done = tops.where("n > 1").isEmpty() and after.join(tops, F.col("v") == F.col("top"), "left_semi").isEmpty()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, drop, durable, partitions, table, utf8
+from .common import connected, drop, durable, few, partitions, table, utf8
 from .textkit import LOWER, NOT_SPACE, PIECE, mix, pieces, run_hashes, words
 
 
@@ -415,7 +415,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) that are as similar as asked, on whole sets. A pair's key is its own hash, under which both
     sets meet."""
     ends = pairs.select(F.explode(F.array(F.col("a"), F.col("b"))).alias("id"), F.struct("a", "b").alias("pair"))
-    to = durable(ends.groupBy("id").agg(F.collect_list("pair").alias("to")), "ends")
+    to = durable(few(ends.groupBy("id").agg(F.collect_list("pair").alias("to"))), "ends")
     sets = _sets(docs, to, p).select("id", F.explode("to").alias("pair"), "shingles").select("pair.a", "pair.b", "id", "shingles")
     x = sets.where("id = a").select("a", "b", F.col("shingles").alias("sa"))
     y = sets.where("id = b").select("a", "b", F.col("shingles").alias("sb"))
@@ -446,7 +446,7 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     # tables that nothing needs once the links are known
     spare = [posted]
 
-    # what is found is small and comes from many tasks: rebalanced, it is written as few files
+    # what is found is small and comes from many tasks: rebalanced and coalesced, it is written as few files
     # sweep: chunks of long lists each find leaders, and leaders of one list meet again in fewer chunks
     swept, lists = None, posted
     while True:
@@ -454,7 +454,7 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
         chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / F.lit(p.chunk)).cast("long"))
         dealt = lists.join(sizes, "key").withColumn("chunk", chunk).join(slim, "id").select("key", "chunk", "id", "n", "sketch")
         held = dealt.repartition(n_parts, "key", "chunk").sortWithinPartitions("key", "chunk", "id")
-        found = durable(held.mapInArrow(_sweeper(p), PAIRS).hint("rebalance"), "swept")
+        found = durable(few(held.mapInArrow(_sweeper(p), PAIRS).hint("rebalance")), "swept")
         spare.append(found)
         pairs = found.where("b is not null").select("a", "b")
         swept = pairs if swept is None else swept.union(pairs)
@@ -464,35 +464,35 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
         # go on while a long list got shorter; what is left is tried across components below
         if after.where(F.col("left") * 10 < F.col("c") * 9).isEmpty():
             break
-        lists = durable(lead.select("id", "key"), "leaders")
-    tried = durable(swept.distinct(), "tried")
+        lists = durable(few(lead.select("id", "key")), "leaders")
+    tried = durable(few(swept.distinct()), "tried")
     spare.append(tried)
 
     # the followers of a leader meet with their sets; blocks of one leader hold that leader, and meet each other after
-    follows = durable(tried.select(F.col("a").alias("key"), F.col("b").alias("id")).union(tried.select(F.col("a").alias("key"), F.col("a").alias("id")).distinct()), "follows")
+    follows = durable(few(tried.select(F.col("a").alias("key"), F.col("b").alias("id")).union(tried.select(F.col("a").alias("key"), F.col("a").alias("id")).distinct())), "follows")
     spare.append(follows)
     # leaders whose followers make more than one block; sent to the executors where few, so that a leader with very many
     # followers gathers them nowhere
     many = follows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(p.set_chunk)).cast("long").alias("blocks")).where("blocks > 1")
-    many = durable(many, "many")
+    many = durable(few(many), "many")
     spare.append(many)
     sent = F.broadcast(many) if many.count() * 32 <= p.broadcast else many
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     block = F.when(F.col("id") == F.col("key"), every).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks"))))
     placed = follows.join(sent, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.explode(block))
-    to = durable(placed.groupBy("id").agg(F.collect_list(F.struct("key", "block")).alias("to")), "places")
+    to = durable(few(placed.groupBy("id").agg(F.collect_list(F.struct("key", "block")).alias("to")), 4), "places")
     dealt = _sets(docs, to, p).select("id", F.explode("to").alias("t"), "shingles").select("t.key", "t.block", "id", "shingles")
     held = dealt.repartition(n_parts, "key", "block").sortWithinPartitions("key", "block")
-    good = durable(held.mapInArrow(_forester(p), "a long, b long").distinct(), "links")
-    large = durable(follows.join(sent.select("key"), "key", "left_semi"), "large")
+    good = durable(few(held.mapInArrow(_forester(p), "a long, b long").distinct()), "links")
+    large = durable(few(follows.join(sent.select("key"), "key", "left_semi")), "large")
     if not large.isEmpty():
         named = connected(good).withColumnRenamed("component", "label")
-        marked = durable(large.join(named, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "marked")
-        to = durable(_across(marked, p.set_chunk).groupBy("id").agg(F.collect_list(F.struct("key", "p", "q", "side", "label")).alias("to")), "places")
+        marked = durable(few(large.join(named, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))), "marked")
+        to = durable(few(_across(marked, p.set_chunk).groupBy("id").agg(F.collect_list(F.struct("key", "p", "q", "side", "label")).alias("to")), 4), "places")
         rows = _sets(docs, to, p).select("id", F.explode("to").alias("t"), "shingles").select("t.*", "id", "shingles")
         whole = rows.repartition(n_parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
         met = whole.select("key", "p", "q", "id", "label", "side", "shingles").mapInArrow(_joiner(p), "a long, b long")
-        good = durable(good.union(met).distinct(), "links")
+        good = durable(few(good.union(met).distinct()), "links")
 
     # what shares a list but no leader, across components
     leaders = follows.groupBy("id").agg(F.collect_set("key").alias("leaders"))
@@ -501,7 +501,7 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     tries, lists, first = p.first_tries, posted, True
     while True:
         named = connected(good).withColumnRenamed("component", "label")
-        marked = durable(lists.join(named, "id", "left").select("id", "key", F.coalesce("label", "id").alias("label")), "marked")
+        marked = durable(few(lists.join(named, "id", "left").select("id", "key", F.coalesce("label", "id").alias("label")), 2), "marked")
         if first:
             # lists that more documents than a chunk share outside their largest component
             by_label = marked.groupBy("key", "label").agg(F.count("*").alias("c"))
@@ -509,23 +509,23 @@ def links(docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
             if not crowded.isEmpty():
                 spare.append(marked)
                 parted = _refined(marked.join(crowded, "key", "left_semi"), reps, p)
-                marked = durable(marked.join(crowded, "key", "left_anti").select("id", "label", "key").union(parted).select("id", "key", "label"), "marked")
+                marked = durable(few(marked.join(crowded, "key", "left_anti").select("id", "label", "key").union(parted).select("id", "key", "label")), "marked")
                 lists = marked.select("id", "key")
             first = False
         dealt = _across(marked, p.chunk).join(slim, "id").repartition(n_parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
         rows = dealt.select("key", "p", "q", "id", "n", "label", "side", "leaders", "sketch")
-        found = durable(rows.mapInArrow(_crosser(p, tries), PAIRS).hint("rebalance"), "crossed")
+        found = durable(few(rows.mapInArrow(_crosser(p, tries), PAIRS).hint("rebalance")), "crossed")
         spare += [marked, found]
-        new = durable(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new")
+        new = durable(few(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")), "new")
         cut = found.where("more").select("key").distinct()
         if not new.isEmpty():
-            good = durable(good.union(_confirmed(docs, new, p)), "links")
-            tried = durable(tried.union(new), "tried")
+            good = durable(few(good.union(_confirmed(docs, new, p))), "links")
+            tried = durable(few(tried.union(new)), "tried")
         if cut.isEmpty():
             drop(*spare)
             return good
         # lists whose documents have more to try get another round with more tries
-        lists = durable(lists.join(cut, "key", "left_semi"), "lists")
+        lists = durable(few(lists.join(cut, "key", "left_semi")), "lists")
         tries *= 64
 
 
