@@ -6,10 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..session import drop, durable, ship
 
-__all__ = ["connected", "drop", "durable", "few", "free", "labels", "partitions", "table", "utf8"]
+__all__ = ["beside", "connected", "drop", "durable", "few", "free", "labels", "partitions", "table", "utf8"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +25,11 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+def beside(row: DataType, fields: str) -> StructType:
+    """The schema of ``row`` (of that type, whatever its columns are called) and of ``fields``."""
+    return StructType([StructField("row", row), *StructType.fromDDL(fields).fields])
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, line_dedup, lm_score, minhash, packing, quality, suffix_dedup, url_filter
+from . import chat_format, decontaminate, fill_middle, license_scan, line_dedup, lm_score, minhash, packing, quality, quality_model, spelling, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+        "op13_quality_classifier": quality_model.op13_quality_classifier,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": quality.ORACLE,
         "op9_chat_format": chat_format.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
+        "op11_spelling_variants": spelling.ORACLE,
+        "op12_fill_in_middle": fill_middle.ORACLE,
     }
