@@ -150,11 +150,18 @@ class Index:
         count = np.searchsorted(self.keys, found[at], "right") - lo
         return at[count > 0], lo[count > 0], count[count > 0]
 
-    def hits(self, at: np.ndarray, lo: np.ndarray, count: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, item, place in the item) of shared q-grams, of every ``parts``-th item."""
+    def shared(self, lo: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The number of shared q-grams of each item, from what ``found`` gave; each q-gram's places are looked at once."""
+        first, at, times = np.unique(lo, return_index=True, return_counts=True)
+        size = count[at]
+        which = np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        return np.bincount(self.places[which, 0], np.repeat(times, size), minlength=len(self.sizes))
+
+    def hits(self, at: np.ndarray, lo: np.ndarray, count: np.ndarray, left: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, item, place in the item) of shared q-grams, of every ``parts``-th item that is ``left``."""
         places = self.places
-        if parts > 1:
-            mine = places[:, 0] % parts == part
+        if parts > 1 or not left.all():
+            mine = (places[:, 0] % parts == part) & left[places[:, 0]]
             before = np.concatenate([[0], np.cumsum(mine)])
             lo, count, places = before[lo], before[lo + count] - before[lo], places[mine]
         which = np.repeat(lo, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -240,11 +247,56 @@ def _counted(text: np.ndarray, offsets: np.ndarray, index: Index, base: int, hit
         yield from zip(r[good].tolist(), k.tolist(), (b[good] * width[k] - shift[k]).tolist(), width[k].tolist(), strict=True)
 
 
+#: What sorting and counting a shared q-gram costs, in cells of an alignment; and places that are aligned at once.
+DEAR, AT_ONCE = 64, 1 << 14
+
+
+def _aligned(text: np.ndarray, offsets: np.ndarray, item: np.ndarray, most: int, lo: int, hi: int) -> Iterator[tuple[int, int, int, int]]:
+    """(row, start, end, edits) of the regions in which ``item`` begins at [lo, hi) with at most ``most`` edits: one alignment of the item
+    with all that stands there, so the cost is that of its length a byte, however often the text repeats itself.
+
+    cost[j] is the least edits of the item's first letters to what ends before place j. An occurrence stays in its row: places
+    between rows are out of reach, and the ramp that spreads the cost of further letters to the right falls off a cliff there."""
+    n = len(item)
+    hi = min(hi + n + most, len(text))
+    row = np.searchsorted(offsets, np.arange(lo, hi + 1), "right") - 1
+    inside = np.arange(lo, hi + 1) <= offsets[np.minimum(row + 1, len(offsets) - 1)] - Q
+    far = n + most + 1
+    cliff = hi - lo + 4 * far
+    kind = np.int32 if (int(row[-1] - row[0]) + 2) * cliff < 1 << 30 else np.int64
+    ramp = (np.arange(hi - lo + 1) + (row - row[0]) * cliff).astype(kind)
+    cost = np.where(inside, 0, far).astype(kind)
+    letters = text[lo:hi]
+    fresh = np.ones(hi - lo + 1, bool)  # places where no letter of the row stands before
+    fresh[1:] = (row[1:] != row[:-1]) | ~inside[:-1]
+    step, match = np.empty_like(cost), np.empty_like(cost)
+    for letter in item:
+        np.add(cost, 1, out=step)  # the letter has no counterpart
+        match[0] = far
+        np.add(cost[:-1], letters != letter, out=match[1:])
+        match[fresh] = far
+        np.minimum(step, match, out=step)
+        step[~inside] = far
+        np.subtract(step, ramp, out=step)
+        np.minimum.accumulate(step, out=step)
+        np.add(step, ramp, out=cost)
+        np.minimum(cost, far, out=cost)
+        if cost.min() > most:
+            return
+    ends = np.flatnonzero((cost <= most) & inside)
+    apart = (np.diff(row[ends]) != 0) | (np.diff(ends) >= n // 4 + most)
+    for group in np.split(ends, np.flatnonzero(apart) + 1):
+        if len(group):
+            r = int(row[group[0]])
+            yield r, max(int(offsets[r]), lo + int(group[0]) - n - most), lo + int(group[-1]), int(cost[group].min())
+
+
 def _regions(text: np.ndarray, offsets: np.ndarray, index: Index, lo: int, end: int, known: dict) -> Iterator[tuple[int, int, int, int, int]]:
-    """Verified regions of what begins in [lo, end), and of some that begin a little later; places in ``text``."""
-    stack = [(lo, end)]
+    """Verified regions of what begins in [lo, end), and of some that begin a little later; places in ``text``. Where q-grams are
+    so many that counting them costs more than aligning an item with the whole stretch (repetitive texts), it is aligned."""
+    stack = [(lo, end, np.ones(len(index.sizes), bool))]
     while stack:
-        lo, end = stack.pop()
+        lo, end, left = stack.pop()
         hi = min(end + index.reach, len(text))
         before = max(lo - 1, 0)
         seen = grams(text[before:hi])
@@ -254,13 +306,23 @@ def _regions(text: np.ndarray, offsets: np.ndarray, index: Index, lo: int, end:
                 yield r, k, p + before, p + before + int(index.sizes[k]), 0
         at, first, count = index.found(seen)
         total = int(count.sum())
+        if total > MOST:
+            each = np.where(left, index.shared(first, count), 0)
+            dear = each * DEAR > (hi - before) * index.sizes
+            for k in np.flatnonzero(dear).tolist():
+                stride = max(AT_ONCE, 4 * int(index.sizes[k]))
+                for at_ in range(lo, end, stride):
+                    for r, start, stop, got in _aligned(text, offsets, index.texts[k], int(index.edits[k]), at_, min(at_ + stride, end)):
+                        yield r, k, start, stop, got
+            left = left & ~dear
+            total = int(each[left].sum())
         if total > MOST and end - lo > index.reach:
             middle = (lo + end) // 2
-            stack += [(middle, end), (lo, middle)]
+            stack += [(middle, end, left), (lo, middle, left)]
             continue
         parts = -(-total // MOST)
         for part in range(parts):
-            for r, k, low, width in _counted(text, offsets, index, before, index.hits(at, first, count, part, parts)):
+            for r, k, low, width in _counted(text, offsets, index, before, index.hits(at, first, count, left, part, parts)):
                 e, size = int(index.edits[k]), int(index.sizes[k])
                 start, stop = max(int(offsets[r]), low - e), min(int(offsets[r + 1]) - Q, low + width + size + e)
                 if stop <= start:
