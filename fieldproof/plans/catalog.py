@@ -367,8 +367,9 @@ def paired_changes(spark, d):
 
 @query(
     _with(X.sql_scored(), X.sql_scored("z", 11, 5, 23))
-    + """SELECT k AS id, field, s.predicted AS before, z.predicted AS after, z.category = 'correct' AS improved FROM s JOIN z USING (k, fi, field)
-  WHERE (s.category = 'correct') <> (z.category = 'correct')"""
+    + """SELECT k AS id, field, max(predicted) FILTER (WHERE run = 0) AS before, max(predicted) FILTER (WHERE run = 1) AS after, max(ok) FILTER (WHERE run = 1) = 1 AS improved
+FROM (SELECT 0 AS run, k, field, predicted, (category = 'correct')::INT AS ok FROM s UNION ALL SELECT 1, k, field, predicted, (category = 'correct')::INT FROM z)
+GROUP BY k, field HAVING count(*) = 2 AND sum(ok) = 1"""
 )
 def field_changes(spark, d):
     out = C.field_changes(_scored(spark, d), _scored(spark, d, a=11, b=5, n=23))

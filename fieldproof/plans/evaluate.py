@@ -13,6 +13,7 @@ import importlib
 import json
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from ..operators import validate as V
 from ..operators.infer import Analyzer, infer
 from ..operators.score import details, per_document
 from ..operators.select import SPLIT_LIMITS, offset_limit
-from ..session import drop, durable, ship
+from ..session import drop, durable, new_path, ship
 from ..sources import readers, sinks
 from .recheck import answers, reread
 
@@ -115,25 +116,26 @@ def ordered_fields(long: DataFrame) -> list[str]:
     return [r["field"] for r in sorted(M.report_order(long).collect(), key=lambda r: tuple(r["first"]))]
 
 
-def live(rows: DataFrame, root: Path, analyzer: Callable[[], Analyzer], policy: str) -> DataFrame:
-    """(id, prediction as JSON, error, …) of an analyzer: texts parsed, amounts reviewed, flagged ones read again."""
+def live(rows: DataFrame, root: Path, analyzer: Callable[[], Analyzer], policy: str, ledger: str, salt: str) -> DataFrame:
+    """(id, prediction as JSON, error, …) of an analyzer: texts parsed, amounts reviewed, flagged ones read again. Each answer is in the
+    ledger before the next document is asked, and what the ledger holds is not asked for again."""
     asked = rows.select("id", F.concat(F.lit(f"{root}/"), F.col("image")).alias("image"), "question", F.to_json("field_schema").alias("field_schema"))
-    # written, so that neither a later step nor a lost executor asks the model again
-    first = durable(answers(infer(asked, analyzer), asked), "answers")
+    first = durable(answers(infer(asked, analyzer, ledger, salt), asked), "answers")
     good = first.where("error is null").select("id", F.try_parse_json("prediction").alias("prediction"))
     good = good.where(V.prediction_problem(F.col("prediction")).isNull())
-    reviewed = reread(rows.select("id", F.concat(F.lit(f"{root}/"), F.col("image")).alias("image"), "question", "field_schema", "requested").join(good, "id"), analyzer, policy)
+    reviewed = reread(rows.select("id", F.concat(F.lit(f"{root}/"), F.col("image")).alias("image"), "question", "field_schema", "requested").join(good, "id"), analyzer, policy, ledger=ledger, salt=salt)
     both = first.join(reviewed.withColumnRenamed("prediction", "reviewed"), "id", "left")
     return both.select("id", F.coalesce("reviewed", "prediction").alias("prediction"), "error", "wall_seconds", "raw_error_output", F.lit(False).alias("huge"))
 
 
 def evaluate(
     spark: SparkSession, dataset: str | Path, output: str | Path, mode: str = "dry-run", saved: str | Path | None = None,
-    analyzer: Callable[[], Analyzer] | None = None, offset: int = 0, limit: int | None = None, policy: str = "none", records: bool = True,
+    analyzer: Callable[[], Analyzer] | None = None, offset: int = 0, limit: int | None = None, policy: str = "none", records: bool = True, ledger: str | Path | None = None,
 ) -> dict:
     """One run into a new directory: run.json (incomplete first), facts and documents, predictions.jsonl, errors.csv,
     review-flags.csv, summary.md. ``policy`` is the second reading of a live run. ``records=False`` leaves the
-    documents' records out of run.json, for runs larger than a driver."""
+    documents' records out of run.json, for runs larger than a driver. ``ledger``: a folder for a live run's answers, which a later
+    run over the same data with the same analyzer goes on from; without one, a run has a ledger of its own."""
     ship(spark)
     V.check_names(policy=policy)
     rows, info = load(spark, dataset)
@@ -156,8 +158,9 @@ def evaluate(
     else:
         if analyzer is None:
             raise ValueError(NO_ANALYZER)
-        configuration = analyzer().describe() | {"receipt_recheck": policy}
-        predicted = live(rows, Path(dataset).resolve().parent, analyzer, policy)
+        model = analyzer().describe()
+        configuration, salt = model | {"receipt_recheck": policy}, json.dumps([model, info["fingerprint"]], sort_keys=True)
+        predicted = live(rows, Path(dataset).resolve().parent, analyzer, policy, str(Path(ledger).resolve()) if ledger else new_path(spark, "ledger"), salt)
     output = V.new_directory(output)
     run = sinks.manifest(mode, info, configuration, sinks.runtime_info(Path(__file__).resolve().parents[1]))
     sinks.save_json(output / "run.json", run)
@@ -190,6 +193,17 @@ def factory(named: str | None) -> Callable[[], Analyzer] | None:
     return getattr(importlib.import_module(module), name)
 
 
+def chosen_analyzer() -> Callable[[], Analyzer]:
+    """The analyzer that the settings name. The local backend is no part of this engine."""
+    from ..sources.remote import Remote
+
+    chosen = readers.settings()
+    if chosen.backend != "openai":
+        raise ValueError(NO_ANALYZER)
+    Remote(chosen)  # a missing key is said before anything else is done
+    return partial(Remote, chosen)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description="Run an analyzer over a dataset, re-score saved predictions, or check a labelled fixture.")
     parser.add_argument("--dataset", type=Path, default=Path("data/annotations.jsonl"))
@@ -197,7 +211,8 @@ def main(argv: list[str] | None = None) -> int:
     modes = parser.add_mutually_exclusive_group()
     modes.add_argument("--dry-run", action="store_true")
     modes.add_argument("--predictions", type=Path)
-    parser.add_argument("--analyzer", help="module:name of what makes the analyzer of a live run")
+    parser.add_argument("--analyzer", help="module:name of what makes the analyzer of a live run; without it, the remote one of the settings")
+    parser.add_argument("--ledger", type=Path, help="folder of a live run's answers, to go on from where an earlier run stopped")
     parser.add_argument("--split", choices=sorted(SPLIT_LIMITS), help="takes as many documents as a run of this split does")
     parser.add_argument("--limit", type=int)
     parser.add_argument("--offset", type=int, default=0)
@@ -207,7 +222,8 @@ def main(argv: list[str] | None = None) -> int:
     limit = args.limit if args.limit is not None else SPLIT_LIMITS.get(args.split)
     try:
         policy = readers.settings().recheck if mode == "live" else "none"
-        run = evaluate(readers.session(), args.dataset, output, mode, args.predictions, factory(args.analyzer), args.offset, limit, policy)
+        make = (factory(args.analyzer) or chosen_analyzer()) if mode == "live" else None
+        run = evaluate(readers.session(), args.dataset, output, mode, args.predictions, make, args.offset, limit, policy, ledger=args.ledger)
     except (OSError, ValueError, KeyError, RuntimeError, ImportError, AttributeError) as e:
         parser.exit(2, f"Evaluation could not start or finish: {e}\n")
     print(f"{run['claim']}\nReport: {output / 'summary.md'}")

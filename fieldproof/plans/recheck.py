@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import review as R
-from ..operators.infer import LABELS, Analyzer, infer
+from ..operators.infer import CENTRAL, LABELS, Analyzer, infer
 from ..operators.parse import parse_output
 from ..operators.validate import check_names
-from ..session import durable
+from ..session import durable, new_path, on_files
 
+#: The profile of a second reading with context, and what is said of the raw text of a prediction that was read twice.
+CONTEXT_PROFILE = "label-aware-v1"
+SCOPE = "initial_request; see recheck_attempt for the additional response"
 #: Our own wording of the second question.
 AGAIN = "Read only these amounts again and copy each as it is printed. A percentage is no amount. Give null where no amount is printed or legible."
 
@@ -29,7 +32,7 @@ def fields_long(documents: DataFrame, policy: str) -> DataFrame:
 
 
 def answers(inferred: DataFrame, asked: DataFrame) -> DataFrame:
-    """(id, prediction as JSON, error, raw_error_output, wall_seconds) of what ``infer`` returned: a model's text is
+    """(id, prediction as JSON, error, raw_error_output, wall_seconds, view, request_started) of what ``infer`` returned: a model's text is
     parsed, by the names that its document (``asked``: id, field_schema as JSON) was asked for."""
     names = asked.select("id", F.json_object_keys("field_schema").alias("requested"))
     parsed = parse_output(inferred.join(names, "id"))
@@ -40,39 +43,44 @@ def answers(inferred: DataFrame, asked: DataFrame) -> DataFrame:
     failed = given & F.col("parse_error").isNotNull()
     return parsed.select(
         "id", F.when(given & ~failed, made).otherwise(F.col("prediction")).alias("prediction"), F.when(failed, F.concat(F.lit("OutputParseError: "), F.col("parse_error"))).otherwise(F.col("error")).alias("error"),
-        F.when(failed, F.col("raw_output")).otherwise(F.col("raw_error_output")).alias("raw_error_output"), "wall_seconds",
+        F.when(failed, F.col("raw_output")).otherwise(F.col("raw_error_output")).alias("raw_error_output"), "wall_seconds", "view", "request_started",
     )
 
 
 def requests(documents: DataFrame, policy: str, unicode: bool = True) -> DataFrame:
-    """(id, image, question, field_schema as JSON, asked) of the documents that are asked again. The context policy
-    repeats the original question over all fields; the others ask for the flagged fields alone."""
+    """(id, image, question, field_schema as JSON, asked, profile, view) of the documents that are asked again. The context policy
+    repeats the original question over all fields, under a profile of its own; the others ask for the flagged fields alone, the
+    crop policy of the image's central rows."""
     asked = R.asked_again(fields_long(documents, policy), unicode).groupBy("id").agg(F.array_sort(F.collect_list("field")).alias("asked"))
-    flagged = documents.join(asked, "id")
+    flagged, none = documents.join(asked, "id"), F.lit(None).cast("string")
     if policy == "label-context-v1":
-        return flagged.select("id", "image", "question", F.to_json("field_schema").alias("field_schema"), "asked")
+        return flagged.select("id", "image", "question", F.to_json("field_schema").alias("field_schema"), "asked", F.lit(CONTEXT_PROFILE).alias("profile"), none.alias("view"))
     known = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
     lines = F.array_join(F.transform("asked", lambda n: F.concat(n, F.lit(": "), F.element_at(known, n))), "\n")
     rules = F.to_json(F.map_from_arrays("asked", F.transform("asked", lambda n: F.lit(R.TEXT_AMOUNT))))
-    return flagged.select("id", "image", F.concat(F.lit(AGAIN + "\n"), lines).alias("question"), rules.alias("field_schema"), "asked")
+    view = F.lit(CENTRAL) if policy == "percent-crop-v1" else none
+    return flagged.select("id", "image", F.concat(F.lit(AGAIN + "\n"), lines).alias("question"), rules.alias("field_schema"), "asked", none.alias("profile"), view.alias("view"))
 
 
-def recheck(documents: DataFrame, make: Callable[[], Analyzer], policy: str, unicode: bool = True) -> tuple[DataFrame, DataFrame]:
+def recheck(documents: DataFrame, make: Callable[[], Analyzer], policy: str, unicode: bool = True, ledger: str | None = None, salt: str = "") -> tuple[DataFrame, DataFrame]:
     """(fields, attempts). ``documents``: id, image, question, field_schema and fields (VARIANT).
 
     fields: one row per requested field with asked, accepted, merged (VARIANT), reason and merged_reason. attempts:
     one row per document that was asked again, with what it was asked, its prediction as JSON, and its error; a
-    failed attempt changes nothing. Documents without such a flag are never sent to the analyzer. For the crop
-    policy ``make`` gives an analyzer that crops to ``review.crop_box``."""
+    failed attempt changes nothing. Documents without such a flag are never sent to the analyzer. Under the crop policy it gets the
+    central rows of the image (PNG) as a file of the shared folder, under the context policy ``receipt_profile``. Attempts go
+    through a ledger (a new one unless given), so none is made twice."""
     check_names(policy=policy)
     long = fields_long(documents, policy)
     if policy == "none":
         none = F.lit(None).cast("string")
-        nobody = long.where("false").select("id", none.alias("prediction"), none.alias("error"), none.alias("raw_error_output"), F.lit(None).cast("double").alias("wall_seconds"), F.array(none).alias("asked"), none.alias("question"))
+        nobody = long.where("false").select("id", none.alias("prediction"), none.alias("error"), none.alias("raw_error_output"), F.lit(None).cast("double").alias("wall_seconds"), none.alias("view"), F.lit(None).cast("boolean").alias("request_started"), F.array(none).alias("asked"), none.alias("question"))
         return R.merge(long.withColumns({"second": F.lit(None).cast("variant"), "second_error": none}), unicode), nobody
     wanted = requests(documents, policy, unicode)
-    # attempts are written to the shared folder, so that neither the merge nor a lost executor asks again
-    attempts = durable(answers(infer(wanted, make), wanted).join(wanted.select("id", "asked", "question"), "id"), "attempts")
+    spark = documents.sparkSession
+    views = on_files(new_path(spark, "views"))
+    made = infer(wanted, make, ledger or new_path(spark, "ledger"), f"{salt} {policy}", views)
+    attempts = durable(answers(made, wanted).join(wanted.select("id", "asked", "question"), "id"), "attempts")
     second = attempts.select("id", "error", F.try_variant_get(F.try_parse_json("prediction"), "$.fields", "variant").alias("second_fields"))
     both = long.join(second, "id", "left").withColumn("second", _at("second_fields")).withColumn("second_error", F.col("error"))
     return R.merge(both.drop("second_fields", "error"), unicode), attempts
@@ -86,7 +94,7 @@ def _part(column: str, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(F.col(column), f"$.{name}", kind)
 
 
-def reread(documents: DataFrame, make: Callable[[], Analyzer], policy: str, unicode: bool = True) -> DataFrame:
+def reread(documents: DataFrame, make: Callable[[], Analyzer], policy: str, unicode: bool = True, ledger: str | None = None, salt: str = "") -> DataFrame:
     """(id, prediction as JSON): predictions after review, and after a second reading where ``policy`` asks for one.
 
     ``documents``: id, image, question, field_schema, requested, prediction (VARIANT with ``fields``). Every prediction
@@ -94,7 +102,7 @@ def reread(documents: DataFrame, make: Callable[[], Analyzer], policy: str, unic
     flags of its own. One that was read again also gets recheck_attempt (what was asked, its prediction or error, what
     was accepted), initial_prediction, and metadata of both calls."""
     docs = documents.withColumn("fields", _part("prediction", "fields"))
-    fields, attempts = recheck(docs, make, policy, unicode)
+    fields, attempts = recheck(docs, make, policy, unicode, ledger, salt)
     ordered = fields.join(docs.select("id", F.posexplode("requested").alias("pos", "field")), ["id", "field"])
     flag = F.when(F.col("merged_reason").isNotNull(), F.struct("field", F.col("merged_reason").alias("reason"), F.col("merged").alias("value")))
     row = F.struct("pos", "field", "merged", "accepted", "asked", flag.alias("flag"))
@@ -106,7 +114,7 @@ def reread(documents: DataFrame, make: Callable[[], Analyzer], policy: str, unic
     )
     second = attempts.select(
         "id", F.col("asked").alias("names"), F.col("question").alias("second_question"), F.try_parse_json("prediction").alias("second"), F.col("error").alias("second_error"),
-        F.col("raw_error_output").alias("second_raw"), F.col("wall_seconds").alias("second_seconds"),
+        F.col("raw_error_output").alias("second_raw"), F.col("wall_seconds").alias("second_seconds"), F.try_parse_json("view").alias("second_view"), F.col("request_started").alias("started"),
     )
     both = docs.select("id", "prediction", "requested").join(listed, "id", "left").join(second, "id", "left")
     texts = "array<struct<field:string,text:string>>"
@@ -114,17 +122,21 @@ def reread(documents: DataFrame, make: Callable[[], Analyzer], policy: str, unic
         {
             "evidence": F.coalesce(F.from_json(F.to_json(_part("prediction", "evidence")), texts), F.array().cast(texts)), "second_evidence": F.coalesce(F.from_json(F.to_json(_part("second", "evidence")), texts), F.array().cast(texts)),
             "answer": _part("prediction", "answer", "string"), "confidence": _part("prediction", "confidence", "double"), "asked": F.coalesce("flagged", F.array().cast("array<string>")), "accepted": F.coalesce("accepted", F.array().cast("array<string>")),
-            "request_started": F.col("names").isNotNull(), "latency": _part("prediction", "metadata.latency_seconds", "double"), "second_latency": _part("second", "metadata.latency_seconds", "double"),
+            "tried": F.col("names").isNotNull(), "request_started": F.coalesce("started", F.lit(False)), "latency": _part("prediction", "metadata.latency_seconds", "double"), "second_latency": _part("second", "metadata.latency_seconds", "double"),
             "memory": _part("prediction", "metadata.peak_gpu_memory_gib", "double"), "second_memory": _part("second", "metadata.peak_gpu_memory_gib", "double"),
         }
     )
-    tried = F.col("request_started")
+    tried = F.col("tried")
     out = R.merge_documents(both)
     attempt = {
         "policy": F.lit(policy), "requested_fields": F.when(F.lit(policy == "label-context-v1"), F.col("requested")).otherwise(F.col("asked")), "question": F.col("second_question"), "prediction": F.col("second"),
-        "error": F.col("second_error"), "raw_error_output": F.col("second_raw"), "request_started": tried, "accepted_fields": F.col("accepted"), "wall_seconds": F.col("second_seconds"),
+        "error": F.col("second_error"), "raw_error_output": F.col("second_raw"), "request_started": F.col("request_started"), "accepted_fields": F.col("accepted"), "wall_seconds": F.col("second_seconds"),
     }
-    meta = {"model_calls": F.col("model_calls"), "recheck_policy": F.lit(policy), "latency_seconds": F.col("latency"), "peak_gpu_memory_gib": F.col("memory")}
+    if policy == "percent-crop-v1":
+        attempt["view"] = F.col("second_view")
+    if policy == "label-context-v1":
+        attempt["receipt_profile"] = F.lit(CONTEXT_PROFILE)
+    meta = {"model_calls": F.col("model_calls"), "raw_output_scope": F.lit(SCOPE), "recheck_policy": F.lit(policy), "latency_seconds": F.col("latency"), "peak_gpu_memory_gib": F.col("memory")}
     struct = lambda parts: F.parse_json(_json(F.struct(*[v.alias(k) for k, v in parts.items()])))
     # each part as (name, VARIANT), null where the prediction keeps its own
     own = F.from_json(F.to_json("prediction"), "map<string,variant>")

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.infer import Analyzer, infer
-from ..session import ship
+from ..session import durable, new_path, ship
 from .recheck import answers, reread
 
 NO_IMAGE = "No image was given."
@@ -24,7 +24,7 @@ def read(spark: SparkSession, make: Callable[[], Analyzer], image: str | None, q
     try:
         names = list(json.loads(schema_text))
         asked = ship(spark).createDataFrame([("one", image, question, schema_text)], "id string, image string, question string, field_schema string")
-        first = answers(infer(asked, make), asked).select("id", "prediction", "error").persist()
+        first = durable(answers(infer(asked, make, new_path(spark, "ledger")), asked).select("id", "prediction", "error"), "answers")
         error = first.first()["error"]
         if error:
             return f"Failed: {error}", None

@@ -12,9 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-#: Settings that suit rows with long texts, as (name, Spark's own default, ours): bytes of a batch that a Python worker
-#: gets at once, and rows that a Parquet reader holds at once.
+#: Settings as (name, Spark's own default, ours). Two suit rows with long texts: bytes of a batch that a Python worker gets at once,
+#: and rows that a Parquet reader holds at once. By the third the last of equal keys of a JSON object wins, and is no error.
 SETTINGS = (
+    ("spark.sql.variant.allowDuplicateKeys", "false", "true"),
     ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"),
     ("spark.sql.parquet.columnarReaderBatchSize", "4096", "512"),
 )
@@ -31,7 +32,7 @@ def ship(spark: SparkSession) -> SparkSession:
         root = Path(__file__).resolve().parent
         path = Path(tempfile.mkdtemp(prefix="fieldproof-")) / "fieldproof.zip"
         with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(root.rglob("*.py")):
+            for p in sorted(x for x in root.rglob("*") if x.suffix in (".py", ".txt")):
                 z.write(p, p.relative_to(root.parent))
         context.addPyFile(str(path))
         _shipped.add(context.applicationId)
@@ -57,6 +58,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def on_files(path: str) -> str | None:
+    """``path`` as a path of a file system that Python opens, or null for another store."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    return None if "://" in path else path
+
+
+def made_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder, unless it is there."""
+    place, files = _place(spark, path)
+    files.mkdirs(place)
+
+
 def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -42,11 +42,11 @@ class Remote:
     def _system(self) -> str:
         return COMPACT if self.settings.profile == "receipt-compact-v1" else SYSTEM
 
-    def request(self, image: str, question: str, field_schema: dict[str, Any]) -> tuple[str, dict[str, Any]]:
+    def request(self, image: str, question: str, field_schema: dict[str, Any], profile: str) -> tuple[str, dict[str, Any]]:
         """(path, body) of a request."""
         kind = mimetypes.guess_type(image)[0] or "image/png"
         url = f"data:{kind};base64,{base64.b64encode(Path(image).read_bytes()).decode('ascii')}"
-        text = prompt(question, field_schema, self.settings.profile)
+        text = prompt(question, field_schema, profile)
         if self.settings.api_mode == "responses":
             content = [{"type": "input_text", "text": text}, {"type": "input_image", "image_url": url}]
             return "responses", {"model": self.settings.model, "instructions": self._system(), "input": [{"role": "user", "content": content}]}
@@ -69,13 +69,13 @@ class Remote:
             time.sleep(0.5 * 2 ** (RETRIES - left))
         raise AssertionError
 
-    def analyze(self, image: str, question: str, field_schema: dict[str, Any]) -> tuple[str, dict[str, Any]]:
-        began = time.perf_counter()
-        reply = self._sent(*self.request(image, question, field_schema))
-        s = self.settings
+    def analyze(self, image: str, question: str, field_schema: dict[str, Any], *, receipt_profile: str | None = None) -> tuple[str, dict[str, Any]]:
+        began, s = time.perf_counter(), self.settings
+        profile = s.profile if receipt_profile is None else receipt_profile
+        reply = self._sent(*self.request(image, question, field_schema, profile))
         if s.api_mode == "responses":
             said = [part.get("text") or "" for item in reply.get("output") or () for part in item.get("content") or () if part.get("type") == "output_text"]
             text = "".join(said)
         else:
             text = reply["choices"][0]["message"].get("content") or ""
-        return text, {"backend": s.backend, "model": s.model, "api_mode": s.api_mode, "receipt_profile": s.profile, "latency_seconds": round(time.perf_counter() - began, 3)}
+        return text, {"backend": s.backend, "model": s.model, "api_mode": s.api_mode, "receipt_profile": profile, "latency_seconds": round(time.perf_counter() - began, 3)}

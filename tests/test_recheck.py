@@ -6,7 +6,8 @@ from fieldproof.plans import recheck as P
 
 
 class Second:
-    def analyze(self, image, question, field_schema):
+    def analyze(self, image, question, field_schema, receipt_profile=None):
+        assert (receipt_profile == "label-aware-v1") == (question == "whole")
         if image == "broken":
             raise TimeoutError("late")
         assert list(field_schema) == ["tax_amount"] or question == "whole"
