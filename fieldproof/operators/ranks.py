@@ -26,12 +26,13 @@ SPAN = 746
 
 
 def _part(x: Column, low: Column, high: Column, first: bool) -> Column:
-    """The part of a range in which a value lies. Each step keeps the order of values, so parts never cross; halves can't overflow."""
+    """The part of a range in which a value lies. Each step keeps the order of values, so parts never cross. Behind the first cut a range
+    is far from overflow, and its two ends fall into different parts, so it always gets smaller."""
     if first:
         size = F.when(x == 0, F.lit(0.0)).otherwise(F.ln(F.abs(x)) + SPAN)
         at = F.floor((F.when(x < 0, -size).otherwise(size) + 2 * SPAN) / (4 * SPAN) * PARTS)
     else:
-        at = F.floor((x / 2 - low / 2) / F.greatest(high / 2 - low / 2, F.lit(5e-324)) * PARTS)
+        at = F.floor((x - low) / F.when(high > low, high - low) * PARTS)
     return F.least(F.greatest(at, F.lit(0)), F.lit(PARTS - 1)).cast("int")
 
 
