@@ -74,8 +74,9 @@ def exactly_rounded(x: Column, digits: int = 3) -> Column:
     0.6625 for a tie where the double lies below it. The fraction is counted in units of 2^-63, which a fraction from 2^-11 on fills exactly;
     a smaller one is far below any half that it could be taken for."""
     unit, whole = F.lit(str(1 << 63)).cast("decimal(19,0)"), F.floor(F.abs(x)).cast("double")
-    parts = ((F.abs(x) - whole) * F.lit(float(1 << 63))).cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(7,0)")
-    low = F.floor(parts / unit).cast("bigint")
+    # by way of an integer: a double becomes a decimal by its shortest spelling
+    parts = ((F.abs(x) - whole) * F.lit(float(1 << 63))).cast("bigint").cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(7,0)")
+    low = ((parts - parts % unit) / unit).cast("bigint")
     over = 2 * (parts % unit)
     up = (over > unit) | ((over == unit) & (low % 2 == 1))
     size = (whole * 10**digits + low + up.cast("int")) / 10**digits
