@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .text import fold_digits_udf, is_ascii, normalise
 
-#: Plain decimals, with commas only where they group thousands rightly.
+#: Fixed value: plain decimals, with commas only where they group thousands rightly.
 NUMBER = "^[+-]?(\\p{Nd}+|\\p{Nd}{1,3}(,\\p{Nd}{3})+)(\\.\\p{Nd}+)?$"
 
 
@@ -48,6 +48,18 @@ def canonical(number: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(number, NEEDLESS, ""), "^-0$", "0")
 
 
+def whole_double(d: Column) -> Column:
+    """The exact digits of a whole double below 10^38. A cast would go by its shortest spelling, and 1e23 is less than 10^23: so it is
+    taken apart by powers of two, each part an integer."""
+    size, high, low = F.abs(d), F.lit(float(1 << 64)), F.lit(float(1 << 32))
+    top = F.floor(size / high).cast("bigint")
+    rest = size - F.floor(size / high).cast("double") * high
+    middle = F.floor(rest / low).cast("bigint")
+    last = (rest - F.floor(rest / low).cast("double") * low).cast("bigint")
+    exact = top.cast("decimal(19,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + middle.cast("decimal(19,0)") * F.lit(str(1 << 32)).cast("decimal(10,0)") + last.cast("decimal(19,0)")
+    return F.concat(F.when(d < 0, "-").otherwise(""), exact.cast("string"))
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The same rows. A filter on column ``name`` stays above this point; else the optimizer would write all that makes
     the column a second time, into a filter below."""
@@ -106,9 +118,10 @@ def with_typed(df: DataFrame, values: dict[str, Column], rule: Column, unicode:
     df = df.withColumns({f"{n}_state": state(n) for n in values})
 
     def value(n: str) -> Column:
-        # without a rule: doubles that are whole are spelled as integers, all others by their shortest spelling
+        # without a rule: doubles that are whole are spelled as the integers that they are, all others by their shortest spelling
         d = of(n, "double")
-        bare = F.coalesce(canonical(of(n, "whole")), F.when((d == F.floor(d)) & (F.abs(d) < 9e18), d.cast("bigint").cast("string")), d.cast("string"))
+        whole = F.when((F.abs(d) < 9e18) & (d == F.floor(d)), d.cast("bigint").cast("string")).when((F.abs(d) >= 9e18) & (F.abs(d) < 1e38), whole_double(d))
+        bare = F.coalesce(canonical(of(n, "whole")), whole, d.cast("string"))
         return F.when(F.col(f"{n}_state") == "text", of(n, "text")).when(F.col(f"{n}_state") == "number", F.coalesce(of(n, "number"), bare))
 
     parts = ("schema", "text", "whole", "double", "folded", "spelled", "number")

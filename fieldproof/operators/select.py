@@ -46,6 +46,14 @@ def first_of_source(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows if limit is None else rows.where(F.col("n") < limit)
 
 
+def order_digest(rows: DataFrame, place: str, name: str) -> DataFrame:
+    """One row with ``n`` and ``digest``: of which names stand at which places. Each row's two hashes are added up, so tasks' sums are
+    added too, in any order; another name, or another place of a name, gives another digest (but for a chance of 2^-128)."""
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col(place).cast("long"), F.col(name).cast("string")).cast("decimal(20,0)")) % F.lit(str(1 << 64)).cast("decimal(20,0)")
+    shown = lambda seed: F.coalesce(part(seed).cast("string"), F.lit("0"))
+    return rows.agg(F.count("*").alias("n"), F.concat_ws(":", F.count("*").cast("string"), shown(1), shown(2)).alias("digest"))
+
+
 def first_failures(results: DataFrame, n: int = 5) -> DataFrame:
     """Failed or imperfect documents in their order."""
     return results.where("error is not null or correct < total").orderBy("doc_pos").limit(n)

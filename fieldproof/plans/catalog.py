@@ -530,6 +530,17 @@ def bare_number_scoring(spark, d):
     return score_long(rows).groupBy("form", "category").agg(F.count("*").alias("n"))
 
 
+@query(
+    """SELECT k % 4 AS form, CASE WHEN k % 4 IN (0, 2) THEN 'correct' ELSE 'value_mismatch' END AS category, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders) GROUP BY ALL"""
+)
+def integers_and_floats(spark, d):
+    """JSON integers against floats, without a rule: equal only if the float is that very integer. 1e23 is a little less than 10^23."""
+    integer = F.expr("case k % 4 when 0 then '100000000000000000000' when 1 then '100000000000000000000000' when 2 then '-99999999999999991611392' else '9007199254740993' end")
+    real = F.expr("case k % 4 when 0 then '1e20' when 1 then '1e23' when 2 then '-1e23' else '9007199254740992.0' end")
+    rows = X.table(spark, d, "orders").selectExpr("o_orderkey as k").select((F.col("k") % 4).alias("form"), F.parse_json(integer).alias("expected"), F.parse_json(real).alias("predicted"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("error"))
+    return score_long(rows).groupBy("form", "category").agg(F.count("*").alias("n"))
+
+
 @query(
     """SELECT form, category, count(*) AS n FROM (SELECT o_orderkey % 5 AS form, CASE o_orderkey % 5 WHEN 0 THEN 'correct' WHEN 1 THEN 'correct' WHEN 2 THEN 'correct' WHEN 3 THEN 'correct' ELSE 'value_mismatch' END AS category FROM orders) GROUP BY ALL"""
 )

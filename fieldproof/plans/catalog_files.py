@@ -7,13 +7,19 @@ import json
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import png
+from ..operators import metrics as M
 from ..operators import parse as P
+from ..operators import review as R
 from ..operators import select as S
 from ..session import shared_dir
-from ..sources import readers
+from ..sources import ledger, readers, sinks
+from ..sources.files import joined_lines, write_files
 from . import fixtures as X
 from .prepare import annotations
 
@@ -143,17 +149,21 @@ def binary_files(spark, d):
     return got.select(F.regexp_extract("file", "k=([0-9]+)/", 1).cast("int").alias("k"), "length", "sha256")
 
 
-#: Labels and answers of the nations' documents: right, a rate in place of an amount, no object, a failure, nothing.
+#: Labels and answers of the suppliers' documents: right, a rate in place of an amount, no object, a failure, nothing.
 _ANSWERS = ("right", "rate", "broken", "late", "null")
-_RULES = {"total_amount": "string or null", "tax_amount": "string or null"}
+
+
+def key_of(image: str) -> int:
+    """The key that a supplier's image holds: as text, or in the pixels of each of its rows."""
+    raw = Path(image).read_bytes()
+    return int.from_bytes(png.decode(raw).rows[0].tobytes(), "big") if raw.startswith(png.MAGIC) else int(raw)
 
 
 class Reader:
-    """Reads a nation's document from its image, which holds the nation's key; asked for the tax alone, it reads it right
-    where the key is even."""
+    """Reads a supplier's document from its image; asked for the tax alone, or with care, it reads it right where the key is even."""
 
-    def analyze(self, image, question, field_schema):
-        key = int(Path(image).read_bytes())
+    def analyze(self, image, question, field_schema, *, receipt_profile=None):
+        key = key_of(image)
         kind = _ANSWERS[key % 5]
         if kind == "late":
             raise TimeoutError("late")
@@ -162,22 +172,32 @@ class Reader:
         if list(field_schema) == ["tax_amount"]:
             return json.dumps({"fields": {"tax_amount": str(key) if key % 2 == 0 else "N/A"}})
         fields = {"total_amount": f"{key}.50", "tax_amount": {"right": str(key), "rate": f"{key}%", "null": None}[kind]}
+        if receipt_profile == "label-aware-v1" and key % 2 == 0:
+            fields["tax_amount"] = str(key)
         return "```json\n" + json.dumps({"fields": fields, "confidence": 0.5}) + "\n```"
 
     def describe(self):
-        return {"model": "nations"}
+        return {"model": "suppliers"}
+
 
+_LINE = """concat('{"id": "', id, '", "image": "images/', k, '.png", "question": "q", "field_schema": {"total_amount": "string or null", "tax_amount": "string or null"}, "expected_fields": {"total_amount": "', k,
+  '.50", "tax_amount": "', k, '"}', if(mocked, concat(', "mock_response": {"fields": {"total_amount": "', k, '.50", "tax_amount": null}}'), ''), '}')"""
 
-def _nations(spark: SparkSession, d: str) -> Path:
-    """A dataset of the nations: one image and two labels each."""
+
+def _drawn(batches):
+    """Images of 8 x (10 + key % 7) grey pixels, each row the key's eight bytes."""
+    for batch in batches:
+        made = [png.encode(png.Image(8, h, 8, 0, np.tile(np.frombuffer(k.to_bytes(8, "big"), np.uint8), (h, 1)))) for k, h in ((int(k), 10 + int(k) % 7) for k in batch["k"])]
+        yield pd.DataFrame({"path": [f"{k}.png" for k in batch["k"]], "content": made})
+
+
+def _suppliers(spark: SparkSession, d: str, drawn: bool = False, mocked: bool = True) -> Path:
+    """A dataset of the suppliers, written by tasks: one image and two labels each."""
     folder = _folder(spark, "dataset")
-    (folder / "images").mkdir()
-    with (folder / "annotations.jsonl").open("w", encoding="utf-8") as out:
-        for r in X.table(spark, d, "nation").orderBy("n_nationkey").toLocalIterator():
-            k = r["n_nationkey"]
-            (folder / f"images/{k}.png").write_bytes(str(k).encode())
-            row = {"id": f"n{k:02d}", "image": f"images/{k}.png", "question": "q", "field_schema": _RULES, "expected_fields": {"total_amount": f"{k}.50", "tax_amount": str(k)}, "mock_response": {"fields": {"total_amount": f"{k}.50", "tax_amount": None}}}
-            out.write(json.dumps(row) + "\n")
+    rows = X.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).withColumns({"id": F.format_string("n%07d", "k"), "mocked": F.lit(mocked)})
+    plain = rows.select(F.format_string("%d.png", "k").alias("path"), F.col("k").cast("string").cast("binary").alias("content"))
+    write_files(rows.select("k").mapInPandas(_drawn, "path string, content binary") if drawn else plain, str(folder / "images"))
+    joined_lines(rows.withColumn("line", F.expr(_LINE)), ["k"], "line", str(folder / "annotations.jsonl"))
     return folder / "annotations.jsonl"
 
 
@@ -185,11 +205,11 @@ def _run(spark: SparkSession, d: str, **options) -> Path:
     from .evaluate import evaluate
 
     output = _folder(spark, "runs") / "run"
-    evaluate(spark, options.pop("dataset", None) or _nations(spark, d), output, **options)
+    evaluate(spark, options.pop("dataset", None) or _suppliers(spark, d), output, **options)
     return output
 
 
-_LIVE = """WITH r AS (SELECT n_nationkey AS k, 'n' || lpad(n_nationkey::VARCHAR, 2, '0') AS id, n_nationkey % 5 AS a FROM nation)
+_LIVE = """WITH r AS (SELECT s_suppkey::BIGINT AS k, 'n' || lpad(s_suppkey::VARCHAR, 7, '0') AS id, s_suppkey % 5 AS a FROM supplier)
 """
 
 
@@ -231,7 +251,7 @@ def second_reading_run(spark, d):
 @query(_LIVE + "SELECT 'total_amount' AS field, 0 AS place, count(*) FILTER (WHERE a NOT IN (2, 3)) AS correct, count(*) AS total FROM r UNION ALL SELECT 'tax_amount', 1, count(*) FILTER (WHERE a = 0), count(*) FROM r")
 def replayed_run_fields(spark, d):
     """A live run re-scored from its saved lines, by its facts; fields stand in label order in run.json."""
-    dataset = _nations(spark, d)
+    dataset = _suppliers(spark, d)
     first = _run(spark, d, dataset=dataset, mode="live", analyzer=Reader)
     again = _run(spark, d, dataset=dataset, mode="replay", saved=first / "predictions.jsonl")
     text = spark.read.text(str(again / "run.json"), wholetext=True)
@@ -246,23 +266,23 @@ def compared_runs(spark, d):
     from ..operators.compare import paired_changes
     from .compare import compare, facts_of
 
-    dataset = _nations(spark, d)
+    dataset = _suppliers(spark, d)
     runs = [_run(spark, d, dataset=dataset, mode="live", analyzer=Reader, policy=p) / "run.json" for p in ("none", "invalid-amount-v1")]
     compare(spark, runs)  # raises unless the two may be compared
     return paired_changes(*[facts_of(spark, r) for r in runs])
 
 
 @query(
-    """WITH n AS (SELECT n_nationkey AS k, 'n' || lpad(n_nationkey::VARCHAR, 2, '0') AS id FROM nation),
+    """WITH n AS (SELECT s_suppkey AS k, 'n' || lpad(s_suppkey::VARCHAR, 7, '0') AS id FROM supplier),
 a AS (SELECT string_agg('{"id": "' || id || '", "image": "images/' || k || '.png", "question": "q", "field_schema": {"total_amount": "string or null", "tax_amount": "string or null"}, "expected_fields": {"total_amount": "' || k || '.50", "tax_amount": "' || k
   || '"}, "mock_response": {"fields": {"total_amount": "' || k || '.50", "tax_amount": null}}}' || chr(10), '' ORDER BY k) AS text, '{' || string_agg('"' || id || '": "' || sha256(k::VARCHAR) || '"', ', ' ORDER BY id) || '}' AS images FROM n)
-SELECT sha256(text) AS annotations, sha256(text || images) AS fingerprint, 5 AS selected, 'n03' AS first_id FROM a"""
+SELECT sha256(text) AS annotations, sha256(text || images) AS fingerprint, 5 AS selected, 'n0000004' AS first_id FROM a"""
 )
 def dataset_fingerprint(spark, d):
     """Hashes of a dataset's lines and of its lines with its images, whatever is selected of it."""
     from .evaluate import load, select
 
-    rows, info = load(spark, _nations(spark, d))
+    rows, info = load(spark, _suppliers(spark, d))
     _, chosen = select(rows, info, 3, 5)
     row = (chosen["annotations_sha256"], chosen["fingerprint"], chosen["selected_examples"], chosen["selected_ids"][0])
     return spark.createDataFrame([row], "annotations string, fingerprint string, selected int, first_id string")
@@ -277,14 +297,14 @@ def dry_run_errors(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT n_nationkey % 5 AS a FROM nation WHERE n_nationkey BETWEEN 3 AND 12)
+    """WITH r AS (SELECT s_suppkey % 5 AS a FROM supplier WHERE s_suppkey BETWEEN 3 AND 10)
 SELECT 'live' AS mode, 'Live model inference on the specified dataset' AS claim, 2 AS report_version, true AS complete, count(*) AS examples, count(*) FILTER (WHERE a IN (2, 3)) AS failed, count(*) FILTER (WHERE a = 1) AS flagged,
   count(*) FILTER (WHERE a NOT IN (2, 3)) + count(*) FILTER (WHERE a = 0) AS correct_fields, 2 * count(*) AS total_fields, round(count(*) FILTER (WHERE a = 0) / count(*)::DOUBLE, 6) AS document_accuracy,
-  count(*) FILTER (WHERE a IN (2, 3)) * 2 AS inference_errors, 3 AS first_offset, 10 AS selected, 'n03' AS first_id, count(*) AS records FROM r"""
+  count(*) FILTER (WHERE a IN (2, 3)) * 2 AS inference_errors, 2 AS first_offset, 8 AS selected, 'n0000003' AS first_id, count(*) AS records FROM r"""
 )
 def run_manifest(spark, d):
     """run.json of a live run over a part of the documents: what it claims, what it selected, what it counted."""
-    run = _run(spark, d, mode="live", analyzer=Reader, offset=3, limit=10)
+    run = _run(spark, d, mode="live", analyzer=Reader, offset=2, limit=8)
     text = spark.read.text(str(run / "run.json"), wholetext=True).select(F.parse_json("value").alias("r"))
     at = lambda path, kind: F.try_variant_get("r", path, kind)
     names = {"mode": ("mode", "string"), "claim": ("claim", "string"), "report_version": ("report_version", "int"), "complete": ("complete", "boolean"), "examples": ("examples", "bigint")}
@@ -298,16 +318,21 @@ def run_manifest(spark, d):
 _FIELDS = "(VALUES ('vendor'), ('document_number'), ('date'), ('currency'), ('total_amount')) AS t(field)"
 
 
-@query(f"SELECT field, 3 AS correct, 3 AS total FROM {_FIELDS}")
+@query(f"SELECT field, 3 * n AS correct, 3 * n AS total FROM {_FIELDS}, (SELECT count(*) AS n FROM supplier)")
 def fixture_run(spark, d):
-    """A dry run over the synthetic documents, written as a dataset."""
-    run = _run(spark, d, dataset=readers.write_fixtures(_folder(spark, "fixtures") / "set"), mode="dry-run")
+    """A dry run over the synthetic documents, once for each supplier."""
+    folder = readers.write_fixtures(_folder(spark, "fixtures") / "set").parent
+    rows = F.explode(F.array(*[F.struct(F.lit(row["id"]).alias("id"), F.lit(json.dumps(row)).alias("line")) for row in readers.fixtures()])).alias("f")
+    each = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), rows).select("k", "f.*")
+    named = F.expr("""replace(line, concat('"id": "', id, '"'), concat('"id": "', id, '-', k, '"'))""")
+    joined_lines(each.withColumn("line", named), ["k", "id"], "line", str(folder / "annotations.jsonl"))
+    run = _run(spark, d, dataset=folder / "annotations.jsonl", mode="dry-run")
     return spark.read.parquet(str(run / "facts")).groupBy("field").agg(F.count_if("correct").alias("correct"), F.count("*").alias("total"))
 
 
 #: What a run, a comparison or a setting refuses, and the words it does it in.
 _REFUSED = {
-    "offset": "--offset must be nonnegative", "limit": "--limit must be positive", "beyond": "Document selection is empty", "policy": "Unknown recheck policy", "exists": "Output already exists; choose a new directory",
+    "offset": "--offset must be nonnegative", "limit": "--limit must be positive", "beyond": "Document selection is empty", "fixtures": "--dry-run requires fixtures; it cannot evaluate real data", "policy": "Unknown recheck policy", "exists": "Output already exists; choose a new directory",
     "manifest": "Replay requires the source run.json beside predictions.jsonl", "dataset": "Saved predictions use a different dataset fingerprint", "missing": "Saved predictions are missing selected dataset IDs",
     "twice": "Duplicate prediction IDs", "analyzer": "a live run needs --analyzer module:name", "pixels": "Invalid pixel or token limits", "alone": "At least two runs are required", "dry": "Only completed live runs can be compared as model benchmarks",
 }
@@ -319,7 +344,7 @@ def refusals(spark, d):
     from .compare import compare
     from .evaluate import evaluate
 
-    dataset, other = _nations(spark, d), _nations(spark, d)
+    dataset, other = _suppliers(spark, d), _suppliers(spark, d)
     with other.open("a", encoding="utf-8") as out:
         out.write("\n")
     done = _run(spark, d, dataset=dataset, mode="dry-run")
@@ -335,7 +360,7 @@ def refusals(spark, d):
     new = lambda: _folder(spark, "runs") / "run"
     replay = lambda path, of=dataset: evaluate(spark, of, new(), "replay", path)
     tries = {
-        "offset": lambda: evaluate(spark, dataset, new(), offset=-1), "limit": lambda: evaluate(spark, dataset, new(), limit=0), "beyond": lambda: evaluate(spark, dataset, new(), offset=1000),
+        "offset": lambda: evaluate(spark, dataset, new(), offset=-1), "limit": lambda: evaluate(spark, dataset, new(), limit=0), "beyond": lambda: evaluate(spark, dataset, new(), offset=10**9), "fixtures": lambda: evaluate(spark, _suppliers(spark, d, mocked=False), new()),
         "policy": lambda: evaluate(spark, dataset, new(), policy="always"), "exists": lambda: evaluate(spark, dataset, done), "manifest": lambda: replay(saved(lines, False)), "dataset": lambda: replay(saved(lines), other),
         "missing": lambda: replay(saved(lines[:-1])), "twice": lambda: replay(saved([*lines, lines[0]])), "analyzer": lambda: evaluate(spark, dataset, new(), "live"),
         "pixels": lambda: readers.settings({"MLLM_MIN_PIXELS": "9", "MLLM_MAX_PIXELS": "8"}), "alone": lambda: compare(spark, [done / "run.json"]), "dry": lambda: compare(spark, [done / "run.json"] * 2),
@@ -348,3 +373,163 @@ def refusals(spark, d):
         except ValueError as e:
             said.append((what, str(e)))
     return spark.createDataFrame(said, "what string, said string")
+
+
+_AT = """SELECT k, 3 + k % 5 AS w, 10 + k % 7 AS h FROM (SELECT o_orderkey::BIGINT AS k FROM orders)"""
+
+
+@query(
+    f"""SELECT k, h // 10 AS first_row, h - h // 10 AS last_row, w AS width,
+  sha256(unhex(array_to_string(list_transform(range((h // 10) * w, (h - h // 10) * w), lambda i: printf('%02x', (k * 7 + (i // w) * 3 + i % w) % 256)), ''))) AS pixels FROM ({_AT})"""
+)
+def crop_views(spark, d):
+    """Images made, filtered, unpacked and cut to their central rows by tasks; the pixels that are left are hashed."""
+
+    def cut(batches):
+        import hashlib
+
+        for batch in batches:
+            rows = []
+            for k in map(int, batch["k"]):
+                w, h = 3 + k % 5, 10 + k % 7
+                y, x = np.mgrid[:h, :w]
+                whole = png.encode(png.Image(w, h, 8, 0, ((k * 7 + y * 3 + x) % 256).astype(np.uint8)), (k + np.arange(h)) % 5)
+                top, bottom = R.central_rows(h)
+                part = png.decode(png.encode(png.between(png.decode(whole), top, bottom)))
+                rows.append((k, top, top + part.height, part.width, hashlib.sha256(part.rows.tobytes()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["k", "first_row", "last_row", "width", "pixels"])
+
+    return X.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k")).mapInPandas(cut, "k long, first_row long, last_row long, width long, pixels string")
+
+
+def _second(spark, d, policy):
+    run = _run(spark, d, dataset=_suppliers(spark, d, drawn=True), mode="live", analyzer=Reader, policy=policy)
+    got = readers.jsonl(spark, str(run / "predictions.jsonl"))
+    at = lambda path, kind="string": F.try_variant_get("row", f"$.prediction.{path}", kind)
+    rows = got.where(at("recheck_attempt", "variant").isNotNull()).withColumn("id", F.try_variant_get("row", "$.id", "string"))
+    return rows, at
+
+
+@query(
+    _LIVE
+    + """SELECT id, 'central-80-percent' AS kind, h // 10 AS first_row, h - h // 10 AS last_row, h AS source_height, 2 AS model_calls, CASE WHEN k % 2 = 0 THEN k::VARCHAR ELSE k || '%' END AS tax
+FROM (SELECT *, 10 + k % 7 AS h FROM r WHERE a = 1)"""
+)
+def crop_reading_run(spark, d):
+    """A live run whose flagged rates are read again from the central rows of the image, and what is kept of that view."""
+    rows, at = _second(spark, d, "percent-crop-v1")
+    view = lambda path, kind: at(f"recheck_attempt.view.{path}", kind)
+    return rows.select("id", view("kind", "string").alias("kind"), view("box[1]", "long").alias("first_row"), view("box[3]", "long").alias("last_row"), view("source_size[1]", "long").alias("source_height"), at("metadata.model_calls", "int").alias("model_calls"), at("fields.tax_amount").alias("tax"))
+
+
+@query(_LIVE + "SELECT id, 'label-aware-v1' AS profile, 'q' AS question, 2 AS n_fields, CASE WHEN k % 2 = 0 THEN k::VARCHAR ELSE k || '%' END AS tax, k || '%' AS first_tax FROM r WHERE a = 1")
+def context_reading_run(spark, d):
+    """A live run whose flagged rates are read again with all fields, under a profile of their own."""
+    rows, at = _second(spark, d, "label-context-v1")
+    asked = F.size(F.from_json(F.to_json(at("recheck_attempt.requested_fields", "variant")), "array<string>"))
+    return rows.select("id", at("recheck_attempt.receipt_profile").alias("profile"), at("recheck_attempt.question").alias("question"), asked.alias("n_fields"), at("fields.tax_amount").alias("tax"), at("initial_prediction.fields.tax_amount").alias("first_tax"))
+
+
+class Numbered:
+    """Answers with the number of the job that asked, and fails for keys that end in 7."""
+
+    def __init__(self, job: int):
+        self.job = job
+
+    def analyze(self, image, question, field_schema):
+        if question.endswith("7"):
+            raise ValueError("unreadable")
+        return {"fields": {"job": self.job}}
+
+    def describe(self):
+        return {"model": "numbered"}
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 10 <> 7 THEN CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END END AS job, CASE WHEN c_custkey % 10 = 7 THEN 'ValueError: unreadable' END AS error,
+  1::BIGINT AS times FROM customer"""
+)
+def resumed_answers(spark, d):
+    """A job asks for a third of the documents, a second one for all: what the ledger holds is not asked for again, failures included."""
+    from ..operators.infer import infer
+
+    rows = X.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("id"), F.lit("none").alias("image"), F.col("c_custkey").cast("string").alias("question"), F.lit("{}").alias("field_schema"))
+    kept = _new(spark, "ledger")
+    infer(rows.where("k % 3 = 0"), lambda: Numbered(1), kept)
+    out = infer(rows, lambda: Numbered(2), kept)
+    lines = spark.read.schema(ledger.LINE).option("recursiveFileLookup", True).json(kept).groupBy("id").agg(F.count("*").alias("times"))
+    return out.join(lines, "id").select("id", F.get_json_object("prediction", "$.fields.job").cast("int").alias("job"), "error", "times")
+
+
+@query("SELECT n, 'doc-test-' || lpad(n::VARCHAR, CAST(greatest(4, length(n::VARCHAR)) AS INTEGER), '0') AS id, k::VARCHAR AS ground_truth FROM (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) WHERE n < 1000")
+def source_prefix(spark, d):
+    """The first rows of a corpus of sixteen files: places come from footers and row numbers, and files behind the limit stay shut."""
+    part, folder = _new(spark, "part"), _new(spark, "corpus")
+    rows = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.struct(F.lit(b"x").alias("bytes")).alias("image"), F.col("o_orderkey").cast("string").alias("ground_truth"))
+    rows.repartitionByRange(16, "k").sortWithinPartitions("k").drop("k").write.parquet(part)
+    _renamed(spark, part, folder, "test")
+    return readers.numbered_corpus(spark, folder, "test", 1000).select("n", "id", "ground_truth")
+
+
+@query("SELECT s_suppkey::VARCHAR AS k, strlen(s_name) AS length, sha256(s_name) AS sha256 FROM supplier")
+def exported_files(spark, d):
+    """Files that tasks write and one rename publishes, read back."""
+    folder = _new(spark, "files")
+    write_files(X.table(spark, d, "supplier").select(F.concat(F.lit("of/"), F.col("s_suppkey").cast("string")).alias("path"), F.col("s_name").cast("binary").alias("content")), folder)
+    return readers.binaries(spark, folder).select(F.regexp_extract("file", "of/([0-9]+)$", 1).alias("k"), "length", "sha256")
+
+
+@query(
+    """SELECT sha256(string_agg(doc_id || chr(10), '' ORDER BY doc_id)) AS annotations, count(*) AS examples,
+  sha256(string_agg(doc_id || chr(10), '' ORDER BY doc_id) || '{' || string_agg('"' || doc_id || '": "' || sha256(text) || '"', ', ' ORDER BY doc_id::VARCHAR) || '}') AS fingerprint FROM documents"""
+)
+def ordered_fingerprint(spark, d):
+    """The fingerprint of a dataset whose images are the documents, by a running hash over sorted rows."""
+    docs = X.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.sha2("text", 256).alias("sha256"))
+    path = str(_folder(spark, "annotations") / "annotations.jsonl")
+    joined_lines(docs, ["doc_id"], "id", path)
+    got = sinks.fingerprint(path, docs, listed=False)
+    return spark.createDataFrame([(got["annotations_sha256"], got["examples"], got["fingerprint"])], "annotations string, examples long, fingerprint string")
+
+
+@query(
+    """SELECT event_type, round(avg(value), 6) AS mean_seconds, round(quantile_cont(value::DOUBLE, 0.5), 6) AS median_seconds, round(quantile_cont(value::DOUBLE, 0.95), 6) AS p95_seconds FROM events GROUP BY event_type"""
+)
+def latency_by_group(spark, d):
+    """Exact percentiles of each group, found by counts of ranges."""
+    rows = X.table(spark, d, "events").select("event_type", F.col("value").alias("wall_seconds"), F.lit(0.0).alias("memory"), F.lit(None).cast("string").alias("error"))
+    return M.latency(rows, ("event_type",)).select("event_type", *[F.round(c, 6).alias(c) for c in ("mean_seconds", "median_seconds", "p95_seconds")])
+
+
+@query(
+    """WITH x AS (SELECT o_orderkey AS k, (o_orderkey % 1000)::DOUBLE / 10 + (o_orderkey % 500)::DOUBLE / 16 AS x FROM orders),
+p AS (SELECT k, x, floor(x) AS whole, CAST((x - floor(x)) * 9223372036854775808::DOUBLE AS HUGEINT) * 1000 AS parts FROM x),
+q AS (SELECT k, x, whole, parts // 9223372036854775808::HUGEINT AS low, 2 * (parts % 9223372036854775808::HUGEINT) AS over FROM p)
+SELECT k, x, (whole * 1000 + low::DOUBLE + CASE WHEN over > 9223372036854775808::HUGEINT OR (over = 9223372036854775808::HUGEINT AND low % 2 = 1) THEN 1 ELSE 0 END) / 1000 AS rounded FROM q"""
+)
+def exact_rounding(spark, d):
+    """Sums of tenths and sixteenths, many of them next to a tie, rounded to three places by their exact value."""
+    x = F.expr("cast(o_orderkey % 1000 as double) / 10 + cast(o_orderkey % 500 as double) / 16")
+    return X.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), x.alias("x"), R.exactly_rounded(x).alias("rounded"))
+
+
+@query(
+    _LIVE
+    + """, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE a NOT IN (2, 3)) + count(*) FILTER (WHERE a = 0) AS good, count(*) FILTER (WHERE a = 1) AS rates, count(*) FILTER (WHERE a = 1 AND k % 2 = 0) AS better FROM r)
+SELECT 'flag' AS report, id || ',images/' || k || '.png,tax_amount,percentage_is_not_amount,"' || k || '%"' AS line FROM r WHERE a = 1
+UNION ALL SELECT 'summary', '| labelled fields right | ' || good || '/' || 2 * n || ' |' FROM c UNION ALL SELECT 'summary', '| documents with review flags | ' || rates || ' |' FROM c
+UNION ALL SELECT 'comparison', '| total_amount | 0 | 0 |' UNION ALL SELECT 'comparison', '| tax_amount | ' || better || ' | 0 |' FROM c"""
+)
+def written_reports(spark, d):
+    """What stands in review-flags.csv and summary.md of a live run, and in its comparison with one that reads flagged amounts again."""
+    from .compare import compare
+
+    dataset = _suppliers(spark, d)
+    runs = [_run(spark, d, dataset=dataset, mode="live", analyzer=Reader, policy=p) / "run.json" for p in ("none", "invalid-amount-v1")]
+    text = _folder(spark, "comparison") / "comparison.md"
+    text.write_text(compare(spark, runs), encoding="utf-8")
+    sheet = spark.read.option("header", True).option("escape", '"').csv(str(runs[0].parent / "review-flags.csv"))
+    flags = sheet.select(F.lit("flag").alias("report"), F.concat_ws(",", *[F.col(c) for c in sheet.columns]).alias("line"))
+    lines = lambda name, path, kept: spark.read.text(str(path)).where(F.col("value").rlike(kept)).select(F.lit(name), "value")
+    said = lines("summary", runs[0].parent / "summary.md", "^. (labelled fields right|documents with review flags) ")
+    return flags.union(said).union(lines("comparison", text, "^. (total|tax)_amount "))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as C
 from ..operators.metrics import report_order
+from ..operators.select import order_digest
 from ..sources import readers, sinks
 
 
@@ -32,16 +32,25 @@ def compare(spark: SparkSession, paths: list[str | Path]) -> str:
     paths = [Path(p) for p in paths]
     runs = [json.loads(p.read_text(encoding="utf-8")) for p in paths]
     shape = "pos int, mode string, complete boolean, fingerprint string, selected_ids array<string>, report_version int, source_sha256 string"
-    heads = [(i, r.get("mode"), bool(r.get("complete")), r["dataset"]["fingerprint"], r["dataset"]["selected_ids"], r.get("report_version"), r["runtime"]["source_sha256"]) for i, r in enumerate(runs)]
+    # digests of the selections, where all runs have them; a run that lists no ids has one
+    short = all("selected_digest" in r["dataset"] for r in runs)
+    picked = lambda r: [r["dataset"]["selected_digest"]] if short else r["dataset"]["selected_ids"]
+    heads = [(i, r.get("mode"), bool(r.get("complete")), r["dataset"]["fingerprint"], picked(r), r.get("report_version"), r["runtime"]["source_sha256"]) for i, r in enumerate(runs)]
     heads = spark.createDataFrame(heads, shape)
     reason = C.guard(heads).first()["reason"]
     if reason:
         raise ValueError(reason)
     facts = [facts_of(spark, p).withColumn("run_id", F.lit(i)) for i, p in enumerate(paths)]
-    have = reduce(DataFrame.union, [f.select("run_id", "id").distinct() for f in facts])
-    wanted = heads.select(F.col("pos").alias("run_id"), F.explode("selected_ids").alias("id"))
-    if not C.result_problems(have, wanted).isEmpty():
-        raise ValueError(C.RESULTS)
+    for i, (run, path) in enumerate(zip(runs, paths, strict=True)):
+        if "selected_ids" not in run["dataset"]:
+            # its documents, each with its place, make the digest of the selection
+            if order_digest(sinks.read_documents(spark, path.parent / "documents"), "doc_pos", "id").first()["digest"] != run["dataset"]["selected_digest"]:
+                raise ValueError(C.RESULTS)
+            wanted = spark.read.parquet(str(path.parent / "documents")).select("id")
+        else:
+            wanted = spark.createDataFrame([(i,) for i in run["dataset"]["selected_ids"]], "id string")
+        if not C.result_problems(facts[i].select("run_id", "id").distinct(), wanted.select(F.lit(i).alias("run_id"), "id")).isEmpty():
+            raise ValueError(C.RESULTS)
     names = [r["field"] for r in sorted(report_order(facts[0]).collect(), key=lambda r: tuple(r["first"]))]
     changes = []
     for later in facts[1:]:

@@ -24,7 +24,7 @@ from ..operators import metrics as M
 from ..operators import validate as V
 from ..operators.infer import Analyzer, infer
 from ..operators.score import details, per_document
-from ..operators.select import SPLIT_LIMITS, offset_limit
+from ..operators.select import SPLIT_LIMITS, offset_limit, order_digest
 from ..session import drop, durable, new_path, ship
 from ..sources import readers, sinks
 from .recheck import answers, reread
@@ -41,8 +41,9 @@ NO_ANALYZER = "a live run needs --analyzer module:name"
 RECORDED = "Recorded failure: "
 
 
-def load(spark: SparkSession, path: str | Path) -> tuple[DataFrame, dict]:
-    """Admitted annotations in file order (with doc_pos) and the dataset's fingerprints; raises for the first bad line."""
+def load(spark: SparkSession, path: str | Path, listed: bool = True) -> tuple[DataFrame, dict]:
+    """Admitted annotations in file order (with doc_pos) and the dataset's fingerprints; raises for the first bad line. ``listed``: with
+    every image's hash."""
     path = Path(path).resolve()
     rows = readers.annotations(spark, str(path)).persist()
     V.require_none(V.row_problems(rows.select("line_no", "row")), path.name)
@@ -52,19 +53,20 @@ def load(spark: SparkSession, path: str | Path) -> tuple[DataFrame, dict]:
     V.require_none(labels.union(V.missing_images(wanted, files.withColumnRenamed("file", "image"))), path.name)
     if rows.isEmpty():
         raise ValueError(EMPTY)
-    hashes = {r["id"]: r["sha256"] for r in wanted.join(files, F.col("image") == F.col("file")).select("id", "sha256").toLocalIterator()}
-    info = sinks.fingerprint(path.read_bytes(), hashes)
-    return rows, info | {"examples": len(hashes)}
+    return rows, sinks.fingerprint(path, wanted.join(files, F.col("image") == F.col("file")), listed)
 
 
-def select(rows: DataFrame, info: dict, offset: int = 0, limit: int | None = None) -> tuple[DataFrame, dict]:
+def select(rows: DataFrame, info: dict, offset: int = 0, limit: int | None = None, listed: bool = True) -> tuple[DataFrame, dict]:
+    """The selected rows, and what run.json says of them: a digest of which ids stand at which places, and, if ``listed``, all ids."""
     V.check_selection(offset, limit)
     chosen = offset_limit(rows, offset, limit)
-    ids = [r["id"] for r in chosen.select("id", "line_no").orderBy("line_no").toLocalIterator()]
-    if not ids:
+    seen = order_digest(chosen, "line_no", "id").first()
+    if not seen["n"]:
         raise ValueError(EMPTY_SELECTION)
-    picked = {"offset": offset, "limit": limit, "order": "annotation file order"}
-    return chosen.withColumn("doc_pos", F.col("line_no")), info | {"selection": picked, "selected_ids": ids, "selected_examples": len(ids)}
+    said = {"selection": {"offset": offset, "limit": limit, "order": "annotation file order"}, "selected_examples": seen["n"], "selected_digest": seen["digest"]}
+    if listed:
+        said["selected_ids"] = [r["id"] for r in chosen.select("id", "line_no").orderBy("line_no").toLocalIterator()]
+    return chosen.withColumn("doc_pos", F.col("line_no")), info | said
 
 
 def replayed(rows: DataFrame, saved: DataFrame) -> DataFrame:
@@ -134,12 +136,12 @@ def evaluate(
 ) -> dict:
     """One run into a new directory: run.json (incomplete first), facts and documents, predictions.jsonl, errors.csv,
     review-flags.csv, summary.md. ``policy`` is the second reading of a live run. ``records=False`` leaves the
-    documents' records out of run.json, for runs larger than a driver. ``ledger``: a folder for a live run's answers, which a later
+    documents' records, the selected ids and the images' hashes out of run.json, for runs larger than a driver. ``ledger``: a folder for a live run's answers, which a later
     run over the same data with the same analyzer goes on from; without one, a run has a ledger of its own."""
     ship(spark)
     V.check_names(policy=policy)
-    rows, info = load(spark, dataset)
-    rows, info = select(rows, info, offset, limit)
+    rows, info = load(spark, dataset, records)
+    rows, info = select(rows, info, offset, limit, records)
     configuration: dict = {}
     nothing = F.lit(None).cast("string")
     if mode == "dry-run":

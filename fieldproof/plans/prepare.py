@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..operators.parse import FIELD_PATHS, map_labels
 from ..operators.review import TEXT_AMOUNT
-from ..operators.select import first_of_source, numbered
 from ..operators.validate import REVISION
 from ..sources import readers, sinks
+from ..sources.files import write_files
 
 SPLITS = ("validation", "test")
 #: Our own wording of the question that every document of the task gets.
@@ -27,8 +27,7 @@ QUESTION = (
 def annotations(spark: SparkSession, corpus: str, split: str, limit: int | None, source: dict) -> DataFrame:
     """(n, id, file_name, content, expected, reject, line) of the first ``limit`` rows of a split's files, in file order.
     Rejected rows count, and have a reason and no line."""
-    rows = numbered(readers.corpus(spark, corpus, split), ["file", "row_index"], "doc", split)
-    rows = map_labels(first_of_source(rows, limit)).withColumn("image_file", F.concat(F.lit("images/"), "id", F.lit(".png")))
+    rows = map_labels(readers.numbered_corpus(spark, corpus, split, limit)).withColumn("image_file", F.concat(F.lit("images/"), "id", F.lit(".png")))
     rules = F.create_map(*[F.lit(x) for name in FIELD_PATHS for x in (name, TEXT_AMOUNT)])
     origin = F.create_map(*[F.lit(x) for pair in sorted(source.items()) for x in pair]) if source else F.lit(None)
     row = F.struct("id", F.col("image_file").alias("image"), F.lit(QUESTION).alias("question"), rules.alias("field_schema"), F.col("expected").alias("expected_fields"), origin.alias("source"))
@@ -36,8 +35,8 @@ def annotations(spark: SparkSession, corpus: str, split: str, limit: int | None,
 
 
 def prepare(spark: SparkSession, corpus: str | Path, output: str | Path, split: str = "validation", limit: int | None = None, revision: str | None = None) -> dict:
-    """annotations.jsonl, images and manifest.json of a new dataset directory. Images are written as they are in the
-    corpus, one partition of rows at a time."""
+    """annotations.jsonl, images and manifest.json of a new dataset directory. Images are written by tasks, as they are in the
+    corpus, and stand in their folder all together or not at all."""
     if split not in SPLITS:
         raise ValueError("the split must be one of: " + ", ".join(SPLITS))
     if limit is not None and limit < 1:
@@ -53,13 +52,12 @@ def prepare(spark: SparkSession, corpus: str | Path, output: str | Path, split:
     if good.isEmpty():
         raise ValueError(sinks.NOTHING)
     hashes = {r["file"]: r["sha256"] for r in readers.binaries(spark, str(corpus), f"{split}-*.parquet").select("file", "sha256").toLocalIterator()}
+    bare = good.where(F.coalesce(F.octet_length("content"), F.lit(0)) == 0).select("image_file").limit(1).collect()
+    if bare:
+        raise ValueError(f"no image in the corpus for {bare[0]['image_file']}")
     examined = rows.count()
     made = sinks.export_dataset(good, gone, source | {"prepared_at_utc": datetime.now(timezone.utc).isoformat(), "source_files_sha256": hashes}, examined, output)
-    (output / "images").mkdir()
-    for r in good.select("image_file", "content").toLocalIterator():
-        if not r["content"]:
-            raise ValueError(f"no image in the corpus for {r['image_file']}")
-        (output / r["image_file"]).write_bytes(r["content"])
+    write_files(good.select(F.regexp_replace("image_file", "^images/", "").alias("path"), "content"), str(output.resolve() / "images"))
     return made
 
 
