@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import at_ranks
+
+#: Rows from the beginning that a task and the driver may hold (of one column).
+NEAR = 10_000
 
 #: Phases of an experiment as (offset, limit), and how many documents of a split a run takes.
 PHASES = {"pilot": (0, 20), "holdout": (20, 80)}
@@ -14,11 +18,15 @@ SPLIT_LIMITS = {"validation": 20, "test": 100}
 def offset_limit(rows: DataFrame, offset: int = 0, limit: int | None = None, order: str = "line_no") -> DataFrame:
     """Rows from ``offset`` on, ``limit`` of them at most, in file order. ``order`` differs from row to row.
 
-    The places where the selection begins and ends are found first, among the first rows alone (each task sends no more
-    of them than are asked for); the selection itself is a filter, so all that follows stays distributed."""
+    The places where the selection begins and ends are found first: near the beginning among the first rows alone (each task sends no
+    more of them than are asked for), farther on by rank (``ranks``; ``order`` is a number), so no task or driver holds the rows
+    before. The selection itself is a filter, so all that follows stays distributed."""
 
     def place(n: int):
-        return rows.select(order).orderBy(order).limit(n).agg(F.max(order)).first()[0] if n else None
+        if n <= NEAR:
+            return rows.select(order).orderBy(order).limit(n).agg(F.max(order)).first()[0] if n else None
+        found = at_ranks(rows, order, (), {"at": (F.least(F.lit(n - 1), F.col("n") - 1),)}).first()
+        return found and found["at"][0]
 
     start, end = place(offset), None if limit is None else place(offset + limit)
     if limit is not None and end is None:

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldproof.operators import metrics, ranks, review
+from fieldproof.operators import metrics, ranks, review, select
 
 
 def quantile(xs, q):
@@ -65,3 +65,14 @@ def test_rounding_is_of_the_exact_value(spark):
     xs += [r.choice([round(r.uniform(0, 10 ** r.randint(0, 6)), 4), r.uniform(0, 50), k / 16 + r.randint(0, 99) / 10]) for k in range(3000)]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", review.exactly_rounded(F.col("x")).alias("y")).collect()
     assert [(a["x"], a["y"]) for a in got if a["y"] != round(a["x"], 3)] == []
+
+
+def test_far_offsets(spark, monkeypatch):
+    """Selections that begin or end far behind go by rank, and equal those that go by the first rows."""
+    rows = spark.range(3000).select((F.col("id") * 3 + 1).alias("line_no"))
+    cases = [(0, 2500), (1999, 30), (2990, 30), (3000, 5), (10**9, None), (50, None)]
+    ids = lambda: [sorted(r[0] for r in select.offset_limit(rows, *c).collect()) for c in cases]
+    monkeypatch.setattr(select, "NEAR", 20)
+    far = ids()
+    assert far == [[3 * i + 1 for i in range(3000)][low:][: 3000 if n is None else n] for low, n in cases]
+    assert select.offset_limit(rows.where("false"), 100, 5).collect() == []
