@@ -446,7 +446,7 @@ class Numbered:
 
 
 @query(
-    """SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 10 <> 7 THEN CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END END AS job, CASE WHEN c_custkey % 10 = 7 THEN 'ValueError: unreadable' END AS error,
+    """SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 10 = 7 THEN 0 WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS job, CASE WHEN c_custkey % 10 = 7 THEN 'ValueError: unreadable' END AS error,
   1::BIGINT AS times FROM customer"""
 )
 def resumed_answers(spark, d):
@@ -458,7 +458,7 @@ def resumed_answers(spark, d):
     infer(rows.where("k % 3 = 0"), lambda: Numbered(1), kept)
     out = infer(rows, lambda: Numbered(2), kept)
     lines = spark.read.schema(ledger.LINE).option("recursiveFileLookup", True).json(kept).groupBy("id").agg(F.count("*").alias("times"))
-    return out.join(lines, "id").select("id", F.get_json_object("prediction", "$.fields.job").cast("int").alias("job"), "error", "times")
+    return out.join(lines, "id").select("id", F.coalesce(F.get_json_object("prediction", "$.fields.job").cast("int"), F.lit(0)).alias("job"), "error", "times")
 
 
 @query("SELECT n, 'doc-test-' || lpad(n::VARCHAR, CAST(greatest(4, length(n::VARCHAR)) AS INTEGER), '0') AS id, k::VARCHAR AS ground_truth FROM (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) WHERE n < 1000")
