@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from ..functions.values import is_kind, text_of
+from ..functions.values import is_kind, schema_of, text_of
 
 #: Messages, the fence pattern and the label paths.
 EMPTY = "The model returned an empty response."
@@ -32,37 +28,31 @@ FIELD_PATHS = {
 }
 
 
-@F.pandas_udf(StringType())
-def first_object_udf(texts: pd.Series) -> pd.Series:
-    """The text of the first JSON object that starts at any brace."""
-    read = json.JSONDecoder().raw_decode
-
-    def first(text: str) -> str | None:
-        at = text.find("{")
-        while at >= 0:
-            try:
-                _, end = read(text, at)
-                return text[at:end]
-            except ValueError:
-                at = text.find("{", at + 1)
-        return None
-
-    return texts.map(first, na_action="ignore")
-
-
 def unfenced(raw: Column) -> Column:
     """What the first fenced block holds, else the trimmed text."""
     return F.coalesce(F.nullif(F.regexp_extract(raw, FENCE, 1), F.lit("")), F.regexp_replace(raw, "(?U)^\\s+|\\s+$", ""))
 
 
+#: Before a brace that may open an object: white space of JSON, then a key or the end must follow.
+OPENING = "(?=\\{[ \\t\\n\\r]*+[\"}])"
+
+
 def first_object(text: Column, scan: bool = True) -> Column:
-    """Text of the first JSON object, from its brace on. That at the first brace is found by built-ins; texts whose
-    first brace opens no object are scanned brace by brace in Python, and only they are sent there."""
+    """Text of the first JSON object, from its brace on. Where the first brace opens none, each later one that a key or a
+    closing brace follows is tried in turn, up to the first that opens an object; all of it by built-ins. A try costs a copy
+    of the text behind it, and what stands behind the last closing brace is not looked at. Objects nested deeper than
+    JSON readers go (1,000 levels), and those with literals that JSON lacks (NaN), open nothing."""
     from_brace = F.when(F.instr(text, "{") > 0, F.substr(text, F.instr(text, "{")))
-    found = F.coalesce(is_kind(F.try_parse_json(from_brace), "object"), F.lit(False))
+    # what begins with a brace and can be read is an object
+    opens = lambda t: F.try_parse_json(t).isNotNull()
+    found = opens(from_brace)
     if not scan:
         return F.when(found, from_brace)
-    return F.when(found, from_brace).otherwise(first_object_udf(F.when(~found, from_brace)))
+    # the text cut before each such brace: what the n-th opens is the rest from there on
+    pieces = F.split(F.regexp_extract(from_brace, "(?s)^.*\\}", 0), OPENING)
+    rest = lambda n: F.array_join(F.slice(pieces, n, F.size(pieces)), "")
+    later = F.aggregate(F.sequence(F.lit(1), F.size(pieces)), F.lit(None).cast("string"), lambda got, n: F.coalesce(got, F.when(opens(rest(n)), rest(n))))
+    return F.when(found, from_brace).otherwise(later)
 
 
 def confidence(schema: Column, v: Column) -> Column:
@@ -102,8 +92,8 @@ def parse_output(df: DataFrame, raw: str = "raw_output", requested: str = "reque
     df = df.withColumns({"_keys": F.coalesce(F.json_object_keys("_body"), F.array().cast("array<string>")), "_fields": part("fields"), "_confidence": part("confidence"), "_answer": part("answer")})
     df = df.withColumns(
         {
-            "_nested": F.array_contains("_keys", "fields"), "_fields_schema": F.schema_of_variant("_fields"),
-            "_confidence_schema": F.schema_of_variant("_confidence"), "_answer_schema": F.schema_of_variant("_answer"),
+            "_nested": F.array_contains("_keys", "fields"), "_fields_schema": schema_of("_fields"),
+            "_confidence_schema": schema_of("_confidence"), "_answer_schema": schema_of("_answer"),
             "_inner": F.coalesce(F.json_object_keys(F.to_json("_fields")), F.array().cast("array<string>")),
         }
     )
@@ -145,9 +135,9 @@ def map_labels(df: DataFrame, truth: str = "ground_truth") -> DataFrame:
     groups = list(dict.fromkeys(group for group, _ in FIELD_PATHS.values()))
     # one look at each group and at each label, then one at what was seen of them
     df = df.withColumns(
-        {"_gt_schema": F.schema_of_variant("_gt")}
-        | {f"_is_{g}": F.schema_of_variant(at(f"$.{g}")) for g in groups}
-        | {f"_as_{f}": F.schema_of_variant(at(f"$.{g}.{k}")) for f, (g, k) in FIELD_PATHS.items()}
+        {"_gt_schema": schema_of("_gt")}
+        | {f"_is_{g}": schema_of(at(f"$.{g}")) for g in groups}
+        | {f"_as_{f}": schema_of(at(f"$.{g}.{k}")) for f, (g, k) in FIELD_PATHS.items()}
         | {f"_of_{f}": F.try_variant_get("_gt", f"$.{g}.{k}", "string") for f, (g, k) in FIELD_PATHS.items()}
     )
     no, problems = F.lit(False), []

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import compatible
-from ..functions.values import settled, text_of
+from ..functions.values import schema_of, settled, text_of
 from .parse import FIELD_PATHS
 
 #: Amount fields, reasons, placeholders and policies.
@@ -25,7 +25,7 @@ def with_reason(df: DataFrame, values: dict[str, str], unicode: bool = True) ->
     Only amounts whose whole rule is the text rule are looked at; labels are never consulted. ``df`` has field and
     rule_text."""
     asked = F.col("field").isin(*AMOUNT_FIELDS) & (F.col("rule_text") == TEXT_AMOUNT)
-    df = df.withColumns({f"__{n}_schema": F.when(asked, F.schema_of_variant(c)) for n, c in values.items()})
+    df = df.withColumns({f"__{n}_schema": F.when(asked, schema_of(c)) for n, c in values.items()})
     df = df.withColumns({f"__{n}_text": F.when(F.col(f"__{n}_schema") == "STRING", text_of(F.col(c))) for n, c in values.items()})
     df = df.withColumns({f"__{n}_text": compatible(F.col(f"__{n}_text"), unicode) for n in values})
 

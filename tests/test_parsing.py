@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from fieldproof.functions import values
 from fieldproof.operators import parse
 
 TEXTS = [
@@ -54,3 +55,41 @@ def test_labels(spark):
     for given in (rows, rows.withColumn("ground_truth", F.parse_json("ground_truth"))):
         out = parse.map_labels(given).orderBy("i").collect()
         assert [(r["expected"], r["reject"]) for r in out] == [(e, x) for _, e, x in truths]
+
+
+def plain_first(text):
+    """The first object that starts at any brace, brace by brace."""
+    at = text.find("{")
+    while at >= 0:
+        try:
+            return json.JSONDecoder().raw_decode(text, at)[0]
+        except ValueError:
+            at = text.find("{", at + 1)
+    return None
+
+
+def test_first_object_equals_a_plain_scan(spark):
+    import random
+
+    rng = random.Random(11)
+    parts = ["{", "}", '{"a":', '"', "\\", "1", ",", " ", '{"b": 2}', "x", "{}", "\n", '"c":"{"', "[", "]", "é", '{ "k" : null }', "\\{"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(1500)] + ["", "}{", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    out = rows.select("i", parse.first_object(F.col("t")).alias("body")).withColumn("j", F.to_json(F.try_parse_json("body")))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: None if r["j"] is None else json.loads(r["j"]) for r in out.collect()}
+    assert got == {i: None if t is None else plain_first(t) for i, t in enumerate(texts)}
+    assert sum(v is not None for v in got.values()) > 500
+
+
+def test_deep_texts_end_nothing(spark):
+    """Nested to 900 levels, never closed, and deeper than a reader goes."""
+    nest = lambda n, inner="1": '{"a":' * n + inner + "}" * n
+    texts = [f'{{"fields": {{"total": {nest(900)}, "b": {"[" * 900 + "]" * 900}}}, "answer": {nest(900)}, "confidence": {nest(900)}}}', '{"a":' * 5000, '{"a":' * 1500 + '{"fields": {"total": 3}}']
+    rows = spark.createDataFrame([(i, t, ["total"]) for i, t in enumerate(texts)], "i int, raw_output string, requested array<string>").repartition(2)
+    out = parse.parse_output(rows)
+    got = out.select("i", "parse_error", F.length(F.to_json(parse.field_value(F.col("fields"), F.lit("total")))).alias("n"), "confidence").orderBy("i").collect()
+    assert [(r["parse_error"], r["n"], r["confidence"]) for r in got] == [(None, len(nest(900)), 0.0), (parse.NO_OBJECT, None, None), (None, 1, 0.0)]
+    kept = out.select("i", parse.field_value(F.col("fields"), F.lit("total")).alias("v"), parse.field_value(F.col("fields"), F.lit("b")).alias("w"))
+    typed = values.with_typed(kept, {"v": F.col("v"), "w": F.col("w")}, F.lit("number")).orderBy("i").select("v_state", "w_state").collect()
+    assert [tuple(r) for r in typed] == [("invalid", "invalid"), ("null", "null"), ("number", "null")]
