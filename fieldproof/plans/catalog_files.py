@@ -533,3 +533,33 @@ def written_reports(spark, d):
     lines = lambda name, path, kept: spark.read.text(str(path)).where(F.col("value").rlike(kept)).select(F.lit(name), "value")
     said = lines("summary", runs[0].parent / "summary.md", "^. (labelled fields right|documents with review flags) ")
     return flags.union(said).union(lines("comparison", text, "^. (total|tax)_amount "))
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 60 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 60 END AS minute, o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 1 AS good FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 50 <> 1),
+last AS (SELECT max(minute) AS minute FROM r)
+SELECT 1767225600 + (r.minute // 5) * 300 AS start_second, count(*) FILTER (WHERE good) AS correct, count(*) AS total FROM r, last
+WHERE (r.minute // 5) * 5 + 5 <= last.minute - 60 GROUP BY ALL"""
+)
+def streamed_windows(spark, d):
+    """Predictions of two hours that come in two steps, the second one with repeats of the first and rows that are too late: accuracy by
+    windows that are closed. The second step is a stream of its own that goes on with the state of the first."""
+    from ..streaming import live
+
+    o = X.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
+    source, target, progress = (_new(spark, part) for part in ("stream", "windows", "progress"))
+
+    def come(rows: DataFrame, minute: str) -> DataFrame:
+        value = F.expr("case k % 3 when 0 then concat(k, '.0') when 1 then cast(k + 1 as string) else cast(k as string) end")
+        at = F.timestamp_seconds(F.lit(1767225600) + 60 * F.expr(minute))
+        made = rows.select(
+            F.lit("r").alias("run_id"), F.col("k").cast("string").alias("id"), F.lit("total_amount").alias("field"), F.lit("number").alias("rule"), F.col("k").cast("string").alias("expected"),
+            value.alias("predicted"), F.expr("if(k % 7 = 0, 'late', null)").alias("error"), F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"),
+        )
+        made.write.mode("append").json(source)
+        return live.caught_up(spark, source, target, progress)
+
+    come(o.where("k % 2 = 0"), "k % 60")
+    again = o.where("k % 20 = 0").unionAll(o.where("k % 2 = 1"))
+    closed = come(again, "case when k % 2 = 0 then k % 60 when k % 50 = 1 then -30 else 60 + k % 60 end")
+    return closed.select(F.unix_timestamp("start").alias("start_second"), "correct", "total")

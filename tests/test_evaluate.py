@@ -297,3 +297,22 @@ def test_streamed_accuracy(spark, tmp_path):
     q.stop()
     got = spark.table("live_accuracy").first()
     assert (got["correct"], got["total"]) == (2, 3)
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    from fieldproof.streaming import live
+
+    row = lambda i, minute, said="1": {"run_id": "r", "id": f"d{i}", "field": "a", "rule": "string", "expected": "1", "predicted": said, "error": None, "at": f"2026-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z"}
+    folders = [str(tmp_path / x) for x in ("in", "out", "state")]
+    assert live.caught_up(spark, *folders, unicode=False).count() == 0
+    steps = [
+        ([row(0, 1), row(1, 2, "2"), row(0, 1), {"id": None, "at": None}], []),
+        # a field that was read before, then one two hours on, which closes the first window
+        ([row(1, 3), row(2, 4), row(3, 125)], [(2, 3)]),
+        # too late for its window, which stays as it was
+        ([row(4, 2), row(5, 126)], [(2, 3)]),
+    ]
+    for n, (rows, closed) in enumerate(steps):
+        (tmp_path / f"in/{n}.json").write_text("\n".join(map(json.dumps, rows)))
+        got = live.caught_up(spark, *folders, unicode=False).where("run_id is not null").orderBy("start").collect()
+        assert [(r["correct"], r["total"]) for r in got] == closed
