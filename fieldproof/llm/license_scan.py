@@ -211,7 +211,7 @@ class Scanner:
                     for number, stop in self.automaton.ends[state]:
                         if number >= n_phrases:
                             runs.setdefault(number, set()).add((first, first + size, stop - size, stop))
-        labels, score, spans = set(base), 1.0 if base else 0.0, []
+        labels, score, spans = set(base), 0.0, []
         for number, found in sorted(runs.items()):
             words_, label = self.templates[number - n_phrases]
             for covered, first, last in chains(found, len(words_)):
@@ -313,8 +313,8 @@ def _scanner(phrases, templates, chain: Chain):
 def scan(docs: DataFrame, text: str = "text", phrases=PHRASES, templates=TEMPLATES, chain: Chain = Chain()) -> DataFrame:
     """(row, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of every whole text.
 
-    Words are runs of ASCII letters, digits and bytes above 0x7F, with A-Z lower-cased. ``score`` is 1 where a
-    phrase stands, else the largest share of a template that is covered. ``spans`` are the places of templates, first and
+    Words are runs of ASCII letters, digits and bytes above 0x7F, with A-Z lower-cased. ``score`` is the
+    largest share of a template that is covered; a phrase alone adds nothing to it. ``spans`` are the places of templates, first and
     last word; several templates of one label, or of several, may hold the same words, and each has its span. A very
     long text stands in one task, as arrays of some fifty bytes a word. Null and empty texts have no word and
     no label; repeated rows get equal results; a phrase that stands twice counts twice; an empty table gives an

@@ -75,7 +75,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: in
     Lines are compared without outer white space; lines without a word take no part in windows and stay. Texts
     of fewer than ``lines`` such lines have no window and stay as they are, as do null and empty texts. Rows
     that share a doc_id are one place: a repeated row is not later than itself, so both stay whole. A null
-    doc_id sorts before all others. Extra columns, whatever their names, travel inside ``row``."""
+    doc_id sorts before all others. A very long text is cut line by line in one task, as arrays of its lines and their
+    places; its windows are rows of their own, spread by what they hold. An empty table gives an empty result.
+    Extra columns, whatever their names, travel inside ``row``."""
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]) if len(docs.columns) > 1 else F.struct(F.lit(None).cast("int"))
     slim = docs.select(rest.alias("_rest"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
     places = covered(docs, doc_id, text, lines)

@@ -116,7 +116,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + PATTERN_RULES
     decides, else null) and verdict (``allow`` where nothing fits).
 
     A null URL, or one without ``://``, has an empty host and path and no rule. Each row is judged by its URL
-    alone, so repeated rows get equal verdicts; equally long rules tie-break by text; columns of ``pages`` that
+    alone, so repeated rows get equal verdicts; equally long rules tie-break by text; a very long URL is
+    looked at whole, by as many tokens as it has and the rules that share one; columns of ``pages`` that
     carry the name of a result are replaced; an empty table gives an empty result."""
     pages = pages.drop(*({"host", "path", "rule", "pattern", "verdict"} - {url}))
     at_found, at_host, at_pattern, at_url = (free(x, pages.columns) for x in ("_found", "_host", "_pattern", "_url"))

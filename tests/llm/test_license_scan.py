@@ -106,7 +106,7 @@ def test_empty_and_clashing(spark):
     assert L.scan(H.docs(spark, [])).count() == 0
     more = spark.createDataFrame([(1, "cc by", 7)], "doc_id long, text string, score int")
     row = L.scan(more).first()
-    assert row["row"]["score"] == 7 and row["score"] == 1.0
+    assert row["row"]["score"] == 7 and row["score"] == 0.0 and row["base_labels"] == "cc-by"
 
 
 @pytest.mark.parametrize("seed", range(10))
@@ -122,3 +122,12 @@ def test_matching_statistics(seed):
         if size:
             run = text[i + 1 - size : i + 1]
             assert automaton.ends[state] == {(k, e) for k, t in enumerate(known) for e in range(size, len(t) + 1) if t[e - size : e] == run}
+
+
+def test_score_is_the_covered_share(spark):
+    """A phrase in prose scores below a template that nearly all stands; a whole template scores one."""
+    body = L.spelled(max((text for _, text in L.bodies()), key=lambda x: len(L.spelled(x))))
+    nearly = " ".join(f"other{i}" if i % 20 == 10 else w for i, w in enumerate(body))
+    rows = [(1, "Some prose, cc by, all rights reserved."), (2, nearly), (3, " ".join(body))]
+    out = {r["doc_id"]: r for r in L.scan(H.docs(spark, rows)).select("row.doc_id", "*").collect()}
+    assert out[1]["base_labels"] == "cc-by,reserved" and out[1]["score"] < 0.8 < out[2]["score"] < out[3]["score"] == 1.0
