@@ -2,9 +2,9 @@
 
 A document is posted under the (coordinate, value) pairs of the first m coordinates of its signature. Two
 documents that share at least t of them must meet under one of their m - t + 1 rarest pairs (pigeonhole in an order
-that all documents share), so only that prefix is posted, and the longer lists are skipped: what they would add is
-counted on the signatures of the pairs that met, over all coordinates. Pairs at or above the match threshold are
-confirmed on their whole sets.
+that all documents share), so only that prefix is posted. Where a list's documents meet, in blocks, collisions over all coordinates
+are counted by skip merging: the block's postings are merged but for each document's longest lists, in which only those
+that can still reach the threshold are looked up. Pairs at or above it are confirmed on their whole sets.
 
 Documents with equal sets are one class, found by a digest of the set, so copies are never paired. Groups of near
 copies are not paired out either: a list is first swept by leaders, each a document that follows no leader before
@@ -163,6 +163,58 @@ def _matches(sketches: np.ndarray, one: int, rest: np.ndarray) -> np.ndarray:
     return ((differs & 15) == 0).sum(axis=1) + ((differs >> 4) == 0).sum(axis=1)
 
 
+class _Merge:
+    """Collisions of a block's rows, counted by skip merging of posting lists.
+
+    Each byte of a sketch, two coordinates, has a list of rows for each of its values. Rows that agree in ``matches`` coordinates
+    agree in at least ``whole`` = matches - bytes whole bytes, so they meet in a row's lists even if its whole - 1 longest are
+    left out. The others, its prefix, are merged; the longest ones are skipped: the rows that were met are looked up
+    there, shortest lists first, and a row that can't reach ``whole`` any more goes. What remains is counted by coordinates.
+    Where merging would take longer than comparing all rows, as in a small block or among near copies, all are
+    counted by coordinates at once; what is found is the same."""
+
+    #: Rows of a block, and times that a prefix lists each of them, beyond which one way is cheaper than the other.
+    SMALL, LISTED = 768, 6
+
+    def __init__(self, sketches: np.ndarray, matches: int):
+        size, width = sketches.shape
+        self.sketches, self.matches, self.whole = sketches, matches, matches - width
+        self.every = np.arange(size)
+        self.merges = self.whole > 0 and size > self.SMALL
+        if self.merges:
+            self.base = np.arange(width, dtype=np.int64) << 8
+            self.rows = np.argsort(np.ascontiguousarray(sketches.T), axis=1, kind="stable").astype(np.int32).ravel()
+            self.at = np.concatenate([[0], np.cumsum(np.bincount((sketches + self.base).ravel(), minlength=width << 8))])
+
+    def met(self, one: int) -> np.ndarray:
+        """Rows that may agree with row ``one`` in ``matches`` coordinates, itself included, ascending."""
+        mine = self.sketches[one]
+        lists = mine + self.base
+        start, count = self.at[lists], self.at[lists + 1] - self.at[lists]
+        order = np.argsort(count, kind="stable")
+        prefix, skipped = order[: len(order) - self.whole + 1], order[len(order) - self.whole + 1 :]
+        start, count = start[prefix], count[prefix]
+        if count.sum() > self.LISTED * len(self.every):
+            return self.every
+        places = np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        both = np.bincount(self.rows[places], minlength=len(self.sketches))
+        rows = np.flatnonzero(both)
+        both = both[rows]
+        # a few lists at a time: the bound by which rows go is the tighter the fewer lists are left
+        for at in range(0, len(skipped), 5):
+            some = skipped[at : at + 5]
+            both = both + (self.sketches[rows[:, None], some] == mine[some]).sum(axis=1)
+            go = both + len(skipped[at + 5 :]) >= self.whole
+            rows, both = rows[go], both[go]
+        return rows[both >= self.whole]
+
+    def of(self, one: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that agree with row ``one`` in ``matches`` coordinates, itself included, ascending, and in how many."""
+        rows = self.met(one) if self.merges else self.every
+        match = _matches(self.sketches, one, rows)
+        return rows[match >= self.matches], match[match >= self.matches]
+
+
 def _poster(p: Params):
     """(id, key) for each posted coordinate; a key is the coordinate and its value."""
 
@@ -222,13 +274,13 @@ def _sweeper(p: Params):
             ids, n = g["id"][order], g["n"][order]
             sketches = g["sketch"][order]
             # the first that follows none leads; all that match it follow it, others' followers included
-            free, every = np.ones(size, bool), np.arange(size)
+            free, merge = np.ones(size, bool), _Merge(sketches, p.matches)
             for lead in range(size):
                 if not free[lead]:
                     continue
                 out.append((key, int(ids[lead]), None, False))
-                near = (_matches(sketches, lead, every) >= p.matches) & _close(n, int(n[lead]), p.percent)
-                near[lead] = False
+                near, _ = merge.of(lead)
+                near = near[(near != lead) & _close(n[near], int(n[lead]), p.percent)]
                 out += [(key, int(ids[lead]), x, False) for x in ids[near].tolist()]
                 free[near] = False
             if len(out) >= 1 << 14:
@@ -249,13 +301,10 @@ def _crosser(p: Params, tries: int):
         for g in _groups(batches, ["key", "p", "q"], ["id", "n", "label", "side", "leaders"], p.width):
             key = int(g["key"][0])
             followed = [set(x) for x in g["leaders"]]
-            here, there = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
-            for i in here.tolist():
-                other = there[(g["label"][there] != g["label"][i]) & _close(g["n"][there], int(g["n"][i]), p.percent)]
-                if not len(other):
-                    continue
-                match = _matches(g["sketch"], i, other)
-                good = match >= p.matches
+            merge = _Merge(g["sketch"], p.matches)
+            for i in np.flatnonzero(g["side"] == 0).tolist():
+                other, match = merge.of(i)
+                good = (g["side"][other] == 1) & (g["label"][other] != g["label"][i]) & _close(g["n"][other], int(g["n"][i]), p.percent)
                 other, match = other[good], match[good]
                 if not len(other):
                     continue

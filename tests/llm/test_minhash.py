@@ -23,6 +23,27 @@ def test_against_all_pairs(spark, shingle, options):
     assert all(r["kept"] == (i == want[i]) and r["n_shingles"] == len(H.shingles(rows[i][1], shingle)) for i, r in out.items())
 
 
+@pytest.mark.parametrize("size", [1, 2, 9, 64, 65, 300, 1500])
+@pytest.mark.parametrize("width, matches, share", [(64, 78, 0.0), (64, 78, 0.45), (64, 78, 0.9), (8, 9, 0.5), (8, 16, 0.8), (8, 7, 0.3)])
+@pytest.mark.parametrize("small, listed", [(0, 1 << 40), (None, None)])
+def test_skip_merging_counts_all_collisions(size, width, matches, share, small, listed, monkeypatch):
+    """Rows are drawn around three centres; whoever agrees in enough coordinates is met, as comparing all with all says."""
+    if small is not None:
+        monkeypatch.setattr(M._Merge, "SMALL", small)
+        monkeypatch.setattr(M._Merge, "LISTED", listed)
+    r = np.random.default_rng(size + matches)
+    nibbles = r.integers(0, 16, (size, 2 * width))
+    centres = r.integers(0, 16, (3, 2 * width))
+    taken = r.random((size, 2 * width)) < share
+    nibbles = np.where(taken, centres[r.integers(0, 3, size)], nibbles)
+    sketches = (nibbles[:, 0::2] | nibbles[:, 1::2] << 4).astype(np.uint8)
+    merge = M._Merge(sketches, matches)
+    for i in range(0, size, max(size // 40, 1)):
+        equal = (nibbles == nibbles[i]).sum(axis=1)
+        rows, match = merge.of(i)
+        assert rows.tolist() == np.flatnonzero(equal >= matches).tolist() and match.tolist() == equal[rows].tolist()
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_lists_that_unlike_documents_share(spark, seed, monkeypatch):
     """Half of every document is the same, the rest its own: lists are long, and few of those in them are linked."""
