@@ -461,6 +461,42 @@ def resumed_answers(spark, d):
     return out.join(lines, "id").select("id", F.coalesce(F.get_json_object("prediction", "$.fields.job").cast("int"), F.lit(0)).alias("job"), "error", "times")
 
 
+class Prompted:
+    """Answers with what it is asked, and with the names of all that it is given."""
+
+    def analyze(self, image, question, field_schema, *, receipt_profile="baseline"):
+        from ..operators.infer import prompt
+
+        return {"fields": {"prompt": prompt(question, field_schema, receipt_profile), "given": ",".join([image, question, *field_schema])}}
+
+    def describe(self):
+        return {"model": "prompted"}
+
+
+@query(
+    """WITH r AS (SELECT c_custkey::VARCHAR AS id, c_custkey AS k, chr(10) AS nl, CASE c_custkey % 4 WHEN 1 THEN 'label-aware-v1' WHEN 2 THEN 'baseline' END AS profile, c_custkey % 3 AS s FROM customer),
+p AS (SELECT *, 'Read ' || id || nl || nl || 'Give exactly these fields, each by its rule:' || CASE WHEN s <> 1 THEN nl || '- "vendor": {"type": "string"}' ELSE '' END
+  || CASE WHEN s > 0 THEN nl || '- "tax_amount": "string or null"' ELSE '' END AS plain FROM r)
+SELECT id, CASE WHEN profile = 'label-aware-v1' AND s > 0 THEN plain || nl || nl || 'Find each printed label first, then copy the amount beside it.' || nl || 'tax_amount: the tax in money (Tax, PPN or PB1), never its rate' || nl
+  || 'Copy every digit and separator; give null where none is printed.' ELSE plain END AS prompt,
+  'i' || id || '.png,Read ' || id || CASE WHEN s <> 1 THEN ',vendor' ELSE '' END || CASE WHEN s > 0 THEN ',tax_amount' ELSE '' END AS given FROM p"""
+)
+def prompted_readings(spark, d):
+    """What a model is told of each document: the question, the fields with their rules, and the lines of the profile that
+    the row asks for; and that nothing else reaches it, though the rows hold labels."""
+    from ..operators.infer import infer
+
+    k = F.col("c_custkey")
+    vendor, tax = '"vendor": {"type": "string"}', '"tax_amount": "string or null"'
+    schema = F.when(k % 3 == 0, "{%s}" % vendor).when(k % 3 == 1, "{%s}" % tax).otherwise("{%s, %s}" % (vendor, tax))
+    rows = X.table(spark, d, "customer").select(
+        k.cast("string").alias("id"), F.format_string("i%d.png", k).alias("image"), F.format_string("Read %d", k).alias("question"), schema.alias("field_schema"),
+        F.when(k % 4 == 1, "label-aware-v1").when(k % 4 == 2, "baseline").alias("profile"), F.col("c_name").alias("expected_fields"), F.col("c_name").alias("mock_response"),
+    )
+    at = lambda name: F.get_json_object("prediction", f"$.fields.{name}").alias(name)
+    return infer(rows, Prompted).select("id", at("prompt"), at("given"))
+
+
 @query("SELECT n, 'doc-test-' || lpad(n::VARCHAR, CAST(greatest(4, length(n::VARCHAR)) AS INTEGER), '0') AS id, k::VARCHAR AS ground_truth FROM (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) WHERE n < 1000")
 def source_prefix(spark, d):
     """The first rows of a corpus of sixteen files: places come from footers and row numbers, and files behind the limit stay shut."""
