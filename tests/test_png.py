@@ -116,3 +116,28 @@ def test_context_policy_has_its_own_profile(spark, tmp_path):
     a = got["a"]
     assert a["recheck_attempt"]["receipt_profile"] == "label-aware-v1" and a["recheck_attempt"]["prediction"]["fields"]["total_amount"] == "label-aware-v1"
     assert a["fields"] == {"tax_amount": "30 by 47", "total_amount": "7"} and a["recheck_attempt"]["question"] == "whole" and "view" not in a["recheck_attempt"]
+
+
+def test_images_of_a_shape_go_together(monkeypatch):
+    kinds = [(7, 12, *KINDS[i % len(KINDS)]) for i in range(600)] + [(1 + i % 5, 1 + i % 3, 0, 8) for i in range(60)]
+    made = [image(i, *kind) for i, kind in enumerate(kinds)]
+    filters = [(i + np.arange(x.height)) % (5 if i % 2 else 3) for i, x in enumerate(made)]
+    files = png.encode_all(made, filters)
+    assert files == [png.encode(x, f) for x, f in zip(made, filters, strict=True)]
+    calls, one = [], png.unfiltered
+    monkeypatch.setattr(png, "unfiltered", lambda *x: calls.append(x) or one(*x))
+    for x, got in zip(made, png.decode_all(files), strict=True):
+        assert (got.rows == x.rows).all() and (got.width, got.depth, got.colour, got.meaning) == (x.width, x.depth, x.colour, x.meaning)
+    assert len(calls) < 40
+    assert png.decode_all([]) == png.encode_all([]) == []
+    with pytest.raises(ValueError):
+        png.decode_all([files[0], b"GIF89a"])
+
+
+def test_views_of_one_file_are_cut_by_many_tasks(spark, tmp_path):
+    from fieldproof.plans import catalog
+
+    spark.range(2000).selectExpr("id as o_orderkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalog.queries()["crop_views"](spark, str(tmp_path))
+    sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 4 and sum(sizes) == 2000 and max(sizes) < 500
