@@ -4,7 +4,9 @@ from the tables and written to the shared folder first."""
 from __future__ import annotations
 
 import json
+import shutil
 import uuid
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
@@ -205,7 +207,7 @@ def _run(spark: SparkSession, d: str, **options) -> Path:
     from .evaluate import evaluate
 
     output = _folder(spark, "runs") / "run"
-    evaluate(spark, options.pop("dataset", None) or _suppliers(spark, d), output, **options)
+    evaluate(spark, options.pop("dataset", None) or _suppliers(spark, d), output, returned=False, **options)
     return output
 
 
@@ -348,21 +350,24 @@ def refusals(spark, d):
     with other.open("a", encoding="utf-8") as out:
         out.write("\n")
     done = _run(spark, d, dataset=dataset, mode="dry-run")
-    lines = (done / "predictions.jsonl").read_text(encoding="utf-8").splitlines()
+    with (done / "predictions.jsonl").open("rb") as lines:
+        n = sum(1 for _ in lines)
 
-    def saved(rows: list[str], manifest: bool = True) -> Path:
+    def saved(most: int, again: int = 0, manifest: bool = True) -> Path:
+        """The first ``most`` lines of the run, then the first ``again`` of them; they go by one at a time."""
         folder = _folder(spark, "saved")
-        (folder / "predictions.jsonl").write_text("\n".join(rows), encoding="utf-8")
+        with (folder / "predictions.jsonl").open("wb") as out, (done / "predictions.jsonl").open("rb") as first, (done / "predictions.jsonl").open("rb") as second:
+            out.writelines(chain(islice(first, most), islice(second, again)))
         if manifest:
-            (folder / "run.json").write_bytes((done / "run.json").read_bytes())
+            shutil.copyfile(done / "run.json", folder / "run.json")
         return folder / "predictions.jsonl"
 
     new = lambda: _folder(spark, "runs") / "run"
     replay = lambda path, of=dataset: evaluate(spark, of, new(), "replay", path)
     tries = {
         "offset": lambda: evaluate(spark, dataset, new(), offset=-1), "limit": lambda: evaluate(spark, dataset, new(), limit=0), "beyond": lambda: evaluate(spark, dataset, new(), offset=10**9), "fixtures": lambda: evaluate(spark, _suppliers(spark, d, mocked=False), new()),
-        "policy": lambda: evaluate(spark, dataset, new(), policy="always"), "exists": lambda: evaluate(spark, dataset, done), "manifest": lambda: replay(saved(lines, False)), "dataset": lambda: replay(saved(lines), other),
-        "missing": lambda: replay(saved(lines[:-1])), "twice": lambda: replay(saved([*lines, lines[0]])), "analyzer": lambda: evaluate(spark, dataset, new(), "live"),
+        "policy": lambda: evaluate(spark, dataset, new(), policy="always"), "exists": lambda: evaluate(spark, dataset, done), "manifest": lambda: replay(saved(n, manifest=False)), "dataset": lambda: replay(saved(n), other),
+        "missing": lambda: replay(saved(n - 1)), "twice": lambda: replay(saved(n, 1)), "analyzer": lambda: evaluate(spark, dataset, new(), "live"),
         "pixels": lambda: readers.settings({"MLLM_MIN_PIXELS": "9", "MLLM_MAX_PIXELS": "8"}), "alone": lambda: compare(spark, [done / "run.json"]), "dry": lambda: compare(spark, [done / "run.json"] * 2),
     }
     said = []

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,31 @@ def test_a_prefix_opens_the_files_it_needs(spark, tmp_path):
     assert sorted(r["n"] for r in readers.numbered_corpus(spark, str(tmp_path / "c"), "test").collect()) == list(range(12))
     with pytest.raises(ValueError, match="no file"):
         readers.numbered_corpus(spark, str(tmp_path / "c"), "validation", 3)
+
+
+def test_lists_of_a_run_pass_line_by_line(spark, tmp_path):
+    path = receipts(tmp_path / "d")
+    whole = evaluate.evaluate(spark, path, tmp_path / "one", "live", analyzer=Texts)
+    slim = evaluate.evaluate(spark, path, tmp_path / "two", "live", analyzer=Texts, returned=False)
+    one, two = (json.loads((tmp_path / f"{name}/run.json").read_text()) for name in ("one", "two"))
+    assert one == whole and len(one["results"]) == 3 and one["dataset"]["selected_ids"] == ["a", "b", "c"] and set(one["dataset"]["image_sha256"]) == set("abc")
+    assert two["dataset"] == one["dataset"] and [r["score"] for r in two["results"]] == [r["score"] for r in one["results"]]
+    assert slim["results"] == [] and not {"selected_ids", "image_sha256"} & set(slim["dataset"]) and slim["correct_fields"] == whole["correct_fields"]
+    assert sinks.run_head(tmp_path / "two/run.json") == slim
+    # laid out otherwise, it is read whole
+    for indent in (None, 0, 1, 2):
+        (tmp_path / "other.json").write_text(json.dumps(two, indent=indent))
+        assert sinks.run_head(tmp_path / "other.json") == slim
+    # many records are neither held nor read
+    (tmp_path / "lines").write_text("".join(json.dumps({"id": i, "text": " ]\n" * 100}) + "\n" for i in range(5000)))
+    tracemalloc.start()
+    sinks.save_json(tmp_path / "many.json", slim | {"results": sinks.Lines(tmp_path / "lines")})
+    head = sinks.run_head(tmp_path / "many.json")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert head == slim and peak < 1 << 20 < (tmp_path / "many.json").stat().st_size
+    assert len(json.loads((tmp_path / "many.json").read_text())["results"]) == 5000
+    (tmp_path / "lines").write_text('{"x": 1}\n{"x": 1e999}\n')
+    with pytest.raises(ValueError):
+        sinks.save_json(tmp_path / "many.json", {"results": sinks.Lines(tmp_path / "lines")})
+    assert not list(tmp_path.glob(".many*")) and sinks.run_head(tmp_path / "many.json") == slim
