@@ -30,7 +30,10 @@ def facts_of(spark: SparkSession, path: Path) -> DataFrame:
 def compare(spark: SparkSession, paths: list[str | Path]) -> str:
     """Markdown of runs that may be compared; raises for the first guard that fails."""
     paths = [Path(p) for p in paths]
-    runs = [json.loads(p.read_text(encoding="utf-8")) for p in paths]
+    runs = [sinks.run_head(p) for p in paths]
+    # ids and records are read where a run has no digest, or no tables beside it
+    kept = all("selected_digest" in r["dataset"] for r in runs)
+    runs = [r if kept and (p.parent / "facts").exists() and (p.parent / "documents").exists() else json.loads(p.read_text(encoding="utf-8")) for r, p in zip(runs, paths, strict=True)]
     shape = "pos int, mode string, complete boolean, fingerprint string, selected_ids array<string>, report_version int, source_sha256 string"
     # digests of the selections, where all runs have them; a run that lists no ids has one
     short = all("selected_digest" in r["dataset"] for r in runs)
